@@ -118,13 +118,13 @@ def attribution_summary(long_credits: DataFrame) -> DataFrame:
     """
     key = ["attribution_model", "channel", "campaign_id"]
     counted = long_credits.groupBy(*key, "user_id", "credit").agg(
-        F.count("conversion_id").alias("_conversions"), F.count(F.lit(1)).alias("_rows")
+        F.count("conversion_id").alias("_conversions"), F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.col("credit").cast(CREDIT)).alias("_amount"),
     )
-    amount = F.col("credit").cast(CREDIT) * F.col("_rows")
     summary = counted.groupBy(*key).agg(
         F.sum("_conversions").alias("attributed_conversions"),
         F.count_distinct("user_id").alias("attributed_users"),
-        F.sum(amount).cast("double").alias("attributed_revenue"),
+        F.sum("_amount").cast("double").alias("attributed_revenue"),
         F.sum(F.when(F.col("credit").isNotNull(), F.col("_rows"))).alias("_valued"),
     )
     middle = medians(counted, key, "credit", weight="_rows")

@@ -215,12 +215,9 @@ def budget_by_tier(
     return _with_change(allocated).drop("_share")
 
 
-def projected_volume(campaigns: DataFrame, total_budget: float | None, p: Params) -> DataFrame:
-    """Conversions and impressions the recommended budget buys at today's cost and rates."""
-    allocated = budget_allocation(campaigns, p, total_budget)
-    projected = ratio("allocation", "cpm") * 1000
-    return allocated.select(
-        "campaign_id", "channel", "impressions", "ctr", "cvr",
-        (F.col("impressions") * F.col("ctr") * F.col("cvr")).alias("projected_conversions"),
-        projected.alias("projected_impressions"),
+def projected_volume(campaigns: DataFrame) -> DataFrame:
+    """Conversions to expect from impressions at the campaign's click and conversion rates."""
+    volume = F.col("impressions") * F.col("ctr") * F.col("cvr")
+    return campaigns.select(
+        "campaign_id", "channel", "impressions", "ctr", "cvr", volume.alias("projected_volume")
     )
