@@ -24,15 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import (
-    MICROS_PER_DAY,
-    MICROS_PER_MINUTE,
-    floor_div,
-    join_null_safe,
-)
+from touchline.functions.scalars import MICROS_PER_DAY, MICROS_PER_MINUTE, floor_div
 from touchline.params import Params
 
 _AGGREGATE = {"sum": F.sum, "min": F.min, "max": F.max}
+_WINDOW_TOTALS = {"n_touches": "sum", "weight": "sum", "first_touch": "min", "last_touch": "max"}
+# Stands for NULL in a key, so that keys join and shuffle as plain columns.
+_NO_VALUE = "\x00"
 
 
 def _merge(kind: str, before: Column, here: Column) -> Column:
@@ -53,22 +51,28 @@ def running_totals(
     """Replace each column of `totals` by its running total, for the rows of `keep`.
 
     `totals` maps a column to "sum", "min" or "max". `rows` has a `tile` column
-    that never decreases along `order` within a group.
+    that never decreases along `order` within a group. The group columns are
+    never NULL; `order` is a total order and names, with the group, every column
+    but the totals. Tile sums are the running totals of each tile's last row, so
+    they come out of the same shuffle, and the rows are not moved again to meet
+    what carries over from earlier tiles.
     """
     cell = [*group, "tile"]
     others = [c for c in rows.columns if c not in totals]
-    within = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    along = W.partitionBy(*cell).orderBy(*order)
+    within = along.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*group).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
 
     inside = rows.select(
-        *others, *[_AGGREGATE[kind](c).over(within).alias(c) for c, kind in totals.items()]
-    ).where(keep)
-    sums = rows.groupBy(*cell).agg(*[_AGGREGATE[kind](c).alias(c) for c, kind in totals.items()])
-    carried = sums.select(
+        *others,
+        *[_AGGREGATE[kind](c).over(within).alias(c) for c, kind in totals.items()],
+        F.lead(F.lit(1)).over(along).isNull().alias("_is_last"),
+    )
+    carried = inside.where("_is_last").select(
         *cell,
         *[_AGGREGATE[kind](c).over(earlier).alias(f"{c}_before") for c, kind in totals.items()],
     )
-    return join_null_safe(inside, carried, cell).select(
+    return inside.where(keep).join(carried, cell).select(
         *others,
         *[_merge(kind, F.col(f"{c}_before"), F.col(c)).alias(c) for c, kind in totals.items()],
     )
@@ -78,18 +82,18 @@ def window_totals(
     conversions: DataFrame, touches: DataFrame, p: Params, by: Sequence[str] = (),
     touch_fields: Sequence[str] = (), keep_unmatched: bool = False,
 ) -> DataFrame:
-    """Per conversion (and value of `by`) with at least one touch in its window:
+    """Per conversion and value of `by`, what its window holds:
 
     n_touches, weight (sum of 2^(-age / half life), on a scale common to the
     conversion), first_touch and last_touch as structs (ts_us, impression_id,
-    *touch_fields). Touches tie on time by impression id. Both window ends are
-    inclusive. `keep_unmatched` adds a row with n_touches = 0 and no `by` values
-    for every conversion, with touches or without (without `by`, that row
-    merges with the conversion's own).
-
-    `conversions` has conversion_id, user_id, conversion_ts and any other
-    columns, which are carried along; conversion_id is unique. `touches` has
-    impression_id, user_id, event_timestamp, the `by` columns and `touch_fields`.
+    *touch_fields), and journey_touches, the conversion's n_touches in all.
+    Touches tie on time by impression id. Both window ends are inclusive. A
+    conversion without touches has no row, or with `keep_unmatched` one with
+    n_touches = 0 and NULL `by` values.
+
+    `conversions` has conversion_id (unique), user_id, conversion_ts and any
+    other columns, which are kept. `touches` has impression_id, user_id,
+    event_timestamp, the `by` columns (text) and `touch_fields`.
     """
     by = list(by)
     window = p.attribution_window_days * MICROS_PER_DAY
@@ -98,7 +102,7 @@ def window_totals(
 
     ts = F.unix_micros("event_timestamp")
     placed = touches.where(F.col("user_id").isNotNull()).select(
-        "user_id", *by, ts.alias("ts_us"),
+        "user_id", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by], ts.alias("ts_us"),
         F.struct(ts.alias("ts_us"), "impression_id", *touch_fields).alias("touch"),
         floor_div(ts, window).alias("block"),
     )
@@ -118,11 +122,11 @@ def window_totals(
     end = F.unix_micros("conversion_ts")
     probes = (
         conversions.where(F.col("user_id").isNotNull())
-        .select("user_id", F.struct(*conversions.columns).alias("conversion"), end.alias("_end"))
+        .select("user_id", "conversion_id", end.alias("_end"))
         .withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
         .withColumn("at", F.col("_end") - F.when(F.col("side") == -1, window).otherwise(0))
         .select(
-            "user_id", floor_div("at", window).alias("block"), "side", "conversion",
+            "user_id", floor_div("at", window).alias("block"), "side", "conversion_id",
             (F.col("side") * F.col("at")).alias("position"), F.lit(1).alias("is_probe"),
         )
     )
@@ -134,23 +138,41 @@ def window_totals(
     timeline = touch_rows.unionByName(probes, allowMissingColumns=True).withColumn(
         "tile", floor_div("position", tile)
     )
-    totals = {"n_touches": "sum", "weight": "sum", "first_touch": "min", "last_touch": "max"}
     answered = running_totals(
         timeline,
         group=["user_id", "block", "side", *by],
-        order=["position", "is_probe"],
-        totals=totals,
+        order=["position", "is_probe", "conversion_id"],
+        totals=_WINDOW_TOTALS,
         keep=F.col("is_probe") == 1,
     ).where(F.col("n_touches") > 0)
+    return _gather(
+        answered.select(
+            "conversion_id", *[F.nullif(F.col(c), F.lit(_NO_VALUE)).alias(c) for c in by],
+            *_WINDOW_TOTALS,
+        ),
+        conversions, by, keep_unmatched,
+    )
 
-    flat = answered.select("conversion.*", *by, *totals)
-    if keep_unmatched:
-        flat = flat.unionByName(
-            conversions.withColumn("n_touches", F.lit(0).cast("long")), allowMissingColumns=True
+
+def _gather(
+    answers: DataFrame, conversions: DataFrame, by: list[str], keep_unmatched: bool
+) -> DataFrame:
+    """Bring each conversion's few answers and its own columns together, in one shuffle."""
+    details = [c for c in conversions.columns if c != "conversion_id"]
+    own = conversions.withColumn("n_touches", F.lit(0).cast("long"))
+    journey = W.partitionBy("conversion_id")
+    rows = (
+        answers.unionByName(own, allowMissingColumns=True)
+        .repartition("conversion_id")
+        .groupBy("conversion_id", *by)
+        .agg(
+            *[F.max(c).alias(c) for c in details],
+            *[_AGGREGATE[kind](c).alias(c) for c, kind in _WINDOW_TOTALS.items()],
         )
-    # A conversion's answers meet in one place, where its credit is shared out next.
-    return (
-        flat.repartition("conversion_id")
-        .groupBy(*conversions.columns, *by)
-        .agg(*[_AGGREGATE[kind](c).alias(c) for c, kind in totals.items()])
+        .withColumns({
+            **{c: F.max(c).over(journey) for c in details},
+            "journey_touches": F.sum("n_touches").over(journey),
+        })
     )
+    touched = F.col("n_touches") > 0
+    return rows.where(touched | (F.col("journey_touches") == 0) if keep_unmatched else touched)

@@ -48,14 +48,12 @@ def credit_shares(
     )
     journey = W.partitionBy("conversion_id")
     rows = touched.select(
-        *_CONVERSION, *TOUCH_KEY, "n_touches",
-        F.sum("n_touches").over(journey).alias("journey_touches"),
+        *_CONVERSION, *TOUCH_KEY, "n_touches", "journey_touches",
         (F.col("weight") / F.sum("weight").over(journey)).alias("_decay_share"),
         (F.col("first_touch") == F.min("first_touch").over(journey)).alias("_first"),
         (F.col("last_touch") == F.max("last_touch").over(journey)).alias("_last"),
     )
     alone = F.col("journey_touches") == 0
-    rows = rows.where((F.col("n_touches") > 0) | alone)
     if p.min_touches > 1:
         rows = rows.where(alone | (F.col("journey_touches") >= p.min_touches))
     value = F.col("value")
@@ -115,16 +113,19 @@ def attribution_summary(long_credits: DataFrame) -> DataFrame:
 
     Everything starts from counts per (key, user, credit), made once: the map
     side shrinks the data before the shuffle and the hot key is spread by user.
+    Every later step uses all its columns, so the shuffle is run once and read
+    again.
     """
     key = ["attribution_model", "channel", "campaign_id"]
-    counted = long_credits.groupBy(*key, "user_id", "credit").agg(
-        F.count("conversion_id").alias("_conversions"), F.count(F.lit(1)).alias("_rows"),
-        F.sum(F.col("credit").cast(CREDIT)).alias("_amount"),
-    )
+    counted = long_credits.groupBy(
+        *key, "user_id", "credit", F.col("conversion_id").isNotNull().alias("_has_id")
+    ).agg(F.count(F.lit(1)).alias("_rows"))
+    # 24 + 13 + 1 digits: the product keeps all ten decimals.
+    amount = F.col("credit").cast("decimal(24,10)") * F.col("_rows").cast("decimal(13,0)")
     summary = counted.groupBy(*key).agg(
-        F.sum("_conversions").alias("attributed_conversions"),
+        F.sum(F.when(F.col("_has_id"), F.col("_rows")).otherwise(0)).alias("attributed_conversions"),
         F.count_distinct("user_id").alias("attributed_users"),
-        F.sum("_amount").cast("double").alias("attributed_revenue"),
+        F.sum(amount).cast("double").alias("attributed_revenue"),
         F.sum(F.when(F.col("credit").isNotNull(), F.col("_rows"))).alias("_valued"),
     )
     middle = medians(counted, key, "credit", weight="_rows")

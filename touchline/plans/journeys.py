@@ -43,7 +43,8 @@ def _numbered_timeline(conversions: DataFrame, impressions: DataFrame, p: Params
         "tile", floor_div("at", p.tile_minutes * MICROS_PER_MINUTE)
     )
     return running_totals(
-        both, ["user_id"], ["at", "kind", "impression_id"], {"number": "sum"}, keep=F.lit(True)
+        both, ["user_id"], ["at", "kind", "impression_id", "conversion_id"], {"number": "sum"},
+        keep=F.lit(True),
     )
 
 
