@@ -44,11 +44,12 @@ def rank_values(
     # A constant key keeps one code path for the ungrouped case.
     keyed = rows if group else rows.withColumn("_all", F.lit(0))
     keys = group or ["_all"]
-    count = F.sum(weight) if weight else F.count(F.lit(1))
+    # NULL values weigh nothing. Filtering them out instead would give this use
+    # of `rows` a plan of its own, and its shuffles could not be shared.
+    weigh = F.when(F.col(value).isNotNull(), F.col(weight) if weight else F.lit(1)).otherwise(0)
     counted = (
-        keyed.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(count.alias("_n"))
+        keyed.groupBy(*keys, F.col(value).cast("double").alias("_value"))
+        .agg(F.sum(weigh).alias("_n"))
         .withColumn("_bin", value_bin(F.col("_value")))
     )
     upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -51,13 +51,16 @@ def running_totals(
     """Replace each column of `totals` by its running total, for the rows of `keep`.
 
     `totals` maps a column to "sum", "min" or "max". `rows` has a `tile` column
-    that never decreases along `order` within a group. The group columns are
-    never NULL; `order` is a total order and names, with the group, every column
+    that never decreases along `order` within a group. Group columns are not
+    NULL; `order` is a total order and names, with the group, every column
     but the totals. Tile sums are the running totals of each tile's last row, so
     they come out of the same shuffle, and the rows are not moved again to meet
     what carries over from earlier tiles.
     """
     cell = [*group, "tile"]
+    # Said here once, or the optimizer infers it for one use of the rows only
+    # and the two uses no longer share their shuffle.
+    rows = rows.where(F.col("tile").isNotNull())
     others = [c for c in rows.columns if c not in totals]
     along = W.partitionBy(*cell).orderBy(*order)
     within = along.rowsBetween(W.unboundedPreceding, W.currentRow)
