@@ -305,6 +305,11 @@ ANALYZED = f"""WITH {LOG}, {experiment_counts(CHANNELS, 4)}, rated AS (
          absolute_lift + se * 1.96 AS ci_upper FROM tested
 )"""
 
+INTERPRETATION = f"""CASE WHEN NOT is_significant THEN 'Result is NOT statistically significant. Continue testing or accept that there''s no meaningful difference.'
+            WHEN relative_lift > 0 THEN printf('Variant is %.1f%% better than control. Statistically significant. Consider rolling out.', {half_up('abs(relative_lift) * 100', 1)})
+            ELSE printf('Variant is %.1f%% worse than control. Statistically significant. Stick with control.', {half_up('abs(relative_lift) * 100', 1)})
+       END"""
+
 # Normal quantiles of 1 - alpha / 2 and of the power, alpha = .05, power = .8.
 Z_SUM = "(1.959963984540054 + 0.8416212335729143)"
 
@@ -353,10 +358,18 @@ def union(rows: list[str]) -> str:
     return "\nUNION ALL\n".join(rows)
 
 
-ORACLE: dict[str, str] = {
-    "dedup_latest": f"""WITH {REDELIVERED}
+LATEST_EVENTS = f"""WITH {REDELIVERED}
 SELECT event_id, {instant('ts')} AS event_timestamp, {instant('synced')} AS _synced_at, user_id, event_type, value, k
-FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY synced DESC, ts DESC) AS rn FROM feed) WHERE rn = 1""",
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY synced DESC, ts DESC) AS rn FROM feed) WHERE rn = 1"""
+
+
+def model_credit(model: str) -> str:
+    best = f"max(credit) FILTER (attribution_model = '{model}')"
+    return f"{half_up(best, 4)} AS {model}"
+
+
+ORACLE: dict[str, str] = {
+    "dedup_latest": LATEST_EVENTS,
     "stg_impressions": f"""{REDELIVERED_BASE}
 SELECT impression_id, {instant('event_timestamp')} AS event_timestamp, user_id, campaign_id, campaign_name, channel,
        impression_cost, device_type, advertiser_id, creative_id, placement_id, country, is_bot_flag,
@@ -547,10 +560,7 @@ SELECT experiment_id, control_visitors, control_conversions, {half_up('control_r
        {half_up('absolute_lift * 100', 3)} AS absolute_lift_pct, {half_up('relative_lift * 100', 2)} AS relative_lift_pct,
        {half_up('z_score', 3)} AS z_score, {half_up('p_value', 4)} AS p_value, is_significant,
        {half_up('ci_lower * 100', 3)} AS ci_lower_pct, {half_up('ci_upper * 100', 3)} AS ci_upper_pct,
-       CASE WHEN NOT is_significant THEN 'Result is NOT statistically significant. Continue testing or accept that there''s no meaningful difference.'
-            WHEN relative_lift > 0 THEN printf('Variant is %.1f%% better than control. Statistically significant. Consider rolling out.', {half_up('abs(relative_lift) * 100', 1)})
-            ELSE printf('Variant is %.1f%% worse than control. Statistically significant. Stick with control.', {half_up('abs(relative_lift) * 100', 1)})
-       END AS interpretation FROM analyzed""",
+       {INTERPRETATION} AS interpretation FROM analyzed""",
     "ab_sample_size": f"""{BASELINES}, effects AS (
   SELECT 'low' AS traffic_tier, 0.20::DOUBLE AS mde UNION ALL SELECT 'medium', 0.15 UNION ALL SELECT 'high', 0.10
 )
@@ -618,4 +628,43 @@ FROM v ANTI JOIN mart USING (campaign_id, event_date)""",
         reason_row("lacks_user", "lacks_user"),
         reason_row("is_invalid_record", "lacks_value OR lacks_timestamp OR lacks_user"),
         reason_row("lacks_id", "conversion_id IS NULL")]),
+    "sink_roundtrip": f"{MART}\nSELECT * REPLACE ({day('event_date')} AS event_date) FROM mart",
+    "sink_csv_source": f"""{BASE}
+SELECT impression_id, {instant('event_timestamp')} AS event_timestamp, user_id, campaign_id, campaign_name, channel,
+       impression_cost, device_type FROM impressions""",
+    "sink_campaign_documents": f"""{allocated('spend_sum')}, tiered AS (
+  SELECT campaign_id, CASE WHEN place <= 2 THEN 'top_performers' WHEN place <= 5 THEN 'mid_performers'
+                 ELSE 'underperformers' END AS tier
+  FROM (SELECT *, row_number() OVER (ORDER BY roas DESC, campaign_id, channel) AS place FROM campaigns)
+)
+SELECT campaign_id, channel, spend, {half_up('ctr * 100', 2)} AS ctr, {half_up('roas', 2)} AS roas, tier,
+       {half_up('allocation', 2)} AS recommended_budget,
+       {half_up('CASE WHEN spend > 0 THEN (allocation - spend) / spend END * 100', 1)} AS change_pct
+FROM allocated JOIN tiered USING (campaign_id)""",
+    "sink_channel_documents": f"""{TOUCHED}, {CHANNEL_CREDIT}
+SELECT channel, {model_credit('last_touch')}, {model_credit('first_touch')}, {model_credit('linear')},
+       {model_credit('time_decay')} FROM channel_credit GROUP BY channel""",
+    "sink_experiment_documents": f"""{ANALYZED}
+SELECT experiment_id, {half_up('control_rate * 100', 3)} AS control_rate,
+       {half_up('variant_rate * 100', 3)} AS variant_rate, {half_up('z_score', 3)} AS z_score,
+       {half_up('p_value', 4)} AS p_value, {INTERPRETATION} AS interpretation FROM analyzed""",
+    "stream_dedup": f"""WITH {LOG}
+SELECT event_id, {instant('ts')} AS event_timestamp, user_id, event_type, value, k FROM log""",
+    "stream_latest_version": LATEST_EVENTS,
+    "stream_daily_metrics": f"""{MART}
+SELECT campaign_id, campaign_name, channel, {day('event_date')} AS event_date, impressions, spend FROM i""",
+    "stream_attribution": f"""{ALL}
+SELECT conversion_id, channel, campaign_id, n_touches, last_touch, first_touch, linear,
+       {half_up('time_decay', 6)} AS time_decay FROM shares""",
+    "stream_touch_pairs": f"""{BASE}
+SELECT c.conversion_id, count(*) AS n_touches, {instant('min(i.event_timestamp)')} AS first_ts,
+       {instant('max(i.event_timestamp)')} AS last_ts
+FROM raw_conversions c JOIN impressions i ON c.user_id = i.user_id AND i.event_timestamp <= c.event_timestamp
+ AND i.event_timestamp >= c.event_timestamp - INTERVAL 28 DAY
+GROUP BY c.conversion_id""",
+    "stream_freshness": f"""WITH {LOG}, {RAW}, newest AS (
+{freshness_row("impressions", "raw_impressions")}
+)
+SELECT source, {instant('newest')} AS newest, staleness_hours, staleness_hours > 24 AS is_stale,
+       staleness_hours > 6 AS alert FROM newest""",
 }

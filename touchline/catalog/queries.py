@@ -7,6 +7,7 @@ agree on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
 from touchline.functions.metrics import add_benchmark_flags, add_channel_ctr_flag, add_seasonality
-from touchline.functions.scalars import CREDIT, day_text, exact_sum, half_up, instant_text
+from touchline.functions.scalars import bot_flag, day_text, half_up, instant_text
 from touchline.operators import rollups, staging
 from touchline.operators.dedup import latest_version, version_order
 from touchline.params import BENCHMARKS, CHANNEL_CTR_BENCHMARKS, SEASONALITY, Params
@@ -28,7 +29,9 @@ from touchline.plans import (
     optimizer,
     quality,
 )
-from touchline.sources import event_log
+from touchline.session import shared_dir
+from touchline.sources import event_log, readers, schemas, sinks
+from touchline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = Params(as_of=event_log.AS_OF)
@@ -534,3 +537,154 @@ def dq_unplaced_revenue(i: Inputs):
 @query
 def dq_invalid_reasons(i: Inputs):
     return quality.invalid_reasons(staging.latest_conversions(i.raw_conversions))
+
+
+# --- sinks -------------------------------------------------------------------
+
+
+def _new_folder(i: Inputs) -> str:
+    return f"{shared_dir(i.spark)}/{uuid.uuid4().hex}"
+
+
+@query
+def sink_roundtrip(i: Inputs):
+    """Write the mart by date, refresh its recent days in place, read it back."""
+    path = _new_folder(i)
+    sinks.write_by_date(campaign_mart.with_audit(i.mart(), i.p), path)
+    sinks.refresh_by_date(campaign_mart.with_audit(i.mart(), i.p), path, i.p)
+    return i.spark.read.parquet(path).drop("updated_at")
+
+
+@query
+def sink_csv_source(i: Inputs):
+    """Raw impressions through CSV files with a header and back through the reader."""
+    path = _new_folder(i)
+    i.raw_impressions.write.option("header", True).option(
+        "timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    ).csv(path)
+    read = readers.read_csv(i.spark, path, schemas.IMPRESSIONS)
+    return staging.stage_impressions(read, i.p, details=False)
+
+
+@query
+def sink_campaign_documents(i: Inputs):
+    """Nested campaign documents written as JSON, read back and flattened."""
+    path = _new_folder(i)
+    allocation = optimizer.allocation_report(optimizer.budget_allocation(i.campaigns, i.p))
+    documents = sinks.campaign_documents(
+        campaign_mart.campaign_report(i.campaigns), optimizer.performance_tiers(i.campaigns), allocation
+    )
+    sinks.write_json(documents, path)
+    return i.spark.read.schema(documents.schema).json(path).select(
+        "campaign_id", "channel", "metrics.spend", "metrics.ctr", "metrics.roas", "tier",
+        "budget_allocation.recommended_budget", "budget_allocation.change_pct",
+    )
+
+
+@query
+def sink_channel_documents(i: Inputs):
+    path = _new_folder(i)
+    credit = attribution.credit_by(i.shares(False), ["channel"], i.p.models)
+    documents = sinks.channel_documents(credit.withColumn("credit", half_up("credit", 4)), i.p.models)
+    sinks.write_json(documents, path)
+    return i.spark.read.schema(documents.schema).json(path).select("channel", "credit.*")
+
+
+@query
+def sink_experiment_documents(i: Inputs):
+    path = _new_folder(i)
+    documents = sinks.experiment_documents(experiments.experiment_report(_analyzed(i)))
+    sinks.write_json(documents, path)
+    return i.spark.read.schema(documents.schema).json(path).select(
+        "experiment_id", F.col("control.conversion_rate").alias("control_rate"),
+        F.col("variant.conversion_rate").alias("variant_rate"), "results.z_score", "results.p_value",
+        "interpretation",
+    )
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def _log_stream(i: Inputs) -> DataFrame:
+    """The event log as a stream of files."""
+    schema = i.spark.read.parquet(f"{i.folder}/events.parquet").schema
+    return event_log.from_log(
+        readers.stream_files(i.spark, i.folder, schema, name_filter="events.parquet")
+    )
+
+
+def _finish(stream_query) -> None:
+    stream_query.awaitTermination()
+
+
+@query
+def stream_dedup(i: Inputs):
+    """Every event delivered by two streams; each comes out once."""
+    twice = _log_stream(i).unionByName(_log_stream(i)).withColumnRenamed("ts", "event_timestamp")
+    path = _new_folder(i)
+    unique = jobs.first_arrivals(twice, "event_id", i.p)
+    _finish(jobs.append_batches(unique, f"{path}/out", f"{path}/state"))
+    return i.spark.read.parquet(f"{path}/out").drop("batch_id")
+
+
+@query
+def stream_latest_version(i: Inputs):
+    """All versions appended by a stream, the latest picked when read."""
+    versions = event_log.with_stale_versions(_log_stream(i)).withColumnRenamed("ts", "event_timestamp")
+    path = _new_folder(i)
+    _finish(jobs.append_batches(versions, f"{path}/out", f"{path}/state"))
+    measures = ["user_id", "event_type", "value", "k"]
+    return jobs.latest_arrivals(
+        i.spark, f"{path}/out", "event_id", version_order(measures)
+    ).select("event_id", "event_timestamp", "_synced_at", *measures)
+
+
+@query
+def stream_daily_metrics(i: Inputs):
+    path = _new_folder(i)
+    counts = jobs.daily_counts(event_log.impressions(_log_stream(i)), i.p)
+    _finish(jobs.append_batches(counts, f"{path}/out", f"{path}/state", "update"))
+    keys = ["campaign_id", "campaign_name", "channel", "event_date"]
+    return jobs.read_latest_update(i.spark, f"{path}/out", keys)
+
+
+@query
+def stream_attribution(i: Inputs):
+    """Purchases and sign-ups arrive as a stream and are credited batch by batch."""
+    path = _new_folder(i)
+    arriving = staging.with_validity(event_log.conversions(_log_stream(i))).where(
+        ~F.col("is_invalid_record")
+    )
+    _finish(jobs.attribute_batches(
+        arriving, lambda: i.impressions, f"{path}/out", f"{path}/state", i.p
+    ))
+    return i.spark.read.parquet(f"{path}/out").select(
+        "conversion_id", "channel", "campaign_id", "n_touches", "last_touch", "first_touch", "linear",
+        half_up("time_decay", 6).alias("time_decay"),
+    )
+
+
+@query
+def stream_touch_pairs(i: Inputs):
+    """Pairs of the streaming interval join, counted per conversion."""
+    path = _new_folder(i)
+    served = event_log.impressions(_log_stream(i)).where(
+        ~bot_flag("is_bot", "impression_cost", "event_timestamp") & F.col("user_id").isNotNull()
+    )
+    arriving = event_log.conversions(_log_stream(i))
+    pairs = jobs.touch_pairs(arriving, served, i.p)
+    _finish(jobs.append_batches(pairs, f"{path}/out", f"{path}/state"))
+    return i.spark.read.parquet(f"{path}/out").where(F.col("impression_id").isNotNull()).groupBy(
+        "conversion_id"
+    ).agg(
+        F.count(F.lit(1)).alias("n_touches"), F.min("touch_ts").alias("first_ts"),
+        F.max("touch_ts").alias("last_ts"),
+    )
+
+
+@query
+def stream_freshness(i: Inputs):
+    path = _new_folder(i)
+    newest = jobs.newest_events(event_log.impressions(_log_stream(i)), "impressions")
+    _finish(jobs.append_batches(newest, f"{path}/out", f"{path}/state", "update"))
+    return jobs.staleness(jobs.read_latest_update(i.spark, f"{path}/out", ["source"]), i.p)

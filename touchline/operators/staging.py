@@ -66,9 +66,7 @@ def latest_conversions(raw: DataFrame, details: bool = True) -> DataFrame:
         "conversion_id", "event_timestamp", "_synced_at", *CONVERSION_MEASURES, *extra
     )
     latest = latest_version(rows, "conversion_id", version_order(CONVERSION_MEASURES, extra))
-    return latest.withColumns(invalid_reasons()).withColumn(
-        "is_invalid_record", F.col("lacks_value") | F.col("lacks_timestamp") | F.col("lacks_user")
-    )
+    return with_validity(latest)
 
 
 def invalid_reasons() -> dict:
@@ -79,6 +77,13 @@ def invalid_reasons() -> dict:
     }
 
 
+def with_validity(conversions: DataFrame) -> DataFrame:
+    """Reasons for which a record is invalid, and whether any holds. Works on streams too."""
+    return conversions.withColumns(invalid_reasons()).withColumn(
+        "is_invalid_record", F.col("lacks_value") | F.col("lacks_timestamp") | F.col("lacks_user")
+    )
+
+
 def stage_conversions(raw: DataFrame, p: Params, details: bool = True) -> DataFrame:
     """Latest version of each conversion, valid, within retention and not in the future.
 
