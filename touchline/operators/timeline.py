@@ -45,39 +45,38 @@ def running_totals(
     rows: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    totals: Mapping[str, str],
+    totals: Mapping[str, tuple[str, Column]],
     keep: Column,
 ) -> DataFrame:
-    """Replace each column of `totals` by its running total, for the rows of `keep`.
-
-    `totals` maps a column to "sum", "min" or "max". `rows` has a `tile` column
-    that never decreases along `order` within a group. Group columns are not
-    NULL; `order` is a total order and names, with the group, every column
-    but the totals. Tile sums are the running totals of each tile's last row, so
-    they come out of the same shuffle, and the rows are not moved again to meet
-    what carries over from earlier tiles.
+    """Add running totals to the rows of `keep`.
+
+    `totals` maps a new column to "sum", "min" or "max" and what to add up,
+    worked out after the shuffle so that it is not shuffled. `rows` has a `tile`
+    column that never decreases along `order` within a group. Group columns are
+    not NULL; `order` is a total order. Tile sums are the running totals of each
+    tile's last row, so they come out of the same shuffle, and the rows are not
+    moved again to meet what carries over from earlier tiles.
     """
     cell = [*group, "tile"]
     # Said here once, or the optimizer infers it for one use of the rows only
     # and the two uses no longer share their shuffle.
     rows = rows.where(F.col("tile").isNotNull())
-    others = [c for c in rows.columns if c not in totals]
     along = W.partitionBy(*cell).orderBy(*order)
     within = along.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*group).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
 
     inside = rows.select(
-        *others,
-        *[_AGGREGATE[kind](c).over(within).alias(c) for c, kind in totals.items()],
+        *rows.columns,
+        *[_AGGREGATE[kind](what).over(within).alias(c) for c, (kind, what) in totals.items()],
         F.lead(F.lit(1)).over(along).isNull().alias("_is_last"),
     )
     carried = inside.where("_is_last").select(
         *cell,
-        *[_AGGREGATE[kind](c).over(earlier).alias(f"{c}_before") for c, kind in totals.items()],
+        *[_AGGREGATE[kind](c).over(earlier).alias(f"{c}_before") for c, (kind, _) in totals.items()],
     )
     return inside.where(keep).join(carried, cell).select(
-        *others,
-        *[_merge(kind, F.col(f"{c}_before"), F.col(c)).alias(c) for c, kind in totals.items()],
+        *rows.columns,
+        *[_merge(kind, F.col(f"{c}_before"), F.col(c)).alias(c) for c, (kind, _) in totals.items()],
     )
 
 
@@ -103,23 +102,14 @@ def window_totals(
     tile = p.tile_minutes * MICROS_PER_MINUTE
     half_life = p.half_life_days * MICROS_PER_DAY
 
-    ts = F.unix_micros("event_timestamp")
     placed = touches.where(F.col("user_id").isNotNull()).select(
-        "user_id", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by], ts.alias("ts_us"),
-        F.struct(ts.alias("ts_us"), "impression_id", *touch_fields).alias("touch"),
-        floor_div(ts, window).alias("block"),
-    )
+        "user_id", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by],
+        F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *touch_fields,
+    ).withColumn("block", floor_div("ts_us", window))
     # side 1: the block a window ends in; side -1: the block it starts in.
-    sided = placed.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    edge = (F.col("block") + F.when(F.col("side") == -1, 1).otherwise(0)) * F.lit(window)
-    touch_rows = sided.select(
-        "user_id", "block", "side", *by,
-        (F.col("side") * F.col("ts_us")).alias("position"),
-        F.lit(0).alias("is_probe"),
-        F.lit(1).cast("long").alias("n_touches"),
-        F.pow(F.lit(2.0), (F.col("ts_us") - edge) / F.lit(float(half_life))).alias("weight"),
-        F.col("touch").alias("first_touch"),
-        F.col("touch").alias("last_touch"),
+    touch_rows = placed.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
+        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
+        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
     )
 
     end = F.unix_micros("conversion_ts")
@@ -141,11 +131,23 @@ def window_totals(
     timeline = touch_rows.unionByName(probes, allowMissingColumns=True).withColumn(
         "tile", floor_div("position", tile)
     )
+    ts = F.col("side") * F.col("position")
+    edge = (F.col("block") + F.when(F.col("side") == -1, 1).otherwise(0)) * F.lit(window)
+    touch = F.struct(ts.alias("ts_us"), "impression_id", *touch_fields)
+
+    def of_touches(what: Column) -> Column:
+        return F.when(F.col("is_probe") == 0, what)
+
     answered = running_totals(
         timeline,
         group=["user_id", "block", "side", *by],
-        order=["position", "is_probe", "conversion_id"],
-        totals=_WINDOW_TOTALS,
+        order=["position", "is_probe", "conversion_id", "impression_id"],
+        totals={
+            "n_touches": ("sum", of_touches(F.lit(1).cast("long"))),
+            "weight": ("sum", of_touches(F.pow(F.lit(2.0), (ts - edge) / F.lit(float(half_life))))),
+            "first_touch": ("min", of_touches(touch)),
+            "last_touch": ("max", of_touches(touch)),
+        },
         keep=F.col("is_probe") == 1,
     ).where(F.col("n_touches") > 0)
     return _gather(

@@ -28,7 +28,6 @@ def _numbered_timeline(conversions: DataFrame, impressions: DataFrame, p: Params
             ts.alias("ts_us"), "impression_id", "channel", "campaign_id",
             F.col("impression_cost").alias("cost"),
         ).alias("touch"),
-        F.lit(1).cast("long").alias("number"),
     )
     end = F.unix_micros("event_timestamp")
     start = end - p.attribution_window_days * MICROS_PER_DAY
@@ -38,12 +37,13 @@ def _numbered_timeline(conversions: DataFrame, impressions: DataFrame, p: Params
             F.struct(F.lit(_BEFORE).alias("kind"), start.alias("at")),
             F.struct(F.lit(_UPTO).alias("kind"), end.alias("at")),
         )).alias("_bound"),
-    ).select("user_id", "conversion_id", "conversion_us", "_bound.*", F.lit(0).cast("long").alias("number"))
+    ).select("user_id", "conversion_id", "conversion_us", "_bound.*")
     both = touches.unionByName(bounds, allowMissingColumns=True).withColumn(
         "tile", floor_div("at", p.tile_minutes * MICROS_PER_MINUTE)
     )
     return running_totals(
-        both, ["user_id"], ["at", "kind", "impression_id", "conversion_id"], {"number": "sum"},
+        both, ["user_id"], ["at", "kind", "impression_id", "conversion_id"],
+        {"number": ("sum", F.when(F.col("kind") == _TOUCH, 1).otherwise(0).cast("long"))},
         keep=F.lit(True),
     )
 
