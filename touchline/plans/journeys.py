@@ -9,7 +9,7 @@ journey is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import MICROS_PER_DAY, MICROS_PER_MINUTE, floor_div
@@ -19,51 +19,57 @@ from touchline.params import Params
 _BEFORE, _TOUCH, _UPTO = 0, 1, 2
 
 
-def _numbered_timeline(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFrame:
-    """Touches with their number in the user's history, and each conversion's two bounds."""
-    ts = F.unix_micros("event_timestamp")
+def _tile(at: str, p: Params) -> Column:
+    return floor_div(at, p.tile_minutes * MICROS_PER_MINUTE)
+
+
+def numbered_touches(impressions: DataFrame, p: Params) -> DataFrame:
+    """Touches with their number in their user's history: 1, 2, 3, ... in order of time."""
+    touches = impressions.where(F.col("user_id").isNotNull()).select(
+        "user_id", F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", "channel",
+        "campaign_id", F.col("impression_cost").alias("cost"),
+    ).withColumn("tile", _tile("ts_us", p))
+    return running_totals(
+        touches, ["user_id"], ["ts_us", "impression_id"],
+        {"number": ("sum", F.lit(1).cast("long"))}, keep=F.lit(True),
+    )
+
+
+def _bounds(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFrame:
+    """How many touches the user had before each window's start and up to its end."""
     touches = impressions.where(F.col("user_id").isNotNull()).select(
-        "user_id", ts.alias("at"), F.lit(_TOUCH).alias("kind"), "impression_id",
-        F.struct(
-            ts.alias("ts_us"), "impression_id", "channel", "campaign_id",
-            F.col("impression_cost").alias("cost"),
-        ).alias("touch"),
+        "user_id", F.unix_micros("event_timestamp").alias("at"), F.lit(_TOUCH).alias("kind"),
+        "impression_id",
     )
     end = F.unix_micros("event_timestamp")
     start = end - p.attribution_window_days * MICROS_PER_DAY
     bounds = conversions.where(F.col("user_id").isNotNull()).select(
-        "user_id", "conversion_id", end.alias("conversion_us"),
+        "user_id", "conversion_id",
         F.explode(F.array(
-            F.struct(F.lit(_BEFORE).alias("kind"), start.alias("at")),
-            F.struct(F.lit(_UPTO).alias("kind"), end.alias("at")),
+            F.struct(F.lit(_BEFORE).alias("kind"), start.alias("at"), end.alias("conversion_us")),
+            F.struct(F.lit(_UPTO).alias("kind"), end.alias("at"), end.alias("conversion_us")),
         )).alias("_bound"),
-    ).select("user_id", "conversion_id", "conversion_us", "_bound.*")
-    both = touches.unionByName(bounds, allowMissingColumns=True).withColumn(
-        "tile", floor_div("at", p.tile_minutes * MICROS_PER_MINUTE)
-    )
+    ).select("user_id", "conversion_id", "_bound.*")
+    both = touches.unionByName(bounds, allowMissingColumns=True).withColumn("tile", _tile("at", p))
     return running_totals(
         both, ["user_id"], ["at", "kind", "impression_id", "conversion_id"],
         {"number": ("sum", F.when(F.col("kind") == _TOUCH, 1).otherwise(0).cast("long"))},
-        keep=F.lit(True),
+        keep=F.col("kind") != _TOUCH,
     )
 
 
-def _ranges(timeline: DataFrame) -> DataFrame:
+def journey_ranges(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFrame:
+    """One row per conversion: the numbers of its first and last touch, and how many."""
     before = F.max(F.when(F.col("kind") == _BEFORE, F.col("number")))
     upto = F.max(F.when(F.col("kind") == _UPTO, F.col("number")))
     return (
-        timeline.where(F.col("kind") != _TOUCH)
+        _bounds(conversions, impressions, p)
         .groupBy("conversion_id", "user_id", "conversion_us")
         .agg((before + 1).alias("first_number"), upto.alias("last_number"))
         .withColumn("n_touches", F.col("last_number") - F.col("first_number") + 1)
     )
 
 
-def journey_ranges(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFrame:
-    """One row per conversion: the numbers of its first and last touch, and how many."""
-    return _ranges(_numbered_timeline(conversions, impressions, p))
-
-
 def journeys(
     conversions: DataFrame, impressions: DataFrame, p: Params, page_size: int = 1000
 ) -> DataFrame:
@@ -71,21 +77,23 @@ def journeys(
 
     A conversion without touches has one page with an empty list.
     """
-    timeline = _numbered_timeline(conversions, impressions, p)
     size = F.lit(page_size)
 
     def chunk_of(number):
         return floor_div(F.col(number) - 1, page_size)
 
+    touch = F.struct("ts_us", "impression_id", "channel", "campaign_id", "cost")
     chunks = (
-        timeline.where(F.col("kind") == _TOUCH)
+        numbered_touches(impressions, p)
         .groupBy("user_id", chunk_of("number").alias("chunk"))
-        .agg(F.array_sort(F.collect_list("touch")).alias("touches"))
+        .agg(F.array_sort(F.collect_list(touch)).alias("touches"))
     )
     wanted = F.when(
         F.col("n_touches") > 0, F.sequence(chunk_of("first_number"), chunk_of("last_number"))
     )
-    pages = _ranges(timeline).withColumn("chunk", F.explode_outer(wanted))
+    pages = journey_ranges(conversions, impressions, p).withColumn(
+        "chunk", F.explode_outer(wanted)
+    )
     start = F.greatest(F.col("first_number") - F.col("chunk") * size, F.lit(1)).cast("int")
     stop = F.least(F.col("last_number") - F.col("chunk") * size, size).cast("int")
     return pages.join(chunks, ["user_id", "chunk"], "left").select(

@@ -119,11 +119,19 @@ def attribute_batches(
 ) -> StreamingQuery:
     """Credit the conversions of each micro-batch with the batch operator.
 
-    Impressions are read as a table (the one their own stream writes), so no
-    month of them is held as state, and a hot user is split as in batch.
+    Staged impressions are read as a table (the one their own stream writes), so
+    no month of them is held as state, and a hot user is split as in batch. Only
+    the batch's windows are read: a table with an `event_date` partition column
+    is pruned to those days.
     """
     def attribute(batch: DataFrame) -> DataFrame:
-        return credit_shares(batch, read_impressions(), p, unattributed=True)
+        touches = read_impressions()
+        window = F.expr(f"INTERVAL {p.attribution_window_days} DAYS")
+        start = batch.agg(F.min("event_timestamp")).scalar() - window
+        if "event_date" in touches.columns:
+            touches = touches.where(F.col("event_date") >= F.to_date(start))
+        touches = touches.where(F.col("event_timestamp") >= start)
+        return credit_shares(batch, touches, p, unattributed=True)
 
     return append_batches(conversions, path, checkpoint, transform=attribute)
 
