@@ -46,8 +46,8 @@ def _bounds(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFr
     bounds = conversions.where(F.col("user_id").isNotNull()).select(
         "user_id", "conversion_id",
         F.explode(F.array(
-            F.struct(F.lit(_BEFORE).alias("kind"), start.alias("at"), end.alias("conversion_us")),
-            F.struct(F.lit(_UPTO).alias("kind"), end.alias("at"), end.alias("conversion_us")),
+            F.struct(F.lit(_BEFORE).alias("kind"), start.alias("at")),
+            F.struct(F.lit(_UPTO).alias("kind"), end.alias("at")),
         )).alias("_bound"),
     ).select("user_id", "conversion_id", "_bound.*")
     both = touches.unionByName(bounds, allowMissingColumns=True).withColumn("tile", _tile("at", p))
@@ -64,8 +64,12 @@ def journey_ranges(conversions: DataFrame, impressions: DataFrame, p: Params) ->
     upto = F.max(F.when(F.col("kind") == _UPTO, F.col("number")))
     return (
         _bounds(conversions, impressions, p)
-        .groupBy("conversion_id", "user_id", "conversion_us")
-        .agg((before + 1).alias("first_number"), upto.alias("last_number"))
+        .groupBy("conversion_id", "user_id")
+        .agg(
+            F.max(F.when(F.col("kind") == _UPTO, F.col("at"))).alias("conversion_us"),
+            (before + 1).alias("first_number"),
+            upto.alias("last_number"),
+        )
         .withColumn("n_touches", F.col("last_number") - F.col("first_number") + 1)
     )
 
