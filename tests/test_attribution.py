@@ -268,3 +268,39 @@ def test_attribution_roas(spark, cases):
     # Display was shown twice at a cost of 1 and never last.
     assert rows["last_touch", "Display"].attributed_roas == 0.0
     assert rows["first_touch", "Display"].attributed_roas == pytest.approx(100.0)
+
+
+def test_user_with_most_of_the_data(spark):
+    """Half a billion pairs if joined; counts and credit sums are checked by bisection."""
+    from bisect import bisect_left, bisect_right
+
+    from pyspark.sql import Window as W
+
+    n_touches, n_convs = 40_000, 20_000
+    begin = int(at("2023-11-05 00:00:00").timestamp())
+    span = 80 * 86400
+    when = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(span)) + begin
+    imps = spark.range(n_touches).select(
+        F.concat(F.lit("i"), F.col("id")).alias("impression_id"), F.lit("hot").alias("user_id"),
+        F.concat(F.lit("ch"), F.col("id") % 2).alias("channel"),
+        F.concat(F.lit("ca"), F.col("id") % 5).alias("campaign_id"),
+        F.timestamp_seconds(when(1)).alias("event_timestamp"),
+    )
+    convs = spark.range(n_convs).select(
+        F.concat(F.lit("c"), F.col("id")).alias("conversion_id"), F.lit("hot").alias("user_id"),
+        F.timestamp_seconds(when(2)).alias("event_timestamp"), F.lit(1.0).alias("conversion_value_usd"),
+    )
+    shares = attribution.credit_shares(convs, imps, P, unattributed=False)
+    rows = shares.withColumn("one", F.row_number().over(W.partitionBy("conversion_id").orderBy("campaign_id"))).agg(
+        F.sum("n_touches").alias("pairs"), F.sum("linear").alias("linear"), F.sum("time_decay").alias("decay"),
+        F.count_if("is_last").alias("last"), F.count_if(F.col("one") == 1).alias("touched"),
+    ).first()
+    touch_times = sorted(r[0] for r in imps.select(F.unix_seconds("event_timestamp")).collect())
+    conv_times = [r[0] for r in convs.select(F.unix_seconds("event_timestamp")).collect()]
+    window = P.attribution_window_days * 86400
+    counts = [bisect_right(touch_times, t) - bisect_left(touch_times, t - window) for t in conv_times]
+    touched = sum(c > 0 for c in counts)
+    assert rows.pairs == sum(counts) > 100_000_000
+    assert rows.last == rows.touched == touched
+    assert rows.linear == pytest.approx(touched)
+    assert rows.decay == pytest.approx(touched)

@@ -66,6 +66,12 @@ def test_weekly_users_are_distinct_over_the_week(spark):
     assert (str(month.month_start), month.impressions, month.unique_users) == ("2024-01-01", 4, 1)
 
 
+def test_approximate_reach_is_close(spark):
+    imps = impressions(spark, [{"user_id": f"u{n}"} for n in range(500)])
+    row = rollups.impression_counts(imps, approximate_reach=True).first()
+    assert abs(row.unique_users - 500) < 75
+
+
 def test_unknown_level_is_rejected(spark):
     with pytest.raises((ValueError, KeyError)):
         rollups.click_counts(clicks(spark, [{}]), "hour")

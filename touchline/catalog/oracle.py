@@ -396,6 +396,9 @@ UNION ALL SELECT 'conversions', campaign_id, {day('event_date')}, conversions, u
     "mart_campaign_metrics": sorted_marts("event_date", "CAST(event_timestamp AS DATE)"),
     "metrics_weekly": sorted_marts("week_start", "CAST(date_trunc('week', event_timestamp) AS DATE)"),
     "metrics_monthly": sorted_marts("month_start", "CAST(date_trunc('month', event_timestamp) AS DATE)"),
+    "report_monthly": f"""{BASE}, {mart_ctes("month_start", "CAST(date_trunc('month', event_timestamp) AS DATE)")}
+SELECT campaign_id, channel, {day('month_start')} AS month_start, impressions, clicks, conversions, spend, revenue,
+       cpm, ctr, cpc, cpa, roas, fill_rate, frequency FROM mart""",
     "fill_rate_requests": f"""{BASE}, requests AS (
   SELECT campaign_id, CAST(event_timestamp AS DATE) AS d, 1 AS served FROM impressions
   UNION ALL SELECT campaign_id, CAST(event_timestamp AS DATE), 0 FROM unfilled

@@ -178,6 +178,11 @@ def metrics_monthly(i: Inputs):
     return campaign_mart.sorted_mart(i.mart("month"), "month")
 
 
+@query
+def report_monthly(i: Inputs):
+    return campaign_mart.report_metrics(i.mart("month"), "month")
+
+
 @query
 def fill_rate_requests(i: Inputs):
     return rollups.request_fill(i.impressions, i.unfilled)

@@ -23,15 +23,22 @@ def period_start(level: str) -> Column:
     return day if level == "day" else F.to_date(F.date_trunc(level, "event_timestamp"))
 
 
-def impression_counts(impressions: DataFrame, level: str = "day") -> DataFrame:
-    """Deduplicated ids are unique, so counting them needs no distinct."""
+def impression_counts(
+    impressions: DataFrame, level: str = "day", approximate_reach: bool = False
+) -> DataFrame:
+    """Deduplicated ids are unique, so counting them needs no distinct.
+
+    `approximate_reach` estimates distinct users (within about 5%) without
+    shuffling them.
+    """
     period = PERIODS[level]
+    users = F.approx_count_distinct if approximate_reach else F.count_distinct
     return (
         impressions.withColumn(period, period_start(level))
         .groupBy("campaign_id", "campaign_name", "channel", period)
         .agg(
             F.count("impression_id").alias("impressions"),
-            F.count_distinct("user_id").alias("unique_users"),
+            users("user_id").alias("unique_users"),
             exact_sum("impression_cost").alias("spend"),
             F.count_if(F.col("impression_cost") == 0).alias("zero_cost_impressions"),
         )

@@ -15,9 +15,19 @@ from touchline.operators.rollups import (
 )
 from touchline.params import Params
 
+# Metrics of the default report.
+REPORT_METRICS = (
+    "impressions", "clicks", "conversions", "spend", "revenue", "cpm", "ctr", "cpc", "cpa", "roas",
+    "fill_rate", "frequency",
+)
+
 
 def campaign_metrics(
-    impressions: DataFrame, clicks: DataFrame, conversions: DataFrame, level: str = "day"
+    impressions: DataFrame,
+    clicks: DataFrame,
+    conversions: DataFrame,
+    level: str = "day",
+    approximate_reach: bool = False,
 ) -> DataFrame:
     """Wide mart at day, week or month level.
 
@@ -28,7 +38,7 @@ def campaign_metrics(
     """
     keys = ["campaign_id", PERIODS[level]]
     joined = (
-        impression_counts(impressions, level)
+        impression_counts(impressions, level, approximate_reach)
         .join(click_counts(clicks, level), keys, "left")
         .join(conversion_counts(conversions, level), keys, "left")
     )
@@ -37,6 +47,11 @@ def campaign_metrics(
     return add_metrics(filled, MART_RATIOS)
 
 
+def report_metrics(mart: DataFrame, level: str = "day") -> DataFrame:
+    """The mart's default report: keys and the metrics reports show."""
+    return mart.select("campaign_id", "channel", PERIODS[level], *REPORT_METRICS)
+
+
 def sorted_mart(mart: DataFrame, level: str = "day") -> DataFrame:
     """Report order."""
     return mart.orderBy(F.col(PERIODS[level]).desc(), "campaign_id")
