@@ -1,9 +1,14 @@
 import os
 import sys
 import tempfile
+import time
 
 import pytest
 
+# Naive datetimes in tests are UTC, wherever they run.
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from touchline.session import local_session  # noqa: E402

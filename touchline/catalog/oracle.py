@@ -632,6 +632,29 @@ FROM v ANTI JOIN mart USING (campaign_id, event_date)""",
         reason_row("is_invalid_record", "lacks_value OR lacks_timestamp OR lacks_user"),
         reason_row("lacks_id", "conversion_id IS NULL")]),
     "sink_roundtrip": f"{MART}\nSELECT * REPLACE ({day('event_date')} AS event_date) FROM mart",
+    "sink_daily_run": f"""{ALL}, {mart_ctes("event_date", "CAST(event_timestamp AS DATE)")}, {CAMPAIGN_CTE}, touched AS (
+  SELECT * FROM credits WHERE journey_touches > 0
+), by_channel AS (
+  SELECT attribution_model, channel, {credit('credit')} AS credit FROM touched GROUP BY attribution_model, channel
+)
+SELECT 'stg_impressions' AS name, (SELECT count(*) FROM impressions) AS "rows"
+UNION ALL SELECT 'stg_conversions', (SELECT count(*) FROM conversions)
+UNION ALL SELECT 'clicks', (SELECT count(*) FROM clicks)
+UNION ALL SELECT 'mart_campaign_metrics', (SELECT count(*) FROM mart)
+UNION ALL SELECT 'credit_shares', (SELECT count(*) FROM shares)
+UNION ALL SELECT 'mart_attribution_summary',
+  (SELECT count(*) FROM (SELECT DISTINCT attribution_model, channel, campaign_id FROM credits))
+UNION ALL SELECT 'credit_breakdowns', (SELECT count(*) FROM by_channel) + 4
+  + (SELECT count(*) FROM (SELECT DISTINCT attribution_model, campaign_id FROM touched))
+UNION ALL SELECT 'model_comparison', 4
+UNION ALL SELECT 'channel_consensus', (SELECT count(DISTINCT channel) FROM (
+  SELECT channel, row_number() OVER (PARTITION BY attribution_model ORDER BY credit DESC, channel) AS place
+  FROM by_channel) WHERE place <= 2)
+UNION ALL SELECT 'channel_divergence', (SELECT count(DISTINCT channel) FROM touched)
+UNION ALL SELECT 'performance_tiers', (SELECT count(*) FROM campaigns)
+UNION ALL SELECT 'budget_allocation', (SELECT count(*) FROM campaigns)
+UNION ALL SELECT 'range_checks', (SELECT 3 * count(*) FROM mart)
+UNION ALL SELECT 'revenue_conservation', 4""",
     "sink_csv_source": f"""{BASE}
 SELECT impression_id, {instant('event_timestamp')} AS event_timestamp, user_id, campaign_id, campaign_name, channel,
        impression_cost, device_type FROM impressions""",

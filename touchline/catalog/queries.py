@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from touchline.plans import (
     attribution,
     campaign_mart,
     comparison,
+    daily,
     experiments,
     journeys,
     optimizer,
@@ -560,6 +561,21 @@ def sink_roundtrip(i: Inputs):
     return i.spark.read.parquet(path).drop("updated_at")
 
 
+@query
+def sink_daily_run(i: Inputs):
+    """A whole day's run into stored tables; the rows of each are counted."""
+    path = _new_folder(i)
+    daily.store_staging(i.raw_impressions, i.clicks, i.raw_conversions, i.p, path)
+    names = ["stg_impressions", "stg_conversions", "clicks", *daily.run_day(i.spark, path, i.p)]
+    counts = [
+        i.spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("name"), "rows"
+        )
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def sink_csv_source(i: Inputs):
     """Raw impressions through CSV files with a header and back through the reader."""

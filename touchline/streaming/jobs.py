@@ -8,7 +8,7 @@ watermark delay, and rows later than it are dropped and counted by Spark as
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +50,13 @@ def append_batches(
     checkpoint: str,
     output_mode: str = "append",
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch to its own `batch_id` folder.
 
+    By default the query works off what has arrived and ends; pass for example
+    `trigger={"processingTime": "1 minute"}` to keep it running.
+
     A batch that is retried after a failure replaces its folder, so the table
     has every batch exactly once.
     """
@@ -63,7 +67,7 @@ def append_batches(
     return (
         stream.writeStream.outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(write)
         .start()
     )
