@@ -58,9 +58,10 @@ def running_totals(
     moved again to meet what carries over from earlier tiles.
     """
     cell = [*group, "tile"]
-    # Said here once, or the optimizer infers it for one use of the rows only
-    # and the two uses no longer share their shuffle.
-    rows = rows.where(F.col("tile").isNotNull())
+    # The filter is said here once, or the optimizer infers it for one use of the
+    # rows only and the two uses no longer share their shuffle. The shuffle is
+    # asked for, or rows that a join has left partitioned by user would stay so.
+    rows = rows.where(F.col("tile").isNotNull()).repartition(*cell)
     along = W.partitionBy(*cell).orderBy(*order)
     within = along.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*group).orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
@@ -106,16 +107,11 @@ def window_totals(
         "user_id", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by],
         F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *touch_fields,
     ).withColumn("block", floor_div("ts_us", window))
-    # side 1: the block a window ends in; side -1: the block it starts in.
-    touch_rows = placed.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
-        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
-        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
-    )
-
     end = F.unix_micros("conversion_ts")
     probes = (
         conversions.where(F.col("user_id").isNotNull())
         .select("user_id", "conversion_id", end.alias("_end"))
+        # side 1: the block a window ends in; side -1: the block it starts in.
         .withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
         .withColumn("at", F.col("_end") - F.when(F.col("side") == -1, window).otherwise(0))
         .select(
@@ -123,6 +119,15 @@ def window_totals(
             (F.col("side") * F.col("at")).alias("position"), F.lit(1).alias("is_probe"),
         )
     )
+    # Most users never convert: only blocks some window touches go on, and only
+    # on the sides asked for.
+    asked = probes.groupBy("user_id", "block").agg(F.collect_set("side").alias("sides"))
+    touch_rows = placed.join(asked, ["user_id", "block"]).withColumn(
+        "side", F.explode("sides")
+    ).select(
+        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
+        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
+    )
     if by:
         # A conversion asks only about keys its user met in that block.
         met = placed.select("user_id", "block", *by).distinct()

@@ -35,9 +35,14 @@ def numbered_touches(impressions: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _of_converting_users(impressions: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Most users never convert, and their touches are in no journey."""
+    return impressions.join(conversions.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def _bounds(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFrame:
     """How many touches the user had before each window's start and up to its end."""
-    touches = impressions.where(F.col("user_id").isNotNull()).select(
+    touches = _of_converting_users(impressions, conversions).select(
         "user_id", F.unix_micros("event_timestamp").alias("at"), F.lit(_TOUCH).alias("kind"),
         "impression_id",
     )
@@ -88,7 +93,7 @@ def journeys(
 
     touch = F.struct("ts_us", "impression_id", "channel", "campaign_id", "cost")
     chunks = (
-        numbered_touches(impressions, p)
+        numbered_touches(_of_converting_users(impressions, conversions), p)
         .groupBy("user_id", chunk_of("number").alias("chunk"))
         .agg(F.array_sort(F.collect_list(touch)).alias("touches"))
     )
