@@ -90,8 +90,9 @@ def test_json_documents_are_nested(spark, folder):
         "ci_upper_pct double, interpretation string",
     )
     sinks.write_json(sinks.experiment_documents(report), f"{folder}/docs")
-    part = [f for f in os.listdir(f"{folder}/docs") if f.endswith(".json")][0]
-    document = json.loads(open(f"{folder}/docs/{part}").readline())
+    lines = spark.read.text(f"{folder}/docs").collect()
+    assert len(lines) == 1
+    document = json.loads(lines[0].value)
     assert document["control"] == {"visitors": 10, "conversions": 1, "conversion_rate": 10.0}
     assert document["results"]["confidence_interval_upper"] == 2.0
     assert document["interpretation"] == "text"
