@@ -106,3 +106,12 @@ def test_many_campaigns_keep_their_tiers_apart(spark):
     tiered = optimizer.performance_tiers(add_metrics(spark.createDataFrame(rows, SCHEMA), CAMPAIGN_RATIOS))
     counts = {r.tier: r["count"] for r in tiered.groupBy("tier").count().collect()}
     assert counts == {"top_performers": 2, "mid_performers": 3, "underperformers": 45}
+
+
+def test_campaign_without_channel_is_ranked_too(spark):
+    rows = [("X", None, 10.0, 100, 10, 1, 1000.0), *ROWS]
+    tiers = {
+        r.campaign_id: r.tier
+        for r in optimizer.performance_tiers(add_metrics(spark.createDataFrame(rows, SCHEMA), CAMPAIGN_RATIOS)).collect()
+    }
+    assert tiers["X"] == "top_performers" and len(tiers) == 7

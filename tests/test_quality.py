@@ -33,6 +33,8 @@ def test_range_rules(spark):
 
 def test_outliers(spark):
     rows = [day(n, 10.0 + n % 2) for n in range(1, 29)] + [day(29, 500.0)] + [day(1, 7.0, "v", "Video")]
+    rows.append(day(1, 7.0, "n", None))
+    assert quality.outliers(mart(spark, rows), "spend", P).count() == len(rows)
     got = quality.outliers(mart(spark, rows), "spend", P).where("is_outlier").collect()
     assert [(r.campaign_id, r.spend) for r in got] == [("a", 500.0)]
 

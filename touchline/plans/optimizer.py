@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.metrics import lookup
-from touchline.functions.scalars import exact_sum, half_up, ratio
+from touchline.functions.scalars import exact_sum, half_up, join_null_safe, ratio
 from touchline.operators.order_stats import upper_median
 from touchline.params import Params
 
@@ -57,7 +57,7 @@ def performance_tiers(campaigns: DataFrame) -> DataFrame:
     )
     # Five rows at most, so broadcasting them is always safe.
     return (
-        campaigns.join(F.broadcast(leaders), ["campaign_id", "channel"], "left")
+        join_null_safe(campaigns, F.broadcast(leaders), ["campaign_id", "channel"], "left")
         .withColumn("tier", tier).drop("_place")
     )
 

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import MICROS_PER_HOUR, MONEY, exact_sum
+from touchline.functions.scalars import MICROS_PER_HOUR, MONEY, exact_sum, join_null_safe
 from touchline.operators.rollups import PERIODS, conversion_counts
 from touchline.params import RANGE_RULES, Params
 
-_MOMENT = "decimal(28,8)"
-
 
 def range_violations(
     mart: DataFrame, keys: Sequence[str], rules: Mapping[str, tuple[float, float]] = RANGE_RULES
@@ -34,22 +32,14 @@ def range_violations(
 def outliers(mart: DataFrame, metric: str, p: Params, group: str = "channel") -> DataFrame:
     """Mart rows with a metric's distance from its group's mean, in standard deviations.
 
-    Moments are sums, so they combine on the map side, and come back by a join
-    on the few groups; no task holds a whole group. A group without spread has
-    no outliers.
+    Mean and deviation combine on the map side and come back by a join on the
+    few groups, so no task holds a whole group. A group without spread has no
+    outliers.
     """
     x = F.col(metric).cast("double")
-    moments = mart.groupBy(group).agg(
-        F.count(metric).alias("_n"), exact_sum(x, _MOMENT).alias("_s"),
-        exact_sum(x * x, _MOMENT).alias("_s2"),
-    )
-    mean = F.col("_s") / F.col("_n")
-    variance = F.greatest(F.col("_s2") / F.col("_n") - mean * mean, F.lit(0.0))
-    stats = moments.where(F.col("_n") > 0).select(
-        group, mean.alias("mean"), F.sqrt(variance).alias("std_dev")
-    )
+    stats = mart.groupBy(group).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_dev"))
     z = F.when(F.col("std_dev") > 0, (x - F.col("mean")) / F.col("std_dev")).otherwise(0.0)
-    return mart.join(stats, group).withColumn("z", z).withColumn(
+    return join_null_safe(mart, stats, [group], "left").withColumn("z", z).withColumn(
         "is_outlier", F.abs("z") > p.outlier_std_devs
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.scalars import join_null_safe
 from touchline.params import Params
 
 
@@ -72,20 +73,12 @@ def campaign_documents(campaigns: DataFrame, tiers: DataFrame, allocation: DataF
     """One document per campaign: metrics, tier and recommended budget."""
     key = ["campaign_id", "channel"]
     metrics = [c for c in campaigns.columns if c not in key]
-    joined = (
-        campaigns.select(*key, F.struct(*metrics).alias("metrics"))
-        .join(tiers.select(*key, "tier"), key, "left")
-        .join(
-            allocation.select(
-                *key,
-                F.struct(
-                    "recommended_budget", "current_budget", "change_pct", "expected_roas"
-                ).alias("budget_allocation"),
-            ),
-            key, "left",
-        )
+    advice = F.struct("recommended_budget", "current_budget", "change_pct", "expected_roas")
+    documents = campaigns.select(*key, F.struct(*metrics).alias("metrics"))
+    documents = join_null_safe(documents, tiers.select(*key, "tier"), key, "left")
+    return join_null_safe(
+        documents, allocation.select(*key, advice.alias("budget_allocation")), key, "left"
     )
-    return joined
 
 
 def channel_documents(credit: DataFrame, models: Sequence[str]) -> DataFrame:
