@@ -46,3 +46,16 @@ def test_deduplication_limits_rows_before_the_shuffle(spark):
     plan = entry.queries()["dedup_latest"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_time_line_is_shuffled_by_tile_whatever_the_join(spark):
+    """A join that leaves rows partitioned by user must not decide where tiles go."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["attr_linear"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "tile#" in line]
+    assert len(shuffles) == 2
+    assert all("user_id" in line and "channel" in line and "campaign_id" in line for line in shuffles)
