@@ -168,6 +168,16 @@ def test_minimum_touches(spark, cases):
     assert {c for c, _ in got} == {"multi", "old"}
 
 
+def test_record_without_an_id_is_credited_like_others(spark):
+    convs = conversions(spark, [{"conversion_id": None, "conversion_value_usd": 5.0}, {}])
+    got = credit_table(convs, impressions(spark, [{"campaign_id": "a"}, {"campaign_id": "b"}]))
+    assert got[None, "linear"] == {("Search", "a"): 2.5, ("Search", "b"): 2.5}
+    assert got[None, "last_touch"] == {("Search", "b"): 5.0}
+    shares = attribution.credit_shares(convs, impressions(spark, [{}]), P)
+    rows = attribution.attribution_summary(attribution.credits(shares, ["linear"])).collect()
+    assert [(r.attributed_conversions, r.attributed_revenue) for r in rows] == [(1, 105.0)]
+
+
 def test_null_value_counts_but_adds_nothing(spark):
     convs = conversions(spark, [{"conversion_value_usd": None}, {"conversion_value_usd": 10.0}])
     imps = impressions(spark, [{}])

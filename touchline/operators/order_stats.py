@@ -93,11 +93,15 @@ def medians(
     return found.withColumn("median", lower + (upper - lower) * 0.5)
 
 
-def scalar_at_rank(rows: DataFrame, value: str, rank: Callable[[Column], Column]) -> Column:
-    """The value at a rank over all rows, as a scalar to compare columns with."""
-    return rank_values(rows, [], value, {"at_rank": rank}).agg(F.max("at_rank")).scalar()
+def scalars_at_ranks(
+    rows: DataFrame, value: str, ranks: Mapping[str, Callable[[Column], Column]]
+) -> Column:
+    """The values at ranks over all rows: one scalar subquery, a struct with a field per rank."""
+    found = rank_values(rows, [], value, ranks)
+    return found.agg(F.struct(*[F.max(name).alias(name) for name in ranks]).alias("at")).scalar()
 
 
 def upper_median(rows: DataFrame, value: str, default: float | None = None) -> Column:
-    found = scalar_at_rank(rows, value, lambda n: F.floor(n / 2) + 1)
+    """Upper median over all rows, as a scalar to compare columns with."""
+    found = scalars_at_ranks(rows, value, {"upper": lambda n: F.floor(n / 2) + 1}).getField("upper")
     return found if default is None else F.coalesce(found, F.lit(float(default)))

@@ -68,7 +68,8 @@ class Params:
     def __post_init__(self):
         if self.half_life_days <= 0:
             raise ValueError("half_life_days must be positive")
-        if self.attribution_window_days / self.half_life_days > 1000:
+        # Weights span 2^(window / half life) both ways and must fit a double.
+        if self.attribution_window_days / self.half_life_days > 900:
             raise ValueError("half_life_days is too short for the attribution window")
         unknown = set(self.models) - set(MODELS)
         if unknown:

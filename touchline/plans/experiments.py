@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.metrics import lookup
 from touchline.functions.scalars import half_up, ratio, two_tailed_p
-from touchline.operators.order_stats import scalar_at_rank
+from touchline.operators.order_stats import scalars_at_ranks
 from touchline.params import Params
 
 # Critical points and texts of the interpretation.
@@ -159,11 +159,12 @@ def daily_visitors(exposures: DataFrame) -> DataFrame:
 
 def with_traffic_tier(rows: DataFrame, visitors: str = "daily_visitors") -> DataFrame:
     """Low, medium or high traffic by thirds of the rows; equal values share a tier."""
-    low = scalar_at_rank(rows, visitors, lambda n: F.ceil(n / 3))
-    medium = scalar_at_rank(rows, visitors, lambda n: F.ceil(n * 2 / 3))
+    cuts = scalars_at_ranks(rows, visitors, {
+        "low": lambda n: F.ceil(n / 3), "medium": lambda n: F.ceil(n * 2 / 3),
+    })
     tier = (
-        F.when(F.col(visitors) <= low, "low")
-        .when(F.col(visitors) <= medium, "medium")
+        F.when(F.col(visitors) <= cuts.getField("low"), "low")
+        .when(F.col(visitors) <= cuts.getField("medium"), "medium")
         .otherwise("high")
     )
     return rows.withColumn("traffic_tier", tier)

@@ -132,15 +132,16 @@ def campaign_scores(campaigns: DataFrame, p: Params) -> DataFrame:
     """
     w = p.scoring_weights
 
-    def relative(metric: str) -> Column:
-        best = campaigns.agg(F.max(F.col(metric).cast("double"))).scalar()
-        return ratio(F.col(metric).cast("double"), best)
+    parts = {"roas": "roas", "ctr": "efficiency", "conversions": "growth_potential"}
+    # One subquery for all three maxima.
+    best = campaigns.agg(
+        F.struct(*[F.max(F.col(m).cast("double")).alias(m) for m in parts]).alias("best")
+    ).scalar()
 
-    score = (
-        relative("roas") * w["roas"]
-        + relative("ctr") * w["efficiency"]
-        + relative("conversions") * w["growth_potential"]
-    )
+    def weighted(metric: str) -> Column:
+        return ratio(F.col(metric).cast("double"), best.getField(metric)) * w[parts[metric]]
+
+    score = weighted("roas") + weighted("ctr") + weighted("conversions")
     return campaigns.withColumn("score", score)
 
 
