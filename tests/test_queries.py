@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from touchline.catalog.oracle import ORACLE
+from touchline.catalog.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-STREAMS = [n for n in entry.queries() if n.startswith("stream_")]
+STREAMS = [n for n in QUERIES if n.startswith("stream_")]
 
 
 @pytest.fixture(scope="module")
@@ -14,13 +16,13 @@ def duck():
     return check.duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     assert check.compare(spark, duck, FOLDER, name) == ""
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -29,7 +31,7 @@ def test_entry(spark):
     assert "roas" in frame.columns
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in STREAMS and not n.startswith("sink_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STREAMS and not n.startswith("sink_")])
 def test_plan_has_no_cross_join_or_python(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "percentile"):
