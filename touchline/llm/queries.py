@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat_format, exact_dedup, quality_classifier, token_files, url_filter
+from touchline.llm import (
+    chat_format,
+    exact_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    token_files,
+    url_filter,
+)
 from touchline.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +41,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and number -7, whose texts look like the template."""
