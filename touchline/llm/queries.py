@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from touchline.llm import (
     chat_format,
     exact_dedup,
+    near_dedup,
     pii,
     quality_classifier,
     quality_rules,
@@ -63,6 +64,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(stored(chat_format.format_chats(conversations.unionByName(tricky)), "chats"))
 
 
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
