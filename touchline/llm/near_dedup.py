@@ -8,9 +8,9 @@
    Similarity 0.85 is missed by all 32 bands with a probability below 1e-7.
 3. Each bucket names its most central class (most company over all bands) its pivot. The
    registers give every member's similarity to the pivot, corrected for register
-   collisions. Members far from it name a further pivot among themselves, and so on until
-   none is left, so each member ends up near some pivot. Buckets whose members all follow
-   one pivot elsewhere add nothing.
+   collisions. Members far from it name further pivots among themselves, and so on until
+   none is left, so each member ends up near some pivot. Followers of a pivot who all share
+   another, more central one add nothing.
 4. Each member's full set is compared with its pivot's: that confirms or refutes their link
    and leaves the difference of the two sets. Two members that are not both linked to the
    pivot can only be linked if their differences overlap by an amount that their sizes
@@ -38,7 +38,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import stored, whole_text
@@ -50,8 +50,12 @@ MANTISSA = 10
 #: Linked means 100 * intersection >= LINK * union; the symmetric difference of two linked
 #: sets is then at most (100 - LINK) / (100 + LINK) of the sum of their sizes.
 LINK = 85
-#: Members estimated below NEAR also try a further pivot; below FAR they leave this one.
-NEAR, FAR = 0.7, 0.25
+#: Members estimated below NEAR to all pivots of a level try the next; below FAR they leave
+#: one. Two linked sets are at most 0.15 apart, so with errors of three standard deviations no
+#: pivot can settle one of them and lose the other.
+NEAR, FAR = 0.4, 0.05
+#: A bucket has PIVOTS ** level pivots at each level, so few levels are needed.
+PIVOTS = 4
 SHARE = 64
 
 _SKETCH = "row_no long, doc_id long, text_hash long, n_shingles long, digest binary, registers binary"
@@ -187,45 +191,46 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _memberships(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, level, node, pivot, weight, similarity: which pivots each member follows."""
+    """key, node, pivot, weight, similarity: which pivots the members of each bucket follow."""
+    columns = ["key", "node", "pivot", "weight", "similarity"]
     levels = []
     while True:
+        first = Window.partitionBy("key").orderBy(F.col("centrality").desc(), "node")
         pivots = stored(
-            members.groupBy("key").agg(
-                F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("p"), F.count(F.lit(1)).alias("n")
-            ).where("n > 1").select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.centrality").alias("weight")),
+            members.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS ** len(levels))
+            .select("key", F.col("node").alias("pivot"), F.col("centrality").alias("weight")),
             "pivots",
         )
-        if pivots.isEmpty():
-            break
         followers = members.join(pivots, "key")
-        pairs = followers.select("node", "pivot").distinct()
+        pairs = followers.where("node != pivot").select("node", "pivot").distinct()
+        estimates = stored(_estimated(pairs, classes), "estimates")
         level = stored(
-            followers.join(stored(_estimated(pairs, classes), "estimates"), ["node", "pivot"]), "followers"
+            followers.join(estimates, ["node", "pivot"], "left").withColumn(
+                "similarity", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("similarity"))
+            ),
+            "followers",
         )
-        levels.append(level.where(F.col("similarity") >= FAR).withColumn("level", F.lit(len(levels))))
-        members = level.where((F.col("similarity") < NEAR) & (F.col("node") != F.col("pivot"))).select(
-            "key", "node", "centrality"
+        levels.append(level.where(F.col("similarity") >= FAR).select(*columns))
+        members = stored(
+            level.groupBy("key", "node", "centrality").agg(F.max("similarity").alias("nearest"))
+            .where(F.col("nearest") < NEAR).select("key", "node", "centrality"),
+            "strays",
         )
-    if not levels:
-        return members.select(
-            "key", F.lit(0).alias("level"), "node", F.col("node").alias("pivot"), F.col("centrality").alias("weight"),
-            F.lit(1.0).alias("similarity"),
-        ).limit(0)
-    columns = ["key", "level", "node", "pivot", "weight", "similarity"]
-    return reduce(DataFrame.unionByName, [x.select(*columns) for x in levels])
+        if members.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def _groups(memberships: DataFrame) -> DataFrame:
-    """pivot, node: each member with its home, and whole buckets whose members' homes differ."""
+    """pivot, node: each member with its home, and all followers of a pivot in a bucket where their
+    homes differ."""
     homes = memberships.groupBy("node").agg(
         F.max(F.struct((F.col("similarity") >= 0.5).alias("close"), "weight", (-F.col("pivot")).alias("minus"))).alias("h")
     ).select("node", (-F.col("h.minus")).alias("home"))
     settled = stored(memberships.join(homes, "node"), "homes")
-    mixed = settled.groupBy("key", "level").agg(
+    mixed = settled.groupBy("key", "pivot").agg(
         F.min("home").alias("least"), F.max("home").alias("most")
-    ).where("least != most").select("key", "level")
-    strays = settled.join(mixed, ["key", "level"], "left_semi").select("pivot", "node")
+    ).where("least != most").select("key", "pivot")
+    strays = settled.join(mixed, ["key", "pivot"], "left_semi").select("pivot", "node")
     return settled.select(F.col("home").alias("pivot"), "node").unionByName(strays).where("pivot != node").distinct()
 
 
