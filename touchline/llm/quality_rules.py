@@ -17,13 +17,12 @@ result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import NOT_SPACES, SPACES, stored, total, whole_text
+from touchline.llm.common import NOT_SPACES, SPACES, let, stored, total, whole_text
 
 MIN_WORDS = 50
 #: Largest accepted Jensen-Shannon distances (0 to 1, logarithms to base 2).
@@ -42,11 +41,6 @@ COMMON_WORDS = {
 CLASSES = ["small", "capital", "digit", "space", "mark", "symbol", "other"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with `value` worked out once, however often the body uses it."""
-    return F.transform(F.array(value), lambda bound: body(bound))[0]
-
-
 def _kept_length(text: Column, members: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
 

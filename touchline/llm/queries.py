@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from touchline.llm import (
     chat_format,
     exact_dedup,
+    mixing,
     near_dedup,
+    pieces,
     pii,
     quality_classifier,
     quality_rules,
@@ -27,6 +29,11 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -69,6 +76,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summarize(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
