@@ -7,8 +7,9 @@ folder, numbered by range and place, written through Spark's commit protocol: a
 repeated task leaves no half a file. Positions of documents in the whole corpus come from
 the segments' lengths, summed per range first.
 
-Every distinct word is encoded once per worker by the tokenizer's own parts; the result
-equals encoding the whole text, because the tokenizer never joins across white space.
+Texts are cut as the tokenizer cuts them, and each distinct piece is encoded by its model once
+per worker while it is remembered; what is out of the ordinary goes to the tokenizer whole.
+The result equals encoding the whole text, because the tokenizer never joins across pieces.
 
 Defined results: null text counts as empty and becomes the end id alone; rows with equal
 doc_id go by text; a null doc_id comes first; repeated rows are repeated documents; an
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,16 +37,17 @@ from touchline.llm.common import stored
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-SEGMENT = 1 << 21
-#: Entries a worker remembers before it starts afresh; longer words are not remembered.
-MAX_WORDS, MAX_PIECES, LONGEST = 400_000, 200_000, 48
+SEGMENT = 1 << 20
+#: Pieces a worker remembers, in the newer of two generations, and the longest remembered.
+MAX_PIECES, LONGEST = 350_000, 48
 
 SEGMENTS = "part int, segment int, n_docs long, n_tokens long, payload binary"
 
-#: Words made of these characters alone are cut here; all others go to the tokenizer whole.
-_PLAIN = re.compile("[!-~À-ÿ]+")
-#: Fixed: the tokenizer's own pattern, for lower-case words of those characters.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Texts made of these characters alone are cut into pieces here; of other texts, only the
+#: words made of them are, and the rest go to the tokenizer whole.
+_PLAIN = re.compile("[ -~\t-\rÀ-ÿ]*")
+#: Fixed: the tokenizer's own pattern, for lower-case text of those characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t-\r]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -54,48 +57,54 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """Ids of texts in UTF-8, word by word."""
+class Recent(dict):
+    """What was worked out lately: when `most` entries are held, those not used since the last
+    time are forgotten."""
+
+    def __init__(self, work: Callable, most: int):
+        self.work, self.most, self.older = work, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Ids of texts in UTF-8, piece by piece."""
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.alphabet = _byte_alphabet()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            if len(piece) <= LONGEST:
-                if len(self.pieces) >= MAX_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
+        self.pieces = Recent(self._piece, MAX_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def _bytes(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [i for piece in _PIECES.findall(text.lower()) for i in self._piece(piece)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def encode(self, text: bytes) -> np.ndarray:
-        known = self.words.get
-        words = text.split()
-        return np.frombuffer(b"".join([known(w) or self._word(w) for w in words]), dtype="<u4")
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        words = text.encode().split()
+        if len(words) > 1:
+            return b"".join([self._bytes(word.decode()) for word in words])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self._bytes(text), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> WordEncoder:
-    return WordEncoder(name)
+def encoder(name: str) -> Encoder:
+    return Encoder(name)
 
 
 def _encode_stream(name: str):
@@ -114,9 +123,8 @@ def _encode_stream(name: str):
             )
 
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                ids = encode(text.as_py() or b"")
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_py() or "")
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) + 1)
                 pieces += [ids, end]
