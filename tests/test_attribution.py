@@ -69,7 +69,7 @@ def test_fixture_credits(cases):
 
 def test_every_model_keeps_the_revenue(cases):
     shares = attribution.credit_shares(*cases, P, unattributed=True)
-    for row in attribution.revenue_conservation(shares, P).collect():
+    for row in attribution.revenue_conservation(cases[0], shares, P).collect():
         assert row.violations == 0
         assert row.conversions == len(CASES)
         assert row.credited == pytest.approx(row.value)
@@ -166,6 +166,26 @@ def test_minimum_touches(spark, cases):
     p = P.with_(min_touches=2)
     got = credit_table(*cases, p)
     assert {c for c, _ in got} == {"multi", "old"}
+    # The others keep their value, without a key, in all models.
+    convs, imps = cases
+    shares = attribution.credit_shares(convs, imps, p, unattributed=True)
+    rows = shares.where("conversion_id not in ('multi', 'old')").collect()
+    assert {(r.channel, r.campaign_id, r.n_touches, r.journey_touches) for r in rows} == {(None, None, 0, 0)}
+    assert all(r.last_touch == r.first_touch == r.linear == r.time_decay == r.value for r in rows)
+    assert len(rows) == convs.count() - 2
+    for row in attribution.revenue_conservation(convs, shares, p).collect():
+        assert row.violations == 0 and row.credited == row.value
+    for model in ("last_touch", "first_touch"):
+        edge = {r.conversion_id: r for r in attribution.edge_touch_credit(convs, imps, p, model).collect()}
+        assert {c for c, r in edge.items() if r.channel} == {"multi", "old"}
+        assert edge["single"].journey_touches == 0 and edge["single"].credit == 100.0
+
+
+def test_lost_conversions_break_conservation(spark, cases):
+    convs, imps = cases
+    shares = attribution.credit_shares(convs, imps, P).where("conversion_id <> 'single'")
+    for row in attribution.revenue_conservation(convs, shares, P).collect():
+        assert row.violations == 1 and row.value - row.credited == pytest.approx(100.0)
 
 
 def test_record_without_an_id_is_credited_like_others(spark):

@@ -5,7 +5,7 @@ import pytest
 from builders import P
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import normal_cdf
+from touchline.functions.scalars import two_tailed_p
 from touchline.plans import experiments
 
 SCHEMA = (
@@ -68,13 +68,27 @@ def test_interpretation(spark):
     assert (rows[0].control_rate_pct, rows[0].variant_rate_pct, rows[0].relative_lift_pct) == (3.0, 3.6, 20.0)
 
 
-def test_normal_cdf(spark):
+def test_two_tailed_p(spark):
     zs = [x / 10 for x in range(-80, 81)]
     rows = spark.createDataFrame([(z,) for z in zs], "z double").select(
-        "z", normal_cdf(F.col("z")).alias("p")
+        "z", two_tailed_p(F.col("z")).alias("p")
     ).collect()
     exact = NormalDist()
-    assert max(abs(r.p - exact.cdf(r.z)) for r in rows) < 1e-7
+    assert max(abs(r.p - 2 * exact.cdf(-abs(r.z))) for r in rows) < 2e-7
+
+
+def test_intervals_widen_with_confidence(spark):
+    counts = spark.createDataFrame(
+        [("e", 5000, 150, 5000, 180)],
+        "experiment_id string, control_visitors long, control_conversions long, variant_visitors long, "
+        "variant_conversions long",
+    )
+    widths = [
+        row.ci_upper - row.ci_lower
+        for c in (0.8, 0.9, 0.95, 0.99) for row in experiments.analyze_experiments(counts, confidence=c).collect()
+    ]
+    assert widths == sorted(widths) and len(set(widths)) == 4
+    assert widths[1] / widths[2] == pytest.approx(NormalDist().inv_cdf(0.95) / 1.96)
 
 
 @pytest.mark.parametrize("baseline,mde,n", [

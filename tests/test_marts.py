@@ -3,7 +3,7 @@ from builders import P, at, clicks, conversions, impressions
 from pyspark.sql import functions as F
 
 from touchline.functions.metrics import (
-    METRICS, add_benchmark_flags, add_channel_ctr_flag, add_metrics, add_seasonality, metrics_of_group,
+    METRIC_GROUPS, METRICS, add_benchmark_flags, add_channel_ctr_flag, add_metrics, add_seasonality, metrics_of_group,
 )
 from touchline.operators import rollups
 from touchline.params import BENCHMARKS, CHANNEL_CTR_BENCHMARKS, SEASONALITY
@@ -100,13 +100,18 @@ def test_registry_levels_and_groups(spark):
         "impressions long, clicks long, conversions long, spend double, revenue double, unique_users long, "
         "zero_cost_impressions long",
     )
-    row = add_metrics(counts, METRICS).first()
+    row = add_metrics(counts, [m for m in METRICS if METRICS[m].level > 1]).first()
     assert (row.cpm, row.ctr, row.cpc, row.cpa, row.roas, row.cvr, row.aov, row.frequency) == (
         500.0, 0.05, 10.0, 25.0, 1.6, 0.4, 40.0, 2.5,
     )
     assert metrics_of_group("efficiency") == ("cpm", "cpc", "cpa")
     with pytest.raises(KeyError):
         add_metrics(counts, ["profit"])
+    credited = counts.withColumns({"attributed_revenue": F.lit(1.0), "zero_cost_impressions": F.lit(0)})
+    for group in METRIC_GROUPS:
+        assert set(metrics_of_group(group)) <= set(add_metrics(credited, metrics_of_group(group)).columns)
+    with pytest.raises(ValueError, match="attributed_revenue"):
+        add_metrics(counts, metrics_of_group("attribution"))
 
 
 def test_flags_and_seasonality(mart):
@@ -119,6 +124,10 @@ def test_flags_and_seasonality(mart):
     assert row.channel_ctr_target == 0.015 and row.meets_channel_ctr
     adjusted = add_seasonality(mart[0], SEASONALITY, ["spend"]).where("campaign_id = 'camp'").first()
     assert adjusted.spend_adjusted == pytest.approx(8.0 / 1.2)
+    summer = add_seasonality(mart[0].withColumn("event_date", F.to_date(F.lit("2025-06-01"))), SEASONALITY, ["spend"])
+    assert {r.seasonal_factor for r in summer.collect()} == {0.9}
+    both = add_seasonality(mart[0], {"01": 2.0, "2024-01": 5.0}, ["spend"]).first()
+    assert both.seasonal_factor == 5.0
     plain = add_seasonality(mart[0], {"2030-01": 9.0}, ["spend"]).where("campaign_id = 'camp'").first()
     assert plain.spend_adjusted == 8.0
 

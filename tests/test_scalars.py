@@ -25,12 +25,6 @@ def test_floor_division(spark):
         assert value(spark, S.floor_div(F.lit(x), step)) == expected
 
 
-def test_time_and_decay(spark):
-    days = S.elapsed_days(F.lit(at("2024-01-10 12:00:00")), F.lit(at("2024-01-03 00:00:00")))
-    assert value(spark, days) == 7.5
-    assert value(spark, S.decay_weight(F.lit(14.0), 7)) == 0.25
-
-
 def test_exact_sum_does_not_depend_on_order(spark):
     rows = spark.createDataFrame([(x / 100,) for x in range(1000)], "x double")
     sums = {rows.orderBy(F.rand(seed)).repartition(7).agg(S.exact_sum("x")).first()[0] for seed in range(5)}

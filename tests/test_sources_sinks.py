@@ -73,6 +73,31 @@ def test_refresh_replaces_recent_days_only_and_repeats(spark, folder):
     assert spend == {f"2024-01-{d}": (2.0 if d >= 27 else 1.0) for d in range(20, 31)}
 
 
+def dates_of(rows):
+    return {str(r.event_date): r.spend for r in rows.collect()}
+
+
+def test_refresh_drops_days_that_vanished_and_days_past_retention(spark, folder):
+    path = f"{folder}/mart"
+    sinks.replace_dates(daily_mart(spark, 1.0), path)
+    sinks.refresh_by_date(daily_mart(spark, 2.0, [d for d in range(20, 31) if d != 29]), path, P)
+    stored = dates_of(spark.read.parquet(path))
+    assert stored == {f"2024-01-{d}": (2.0 if d >= 27 else 1.0) for d in range(20, 31) if d != 29}
+    # A record corrected from the 20th to the 21st is under one day only.
+    sinks.replace_dates(daily_mart(spark, 3.0, [21]), path)
+    assert dates_of(spark.read.parquet(path)) == {"2024-01-21": 3.0}
+    sinks.refresh_by_date(daily_mart(spark, 1.0, []), path, P.with_(as_of="2024-06-01 00:00:00"))
+    assert sinks.stored_dates(spark, path) == {}
+
+
+def test_catalog_table_keeps_its_history(spark):
+    sinks.save_by_date(daily_mart(spark, 1.0), "mart_history")
+    start = F.to_date(F.lit("2024-01-28"))
+    sinks.save_by_date(daily_mart(spark, 2.0, [28, 30]), "mart_history", start)
+    want = {f"2024-01-{d}": 1.0 for d in range(20, 28)} | {"2024-01-28": 2.0, "2024-01-30": 2.0}
+    assert dates_of(spark.table("mart_history")) == want
+
+
 def test_catalog_mart_prunes_partitions(spark):
     sinks.save_by_date(daily_mart(spark, 1.0), "mart_by_date")
     one = spark.table("mart_by_date").where(F.col("event_date") == F.to_date(F.lit("2024-01-25")))

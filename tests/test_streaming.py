@@ -130,7 +130,7 @@ def test_attributed_batches_equal_pairing(spark, folder):
         arriving.stream(), lambda: served, f"{folder}/out", f"{folder}/state", P
     ).awaitTermination()
     got = {}
-    for r in spark.read.parquet(f"{folder}/out").where("n_touches > 0").collect():
+    for r in jobs.read_credits(spark, f"{folder}/out").where("n_touches > 0").collect():
         got.setdefault(r.conversion_id, {})[r.channel, r.campaign_id] = r.time_decay
     expected = window_brute_force(convs, touches)
     for cid, *_ in convs:
@@ -179,3 +179,54 @@ def test_watermark_needs_an_instant(spark):
     local = impressions(spark, [{}]).withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
     conformed = readers.conform(local, schemas.IMPRESSIONS)
     assert dict(conformed.dtypes)["event_timestamp"] == "timestamp"
+
+
+def test_redelivered_impressions_count_once(spark, folder, feed):
+    row = {"impression_id": "i1", "impression_cost": 1.0, "event_timestamp": at("2024-01-20 10:00:00")}
+    feed.add(impressions(spark, [row]))
+    feed.add(impressions(spark, [row]))
+    run(jobs.daily_counts(feed.stream(), P), folder, "update")
+    rows = jobs.read_latest_update(spark, f"{folder}/out", ["campaign_id", "campaign_name", "channel", "event_date"])
+    assert [(r.impressions, r.spend) for r in rows.collect()] == [(1, 1.0)]
+
+
+def test_redelivered_conversions_and_late_touches_give_the_batch_result(spark, folder):
+    convs, touches = history()
+    arriving = Feed(spark, f"{folder}/in", schemas.CONVERSIONS)
+    known = touches[3:]  # the newest three arrive after their conversions
+    arriving.add(as_frames(spark, convs, [])[0])
+    arriving.add(as_frames(spark, convs[2:5], [])[0])
+    served = {"now": as_frames(spark, [], known)[1]}
+
+    def go():
+        jobs.attribute_batches(
+            arriving.stream(), lambda: served["now"], f"{folder}/out", f"{folder}/state", P
+        ).awaitTermination()
+
+    go()
+    served["now"] = as_frames(spark, [], touches)[1]
+    # Another conversion, shortly after: the open ones are credited anew.
+    late = ("v9", "u2", at("2024-01-30 13:00:00"), 3.0)
+    arriving.add(as_frames(spark, [late], [])[0])
+    go()
+    got = {}
+    for r in jobs.read_credits(spark, f"{folder}/out").collect():
+        got.setdefault(r.conversion_id, []).append(r)
+    assert set(got) == {c[0] for c in [*convs, late]}
+    expected = window_brute_force(convs, touches)
+    for cid, _, _, value in convs:
+        assert sum(r.linear for r in got[cid]) == pytest.approx(value)
+        credit = {(r.channel, r.campaign_id): r.time_decay for r in got[cid] if r.n_touches}
+        assert credit == pytest.approx(expected[cid, "time_decay"])
+
+
+def test_future_and_expired_conversions_get_no_credit(spark, folder):
+    arriving = Feed(spark, f"{folder}/in", schemas.CONVERSIONS)
+    arriving.add(as_frames(spark, [
+        ("now", "u", at("2024-01-30 00:00:00"), 1.0), ("future", "u", at("2024-02-20 00:00:00"), 1.0),
+        ("old", "u", at("2023-06-01 00:00:00"), 1.0),
+    ], [])[0])
+    jobs.attribute_batches(
+        arriving.stream(), lambda: as_frames(spark, [], [])[1], f"{folder}/out", f"{folder}/state", P
+    ).awaitTermination()
+    assert [r.conversion_id for r in jobs.read_credits(spark, f"{folder}/out").collect()] == ["now"]

@@ -368,6 +368,17 @@ def model_credit(model: str) -> str:
     return f"{half_up(best, 4)} AS {model}"
 
 
+#: A mart after a refresh of its last four days with one day gone and one moved (as-of 2024-01-31).
+REFRESHED = f"""{MART}, later AS (
+  SELECT * REPLACE (CASE WHEN event_date = DATE '2024-01-29' THEN DATE '2024-01-30' ELSE event_date END AS event_date,
+                    2 * spend AS spend)
+  FROM mart WHERE event_date <> DATE '2024-01-28'
+)
+SELECT campaign_id, channel, {day('event_date')} AS event_date, impressions, spend FROM (
+  SELECT * FROM mart WHERE event_date < DATE '2024-01-27'
+  UNION ALL SELECT * FROM later WHERE event_date >= DATE '2024-01-27'
+)"""
+
 ORACLE: dict[str, str] = {
     "dedup_latest": LATEST_EVENTS,
     "stg_impressions": f"""{REDELIVERED_BASE}
@@ -450,9 +461,18 @@ SELECT conversion_id, user_id, channel, campaign_id, n_touches, journey_touches,
     "attr_time_decay": f"""{TOUCHED}
 SELECT conversion_id, user_id, channel, campaign_id, n_touches, journey_touches, {half_up('time_decay', 6)} AS credit
 FROM shares""",
-    "attr_min_touches": f"""{shares('journey_touches >= 3')}
+    "attr_min_touches": f"""{shares('journey_touches >= 3')}, short AS (
+  SELECT DISTINCT conversion_id, value FROM all_shares WHERE journey_touches < 3
+), both_kinds AS (
+  SELECT attribution_model, channel, credit FROM credits
+  UNION ALL SELECT m.model, NULL, value FROM short, (VALUES ('last_touch'), ('first_touch'), ('linear'), ('time_decay')) m(model)
+)
 SELECT attribution_model, channel, {half_up(f"COALESCE({credit('credit')}, 0.0)", 4)} AS credit
-FROM credits GROUP BY attribution_model, channel""",
+FROM both_kinds GROUP BY attribution_model, channel""",
+    "attr_min_touches_last_touch": f"""{BASE}, {PAIRS}
+SELECT CASE WHEN journey_touches >= 3 THEN channel END AS channel, count(*) AS conversions, {money('value')} AS credit,
+       min(CASE WHEN journey_touches >= 3 THEN journey_touches ELSE 0 END) AS least_touches
+FROM pairs WHERE nth_last = 1 GROUP BY ALL""",
     "mart_attribution_summary": f"""{ALL}
 SELECT attribution_model, channel, campaign_id, count(DISTINCT conversion_id) AS attributed_conversions,
        count(DISTINCT user_id) AS attributed_users, {half_up(credit('credit'), 4)} AS attributed_revenue,
@@ -632,6 +652,11 @@ FROM v ANTI JOIN mart USING (campaign_id, event_date)""",
         reason_row("is_invalid_record", "lacks_value OR lacks_timestamp OR lacks_user"),
         reason_row("lacks_id", "conversion_id IS NULL")]),
     "sink_roundtrip": f"{MART}\nSELECT * REPLACE ({day('event_date')} AS event_date) FROM mart",
+    "sink_refresh": REFRESHED,
+    "sink_catalog_refresh": REFRESHED,
+    "sink_second_day": f"""{BASE}
+SELECT impression_id, campaign_id, {day('CAST(event_timestamp AS DATE)')} AS event_date FROM impressions
+WHERE event_timestamp >= TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY""",
     "sink_daily_run": f"""{ALL}, {mart_ctes("event_date", "CAST(event_timestamp AS DATE)")}, {CAMPAIGN_CTE}, touched AS (
   SELECT * FROM credits WHERE journey_touches > 0
 ), by_channel AS (
@@ -683,9 +708,9 @@ SELECT campaign_id, campaign_name, channel, {day('event_date')} AS event_date, i
 SELECT conversion_id, channel, campaign_id, n_touches, last_touch, first_touch, linear,
        {half_up('time_decay', 6)} AS time_decay FROM shares""",
     "stream_touch_pairs": f"""{BASE}
-SELECT c.conversion_id, count(*) AS n_touches, {instant('min(i.event_timestamp)')} AS first_ts,
+SELECT c.conversion_id, count(i.impression_id) AS n_touches, {instant('min(i.event_timestamp)')} AS first_ts,
        {instant('max(i.event_timestamp)')} AS last_ts
-FROM raw_conversions c JOIN impressions i ON c.user_id = i.user_id AND i.event_timestamp <= c.event_timestamp
+FROM raw_conversions c LEFT JOIN impressions i ON c.user_id = i.user_id AND i.event_timestamp <= c.event_timestamp
  AND i.event_timestamp >= c.event_timestamp - INTERVAL 28 DAY
 GROUP BY c.conversion_id""",
     "stream_freshness": f"""WITH {LOG}, {RAW}, newest AS (

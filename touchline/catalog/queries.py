@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
 from touchline.functions.metrics import add_benchmark_flags, add_channel_ctr_flag, add_seasonality
-from touchline.functions.scalars import bot_flag, day_text, half_up, instant_text
+from touchline.functions.scalars import bot_flag, day_text, exact_sum, half_up, instant_text, join_null_safe
 from touchline.operators import rollups, staging
 from touchline.operators.dedup import latest_version, version_order
 from touchline.params import BENCHMARKS, CHANNEL_CTR_BENCHMARKS, SEASONALITY, Params
@@ -30,7 +30,7 @@ from touchline.plans import (
     optimizer,
     quality,
 )
-from touchline.session import shared_dir
+from touchline.session import scratch_folder
 from touchline.sources import event_log, readers, schemas, sinks
 from touchline.streaming import jobs
 
@@ -275,11 +275,21 @@ def attr_time_decay(i: Inputs):
 @query
 def attr_min_touches(i: Inputs):
     p = i.p.with_(min_touches=3)
-    shares = attribution.credit_shares(i.conversions, i.impressions, p, unattributed=False)
+    shares = attribution.credit_shares(i.conversions, i.impressions, p, unattributed=True)
     rows = attribution.credit_by(shares, ["channel"], p.models)
     return rows.withColumn("credit", half_up("credit", 4))
 
 
+@query
+def attr_min_touches_last_touch(i: Inputs):
+    p = i.p.with_(min_touches=3)
+    found = attribution.edge_touch_credit(i.conversions, i.impressions, p, "last_touch")
+    return found.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("conversions"), exact_sum("credit").alias("credit"),
+        F.min("journey_touches").alias("least_touches"),
+    )
+
+
 @query
 def mart_attribution_summary(i: Inputs):
     summary = attribution.attribution_summary(attribution.credits(i.shares(True), i.p.models))
@@ -329,7 +339,7 @@ def attr_divergence(i: Inputs):
 
 @query
 def attr_revenue_conservation(i: Inputs):
-    rows = attribution.revenue_conservation(i.shares(True), i.p)
+    rows = attribution.revenue_conservation(i.conversions, i.shares(True), i.p)
     return rows.withColumn("credited", half_up("credited", 4))
 
 
@@ -549,7 +559,7 @@ def dq_invalid_reasons(i: Inputs):
 
 
 def _new_folder(i: Inputs) -> str:
-    return f"{shared_dir(i.spark)}/{uuid.uuid4().hex}"
+    return scratch_folder(i.spark, "catalog")
 
 
 @query
@@ -561,6 +571,45 @@ def sink_roundtrip(i: Inputs):
     return i.spark.read.parquet(path).drop("updated_at")
 
 
+def _changed(mart: DataFrame, p: Params) -> DataFrame:
+    """The mart as a later run has it: one recent day vanished, one moved to the next, the rest doubled."""
+    gone, moved = F.date_sub(p.today(), 3), F.date_sub(p.today(), 2)
+    kept = mart.where(F.col("event_date") != gone)
+    day = F.when(F.col("event_date") == moved, F.date_add(F.col("event_date"), 1)).otherwise(F.col("event_date"))
+    return kept.withColumns({"event_date": day, "spend": 2 * F.col("spend")})
+
+
+_STORED = ["campaign_id", "channel", "event_date", "impressions", "spend"]
+
+
+@query
+def sink_refresh(i: Inputs):
+    """A stored mart after a refresh in which days of the range changed, vanished and moved."""
+    path, mart = _new_folder(i), i.mart().select(*_STORED)
+    sinks.replace_dates(mart, path)
+    sinks.refresh_by_date(_changed(mart, i.p), path, i.p)
+    return i.spark.read.parquet(path).select(*_STORED)
+
+
+@query
+def sink_second_day(i: Inputs):
+    """Staged impressions stored for two as-of days: those past retention are gone on the second."""
+    path = _new_folder(i)
+    for as_of in ("2024-01-31 00:00:00", "2024-04-15 00:00:00"):
+        p = i.p.with_(as_of=as_of)
+        daily.store_staging(i.raw_impressions, i.clicks, i.raw_conversions, p, path)
+    return i.spark.read.parquet(f"{path}/stg_impressions").select("impression_id", "campaign_id", "event_date")
+
+
+@query
+def sink_catalog_refresh(i: Inputs):
+    """The same refresh as `sink_refresh`, of a catalog table."""
+    table, mart = f"mart_{uuid.uuid4().hex}", i.mart().select(*_STORED)
+    sinks.save_by_date(mart, table)
+    sinks.save_by_date(_changed(mart, i.p), table, sinks.refresh_start(i.p))
+    return i.spark.table(table).select(*_STORED)
+
+
 @query
 def sink_daily_run(i: Inputs):
     """A whole day's run into stored tables; the rows of each are counted."""
@@ -579,7 +628,7 @@ def sink_daily_run(i: Inputs):
 @query
 def sink_csv_source(i: Inputs):
     """Raw impressions through CSV files with a header and back through the reader."""
-    path = _new_folder(i)
+    path = f"{_new_folder(i)}/rows"
     i.raw_impressions.write.option("header", True).option(
         "timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
     ).csv(path)
@@ -671,15 +720,16 @@ def stream_daily_metrics(i: Inputs):
 
 @query
 def stream_attribution(i: Inputs):
-    """Purchases and sign-ups arrive as a stream and are credited batch by batch."""
+    """Purchases and sign-ups arrive as a stream, each twice, and are credited batch by batch."""
     path = _new_folder(i)
-    arriving = staging.with_validity(event_log.conversions(_log_stream(i))).where(
-        ~F.col("is_invalid_record")
+    sinks.write_by_date(
+        i.impressions.withColumn("event_date", F.to_date("event_timestamp")), f"{path}/staged"
     )
+    twice = event_log.conversions(_log_stream(i)).unionByName(event_log.conversions(_log_stream(i)))
     _finish(jobs.attribute_batches(
-        arriving, lambda: i.impressions, f"{path}/out", f"{path}/state", i.p
+        twice, lambda: i.spark.read.parquet(f"{path}/staged"), f"{path}/out", f"{path}/state", i.p
     ))
-    return i.spark.read.parquet(f"{path}/out").select(
+    return jobs.read_credits(i.spark, f"{path}/out").select(
         "conversion_id", "channel", "campaign_id", "n_touches", "last_touch", "first_touch", "linear",
         half_up("time_decay", 6).alias("time_decay"),
     )
@@ -687,7 +737,7 @@ def stream_attribution(i: Inputs):
 
 @query
 def stream_touch_pairs(i: Inputs):
-    """Pairs of the streaming interval join, counted per conversion."""
+    """Pairs of the streaming interval join, counted per conversion; 0 where there is none (yet)."""
     path = _new_folder(i)
     served = event_log.impressions(_log_stream(i)).where(
         ~bot_flag("is_bot", "impression_cost", "event_timestamp") & F.col("user_id").isNotNull()
@@ -695,12 +745,14 @@ def stream_touch_pairs(i: Inputs):
     arriving = event_log.conversions(_log_stream(i))
     pairs = jobs.touch_pairs(arriving, served, i.p)
     _finish(jobs.append_batches(pairs, f"{path}/out", f"{path}/state"))
-    return i.spark.read.parquet(f"{path}/out").where(F.col("impression_id").isNotNull()).groupBy(
-        "conversion_id"
-    ).agg(
-        F.count(F.lit(1)).alias("n_touches"), F.min("touch_ts").alias("first_ts"),
+    found = i.spark.read.parquet(f"{path}/out").groupBy("conversion_id").agg(
+        F.count("impression_id").alias("n_touches"), F.min("touch_ts").alias("first_ts"),
         F.max("touch_ts").alias("last_ts"),
     )
+    # Unmatched conversions leave the join when the watermark has passed them; the rest are still open.
+    return join_null_safe(i.raw_conversions.select("conversion_id"), found, ["conversion_id"], "left").fillna(
+        0, ["n_touches"]
+    )
 
 
 @query

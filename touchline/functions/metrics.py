@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ def _metric(name, level, group, expression):
     return name, Metric(name, level, group, expression)
 
 
+# Metric names, levels and groups, and the order of ratios in reports.
+#: Columns that a mart brings along, or a join with the credit per campaign.
 BASE_METRICS = (
-    "impressions", "clicks", "conversions", "spend", "revenue",
-    "unique_users", "users_who_converted",
+    "impressions", "clicks", "conversions", "spend", "revenue", "unique_users", "users_who_converted",
+    "attributed_revenue",
 )
 
 METRICS: dict[str, Metric] = dict([
+    *[_metric(name, 1, "base", partial(F.col, name)) for name in BASE_METRICS],
     _metric("cpm", 2, "efficiency", lambda: F.when(
         F.col("spend") > 0, ratio("spend", "impressions") * 1000).otherwise(F.lit(0.0))),
     _metric("ctr", 2, "engagement", lambda: ratio("clicks", "impressions")),
@@ -51,15 +55,22 @@ METRIC_GROUPS = {
     "reach": ("impressions", "unique_users", "frequency"),
     "attribution": ("attributed_revenue",),
 }
+# End of fixed values.
 
 
 def add_metrics(rows: DataFrame, names: Iterable[str] = MART_RATIOS) -> DataFrame:
-    """Append metrics, one pass per dependency level; Catalyst merges the passes."""
+    """Append metrics, one pass per dependency level; Catalyst merges the passes.
+
+    Metrics of level 1 must be there already.
+    """
     wanted = list(names)
     unknown = [n for n in wanted if n not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics: {unknown}")
-    for level in sorted({METRICS[n].level for n in wanted}):
+    missing = [n for n in wanted if METRICS[n].level == 1 and n not in rows.columns]
+    if missing:
+        raise ValueError(f"base metrics are not among the columns: {missing}")
+    for level in sorted({METRICS[n].level for n in wanted} - {1}):
         rows = rows.withColumns(
             {n: METRICS[n].expression() for n in wanted if METRICS[n].level == level}
         )
@@ -97,8 +108,15 @@ def add_channel_ctr_flag(mart: DataFrame, targets: Mapping[str, float]) -> DataF
 def add_seasonality(
     mart: DataFrame, factors: Mapping[str, float], metrics: Iterable[str], date: str = "event_date"
 ) -> DataFrame:
-    """Divide metrics by the month's factor (1.0 where the month has none)."""
-    factor = lookup(F.date_format(F.col(date), "yyyy-MM"), factors, default=1.0)
+    """Divide metrics by the month's factor (1.0 where the month has none).
+
+    Factors are keyed by month ("2024-11") or, for every year, by calendar month ("05");
+    the former wins.
+    """
+    def month(pattern: str) -> Column:
+        return lookup(F.date_format(F.col(date), pattern), factors)
+
+    factor = F.coalesce(month("yyyy-MM"), month("MM"), F.lit(1.0))
     return mart.withColumn("seasonal_factor", factor).withColumns(
         {f"{m}_adjusted": F.col(m) / F.col("seasonal_factor") for m in metrics}
     )

@@ -49,16 +49,6 @@ def floor_div(c, step: int) -> Column:
     return ((c - F.pmod(c, F.lit(step))) / F.lit(step)).cast("long")
 
 
-def elapsed_days(later, earlier) -> Column:
-    return (F.unix_micros(_col(later)) - F.unix_micros(_col(earlier))) / F.lit(
-        float(MICROS_PER_DAY)
-    )
-
-
-def decay_weight(age_days: Column, half_life_days: float) -> Column:
-    return F.pow(F.lit(2.0), -age_days / F.lit(float(half_life_days)))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi-join under which NULL matches NULL; the keys come from the left side."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -91,11 +81,6 @@ def normal_upper_tail(z: Column) -> Column:
     return density * polynomial
 
 
-def normal_cdf(z: Column) -> Column:
-    tail = normal_upper_tail(F.abs(z))
-    return F.when(z >= 0, 1.0 - tail).otherwise(tail)
-
-
 def two_tailed_p(z: Column) -> Column:
     # At z = 0 the approximation is 1 - 1e-9; the exact value is 1.
     return F.when(z == 0, F.lit(1.0)).otherwise(2.0 * normal_upper_tail(F.abs(z)))

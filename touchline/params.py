@@ -22,7 +22,7 @@ BENCHMARKS = {
     "fill_rate": (">=", 0.95),
 }
 CHANNEL_CTR_BENCHMARKS = {"Search": 0.015, "Display": 0.005, "Video": 0.03}
-SEASONALITY = {"2024-11": 1.5, "2024-12": 2.0, "2024-01": 1.2}
+SEASONALITY = {"11": 1.5, "12": 2.0, "01": 1.2, "05": 0.9, "06": 0.9, "07": 0.9}
 MDE_BY_TRAFFIC = {"low": 0.20, "medium": 0.15, "high": 0.10}
 # Rates are fractions here: 0..100 percent is 0..1.
 RANGE_RULES = {"cpm": (0.0, 100.0), "ctr": (0.0, 1.0), "roas": (0.0, 1000.0)}

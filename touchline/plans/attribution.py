@@ -40,7 +40,8 @@ def credit_shares(
     journey_touches (of the conversion), is_last, is_first, and one column per
     model with the credit. With `unattributed`, a conversion without touches
     keeps one row whose channel and campaign are NULL and whose credit is the
-    whole value; otherwise it has none. All credits are NULL where the value is.
+    whole value; otherwise it has none. A journey of fewer than `min_touches`
+    counts as none. All credits are NULL where the value is.
     """
     events = credited_conversions(conversions)
     touched = window_totals(
@@ -53,9 +54,9 @@ def credit_shares(
         (F.col("first_touch") == F.min("first_touch").over(journey)).alias("_first"),
         (F.col("last_touch") == F.max("last_touch").over(journey)).alias("_last"),
     )
-    alone = F.col("journey_touches") == 0
     if p.min_touches > 1:
-        rows = rows.where(alone | (F.col("journey_touches") >= p.min_touches))
+        rows = _short_journeys_untouched(rows, p.min_touches, unattributed)
+    alone = F.col("journey_touches") == 0
     value = F.col("value")
     rows = rows.withColumns({"is_last": alone | F.col("_last"), "is_first": alone | F.col("_first")})
     return rows.select(
@@ -69,6 +70,19 @@ def credit_shares(
     )
 
 
+def _short_journeys_untouched(rows: DataFrame, least: int, keep: bool) -> DataFrame:
+    """Journeys of 1 to `least` - 1 touches as untouched ones: a single row without a key, or none."""
+    short = F.col("journey_touches").between(1, least - 1)
+    if not keep:
+        return rows.where(~short)
+    # Exactly one key of a journey holds its first touch.
+    one = rows.where(~short | F.col("_first"))
+    return one.withColumns({
+        **{c: F.when(~short, F.col(c)) for c in TOUCH_KEY},
+        **{c: F.when(short, 0).otherwise(F.col(c)).cast("long") for c in ("n_touches", "journey_touches")},
+    })
+
+
 def credits(shares: DataFrame, models: Sequence[str]) -> DataFrame:
     """Long form: one row per conversion, model and credited (channel, campaign)."""
     holds = {"last_touch": F.col("is_last"), "first_touch": F.col("is_first")}
@@ -91,12 +105,17 @@ def edge_touch_credit(
     """Last-touch or first-touch credit alone: an as-of join.
 
     Needs no per-key totals, so conversions are not repeated per key. Untouched
-    conversions keep a row with a NULL channel and campaign.
+    conversions, and those of fewer than `min_touches`, keep a row with a NULL
+    channel and campaign.
     """
     events = credited_conversions(conversions)
     found = window_totals(
         events, touch_columns(impressions), p, touch_fields=TOUCH_KEY, keep_unmatched=True
-    ).withColumn("_touch", F.col(model))
+    )
+    enough = F.col("n_touches") >= p.min_touches
+    found = found.withColumns({
+        "_touch": F.when(enough, F.col(model)), "n_touches": F.when(enough, F.col("n_touches")).otherwise(0).cast("long")
+    })
     return found.select(
         "conversion_id", "user_id", "conversion_ts",
         F.lit(model).alias("attribution_model"),
@@ -192,11 +211,17 @@ def conversion_count(conversions: DataFrame) -> DataFrame:
     return conversions.agg(F.count(F.lit(1)).alias("conversion_count"))
 
 
-def revenue_conservation(shares: DataFrame, p: Params, tolerance: float = 1e-6) -> DataFrame:
-    """Per model: conversions whose credits do not add up to their value."""
-    rows = shares.groupBy("conversion_id", "value").agg(
-        *[exact_sum(m, CREDIT).alias(m) for m in p.models]
-    )
+def revenue_conservation(
+    conversions: DataFrame, shares: DataFrame, p: Params, tolerance: float = 1e-6
+) -> DataFrame:
+    """Per model: staged conversions whose credits do not add up to their value.
+
+    Starts from the conversions, so one that `shares` has lost counts as credited
+    with nothing.
+    """
+    credited = shares.groupBy("conversion_id").agg(*[exact_sum(m, CREDIT).alias(m) for m in p.models])
+    staged = credited_conversions(conversions).select("conversion_id", "value")
+    rows = join_null_safe(staged, credited, ["conversion_id"], "left")
     entry = F.explode(F.array(*[
         F.struct(F.lit(m).alias("attribution_model"), F.col(m).alias("credited")) for m in p.models
     ]))

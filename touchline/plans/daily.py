@@ -27,8 +27,9 @@ def store_staging(
         "clicks": (clicks, ("campaign_id",)),
     }
     for name, (rows, cluster) in staged.items():
-        sinks.write_by_date(
-            rows.withColumn("event_date", period_start("day")), f"{folder}/{name}", cluster
+        # All retained rows: a date without any, or past retention, goes.
+        sinks.replace_dates(
+            rows.withColumn("event_date", period_start("day")), f"{folder}/{name}", cluster_by=cluster
         )
 
 
@@ -40,13 +41,16 @@ def run_day(spark: SparkSession, folder: str, p: Params) -> list[str]:
     impressions, conversions = staged("stg_impressions"), staged("stg_conversions")
     mart_path, shares_path = f"{folder}/mart_campaign_metrics", f"{folder}/credit_shares"
     mart = campaign_mart.campaign_metrics(impressions, staged("clicks"), conversions)
-    sinks.write_by_date(campaign_mart.with_audit(mart, p), mart_path)
+    sinks.replace_dates(campaign_mart.with_audit(mart, p), mart_path)
 
     # Touched or not, every conversion's shares, read by all attribution tables.
+    # Journeys of the first days of the retained range are cut off by it: a later run leaves their
+    # stored credit as it was when the whole window was there.
+    whole = F.date_sub(p.today(), p.retention_days - p.attribution_window_days)
     shares = attribution.credit_shares(conversions, impressions, p, unattributed=True)
-    sinks.write_by_date(
-        shares.withColumn("event_date", F.to_date("conversion_ts")), shares_path, ("conversion_id",)
-    )
+    dated = shares.withColumn("event_date", F.to_date("conversion_ts"))
+    first_run = not sinks.stored_dates(spark, shares_path)
+    sinks.replace_dates(dated, shares_path, None if first_run else whole, ("conversion_id",))
     shares = spark.read.parquet(shares_path)
     touched = shares.where(F.col("journey_touches") > 0)
 
@@ -62,7 +66,7 @@ def run_day(spark: SparkSession, folder: str, p: Params) -> list[str]:
         "range_checks": quality.range_violations(
             spark.read.parquet(mart_path), ["campaign_id", "event_date"]
         ),
-        "revenue_conservation": attribution.revenue_conservation(shares, p),
+        "revenue_conservation": attribution.revenue_conservation(conversions, shares, p),
     }
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -13,8 +13,7 @@ from touchline.operators.order_stats import scalars_at_ranks
 from touchline.params import Params
 
 # Critical points and texts of the interpretation.
-Z_95 = 1.96
-Z_99 = 2.576
+CRITICAL = {0.95: 1.96, 0.99: 2.576}
 NOT_SIGNIFICANT = (
     "Result is NOT statistically significant. Continue testing or accept that "
     "there's no meaningful difference."
@@ -49,11 +48,12 @@ def experiment_counts(exposures: DataFrame) -> DataFrame:
 def analyze_experiments(counts: DataFrame, alpha: float = 0.05, confidence: float = 0.95) -> DataFrame:
     """Rates, lift, pooled z test and interval of the rate difference, per experiment.
 
-    z, p and the interval are NULL when an arm has no visitors.
+    z, p and the interval are NULL when an arm has no visitors. The critical point of the
+    interval is rounded at 95 and 99 % and the exact quantile at any other confidence.
     """
     a, b = F.col("control_visitors"), F.col("variant_visitors")
     both = (a > 0) & (b > 0)
-    critical = Z_95 if confidence == 0.95 else Z_99
+    critical = CRITICAL.get(confidence) or NormalDist().inv_cdf((1 + confidence) / 2)
     rated = counts.withColumns({
         "control_rate": ratio("control_conversions", "control_visitors"),
         "variant_rate": ratio("variant_conversions", "variant_visitors"),

@@ -9,6 +9,7 @@ replaced without losing the job.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,8 @@ COMMON_CONF = {
 CLUSTER_CONF = {
     **COMMON_CONF,
     "spark.sql.files.maxPartitionBytes": "256m",
+    # Stateful streams take their number of partitions from here, not from adaptive execution.
+    "spark.sql.shuffle.partitions": "2000",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
@@ -38,6 +41,14 @@ CLUSTER_CONF = {
 }
 
 
+def cluster_session(app: str = "touchline", **conf) -> SparkSession:
+    """A session on whatever master the launcher names, with `CLUSTER_CONF`."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in {**CLUSTER_CONF, **conf}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def local_session(cores: str | int = "*", app: str = "touchline", **conf) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -66,3 +77,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix="touchline-")
+
+
+def scratch_folder(spark: SparkSession, label: str = "scratch") -> str:
+    """A new folder name under `shared_dir`; whatever is there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)  # only paths that exist are remembered
+    files.deleteOnExit(folder)
+    return path

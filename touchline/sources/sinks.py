@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import join_null_safe
@@ -34,16 +34,75 @@ def write_by_date(
     )
 
 
+def stored_dates(spark: SparkSession, path: str, date: str = "event_date") -> dict[str, frozenset[str]]:
+    """The dates a table has and the files of each: a listing of folders, no data is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    found = {}
+    for status in files.listStatus(folder):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == date:
+            found[value] = frozenset(f.getPath().getName() for f in files.listStatus(status.getPath()))
+    return found
+
+
+def _first_day(spark: SparkSession, start: Column | None) -> str:
+    return "" if start is None else str(spark.range(1).select(start.cast("date")).first()[0])
+
+
+def replace_dates(
+    rows: DataFrame, path: str, start: Column | None = None,
+    cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
+) -> None:
+    """Make the dates from `start` on (all without it) those of `rows`, and no others.
+
+    Dates with rows are replaced one by one; then the folders in the range that the
+    write has left as they were go: their rows have moved, vanished or expired.
+    Repeating the call after a failure gives the same table.
+    """
+    spark = rows.sparkSession
+    first, before = _first_day(spark, start), stored_dates(spark, path, date)
+    write_by_date(rows if start is None else rows.where(F.col(date) >= start), path, cluster_by, date)
+    after = stored_dates(spark, path, date)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day, names in before.items():
+        # A folder that was written anew has other files only.
+        if day >= first and after.get(day, frozenset()) & names:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}"), True)
+
+
+def drop_before(spark: SparkSession, path: str, first: Column, date: str = "event_date") -> None:
+    """Drop the dates before `first`, for example those past retention."""
+    limit = _first_day(spark, first)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in stored_dates(spark, path, date):
+        if day < limit:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}"), True)
+
+
 def save_by_date(
-    rows: DataFrame, table: str, cluster_by: Sequence[str] = ("campaign_id", "channel"),
-    date: str = "event_date",
+    rows: DataFrame, table: str, start: Column | None = None,
+    cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
 ) -> None:
-    """The same as a catalog table."""
-    (
-        rows.hint("rebalance", F.col(date))
-        .sortWithinPartitions(date, *cluster_by)
-        .write.mode("overwrite").partitionBy(date).saveAsTable(table)
-    )
+    """`replace_dates` for a catalog table, which is created when it is not there."""
+    spark = rows.sparkSession
+    chosen = rows if start is None else rows.where(F.col(date) >= start)
+    dealt = chosen.hint("rebalance", F.col(date)).sortWithinPartitions(date, *cluster_by)
+    if not spark.catalog.tableExists(table):
+        dealt.write.partitionBy(date).saveAsTable(table)
+        return
+    first = _first_day(spark, start)
+    path = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    before = stored_dates(spark, path, date)
+    ordered = dealt.select(*spark.table(table).columns)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    after = stored_dates(spark, path, date)
+    for day, names in before.items():
+        if day >= first and after.get(day, frozenset()) & names:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date} = '{day}')")
+    spark.catalog.refreshTable(table)
 
 
 def refresh_start(p: Params, days: int = 1):
@@ -56,12 +115,14 @@ def refresh_start(p: Params, days: int = 1):
 
 
 def refresh_by_date(mart: DataFrame, path: str, p: Params, days: int = 1, date: str = "event_date") -> None:
-    """Recompute and replace only the recent days of a table written by `write_by_date`.
+    """Recompute and replace only the recent days of a table written by `write_by_date`; days past
+    retention go.
 
     The date filter is on the grouping key, so it reaches the staged events
     below the aggregation.
     """
-    write_by_date(mart.where(F.col(date) >= refresh_start(p, days)), path, date=date)
+    replace_dates(mart, path, refresh_start(p, days), date=date)
+    drop_before(mart.sparkSession, path, F.date_sub(p.today(), p.retention_days), date)
 
 
 def write_json(documents: DataFrame, path: str) -> None:

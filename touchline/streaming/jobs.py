@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from touchline.functions.scalars import MONEY, bot_flag
+from touchline.functions.scalars import MONEY, bot_flag, join_null_safe
 from touchline.operators.dedup import latest_version
+from touchline.operators.staging import stage_conversions
 from touchline.params import Params
 from touchline.plans.attribution import credit_shares
 
@@ -87,7 +88,8 @@ def read_latest_update(spark: SparkSession, path: str, keys: Sequence[str]) -> D
 
 
 def daily_counts(impressions: DataFrame, p: Params, approximate_reach: bool = False) -> DataFrame:
-    """Running counts per campaign and day. Bots are dropped as in batch staging.
+    """Running counts per campaign and day. Bots are dropped as in batch staging, and so are
+    redeliveries of an impression while the watermark remembers it.
 
     For output mode "update": a day's rows change until the watermark closes it.
     Streams cannot count distinct users exactly; `approximate_reach` adds an
@@ -103,7 +105,7 @@ def daily_counts(impressions: DataFrame, p: Params, approximate_reach: bool = Fa
         measures.append(F.approx_count_distinct("user_id").alias("approximate_users"))
     day = F.window("event_timestamp", "1 day")
     return (
-        with_lateness(served, p)
+        first_arrivals(served, "impression_id", p)
         .groupBy(day, "campaign_id", "campaign_name", "channel")
         .agg(*measures)
         .withColumn("event_date", F.to_date(F.col("window.start")))
@@ -120,24 +122,51 @@ def attribute_batches(
     path: str,
     checkpoint: str,
     p: Params,
+    trigger: Mapping | None = None,
 ) -> StreamingQuery:
-    """Credit the conversions of each micro-batch with the batch operator.
+    """Credit the conversions of each micro-batch with the batch operator, as batch staging would.
+
+    Arrivals are kept in `path`/arrivals, credit in `path`/credits, both by micro-batch.
+    Every batch credits its own conversions and, again, all those still open: within
+    `late_window_hours` of the newest, touches may yet arrive. Redelivered conversions
+    count once, in their latest version, inside retention and not in the future.
+    `read_credits` has the newest credit of each conversion.
 
     Staged impressions are read as a table (the one their own stream writes), so
     no month of them is held as state, and a hot user is split as in batch. Only
-    the batch's windows are read: a table with an `event_date` partition column
-    is pruned to those days.
+    the open windows are read: a table with an `event_date` partition column is
+    pruned to those days.
     """
-    def attribute(batch: DataFrame) -> DataFrame:
+    def attribute(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/arrivals/batch_id={batch_id}")
+        arrivals = spark.read.parquet(f"{path}/arrivals").where(F.col("batch_id") <= batch_id)
+        late = F.expr(f"INTERVAL {p.late_window_hours} HOURS")
+        newest = arrivals.agg(F.max("event_timestamp")).scalar()
+        fresh = arrivals.where(F.col("batch_id") == batch_id).agg(F.min("event_timestamp")).scalar()
+        # Nothing older than both can change in this batch.
+        opened = F.least(newest - late, fresh)
+        known = arrivals.where(F.col("event_timestamp") >= opened).drop("batch_id")
+        staged = stage_conversions(known, p, details=False)
         touches = read_impressions()
         window = F.expr(f"INTERVAL {p.attribution_window_days} DAYS")
-        start = batch.agg(F.min("event_timestamp")).scalar() - window
         if "event_date" in touches.columns:
-            touches = touches.where(F.col("event_date") >= F.to_date(start))
-        touches = touches.where(F.col("event_timestamp") >= start)
-        return credit_shares(batch, touches, p, unattributed=True)
+            touches = touches.where(F.col("event_date").between(F.to_date(opened - window), F.to_date(newest)))
+        touches = touches.where(F.col("event_timestamp").between(opened - window, newest))
+        credit = credit_shares(staged, touches, p, unattributed=True)
+        credit.write.mode("overwrite").parquet(f"{path}/credits/batch_id={batch_id}")
+
+    return (
+        conversions.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(attribute).start()
+    )
+
 
-    return append_batches(conversions, path, checkpoint, transform=attribute)
+def read_credits(spark: SparkSession, path: str) -> DataFrame:
+    """The credit of every conversion as its newest batch has it."""
+    rows = spark.read.parquet(f"{path}/credits")
+    newest = rows.groupBy("conversion_id").agg(F.max("batch_id").alias("newest"))
+    return join_null_safe(rows, newest, ["conversion_id"]).where("batch_id = newest").drop("batch_id", "newest")
 
 
 def touch_pairs(
