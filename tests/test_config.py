@@ -24,3 +24,33 @@ def test_empty_config_is_the_defaults():
 def test_unknown_model_is_rejected():
     with pytest.raises(ValueError, match="u_shaped"):
         params_from({"attribution": {"models": ["u_shaped"]}}, "2024-01-31")
+
+
+def test_all_sections_that_concern_the_operators_are_used():
+    p = params_from({
+        "sources": {
+            "impressions": {"retention_days": 60, "table": "t", "refresh_frequency": "daily"},
+            "conversions": {"retention_days": 30}, "clicks": {"retention_days": 60},
+        },
+        "campaigns": {"benchmarks": {"target_roas": 9.0, "target_cpa_usd": 20, "target_ctr_pct": 2}},
+        "optimization": {"allocation_method": "weighted_scoring"},
+        "ab_testing": {"minimum_detectable_effects": {"low_traffic_campaigns": 0.3}},
+        "data_quality": {"bot_detection": {"flag_zero_cost_impressions": True, "suspicious_device_patterns": ["robot"]}},
+        "scheduling": {"daily_pipeline_time": "03:00"},
+    }, "2024-01-31")
+    assert (p.retention_days, p.conversion_retention_days) == (60, 30)
+    assert p.benchmarks["roas"] == (">=", 9.0) and p.benchmarks["ctr"] == (">=", 0.02) and p.benchmarks["cpa"] == ("<=", 20)
+    assert p.mde_by_traffic == {"low": 0.3, "medium": 0.15, "high": 0.10}
+    assert p.suspicious_devices == ("robot",)
+
+
+@pytest.mark.parametrize("config, name", [
+    ({"attribution": {"windw_days": 3}}, "attribution.windw_days"),
+    ({"optimization": {"allocation_method": "performance_tier"}}, "allocation_method"),
+    ({"data_quality": {"bot_detection": {"flag_zero_cost_impressions": False}}}, "flag_zero_cost"),
+    ({"sources": {"clicks": {"retention_days": 7}}}, "clicks"),
+    ({"sources": {"impressions": {"retention": 7}}}, "impressions.retention"),
+])
+def test_other_settings_are_refused_by_name(config, name):
+    with pytest.raises(ValueError, match=name):
+        params_from(config, "2024-01-31")

@@ -203,7 +203,7 @@ def unique_converters(i: Inputs):
 
 @query
 def benchmark_flags(i: Inputs):
-    flagged = add_channel_ctr_flag(add_benchmark_flags(i.mart(), BENCHMARKS), CHANNEL_CTR_BENCHMARKS)
+    flagged = add_channel_ctr_flag(add_benchmark_flags(i.mart(), i.p.benchmarks), CHANNEL_CTR_BENCHMARKS)
     return flagged.select(
         "campaign_id", "channel", "event_date", *[f"meets_{m}" for m in BENCHMARKS],
         "channel_ctr_target", "meets_channel_ctr",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import MICROS_PER_HOUR, bot_flag, suspicious_device
 from touchline.operators.dedup import latest_version, version_order
-from touchline.params import SUSPICIOUS_DEVICES, Params
+from touchline.params import Params
 
 IMPRESSION_KEY_FIELDS = ["impression_id", "user_id", "campaign_id", "event_timestamp"]
 IMPRESSION_MEASURES = [
@@ -22,15 +22,15 @@ CONVERSION_MEASURES = [
 CONVERSION_DETAILS = ["order_id", "advertiser_id", "country", "device_type", "_source_relation"]
 
 
-def retention_start(p: Params):
-    """Midnight `retention_days` before the as-of day, inclusive."""
-    return F.date_sub(p.today(), p.retention_days).cast("timestamp")
+def retention_start(p: Params, days: int | None = None):
+    """Midnight `days` (by default `retention_days`) before the as-of day, inclusive."""
+    return F.date_sub(p.today(), days or p.retention_days).cast("timestamp")
 
 
 def with_bot_flag(rows: DataFrame, p: Params) -> DataFrame:
     flag = bot_flag("is_bot", "impression_cost", "event_timestamp")
     if p.flag_suspicious_devices:
-        flag = flag | suspicious_device("device_type", SUSPICIOUS_DEVICES)
+        flag = flag | suspicious_device("device_type", p.suspicious_devices)
     return rows.withColumn("is_bot_flag", flag)
 
 
@@ -93,7 +93,7 @@ def stage_conversions(raw: DataFrame, p: Params, details: bool = True) -> DataFr
     """
     valid = latest_conversions(raw, details).where(
         ~F.col("is_invalid_record")
-        & (F.col("event_timestamp") >= retention_start(p))
+        & (F.col("event_timestamp") >= retention_start(p, p.conversion_retention_days))
         & (F.col("event_timestamp") <= p.now())
     )
     late_from = p.now() - F.expr(f"INTERVAL {p.late_window_hours} HOURS")

@@ -41,6 +41,8 @@ SUSPICIOUS_DEVICES = ("bot", "crawler", "spider")
 class Params:
     as_of: str
     retention_days: int = 90
+    # Conversions' own retention; impressions' by default.
+    conversion_retention_days: int | None = None
     late_window_hours: int = 72
     attribution_window_days: int = 28
     half_life_days: float = 7.0
@@ -55,6 +57,8 @@ class Params:
     traffic_split: float = 0.5
     mde_by_traffic: dict = field(default_factory=lambda: dict(MDE_BY_TRAFFIC))
     flag_suspicious_devices: bool = False
+    suspicious_devices: tuple[str, ...] = SUSPICIOUS_DEVICES
+    benchmarks: dict = field(default_factory=lambda: dict(BENCHMARKS))
     outlier_std_devs: float = 3.0
     missing_tolerance: float = 0.05
     max_staleness_hours: int = 24
