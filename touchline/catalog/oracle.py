@@ -85,6 +85,9 @@ STAGED = f"""latest_impressions AS (
 )"""
 
 BASE = f"WITH {LOG}, {RAW}, {STAGED}"
+WITHIN = BASE.replace(f"{NOW} - INTERVAL 90 DAY", "TIMESTAMP '2024-01-10 00:00:00'").replace(
+    NOW, "TIMESTAMP '2024-01-20 12:00:00'"
+)
 REDELIVERED_BASE = f"WITH {REDELIVERED}, {RAW}, {STAGED}"
 
 
@@ -545,6 +548,10 @@ FROM campaigns, m WHERE roas < median * 0.8 AND spend > 4000""",
 SELECT channel, {half_up("CAST(sum(CAST(roas AS DECIMAL(28,12))) AS DOUBLE) / count(*)", 2)} AS avg_roas,
        count(*) AS num_campaigns FROM campaigns GROUP BY channel""",
     "opp_scaling": scaling(CAMPAIGN),
+    "opp_daily_high_spend_low_roi": f"""{DAILY_CAMPAIGN}, m AS (SELECT {upper_median('roas')} AS median)
+SELECT campaign_id, {half_up('spend', 2)} AS spend, {half_up('roas', 2)} AS roas,
+       'Consider pausing or significantly optimizing' AS recommendation
+FROM campaigns, m WHERE roas < median * 0.8 AND spend > 200""",
     "opp_daily_high_cpa": high_cpa(DAILY_CAMPAIGN),
     "opp_daily_low_ctr": low_ctr(DAILY_CAMPAIGN),
     "opp_daily_scaling": scaling(DAILY_CAMPAIGN),
@@ -556,6 +563,13 @@ SELECT campaign_id, channel, {half_up('allocation', 2)} AS recommended_budget, {
   SELECT *, CASE WHEN spend > 0 THEN greatest(least(allocation, spend * 2.0), spend * 0.5) ELSE allocation END
             AS clamped_allocation FROM allocated
 )
+SELECT campaign_id, channel, {half_up('spend', 2)} AS spend, {half_up('allocation', 2)} AS allocation,
+       {half_up('clamped_allocation', 2)} AS clamped_allocation,
+       {half_up('allocation - clamped_allocation', 2)} AS unallocated FROM clamped""",
+    "budget_allocation_cut": f"""{allocated('500.0')}, clamped AS (
+  SELECT *, CASE WHEN spend > 0 THEN greatest(least(allocation, spend * 2.0), spend * 0.5) ELSE allocation END
+            AS clamped_allocation FROM allocated
+)
 SELECT campaign_id, channel, {half_up('spend', 2)} AS spend, {half_up('allocation', 2)} AS allocation,
        {half_up('clamped_allocation', 2)} AS clamped_allocation,
        {half_up('allocation - clamped_allocation', 2)} AS unallocated FROM clamped""",
@@ -623,6 +637,15 @@ SELECT *, missing::DOUBLE / "rows" AS missing_share, missing::DOUBLE / "rows" <=
 )
 SELECT source, {instant('newest')} AS newest, staleness_hours, staleness_hours > 24 AS is_stale,
        staleness_hours > 6 AS alert FROM newest""",
+    "dq_freshness_stale": f"""WITH {LOG}, {RAW}, newest AS (
+{freshness_row("impressions", "raw_impressions").replace(NOW, "TIMESTAMP '2024-02-03 00:00:00'")}
+)
+SELECT source, {instant('newest')} AS newest, staleness_hours, staleness_hours > 24 AS is_stale,
+       staleness_hours > 6 AS alert FROM newest""",
+    "stg_impressions_within": f"""{WITHIN}
+SELECT impression_id, {instant('event_timestamp')} AS event_timestamp, impression_cost FROM impressions""",
+    "stg_conversions_within": f"""{WITHIN}
+SELECT conversion_id, {instant('event_timestamp')} AS event_timestamp, conversion_value_usd FROM conversions""",
     "dq_spend_anomaly": f"""{MART}, daily AS (
   SELECT campaign_id, event_date, {money('spend')} AS spend FROM mart GROUP BY campaign_id, event_date
 ), averaged AS (

@@ -132,6 +132,26 @@ def stg_conversions(i: Inputs):
     return staging.stage_conversions(raw, i.p).drop("updated_at")
 
 
+#: A day inside the data, with a retention that ends inside it too.
+WITHIN = PARAMS.with_(as_of="2024-01-20 12:00:00", retention_days=10)
+
+
+@query
+def stg_impressions_within(i: Inputs):
+    """Rows before retention are dropped; impressions after as-of are not."""
+    return staging.stage_impressions(i.raw_impressions, WITHIN, details=False).select(
+        "impression_id", "event_timestamp", "impression_cost"
+    )
+
+
+@query
+def stg_conversions_within(i: Inputs):
+    """Rows before retention and after as-of are dropped."""
+    return staging.stage_conversions(i.raw_conversions, WITHIN, details=False).select(
+        "conversion_id", "event_timestamp", "conversion_value_usd"
+    )
+
+
 @query
 def bot_filter_nulls(i: Inputs):
     p = i.p.with_(flag_suspicious_devices=True)
@@ -428,6 +448,12 @@ def opp_daily_scaling(i: Inputs):
     ))
 
 
+@query
+def opp_daily_high_spend_low_roi(i: Inputs):
+    days = i.mart().withColumn("campaign_id", F.concat_ws("@", "campaign_id", day_text("event_date")))
+    return optimizer.high_spend_low_roi(days, spend_over=200.0)
+
+
 @query
 def budget_allocation(i: Inputs):
     return optimizer.allocation_report(optimizer.budget_allocation(i.campaigns, i.p))
@@ -442,6 +468,16 @@ def budget_allocation_clamped(i: Inputs):
     )
 
 
+@query
+def budget_allocation_cut(i: Inputs):
+    """A budget far below what is spent: the lower clamp holds."""
+    allocated = optimizer.budget_allocation(i.campaigns, i.p, total_budget=500.0)
+    return optimizer.clamp_allocation(allocated, i.p).select(
+        "campaign_id", "channel",
+        *[half_up(c, 2).alias(c) for c in ("spend", "allocation", "clamped_allocation", "unallocated")],
+    )
+
+
 @query
 def budget_by_tier(i: Inputs):
     return optimizer.budget_by_tier(i.campaigns).select(
@@ -523,6 +559,12 @@ def dq_freshness(i: Inputs):
     )
 
 
+@query
+def dq_freshness_stale(i: Inputs):
+    """Three days later, with nothing new."""
+    return quality.freshness({"impressions": i.raw_impressions}, i.p.with_(as_of="2024-02-03 00:00:00"))
+
+
 @query
 def dq_spend_anomaly(i: Inputs):
     return quality.spend_anomalies(i.mart(), i.p)
