@@ -295,7 +295,7 @@ def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> Data
         whole_text().alias("text"),
     )
     return (
-        texts.join(wanted, "identity")
+        texts.join(wanted.hint("merge"), "identity")
         .select("pivot", "share", "node", "is_pivot", "text")
         .repartition("pivot", "share")
         .sortWithinPartitions("pivot", "share", F.col("is_pivot").desc())
@@ -368,8 +368,11 @@ def components_of(docs: DataFrame) -> DataFrame:
         ).select("digest", F.col("r.row_no").alias("node"), "r.*"),
         "set-classes",
     )
-    groups = stored(_groups(stored(_memberships(_buckets(classes), classes), "memberships")), "pivot-groups")
-    differences = stored(_differences(docs, classes, groups), "differences")
+    members = _buckets(classes)
+    # Only classes with company take part in what follows.
+    company = stored(classes.join(members.select("node").distinct(), "node", "left_semi"), "classes-with-company")
+    groups = stored(_groups(stored(_memberships(members, company), "memberships")), "pivot-groups")
+    differences = stored(_differences(docs, company, groups), "differences")
     links = differences.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(
         _links_inside(differences)
     )
