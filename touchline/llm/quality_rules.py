@@ -3,8 +3,8 @@
 Character classes and common words of a document are histograms; so are those of all
 documents of its language that pass the base rules and are long enough (integer sums, one
 row per language). A document whose Jensen-Shannon distance from either reference is
-larger than its threshold fails. Documents shorter than `MIN_WORDS` words are not
-compared, nor are languages without a word list. DataFrame functions only: every count is
+larger than its threshold fails. Character classes are compared from `MIN_WORDS` words
+on, common words from `MIN_WORDS_COMPARED`, and languages without a word list not at all. DataFrame functions only: every count is
 an expression on the row's own text, so nothing is exploded or shuffled but the references.
 
 Repeated words are found by sorting 64-bit hashes of the three-word windows.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from touchline.llm.common import NOT_SPACES, SPACES, let, stored, total, whole_text
 
 MIN_WORDS = 50
+#: Word histograms of shorter documents are mostly chance.
+MIN_WORDS_COMPARED = 100
 #: Largest accepted Jensen-Shannon distances (0 to 1, logarithms to base 2).
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.30
@@ -197,7 +199,7 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = measured.withColumns({
         "base_failed": base_failed(),
         "class_distance": F.when(guarded, by_class),
-        "word_distance": F.when(guarded, by_word),
+        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMPARED, by_word),
     })
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (
         F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
