@@ -4,8 +4,9 @@ Character classes and common words of a document are histograms; so are those of
 documents of its language that pass the base rules and are long enough (integer sums, one
 row per language). A document whose Jensen-Shannon distance from either reference is
 larger than its threshold fails. Character classes are compared from `MIN_WORDS` words
-on, common words from `MIN_WORDS_COMPARED`, and languages without a word list not at all. DataFrame functions only: every count is
-an expression on the row's own text, so nothing is exploded or shuffled but the references.
+on, common words from `MIN_WORDS_COMPARED`, and languages without a word list not at all.
+DataFrame functions only: every count is an expression on the row's own text, so nothing is
+exploded or shuffled but the references.
 
 Repeated words are found by sorting 64-bit hashes of the three-word windows.
 
