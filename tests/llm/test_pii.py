@@ -77,6 +77,23 @@ def test_trees_add_spans_that_look_and_stand_like_personal_data(documents):
     assert all(got[200 + i].spans == "" for i in range(60))
 
 
+def test_trees_add_what_the_base_patterns_join_or_do_not_know(documents):
+    card, other, not_luhn = "4111 1111 1111 1111", "5500 0000 0000 0004", "4111 1111 1111 1112"
+    rows = [(i, f"please charge card {card} today") for i in range(60)]
+    rows += [(100 + i, f"write to someone{i}@example.com soon or call +1 (555) 010-99{i:02d}") for i in range(60)]
+    rows += [(200 + i, f"build 12{i:02d}-2200-331 of 1234 5678 9012 3{i:02d}0#{i}") for i in range(60)]
+    pair = f"please charge card {card} {other} by account today"
+    hidden = "write to jane.doe(at)example.com soon or joe [at] example [dot] org soon"
+    rows += [(300, pair), (301, hidden), (302, f"#{not_luhn}#{not_luhn}# in stock")]
+    got = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    assert got[300].n_card == got[301].n_email == 0
+    places = [(pair.index(x), pair.index(x) + len(x)) for x in (card, other)]
+    assert got[300].spans == ",".join(f"card:{a}:{b}" for a, b in places)
+    places = [(hidden.index(x), hidden.index(x) + len(x)) for x in ("jane.doe(at)example.com", "joe [at] example [dot] org")]
+    assert got[301].spans == ",".join(f"email:{a}:{b}" for a, b in places)
+    assert got[302].spans == ""
+
+
 def test_empty_table_and_no_python(documents):
     assert pii.find(documents([])).count() == 0
     plan = pii.scan(documents([(1, "a@b.c")]))._jdf.queryExecution().executedPlan().toString()

@@ -3,10 +3,14 @@
 Base spans are the leftmost non-overlapping matches of one pattern per kind that pass the
 kind's check (IP parts at most 255, Luhn digits of cards, numbers of digits); they always
 stay. High-recall generators propose overlapping spans besides: anything like an address,
-a dotted quad or a long number. Boosted trees learn from a bounded sample of candidates
-which of them base spans confirm, seeing only their format and context, not the checks; a
-threshold per kind, calibrated on candidates kept out of training, selects the spans that
-are added where no base span is.
+a dotted quad or a long number. A candidate is right if a base span of its kind confirms it or
+it passes its kind's check itself (an address once `(at)` and `(dot)` are undone, an
+international number with 00 for +), wrong if it fails a check that decides or a base span of
+another kind has its place, and otherwise unknown and not learned from. Boosted trees learn
+from a bounded sample which candidates are right, seeing only their format and context, not
+the checks; a threshold per kind, calibrated on candidates kept out of training, selects the
+spans that are added where no base span is. Only candidates that pass their check are added:
+numbers that pass by chance look and stand like others that fail, and stay below the threshold.
 
 DataFrame functions and Spark ML (JVM) only. Each text is scanned once; what is kept of it
 are the candidate matches with a little context. Offsets count code points: splitting a
@@ -16,7 +20,8 @@ length are scanned in linear time without recursion.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one
 (a null or repeated doc_id does no harm); other columns are ignored; an empty table gives
-an empty result; without candidates, or with only confirmed ones, nothing is added.
+an empty result; without candidates, or with only wrong ones, nothing is added; with only
+right ones there is nothing to tell apart and all are.
 """
 
 from __future__ import annotations
@@ -118,6 +123,21 @@ def _passes(kind: Column, match: Column, digits: Column) -> Column:
     )
 
 
+def _valid(kind: Column, match: Column, digits: Column, right: Column) -> Column:
+    """Whether a proposal passes its kind's check itself; null where the check cannot tell."""
+    address = F.regexp_replace(F.regexp_replace(match, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    abroad = F.regexp_replace(match, "^00", "+")
+    n = F.length(_digits(abroad))
+    whole = ~right.rlike("^[0-9]")
+    return (
+        F.when(kind == KINDS.index("email"), F.when(
+            address.rlike(f"^{BASE['email']}$") & ~right.rlike("^[A-Za-z0-9-]"), True
+        ))
+        .when(kind == KINDS.index("phone"), F.when(~whole | ~n.between(10, 15), False).when(abroad.startswith("+"), True))
+        .otherwise(whole & _passes(kind, match, digits))
+    )
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
     """One row per match: row_no, kind, base, match, left, right, start, end, passes."""
     order = Window.partitionBy("row_no", "base", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,6 +150,7 @@ def candidates(scanned: DataFrame) -> DataFrame:
     ).select(
         "row_no", "kind", "base", "match", "left", "right", "digits",
         (F.col("end") - F.col("size")).alias("start"), "end",
+        F.when(~F.col("base"), _valid(F.col("kind"), F.col("match"), F.col("digits"), F.col("right"))).alias("valid"),
     ).where(~F.col("base") | _passes(F.col("kind"), F.col("match"), F.col("digits")))
 
 
@@ -167,8 +188,9 @@ def with_features(spans: DataFrame) -> DataFrame:
 
 
 def confirmed(proposals: DataFrame, base: DataFrame) -> DataFrame:
-    """`proposals` with `known` (1 where a base span of the kind covers most of it) and `touches`
-    (a base span of any kind overlaps)."""
+    """`proposals` with `touches` (a base span of any kind overlaps) and `known`: 1 where a base span
+    of the kind covers most of it or it is valid itself, 0 where it is not valid or only touched,
+    null where nothing tells. That no base span touches it makes no proposal wrong."""
     hits = base.select(
         "row_no", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("kind").alias("b_kind"),
         (F.floor(F.col("start") / 64)).alias("from"), (F.floor((F.col("end") - 1) / 64)).alias("to"),
@@ -183,21 +205,25 @@ def confirmed(proposals: DataFrame, base: DataFrame) -> DataFrame:
     )
     return proposals.join(marks, own, "left").withColumns({
         "touches": F.col("known").isNotNull(),
-        "known": F.coalesce("known", F.lit(0)).cast("double"),
+        "known": F.when((F.col("known") == 1) | F.col("valid"), 1.0).when(F.col("known").isNotNull() | ~F.col("valid"), 0.0),
     })
 
 
 def added(proposals: DataFrame) -> DataFrame | None:
-    """Proposals that the trees select and no base span touches, or None when there is nothing
-    to learn from. Training and calibration use the MAX_TRAINING proposals of smallest hash."""
+    """Valid proposals that the trees select and no base span touches, or None when there are none to
+    learn from. Training and calibration use the MAX_TRAINING known proposals of smallest hash."""
+    spans = ["row_no", "kind", "start", "end"]
+    free = proposals.where(~F.col("touches") & F.col("valid"))
     sample = stored(
-        proposals.orderBy(F.xxhash64("row_no", "kind", "start"), "row_no", "kind", "start").limit(MAX_TRAINING),
+        proposals.where(F.col("known").isNotNull())
+        .orderBy(F.xxhash64("row_no", "kind", "start"), "row_no", "kind", "start").limit(MAX_TRAINING),
         "pii-sample",
     ).coalesce(1)
     calibrating = F.xxhash64("start", "row_no") % 3 == 0
     train, kept_out = sample.where(~calibrating), sample.where(calibrating)
-    if train.select("known").distinct().count() < 2:
-        return None
+    outcomes = {r["known"] for r in train.select("known").distinct().collect()}
+    if len(outcomes) < 2:
+        return free.select(*spans) if outcomes == {1.0} and proposals.where("known = 0").isEmpty() else None
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="known", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1)
     model = trees.fit(assemble.transform(train))
@@ -217,7 +243,7 @@ def added(proposals: DataFrame) -> DataFrame | None:
     passing = reduce(lambda a, b: a | b, [
         (F.col("kind") == kind) & (F.col("p") >= max(threshold, 0.5)) for kind, threshold in thresholds.items()
     ])
-    return probability(proposals.where(~F.col("touches"))).where(passing).select("row_no", "kind", "start", "end")
+    return probability(free).where(passing).select(*spans)
 
 
 def _listed(spans: Column) -> Column:
@@ -235,7 +261,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = found.where("base").select("row_no", "kind", "start", "end")
     proposals = stored(
         with_features(confirmed(found.where(~F.col("base")), base)).select(
-            "row_no", "kind", "start", "end", "known", "touches", *FEATURES
+            "row_no", "kind", "start", "end", "valid", "known", "touches", *FEATURES
         ),
         "pii-proposals",
     )
