@@ -94,6 +94,15 @@ def test_trees_add_what_the_base_patterns_join_or_do_not_know(documents):
     assert got[302].spans == ""
 
 
+def test_thresholds_of_rare_kinds_come_from_all_rows(documents, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_TRAINING", 90)
+    rows = [(i, f"call +1 (555) 010-99{i % 100:02d} or 2024-01-{i % 18 + 10}") for i in range(1500)]
+    rows += [(2000 + i, f"write to someone{i}@example.com soon") for i in range(60)]
+    rows += [(3000, "write to jane.doe(at)example.com soon")]
+    got = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    assert got[3000].spans == "email:9:32"
+
+
 def test_empty_table_and_no_python(documents):
     assert pii.find(documents([])).count() == 0
     plan = pii.scan(documents([(1, "a@b.c")]))._jdf.queryExecution().executedPlan().toString()

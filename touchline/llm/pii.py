@@ -56,6 +56,8 @@ GENERATORS = {
 CONTEXT = 24
 MAX_TRAINING = 20_000
 PRECISION = 0.99
+#: Probabilities are rounded down to so many steps, which bounds the counts per kind.
+STEPS = 10_000
 TREES, DEPTH = 20, 3
 
 FEATURES = [
@@ -211,16 +213,18 @@ def confirmed(proposals: DataFrame, base: DataFrame) -> DataFrame:
 
 def added(proposals: DataFrame) -> DataFrame | None:
     """Valid proposals that the trees select and no base span touches, or None when there are none to
-    learn from. Training and calibration use the MAX_TRAINING known proposals of smallest hash."""
+    learn from. Training uses the MAX_TRAINING known proposals of smallest hash, two of three by
+    another hash; the thresholds are found from all of the third that is kept out."""
     spans = ["row_no", "kind", "start", "end"]
     free = proposals.where(~F.col("touches") & F.col("valid"))
-    sample = stored(
-        proposals.where(F.col("known").isNotNull())
+    known = proposals.where(F.col("known").isNotNull())
+    calibrating = F.xxhash64("start", "row_no") % 3 == 0
+    train = stored(
+        known.where(~calibrating)
         .orderBy(F.xxhash64("row_no", "kind", "start"), "row_no", "kind", "start").limit(MAX_TRAINING),
         "pii-sample",
     ).coalesce(1)
-    calibrating = F.xxhash64("start", "row_no") % 3 == 0
-    train, kept_out = sample.where(~calibrating), sample.where(calibrating)
+    kept_out = known.where(calibrating)
     outcomes = {r["known"] for r in train.select("known").distinct().collect()}
     if len(outcomes) < 2:
         return free.select(*spans) if outcomes == {1.0} and proposals.where("known = 0").isEmpty() else None
@@ -229,11 +233,13 @@ def added(proposals: DataFrame) -> DataFrame | None:
     model = trees.fit(assemble.transform(train))
 
     def probability(rows: DataFrame) -> DataFrame:
-        return model.transform(assemble.transform(rows)).withColumn("p", vector_to_array("probability")[1])
+        p = vector_to_array("probability")[1]
+        return model.transform(assemble.transform(rows)).withColumn("p", F.floor(p * STEPS) / STEPS)
 
     # The lowest threshold at and above which the kept out proposals are right often enough.
+    counts = probability(kept_out).groupBy("kind", "p").agg(F.count("known").alias("n"), F.sum("known").alias("known"))
     down = Window.partitionBy("kind").orderBy(F.col("p").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    levels = probability(kept_out).select("kind", "p", F.avg("known").over(down).alias("right"))
+    levels = counts.select("kind", "p", (F.sum("known").over(down) / F.sum("n").over(down)).alias("right"))
     thresholds = {
         r["kind"]: r["threshold"]
         for r in levels.where(F.col("right") >= PRECISION).groupBy("kind").agg(F.min("p").alias("threshold")).collect()
