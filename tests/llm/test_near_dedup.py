@@ -83,6 +83,17 @@ def test_one_row_of_each_component_stays(documents, edge_rows):
     assert near_dedup.keep_one(documents([])).count() == near_dedup.deduplicate(documents([])).count() == 0
 
 
+def test_width_and_limit_can_be_chosen(documents):
+    words = [f"w{i}" for i in range(200)]
+    longer, far = ([*words, *(f"x{i}" for i in range(n))] for n in (45, 60))
+    docs = documents([(1, " ".join(words)), (2, " ".join(longer)), (3, " ".join(f"y{i}" for i in range(200)))])
+    apart = documents([(1, " ".join(words)), (2, " ".join(far))])
+    # 196 / 241 = 0.813 and 196 / 256 = 0.766 of the five-word shingles.
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, width=5, link=80).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(apart, width=5, link=80).collect()) == [1, 2]
+    assert near_dedup.keep_one(docs).count() == 3
+
+
 def test_estimates_are_close_for_all_sizes():
     source = np.random.default_rng(8)
     for n, shared in [(20, 18), (300, 200), (5000, 4500), (5000, 50)]:

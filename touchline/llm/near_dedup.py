@@ -1,11 +1,12 @@
 """Near-duplicates by HyperMinHash, every link confirmed on the full sets.
 
-1. Each text becomes its set of hashed word triples. One pass gives `REGISTERS` registers:
+1. Each text becomes its set of hashed shingles of `width` words. One pass gives `REGISTERS` registers:
    the smallest hash of each bucket, kept as a count of leading zeros and `MANTISSA` bits
    after the leading one; empty buckets borrow from others along a fixed random order.
    Rows with equal sets form one class; from here on only one row per class takes part.
 2. `BANDS` bands of `ROWS` registers are hashed; classes that share a band form a bucket.
-   Similarity 0.85 is missed by all 32 bands with a probability below 1e-7.
+   Similarity 0.85 is missed by all 32 bands with a probability below 1e-7, 0.8 with one
+   below 1e-5.
 3. Each bucket names its most central class (most company over all bands) its pivot. The
    registers give every member's similarity to the pivot, corrected for register
    collisions. Members far from it name further pivots among themselves, and so on until
@@ -23,7 +24,7 @@ each with a copy of the pivot. Copies of one text are one class throughout, so a
 thousands costs no more than one aggregation.
 
 Defined results: words are maximal runs of non-white-space, A-Z lower-cased; texts of fewer
-than three words are one shingle; null and empty texts have none and are linked to nothing;
+than `width` words are one shingle; null and empty texts have none and are linked to nothing;
 a component is named by its smallest doc_id (null after all others); of rows with the same
 doc_id and text exactly one stays; other columns pass through `keep_one` unchanged; an
 empty table gives an empty result.
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,21 @@ from touchline.llm.graph import components
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-#: Linked means 100 * intersection >= LINK * union; the symmetric difference of two linked
-#: sets is then at most (100 - LINK) / (100 + LINK) of the sum of their sizes.
-LINK = 85
+#: Words of a shingle, and the limit. Linked means 100 * intersection >= link * union; the
+#: symmetric difference of two linked sets is then at most (100 - link) / (100 + link) of the
+#: sum of their sizes. These are the query's; callers choose others.
+WIDTH, LINK = 3, 85
 #: Members estimated below NEAR to all pivots of a level try the next; below FAR they leave
-#: one. Two linked sets are at most 0.15 apart, so with errors of three standard deviations no
+#: one. Two linked sets are at most 0.2 apart, so with errors of three standard deviations no
 #: pivot can settle one of them and lose the other.
 NEAR, FAR = 0.4, 0.05
+
+
+def near(link: int) -> float:
+    """NEAR for a limit: as much higher as linked sets may be further apart."""
+    return NEAR + (LINK - link) / 100
+
+
 #: A bucket has PIVOTS ** level pivots at each level, so few levels are needed.
 PIVOTS = 4
 SHARE = 64
@@ -70,16 +79,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct hashes of a text's word triples."""
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's runs of `width` words."""
     words = text.lower().split()  # of bytes: A-Z and the six white space characters only
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(words) < 3:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
     digest = xxhash.xxh3_64_intdigest
     h = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-    return np.unique(_mix(_mix(_mix(h[:-2]) + h[1:-1]) + h[2:]))
+    n = len(h) - width + 1
+    return np.unique(_mix(reduce(lambda mixed, i: _mix(mixed) + h[i:n + i], range(1, width), h[:n])))
 
 
 @lru_cache(maxsize=1)
@@ -130,12 +140,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((agree - chance) / (1 - chance), 0, 1)
 
 
-def _sketch_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_stream(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _SKETCH.split(", ")]
     for batch in batches:
         sizes, digests, rows = [], [], []
         for text in batch.column("text").cast(pa.binary()):
-            hashes = shingles(text.as_py() or b"")
+            hashes = shingles(text.as_py() or b"", width)
             sizes.append(len(hashes))
             digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
             rows.append(registers(hashes).tobytes())
@@ -146,13 +156,13 @@ def _sketch_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Identity, set size, set digest and registers of every row. Store it: row numbers are only
     stable once written."""
     return docs.select(
         F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"), whole_text().alias("text"),
-    ).mapInArrow(_sketch_stream, _SKETCH)
+    ).mapInArrow(partial(_sketch_stream, width=width), _SKETCH)
 
 
 # --- buckets and pivots ------------------------------------------------------
@@ -190,7 +200,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "node").join(b, "pivot").mapInArrow(run, "node long, pivot long, similarity double")
 
 
-def _memberships(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _memberships(members: DataFrame, classes: DataFrame, link: int) -> DataFrame:
     """key, node, pivot, weight, similarity: which pivots the members of each bucket follow."""
     columns = ["key", "node", "pivot", "weight", "similarity"]
     levels = []
@@ -213,7 +223,7 @@ def _memberships(members: DataFrame, classes: DataFrame) -> DataFrame:
         levels.append(level.where(F.col("similarity") >= FAR).select(*columns))
         members = stored(
             level.groupBy("key", "node", "centrality").agg(F.max("similarity").alias("nearest"))
-            .where(F.col("nearest") < NEAR).select("key", "node", "centrality"),
+            .where(F.col("nearest") < near(link)).select("key", "node", "centrality"),
             "strays",
         )
         if members.isEmpty():
@@ -237,15 +247,15 @@ def _groups(memberships: DataFrame) -> DataFrame:
 # --- full sets ---------------------------------------------------------------
 
 
-def linked(sizes: int | np.ndarray, difference: int | np.ndarray) -> bool | np.ndarray:
+def linked(sizes: int | np.ndarray, difference: int | np.ndarray, link: int = LINK) -> bool | np.ndarray:
     """Whether sets of these summed sizes and this symmetric difference are linked, in integers."""
-    return (100 + LINK) * difference <= (100 - LINK) * sizes
+    return (100 + link) * difference <= (100 - link) * sizes
 
 
 _DIFFERENCE = "pivot long, node long, n long, n_pivot long, linked boolean, difference array<long>"
 
 
-def _difference_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _difference_stream(batches: Iterator[pa.RecordBatch], width: int, link: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pivot, share), the pivot's own first in each."""
     pivot, at = np.zeros(0, np.uint64), None
     names = [c.split()[0] for c in _DIFFERENCE.split(", ")]
@@ -256,7 +266,7 @@ def _difference_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             *(batch.column(c).to_pylist() for c in ("pivot", "share", "node", "is_pivot")),
             batch.column("text").cast(pa.binary()),
         ):
-            own = shingles(text.as_py() or b"")
+            own = shingles(text.as_py() or b"", width)
             if is_pivot:
                 pivot, at = own, (p, share)
                 continue
@@ -265,7 +275,7 @@ def _difference_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             added = np.setdiff1d(own, pivot, assume_unique=True)
             missing = np.setdiff1d(pivot, own, assume_unique=True)
             size = len(added) + len(missing)
-            for column, value in zip(out, (p, node, len(own), len(pivot), bool(linked(len(own) + len(pivot), size)))):
+            for column, value in zip(out, (p, node, len(own), len(pivot), bool(linked(len(own) + len(pivot), size, link)))):
                 column.append(value)
             lists.append(np.concatenate([added, missing]).view(np.int64))
         offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
@@ -277,7 +287,7 @@ def _difference_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         )
 
 
-def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, link: int) -> DataFrame:
     """Each member's set against its pivot's; what the member adds comes first, what it lacks after."""
     shares = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     members = groups.join(shares, "pivot").select(
@@ -299,31 +309,31 @@ def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> Data
         .select("pivot", "share", "node", "is_pivot", "text")
         .repartition("pivot", "share")
         .sortWithinPartitions("pivot", "share", F.col("is_pivot").desc())
-        .mapInArrow(_difference_stream, _DIFFERENCE)
+        .mapInArrow(partial(_difference_stream, width=width, link=link), _DIFFERENCE)
     )
 
 
-def _verify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_stream(batches: Iterator[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
         both = np.array([
             len(np.setxor1d(np.array(a, np.int64), np.array(b, np.int64), assume_unique=True))
             for a, b in zip(batch.column("d_a").to_pylist(), batch.column("d_b").to_pylist())
         ], dtype=np.int64)
-        keep = pa.array(linked(n, both), pa.bool_())
+        keep = pa.array(linked(n, both, link), pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"]
         )
 
 
-def _links_inside(differences: DataFrame) -> DataFrame:
+def _links_inside(differences: DataFrame, link: int) -> DataFrame:
     """Links between members of a group of which not both are linked to the pivot.
 
     Sets with sizes a and b and differences x and y from the pivot (size p) are linked if
     x + y - 2 * overlap <= r * (a + b). One of the two is not linked to the pivot, so the
     overlap is at least 1, and at least half of y - r * (b - p) for the other one.
     """
-    r = (100 - LINK) / (100 + LINK)
+    r = (100 - link) / (100 + link)
     outside = differences.where(~F.col("linked")).select("pivot").distinct()
     rows = differences.join(outside, "pivot", "left_semi").withColumn("size", F.size("difference"))
     index_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") - F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
@@ -338,7 +348,7 @@ def _links_inside(differences: DataFrame) -> DataFrame:
 
     probes = prefix(rows.where(~F.col("linked")), probe_overlap, "a")
     index = prefix(rows, index_overlap, "b")
-    allowed = F.floor((100 - LINK) * (F.col("n_a") + F.col("n_b")) / (100 + LINK))
+    allowed = F.floor((100 - link) * (F.col("n_a") + F.col("n_b")) / (100 + link))
     overlap = F.ceil((F.col("size_a") + F.col("size_b") - allowed) / 2)
     pairs = probes.join(index, ["pivot", "element"]).where(
         (F.col("node_a") != F.col("node_b"))
@@ -352,16 +362,16 @@ def _links_inside(differences: DataFrame) -> DataFrame:
 
     return pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"]).select(
         "a", "b", "n_a", "n_b", "d_a", "d_b"
-    ).mapInArrow(_verify_stream, "a long, b long")
+    ).mapInArrow(partial(_verify_stream, link=link), "a long, b long")
 
 
 # --- the whole ---------------------------------------------------------------
 
 
-def components_of(docs: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """row_no, doc_id, text_hash, n_shingles, and `head` (unknown, doc_id, row_no), the first row of
     the component, of every row."""
-    sketched = stored(sketches(docs), "sketches")
+    sketched = stored(sketches(docs, width), "sketches")
     classes = stored(
         sketched.where("n_shingles > 0").groupBy("digest").agg(
             F.min(F.struct("row_no", "doc_id", "text_hash", "n_shingles", "registers")).alias("r")
@@ -371,10 +381,10 @@ def components_of(docs: DataFrame) -> DataFrame:
     members = _buckets(classes)
     # Only classes with company take part in what follows.
     company = stored(classes.join(members.select("node").distinct(), "node", "left_semi"), "classes-with-company")
-    groups = stored(_groups(stored(_memberships(members, company), "memberships")), "pivot-groups")
-    differences = stored(_differences(docs, company, groups), "differences")
+    groups = stored(_groups(stored(_memberships(members, company, link), "memberships")), "pivot-groups")
+    differences = stored(_differences(docs, company, groups, width, link), "differences")
     links = differences.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(
-        _links_inside(differences)
+        _links_inside(differences, link)
     )
     roots = components(links)
     rows = stored(
@@ -395,17 +405,17 @@ def components_of(docs: DataFrame) -> DataFrame:
     return rows.join(heads, "root").drop("root")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    return components_of(docs).select(
+    return components_of(docs, width, link).select(
         "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"),
         (F.col("row_no") == F.col("head.row_no")).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """The first row of each component, all its columns as they were."""
-    kept = components_of(docs).where(F.col("row_no") == F.col("head.row_no")).select(
+    kept = components_of(docs, width, link).where(F.col("row_no") == F.col("head.row_no")).select(
         F.struct("doc_id", "text_hash").alias("identity")
     )
     rows = docs.select(

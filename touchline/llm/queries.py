@@ -73,7 +73,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"), width=3, link=85)
 
 
 @query
