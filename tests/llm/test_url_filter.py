@@ -37,6 +37,16 @@ def test_only_evidence_blocks(spark):
     assert once[500].verdict == "allow" and once[500].host_rate < got[1].host_rate
 
 
+def test_a_host_without_labels_has_the_wide_bound_of_the_host_prior(spark):
+    rows = [(i, f"http://h{i % 40}.blogs.io/{i}") for i in range(2000)]
+    # Six hosts of ten are good, the others are not: much spread between hosts, 60 % under the domain.
+    marks = [(i, 1 if i % 40 < 24 else 0, 0) for i in range(2000)]
+    got = run(spark, rows + [(5000, "http://new.blogs.io/"), (5001, "http://new.other.io/")], marks)
+    assert got[39].verdict == "block" and got[0].verdict == "allow"
+    assert got[5000].verdict == got[5001].verdict == "allow"
+    assert abs(got[5000].host_rate - 0.6) < 0.05 and got[5000].host_upper > 0.9
+
+
 def test_edges(spark):
     assert run(spark, [], []) == {}
     got = url_filter.judge(

@@ -5,8 +5,9 @@ labels of the host) and suffix (the last label). Each level's rate is shrunk tow
 level above by a beta-binomial prior: suffix towards all pages, domain towards its suffix,
 host towards its domain. How strongly is estimated for each level from the spread of the
 observed rates (moments of the overdispersion). A host is blocked when the upper posterior
-bound of its good rate is below `min_good`: only evidence blocks, an unknown host inherits
-its domain's rate and a wide bound.
+bound of its good rate is below `min_good`. A host without labelled pages has the host-level
+posterior of no pages: its domain's rate (its suffix's if the domain has none either) with the
+weight of the host prior, so a wide bound.
 
 Defined results: null urls and urls without `://` have empty host and path, and share the
 reputation of the empty host; a page with several labels is good only if all are; pages
@@ -102,8 +103,8 @@ def _shrunk(units: DataFrame, prior: str) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n_labelled, posterior_mean, upper_bound of every host with a labelled page, and of
-    every domain and suffix as `level` domain and suffix, for hosts without any."""
+    """level, unit, mean, upper: the posterior of every host with a labelled page, and, as `level`
+    domain and suffix, of a host without any under every domain and suffix."""
     counts = stored(
         outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum("good").alias("good")), "host-outcomes"
     )
@@ -124,7 +125,15 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     suffixes = stored(suffixes.select("suffix", "suffix_rate", "suffix_alpha", "suffix_beta"), "suffix-rates")
     domains = posterior(domains.join(suffixes, "suffix"), "suffix_rate", "domain")
     domains = stored(domains.select("domain", "domain_rate", "domain_alpha", "domain_beta"), "domain-rates")
-    hosts = posterior(hosts.join(domains, "domain"), "domain_rate", "host")
+    hosts = stored(posterior(hosts.join(domains, "domain"), "domain_rate", "host"), "host-rates")
+    strength = hosts.agg(F.max("strength").alias("strength")).scalar()
+
+    def unlabelled(units: DataFrame, name: str) -> DataFrame:
+        """The posterior of a host of no pages; a domain of no pages has its suffix's rate."""
+        return units.select(
+            name, (strength * F.col(f"{name}_rate")).alias(f"{name}_alpha"),
+            (strength * (1 - F.col(f"{name}_rate"))).alias(f"{name}_beta"),
+        )
 
     def level(units: DataFrame, name: str) -> DataFrame:
         a, b = F.col(f"{name}_alpha"), F.col(f"{name}_beta")
@@ -136,7 +145,8 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         )
 
     return reduce(
-        DataFrame.unionByName, [level(hosts, "host"), level(domains, "domain"), level(suffixes, "suffix")]
+        DataFrame.unionByName,
+        [level(hosts, "host"), level(unlabelled(domains, "domain"), "domain"), level(unlabelled(suffixes, "suffix"), "suffix")],
     )
 
 
