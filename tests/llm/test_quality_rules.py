@@ -60,6 +60,15 @@ def test_documents_unlike_their_language_fail_and_ordinary_ones_stay(spark):
     assert all(good) and sum(bad) < 0.8 * len(bad)
 
 
+def test_short_and_unlisted_documents_are_compared_too(spark, documents):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    salad = " ".join(f"lorem{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70))
+    junk = " ".join(f"#{i}$%{i * 7}|" for i in range(80))
+    more = documents([(-1, salad, "en"), (-2, junk, None), (-3, junk, "xx")]).select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in quality_rules.judge(docs.unionByName(more)).where("doc_id < 0").collect()}
+    assert len(got) == 3 and not any(r.base_failed or r.kept for r in got.values())
+
+
 def test_no_python(documents):
     plan = quality_rules.measure(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan

@@ -3,15 +3,17 @@
 Character classes and common words of a document are histograms; so are those of all
 documents of its language that pass the base rules and are long enough (integer sums, one
 row per language). A document whose Jensen-Shannon distance from either reference is
-larger than its threshold fails. Character classes are compared from `MIN_WORDS` words
-on, common words from `MIN_WORDS_COMPARED`, and languages without a word list not at all.
+larger than its threshold fails. Both are compared from `MIN_WORDS` words on; the threshold
+of common words is larger below `FULL_WORDS`, by what chance adds there. Common words are
+compared in languages with a word list only, character classes in all: a null or rare
+language (fewer than `MIN_DOCUMENTS`, no word list) has the reference of all documents.
 DataFrame functions only: every count is an expression on the row's own text, so nothing is
 exploded or shuffled but the references.
 
 Repeated words are found by sorting 64-bit hashes of the three-word windows.
 
 Defined results: null and empty texts have zero of everything and fail (fewer than 50
-words); a null or unlisted language has no reference and is judged by the base rules;
+words); where no document passes the base rules there is no reference;
 repeated rows are judged alike; other columns are ignored; an empty table gives an empty
 result.
 """
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from touchline.llm.common import NOT_SPACES, SPACES, let, stored, total, whole_text
 
 MIN_WORDS = 50
-#: Word histograms of shorter documents are mostly chance.
-MIN_WORDS_COMPARED = 100
+#: Chance adds about CHANCE / n to the squared distance of a word histogram of n words, with
+#: CHANCE = (13 bins - 1) / (8 ln 2); what this is more than at FULL_WORDS is allowed.
+FULL_WORDS, CHANCE = 100, 2.164
+#: Languages without a word list have a reference of their own from so many documents on.
+MIN_DOCUMENTS = 100
 #: Largest accepted Jensen-Shannon distances (0 to 1, logarithms to base 2).
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.30
@@ -162,48 +167,66 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of two histograms; null if either is empty."""
-    whole = sum(reference)
+def _distance(counts: Column, shares: list[Column]) -> Column:
+    """Jensen-Shannon distance of a histogram from a reference; null if it is empty or there is none."""
     n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
     pieces = []
-    for i, count in enumerate(reference):
-        p, q = counts[i] / n, F.lit(count / whole if whole else 0.0)
+    for i, q in enumerate(shares):
+        p = counts[i] / n
         m = (p + q) / 2
         pieces.append((part(p, m) + part(q, m)) / 2)
-    return F.when((n > 0) & F.lit(whole > 0), F.sqrt(F.greatest(total(pieces), F.lit(0.0))))
+    return F.when((n > 0) & shares[0].isNotNull(), F.sqrt(F.greatest(total(pieces), F.lit(0.0))))
 
 
-def references(measured: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Class and word histograms of each listed language: at most one row per word list."""
-    sizes = {"classes": len(CLASSES), "common": len(next(iter(COMMON_WORDS.values()))) + 1}
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c, n in sizes.items() for i in range(n)]
+def word_references(measured: DataFrame) -> dict[str, list[int]]:
+    """Word histogram of each listed language: at most one row per word list."""
+    size = len(next(iter(COMMON_WORDS.values()))) + 1
+    sums = [F.sum(F.col("common")[i]).alias(str(i)) for i in range(size)]
     rows = measured.where(~base_failed() & F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*sums)
-    return {
-        r["lang"]: tuple([r[f"{c}_{i}"] or 0 for i in range(n)] for c, n in sizes.items())
-        for r in rows.collect()
-    }
+    return {r["lang"]: [r[str(i)] or 0 for i in range(size)] for r in rows.collect()}
+
+
+def class_references(measured: DataFrame) -> tuple[DataFrame, list[int]]:
+    """lang, `reference` (class histogram) of the languages with one of their own, and that of all."""
+    names = [f"c{i}" for i in range(len(CLASSES))]
+    sums = [F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(names)]
+    by_lang = stored(
+        measured.where(~base_failed()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums), "class-references"
+    )
+    everything = by_lang.agg(*[F.sum(c).alias(c) for c in names]).first()
+    own = by_lang.where(F.col("lang").isin(list(COMMON_WORDS)) | (F.col("n") >= MIN_DOCUMENTS))
+    return own.where("lang is not null").select("lang", F.array(*names).alias("reference")), [everything[c] or 0 for c in names]
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document the counts, base_failed, class_distance, word_distance and kept."""
     measured = stored(measure(docs), "text-counts")
-    by_class = by_word = F.lit(None).cast("double")
-    for lang, (classes, common) in references(measured).items():
-        by_class = F.when(F.col("lang") == lang, _distance(F.col("classes"), classes)).otherwise(by_class)
-        by_word = F.when(F.col("lang") == lang, _distance(F.col("common"), common)).otherwise(by_word)
+    by_word = F.lit(None).cast("double")
+    for lang, common in word_references(measured).items():
+        shares = [F.lit(x / sum(common) if sum(common) else None).cast("double") for x in common]
+        by_word = F.when(F.col("lang") == lang, _distance(F.col("common"), shares)).otherwise(by_word)
+    own, everything = class_references(measured)
+    measured = measured.join(F.broadcast(own), "lang", "left").withColumn(
+        "reference", F.coalesce("reference", F.array(*[F.lit(x).cast("long") for x in everything]))
+    )
+    whole = F.aggregate("reference", F.lit(0).cast("long"), lambda a, x: a + x)
+    by_class = _distance(
+        F.col("classes"), [F.when(whole > 0, F.col("reference")[i] / whole) for i in range(len(CLASSES))]
+    )
     guarded = F.col("n_words") >= MIN_WORDS
     judged = measured.withColumns({
         "base_failed": base_failed(),
         "class_distance": F.when(guarded, by_class),
-        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_COMPARED, by_word),
+        "word_distance": F.when(guarded, by_word),
     })
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (
-        F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
+        F.coalesce("word_distance", F.lit(0.0)) > F.sqrt(MAX_WORD_DISTANCE ** 2 + CHANCE * (
+            1 / F.greatest(F.least("n_words", F.lit(FULL_WORDS)), F.lit(1)) - 1 / FULL_WORDS
+        ))
     )
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
