@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import (
     chat_format,
+    divergence,
     exact_dedup,
+    importance,
     mixing,
     near_dedup,
     pieces,
@@ -16,6 +18,7 @@ from touchline.llm import (
     quality_classifier,
     quality_rules,
     token_files,
+    topk,
     url_filter,
 )
 from touchline.llm.common import stored, table
@@ -85,3 +88,18 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
