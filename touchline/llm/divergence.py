@@ -3,21 +3,21 @@
 Terms are runs of ASCII letters and of everything beyond ASCII, A-Z lower-cased. A first pass
 counts in how many documents of a language each term occurs, exactly, and keeps those with
 `MIN_DOCUMENTS` or more. The kept terms of a language are split by hash into shards of
-about `SHARD` terms; each shard becomes a minimal perfect hash in a task of its own
+about `shard` terms; each shard becomes a minimal perfect hash in a task of its own
 (buckets of a few terms, the largest first, each with the first displacement that finds
 only free slots; buckets of one term name their slot). With the terms stored beside their
 slots, a lookup is one displacement, one slot and one comparison, and a term that was not
 kept is recognised by the comparison. The second pass counts again, now into dense arrays,
 one slot per kept term and one array per (language, source), and sends on what is not zero.
 
-Shards are broadcast in rounds of at most `ROUND_BYTES` of terms, each round a pass over the
+Shards are broadcast in rounds of at most `round_bytes` of terms, each round a pass over the
 texts: one for vocabularies up to that size, more beyond it, so memory is bounded and
 nothing is left out. A task passes its counts on and starts anew whenever they fill
-`TASK_BYTES` (first pass) or `TASK_SLOTS` (second).
+`task_bytes` (first pass) or `task_slots` (second).
 
 A group's distribution over the V kept terms of its language, in units of 1e-9 and smoothed,
 is p = 1 + floor(10^9 (count + 5) / (N + 5 V)), with N the sum of its counts. Distances
-between sources are summed over tiles of (`SOURCES` sources, `SOURCES` sources, `TERMS`
+between sources are summed over tiles of (`sources` sources, `sources` sources, `terms`
 terms): terms of a hot language spread over many tiles, and no tile grows with the input.
 All arithmetic is on whole numbers.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,12 +45,26 @@ from touchline.llm.common import stored, whole_text
 MIN_DOCUMENTS = 30
 #: Smoothing added to every count, the unit of shares, ranks reported of terms.
 SMOOTHING, UNIT, TOP_TERMS = 5, 1_000_000_000, 50
-#: Terms in a shard, about; terms in an average bucket of its hash; bytes of terms broadcast at once.
-SHARD, PER_BUCKET, ROUND_BYTES = 1 << 15, 4, 64 << 20
-#: What a task holds before it passes counts on: bytes of terms, slots.
-TASK_BYTES, TASK_SLOTS = 32 << 20, 1 << 23
-#: Sources and terms of a tile.
-SOURCES, TERMS = 256, 512
+#: Terms in an average bucket of a perfect hash.
+PER_BUCKET = 4
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What tasks hold; results do not depend on it."""
+
+    #: Terms in a shard, about, and bytes of terms broadcast at once.
+    shard: int = 1 << 12
+    round_bytes: int = 64 << 20
+    #: What a task holds before it passes counts on: bytes of terms, slots.
+    task_bytes: int = 32 << 20
+    task_slots: int = 1 << 23
+    #: Sources and terms of a tile.
+    sources: int = 256
+    terms: int = 512
+
+
+LIMITS = Limits()
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MASK = (1 << 64) - 1
@@ -136,39 +151,42 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[b
             yield lang.as_py(), source.as_py(), terms(text.as_py())
 
 
-def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = defaultdict(Counter)
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n"],
-            )
-        held.clear()
-
-    for lang, _, words in _texts(batches):
-        counts = held[lang]
-        before = len(counts)
-        once = set(words)
-        counts.update(once)
-        # New terms of this text are at most all of its bytes and a little for each.
-        if len(counts) > before:
-            size += (len(counts) - before) * (100 + sum(map(len, once)) // len(once))
-        if size > TASK_BYTES:
-            yield from flush()
-            size = 0
-    yield from flush()
+def _document_frequency(limits: Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = defaultdict(Counter)
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
+                     pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n"],
+                )
+            held.clear()
+
+        for lang, _, words in _texts(batches):
+            counts = held[lang]
+            before = len(counts)
+            once = set(words)
+            counts.update(once)
+            if len(counts) > before:
+                # About 100 bytes for each new term beside its own.
+                size += (len(counts) - before) * (100 + sum(map(len, once)) // len(once))
+            if size > limits.task_bytes:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     return docs.select(*[whole_text(c).cast("string").alias(c) for c in ("lang", "source", "text")])
 
 
-def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, limits: Limits = LIMITS) -> DataFrame:
     """lang, term of the terms in at least `min_documents` documents of the language."""
-    counted = _grouped(docs).mapInArrow(_document_frequency, "lang string, term string, n long")
+    counted = _grouped(docs).mapInArrow(_document_frequency(limits), "lang string, term string, n long")
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).select(
         "lang", "term"
     )
@@ -197,12 +215,12 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], [*batch.schema.names, "shard"])
 
 
-def perfect_hashes(vocabulary: DataFrame) -> DataFrame:
+def perfect_hashes(vocabulary: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """One row per shard: lang, shard, shards (of the language), n, size, seed, displacements, terms, start.
 
     `start` is the language's first slot of the shard, so that its slots run from 0 to V - 1.
     """
-    sizes = vocabulary.groupBy("lang").agg((F.count(F.lit(1)) / SHARD).cast("long").alias("shards"))
+    sizes = vocabulary.groupBy("lang").agg((F.count(F.lit(1)) / limits.shard).cast("long").alias("shards"))
     sharded = vocabulary.join(sizes.withColumn("shards", F.col("shards") + 1), "lang").mapInArrow(
         _sharded, "lang string, term string, shards long, shard long"
     )
@@ -214,7 +232,7 @@ def perfect_hashes(vocabulary: DataFrame) -> DataFrame:
     return stored(built.join(starts, ["lang", "shard"]), "perfect-hashes")
 
 
-def _recount(shared):
+def _recount(shared, limits: Limits):
     """Counts of the broadcast shards' terms in dense arrays per (lang, source)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, tuple[int, dict]] = {}
@@ -242,7 +260,7 @@ def _recount(shared):
         def add(lang: str, source: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
             shards, hashes = by_lang[lang]
             if (lang, source) not in dense:
-                if (sum(map(len, dense.values())) + widths[lang]) > TASK_SLOTS:
+                if (sum(map(len, dense.values())) + widths[lang]) > limits.task_slots:
                     yield from flush()
                 dense[lang, source] = np.zeros(widths[lang], dtype=np.int64)
             counts = dense[lang, source]
@@ -280,34 +298,34 @@ def _recount(shared):
     return run
 
 
-def _rounds(hashes: DataFrame) -> list[list[tuple[str, int]]]:
-    """First and last shard of each round of at most ROUND_BYTES, in order of (lang, shard)."""
+def _rounds(hashes: DataFrame, limits: Limits) -> list[list[tuple[str, int]]]:
+    """First and last shard of each round of at most `round_bytes`, in order of (lang, shard)."""
     rounds, size = [], 0
     for row in hashes.select("lang", "shard", "size").orderBy("lang", "shard").toLocalIterator():
         shard = (row["lang"], row["shard"])
         size += row["size"]
-        if not rounds or size > ROUND_BYTES:
+        if not rounds or size > limits.round_bytes:
             rounds.append([shard, shard])
             size = row["size"]
         rounds[-1][1] = shard
     return rounds
 
 
-def recount(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+def recount(docs: DataFrame, hashes: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """lang, source, slot, n: occurrences of every kept term in every group that has it."""
     spark = docs.sparkSession
     texts = _grouped(docs)
     schema = "lang string, source string, slot long, n long"
     counted = []
-    for bounds in _rounds(hashes):
+    for bounds in _rounds(hashes, limits):
         first, last = (F.struct(F.lit(lang).alias("lang"), F.lit(shard).cast("long").alias("shard"))
                        for lang, shard in bounds)
-        rows = hashes.where(F.struct("lang", "shard").between(first, last)).collect()  # ROUND_BYTES at most
+        rows = hashes.where(F.struct("lang", "shard").between(first, last)).collect()  # round_bytes at most
         shared = spark.sparkContext.broadcast([
             (r["lang"], r["shard"], r["shards"], r["seed"], bytes(r["displacements"]), [t.encode() for t in r["terms"]],
              r["start"]) for r in rows
         ])
-        found = texts.mapInArrow(_recount(shared), schema).groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
+        found = texts.mapInArrow(_recount(shared, limits), schema).groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
         counted.append(stored(found, "recount"))
         shared.destroy()
     if not counted:
@@ -336,41 +354,44 @@ def _share_column(count, n, v):
     return F.call_function("div", product, whole.cast("decimal(38,0)")) + 1
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums of |p - q| over one tile's terms, for its sources of the first block against those of the second.
+def _tile(limits: Limits):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Sums of |p - q| over one tile's terms, for its sources of the first block against those of the second.
+
+        Rows with slot -1 name a source and its N; the others its count of a term.
+        """
+        v, first, second = int(rows["v"].iloc[0]), int(rows["first"].iloc[0]), int(rows["second"].iloc[0])
+        named = rows[rows["slot"] < 0]
+        place = dict(zip(named["member"], range(len(named))))
+        totals = named["n"].to_numpy()
+        counts = rows[rows["slot"] >= 0]
+        term_at = int(rows["tile"].iloc[0]) * limits.terms
+        width = min(limits.terms, v - term_at)
+        table = np.zeros((len(named), width), dtype=np.int64)
+        table[counts["member"].map(place).to_numpy(dtype=np.int64), counts["slot"].to_numpy() - term_at] = counts["n"].to_numpy()
+        p = _share(table, totals[:, None], v)
+        members = named["member"].to_numpy()
+        left, right = (np.flatnonzero(members // limits.sources == block) for block in (first, second))
+        sums = np.zeros((len(left), len(right)), dtype=np.int64)
+        for i, source in enumerate(left):
+            sums[i] = np.abs(p[right] - p[source]).sum(axis=1)
+        a, b = np.nonzero(left[:, None] != right[None, :])
+        return pd.DataFrame({
+            "lang": rows["lang"].iloc[0], "a": members[left[a]], "b": members[right[b]], "value": sums[a, b],
+        })
 
-    Rows with slot -1 name a source and its N; the others its count of a term.
-    """
-    v, first, second = int(rows["v"].iloc[0]), int(rows["first"].iloc[0]), int(rows["second"].iloc[0])
-    named = rows[rows["slot"] < 0]
-    place = dict(zip(named["member"], range(len(named))))
-    totals = named["n"].to_numpy()
-    counts = rows[rows["slot"] >= 0]
-    term_at = int(rows["tile"].iloc[0]) * TERMS
-    width = min(TERMS, v - term_at)
-    table = np.zeros((len(named), width), dtype=np.int64)
-    table[counts["member"].map(place).to_numpy(dtype=np.int64), counts["slot"].to_numpy() - term_at] = counts["n"].to_numpy()
-    p = _share(table, totals[:, None], v)
-    members = named["member"].to_numpy()
-    left, right = (np.flatnonzero(members // SOURCES == block) for block in (first, second))
-    sums = np.zeros((len(left), len(right)), dtype=np.int64)
-    for i, source in enumerate(left):
-        sums[i] = np.abs(p[right] - p[source]).sum(axis=1)
-    a, b = np.nonzero(left[:, None] != right[None, :])
-    return pd.DataFrame({
-        "lang": rows["lang"].iloc[0], "a": members[left[a]], "b": members[right[b]], "value": sums[a, b],
-    })
+    return run
 
 
-def _distances(groups: DataFrame, counts: DataFrame) -> DataFrame:
+def _distances(groups: DataFrame, counts: DataFrame, limits: Limits) -> DataFrame:
     """lang, a, b, value of every two different sources a, b of a language, both ways."""
-    blocks = groups.groupBy("lang", "v").agg(F.floor(F.max("member") / SOURCES).alias("last"))
-    own = F.floor(F.col("member") / SOURCES)
+    blocks = groups.groupBy("lang", "v").agg(F.floor(F.max("member") / limits.sources).alias("last"))
+    own = F.floor(F.col("member") / limits.sources)
     # (first, second) of all tiles a source takes part in: its block against each, once per pair of blocks.
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda other: F.struct(
         F.least(own, other).alias("first"), F.greatest(own, other).alias("second")
     ))
-    tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / TERMS))
+    tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("v") - 1) / limits.terms))
     columns = ["lang", "v", "tile", "member", "slot", "n", "pair.first", "pair.second"]
     named = (
         groups.join(blocks.select("lang", "last"), "lang").where("v > 0")
@@ -380,25 +401,27 @@ def _distances(groups: DataFrame, counts: DataFrame) -> DataFrame:
     )
     placed = (
         counts.join(blocks.select("lang", "last"), "lang")
-        .select("lang", "v", "member", "slot", F.col("count").alias("n"), F.floor(F.col("slot") / TERMS).alias("tile"),
+        .select("lang", "v", "member", "slot", F.col("count").alias("n"), F.floor(F.col("slot") / limits.terms).alias("tile"),
                 F.explode(pairs).alias("pair")).select(*columns)
     )
     sums = (
         named.unionByName(placed).groupBy("lang", "tile", "first", "second")
-        .applyInPandas(_tile, "lang string, a long, b long, value long")
+        .applyInPandas(_tile(limits), "lang string, a long, b long, value long")
     )
     # Blocks against themselves give both directions, others one.
     return sums.unionByName(
-        sums.where(F.floor(F.col("a") / SOURCES) != F.floor(F.col("b") / SOURCES))
+        sums.where(F.floor(F.col("a") / limits.sources) != F.floor(F.col("b") / limits.sources))
         .select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
     ).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top_terms: int = TOP_TERMS) -> DataFrame:
+def audit(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top_terms: int = TOP_TERMS, limits: Limits = LIMITS
+) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the language's other sources (part `pair`),
     and the terms a source uses more than its language (part `term`)."""
-    hashes = perfect_hashes(stored(kept_terms(docs, min_documents), "kept-terms"))
-    counts = recount(docs, hashes)
+    hashes = perfect_hashes(stored(kept_terms(docs, min_documents, limits), "kept-terms"), limits)
+    counts = recount(docs, hashes, limits)
     sizes = hashes.groupBy("lang").agg(F.sum("n").alias("v"))
     occurring = stored(_grouped(docs).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")), "groups")
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
@@ -414,7 +437,7 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top_terms: int =
     names = groups.select("lang", "member", "source", "v")
     a, b = (names.select("lang", F.col("member").alias(x), F.col("source").alias(f"{x}_source")) for x in "ab")
     by_source = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    measured = _distances(groups, placed).join(a, ["lang", "a"]).join(b, ["lang", "b"]).select(
+    measured = _distances(groups, placed, limits).join(a, ["lang", "a"]).join(b, ["lang", "b"]).select(
         "lang", F.col("a_source").alias("source"), F.col("b_source").alias("item"), "value"
     )
     # Languages without kept terms: every two of their sources, at distance 0.
