@@ -114,3 +114,38 @@ def test_estimates_are_close_for_all_sizes():
 def test_words_are_lowered_in_ascii_only():
     assert near_dedup.shingles("ABC D E".encode()).tolist() == near_dedup.shingles("abc\nd  e".encode()).tolist()
     assert near_dedup.shingles("Ä b c".encode()).tolist() != near_dedup.shingles("ä b c".encode()).tolist()
+
+
+def unlinked_relatives(documents, n):
+    """Texts that share half of their words as one passage, so every two are alike and none are linked."""
+    source = random.Random(n)
+    shared = " ".join(f"s{i}" for i in range(60))
+    return documents([
+        (i, f"{shared} " + " ".join(f"u{source.randrange(10**9)}" for _ in range(60))) for i in range(n)
+    ])
+
+
+def test_work_on_relatives_that_are_not_linked_grows_in_proportion(documents):
+    made = {}
+    for n in (200, 400, 800):
+        docs = unlinked_relatives(documents, n)
+        sketched = near_dedup.stored(near_dedup.sketches(docs), "test-sketches")
+        classes = near_dedup.stored(sketched.withColumn("node", sketched["row_no"]), "test-classes")
+        members = near_dedup._buckets(classes)
+        made[n] = near_dedup._groups(members, classes, 85).count()
+    # Twice the documents may not make much more than twice the rows.
+    assert made[400] <= 3 * made[200] + 200 and made[800] <= 3 * made[400] + 200, made
+
+
+def test_registers_borrow_alike_on_both_ways():
+    source = np.random.default_rng(5)
+    order, _ = near_dedup._lenders()
+    for n in (1, 2, 30, 59, 60, 61, 90, 150, 400, 3000):
+        hashes = np.unique(source.integers(0, 2**64, n, dtype=np.uint64))
+        got = near_dedup.registers(hashes)
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(near_dedup.REGISTERS)) >> np.uint64(32)
+        own = set(bucket.tolist())
+        for i in range(near_dedup.REGISTERS):
+            if i not in own:
+                lender = next(j for j in order[i] if j in own)
+                assert got[i] == got[lender]

@@ -5,23 +5,28 @@
    after the leading one; empty buckets borrow from others along a fixed random order.
    Rows with equal sets form one class; from here on only one row per class takes part.
 2. `BANDS` bands of `ROWS` registers are hashed; classes that share a band form a bucket.
-   Similarity 0.85 is missed by all 32 bands with a probability below 1e-7, 0.8 with one
+   Similarity 0.85 is missed by all 40 bands with a probability below 1e-8, 0.8 with one
    below 1e-5.
-3. Each bucket names its most central class (most company over all bands) its pivot. The
-   registers give every member's similarity to the pivot, corrected for register
-   collisions. Members far from it name further pivots among themselves, and so on until
-   none is left, so each member ends up near some pivot. Followers of a pivot who all share
-   another, more central one add nothing.
-4. Each member's full set is compared with its pivot's: that confirms or refutes their link
-   and leaves the difference of the two sets. Two members that are not both linked to the
+3. Every class finds a home: the most central class (most company over all bands) that is
+   estimated `NEAR` to it, tried bucket by bucket and, as homes have homes, again for a few
+   rounds. Estimates are corrected for register collisions.
+4. The pivot of a bucket is the most central home of its members, mostly that of all of them,
+   so a family of thousands has one pivot however many buckets it fills. Members within
+   `far` of the pivot follow it. Those not near it are dealt to buckets anew, inside the old
+   one, by bands of the registers in another order: linked sets meet again, while of
+   unrelated ones, which share a band because they share a passage, few do. That repeats until
+   no bucket is left; in each, those at home with the pivot are settled.
+5. Each follower's full set is compared with its pivot's: that confirms or refutes their link
+   and leaves the difference of the two sets. Two followers that are not both linked to the
    pivot can only be linked if their differences overlap by an amount that their sizes
    tell; a prefix join on the differences, in a fixed order, finds those pairs without
    listing the pairs of a group, and each is confirmed on the full differences.
-5. Components of the confirmed links, and one row per input row again.
+6. Components of the confirmed links, and one row per input row again.
 
-Pivots of large groups are salted: a group is dealt to tasks in shares of `SHARE` members,
-each with a copy of the pivot. Copies of one text are one class throughout, so a group of
-thousands costs no more than one aggregation.
+Large groups are salted: a group is dealt to tasks in shares of `SHARE` members, each with a
+copy of the pivot. Copies of one text are one class throughout, so a group of thousands
+costs no more than one aggregation. What is emitted before the prefix join is a row per class
+and band, and per stray and band, never a pair of members.
 
 Defined results: words are maximal runs of non-white-space, A-Z lower-cased; texts of fewer
 than `width` words are one shingle; null and empty texts have none and are linked to nothing;
@@ -45,26 +50,28 @@ from pyspark.sql import functions as F
 from touchline.llm.common import stored, whole_text
 from touchline.llm.graph import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Words of a shingle, and the limit. Linked means 100 * intersection >= link * union; the
 #: symmetric difference of two linked sets is then at most (100 - link) / (100 + link) of the
 #: sum of their sizes. These are the query's; callers choose others.
 WIDTH, LINK = 3, 85
-#: Members estimated below NEAR to all pivots of a level try the next; below FAR they leave
-#: one. Two linked sets are at most 0.2 apart, so with errors of three standard deviations no
-#: pivot can settle one of them and lose the other.
-NEAR, FAR = 0.4, 0.05
+#: Members estimated below NEAR to a pivot try further ones.
+NEAR = 0.6
 
 
-def near(link: int) -> float:
-    """NEAR for a limit: as much higher as linked sets may be further apart."""
-    return NEAR + (LINK - link) / 100
+def far(link: int) -> float:
+    """Below this estimate a member cannot be linked to one that is near the pivot.
+
+    Linked sets are at most (100 - link) / 100 further from it, and their two estimates differ in
+    the registers they do not share only: 0.13 is more than four standard deviations.
+    """
+    return NEAR - (100 - link) / 100 - 0.13
 
 
-#: A bucket has PIVOTS ** level pivots at each level, so few levels are needed.
-PIVOTS = 4
+#: Rounds in which classes look for a more central home; fewer only mean more pivots.
+HOME_ROUNDS = 4
 SHARE = 64
 
 _SKETCH = "row_no long, doc_id long, text_hash long, n_shingles long, digest binary, registers binary"
@@ -93,10 +100,12 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _lenders() -> np.ndarray:
-    """For each register, the order in which it asks the others when its bucket is empty."""
+def _lenders() -> tuple[np.ndarray, np.ndarray]:
+    """For each register, the order in which it asks the others when its bucket is empty, and the
+    place of every other in that order."""
     random = np.random.default_rng(20)
-    return np.stack([random.permutation(REGISTERS) for _ in range(REGISTERS)])
+    order = np.stack([random.permutation(REGISTERS) for _ in range(REGISTERS)])
+    return order, np.argsort(order, axis=1)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -114,10 +123,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     at = bucket[first].astype(np.int64)
     found[at] = zeros * (1 << MANTISSA) + mantissa
     full[at] = True
-    if not full.all():
-        lenders = _lenders()
-        chosen = lenders[np.arange(REGISTERS), full[lenders].argmax(axis=1)]
-        found = np.where(full, found, found[chosen])
+    if len(at) <= REGISTERS // 4:
+        order, places = _lenders()
+        found = np.where(full, found, found[at[places[:, at].argmin(axis=1)]])
+    elif len(at) < REGISTERS:
+        order, places = _lenders()
+        given, asking, asked = found.copy(), np.flatnonzero(~full), 0
+        while len(asking):
+            lender = order[asking, asked]
+            lends = full[lender]
+            given[asking[lends]] = found[lender[lends]]
+            asking, asked = asking[~lends], asked + 1
+        found = given
     return found
 
 
@@ -168,15 +185,36 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 # --- buckets and pivots ------------------------------------------------------
 
 
+def _shared(keys: DataFrame, label: str) -> DataFrame:
+    """key, size, node of the keys that several nodes have."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stored(keys.join(sizes, "key"), label)
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, node, centrality of the classes that share a band with another class."""
+    """key, size, node of the classes that share a band with another class."""
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)) for b in range(BANDS)]
-    all_keys = classes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(all_keys.join(shared, "key"), "band-members")
-    company = members.groupBy("node").agg(F.sum("size").alias("centrality"))
-    return stored(members.drop("size").join(company, "node"), "band-members")
+    return _shared(classes.select("node", F.explode(F.array(*keys)).alias("key")), "band-members")
+
+
+def _dealt_anew(strays: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """Strays of a bucket in buckets inside it, by bands of the registers in the level's own order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.random.default_rng(level).permutation(REGISTERS)
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            bands = rows[:, order].reshape(-1, BANDS, ROWS).astype(np.uint64)
+            mixed = batch.column("key").to_numpy().view(np.uint64)[:, None] + np.arange(BANDS, dtype=np.uint64)
+            for i in range(ROWS):
+                mixed = _mix(mixed) + bands[:, :, i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_mix(mixed).ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))],
+                ["key", "node"],
+            )
+
+    registers_of = classes.select("node", "registers")
+    return _shared(strays.join(registers_of, "node").mapInArrow(run, "key long, node long"), "strays")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,48 +238,56 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "node").join(b, "pivot").mapInArrow(run, "node long, pivot long, similarity double")
 
 
-def _memberships(members: DataFrame, classes: DataFrame, link: int) -> DataFrame:
-    """key, node, pivot, weight, similarity: which pivots the members of each bucket follow."""
-    columns = ["key", "node", "pivot", "weight", "similarity"]
-    levels = []
-    while True:
-        first = Window.partitionBy("key").orderBy(F.col("centrality").desc(), "node")
-        pivots = stored(
-            members.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS ** len(levels))
-            .select("key", F.col("node").alias("pivot"), F.col("centrality").alias("weight")),
-            "pivots",
+def _pivots(members: DataFrame, homes: DataFrame) -> DataFrame:
+    """key, node, and the bucket's pivot with its weight: the most central home of the members."""
+    best = members.join(homes, "node").groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("home")).alias("minus"))).alias("best")
+    )
+    return members.select("key", "node").join(best, "key").select(
+        "key", "node", (-F.col("best.minus")).alias("pivot"), F.col("best.weight").alias("weight")
+    )
+
+
+def _homes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, home, weight: the most central class found near each, itself if there is none."""
+    homes = stored(
+        members.groupBy("node").agg(F.sum("size").alias("weight")).withColumn("home", F.col("node")), "homes"
+    )
+    for _ in range(HOME_ROUNDS):
+        tried = _pivots(members, homes).select("node", "pivot", F.col("weight").alias("pivot_weight")).distinct()
+        more_central = F.struct("pivot_weight", -F.col("pivot")) > F.struct("weight", -F.col("home"))
+        pairs = stored(tried.join(homes, "node").where(more_central).select("node", "pivot", "pivot_weight"), "homes-tried")
+        near = _estimated(pairs.select("node", "pivot"), classes).where(F.col("similarity") >= NEAR)
+        found = pairs.join(near, ["node", "pivot"]).groupBy("node").agg(
+            F.max(F.struct("pivot_weight", (-F.col("pivot")).alias("minus"))).alias("best")
         )
-        followers = members.join(pivots, "key")
-        pairs = followers.where("node != pivot").select("node", "pivot").distinct()
+        moved = stored(found, "homes-found")
+        if moved.isEmpty():
+            break
+        homes = stored(homes.join(moved, "node", "left").select(
+            "node", F.coalesce("best.pivot_weight", "weight").alias("weight"),
+            F.coalesce(-F.col("best.minus"), F.col("home")).alias("home"),
+        ), "homes")
+    return homes
+
+
+def _groups(members: DataFrame, classes: DataFrame, link: int) -> DataFrame:
+    """pivot, node: the followers of each pivot. Any two linked classes are in a group together, or
+    one of them is the other's pivot."""
+    homes = _homes(members, classes)
+    found, level = [], 0
+    while True:
+        dealt = stored(_pivots(members, homes).select("key", "node", "pivot"), "followers")
+        pairs = dealt.where("node != pivot").select("node", "pivot").distinct()
         estimates = stored(_estimated(pairs, classes), "estimates")
-        level = stored(
-            followers.join(estimates, ["node", "pivot"], "left").withColumn(
-                "similarity", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("similarity"))
-            ),
-            "followers",
-        )
-        levels.append(level.where(F.col("similarity") >= FAR).select(*columns))
-        members = stored(
-            level.groupBy("key", "node", "centrality").agg(F.max("similarity").alias("nearest"))
-            .where(F.col("nearest") < near(link)).select("key", "node", "centrality"),
-            "strays",
-        )
+        found.append(estimates.where(F.col("similarity") >= far(link)).select("pivot", "node"))
+        strays = dealt.where("node != pivot").join(
+            estimates.where(F.col("similarity") < NEAR), ["node", "pivot"], "left_semi"
+        ).select("key", "node")
+        level += 1
+        members = _dealt_anew(strays, classes, level)
         if members.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-
-
-def _groups(memberships: DataFrame) -> DataFrame:
-    """pivot, node: each member with its home, and all followers of a pivot in a bucket where their
-    homes differ."""
-    homes = memberships.groupBy("node").agg(
-        F.max(F.struct((F.col("similarity") >= 0.5).alias("close"), "weight", (-F.col("pivot")).alias("minus"))).alias("h")
-    ).select("node", (-F.col("h.minus")).alias("home"))
-    settled = stored(memberships.join(homes, "node"), "homes")
-    mixed = settled.groupBy("key", "pivot").agg(
-        F.min("home").alias("least"), F.max("home").alias("most")
-    ).where("least != most").select("key", "pivot")
-    strays = settled.join(mixed, ["key", "pivot"], "left_semi").select("pivot", "node")
-    return settled.select(F.col("home").alias("pivot"), "node").unionByName(strays).where("pivot != node").distinct()
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 # --- full sets ---------------------------------------------------------------
@@ -252,7 +298,7 @@ def linked(sizes: int | np.ndarray, difference: int | np.ndarray, link: int = LI
     return (100 + link) * difference <= (100 - link) * sizes
 
 
-_DIFFERENCE = "pivot long, node long, n long, n_pivot long, linked boolean, difference array<long>"
+_DIFFERENCE = "pivot long, share long, node long, n long, n_pivot long, linked boolean, difference array<long>"
 
 
 def _difference_stream(batches: Iterator[pa.RecordBatch], width: int, link: int) -> Iterator[pa.RecordBatch]:
@@ -275,13 +321,13 @@ def _difference_stream(batches: Iterator[pa.RecordBatch], width: int, link: int)
             added = np.setdiff1d(own, pivot, assume_unique=True)
             missing = np.setdiff1d(pivot, own, assume_unique=True)
             size = len(added) + len(missing)
-            for column, value in zip(out, (p, node, len(own), len(pivot), bool(linked(len(own) + len(pivot), size, link)))):
+            for column, value in zip(out, (p, share, node, len(own), len(pivot), bool(linked(len(own) + len(pivot), size, link)))):
                 column.append(value)
             lists.append(np.concatenate([added, missing]).view(np.int64))
         offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *lists])
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.bool_()),
+            [*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_()),
              pa.ListArray.from_arrays(offsets, values)],
             names,
         )
@@ -335,7 +381,9 @@ def _links_inside(differences: DataFrame, link: int) -> DataFrame:
     """
     r = (100 - link) / (100 + link)
     outside = differences.where(~F.col("linked")).select("pivot").distinct()
-    rows = differences.join(outside, "pivot", "left_semi").withColumn("size", F.size("difference"))
+    # Met share by share, so that a large group is not gathered.
+    shares = differences.select("pivot", "share").distinct().join(outside, "pivot")
+    rows = differences.join(shares, ["pivot", "share"], "left_semi").withColumn("size", F.size("difference"))
     index_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") - F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
     probe_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") + F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
 
@@ -381,7 +429,7 @@ def components_of(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> Data
     members = _buckets(classes)
     # Only classes with company take part in what follows.
     company = stored(classes.join(members.select("node").distinct(), "node", "left_semi"), "classes-with-company")
-    groups = stored(_groups(stored(_memberships(members, company, link), "memberships")), "pivot-groups")
+    groups = stored(_groups(members, company, link), "pivot-groups")
     differences = stored(_differences(docs, company, groups, width, link), "differences")
     links = differences.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(
         _links_inside(differences, link)
