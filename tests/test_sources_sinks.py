@@ -5,9 +5,9 @@ import pytest
 from builders import P, at, clicks, conversions, impressions
 from pyspark.sql import functions as F
 
-from touchline.plans import campaign_mart
+from touchline.plans import campaign_mart, quality
 from touchline.session import shared_dir
-from touchline.sources import readers, schemas, sinks
+from touchline.sources import documents, readers, schemas, sinks
 
 
 def test_csv_header_in_any_order(spark, folder):
@@ -98,6 +98,19 @@ def test_catalog_table_keeps_its_history(spark):
     assert dates_of(spark.table("mart_history")) == want
 
 
+def test_catalog_table_keeps_its_history_under_the_default_overwrite_mode(spark):
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "STATIC")
+    try:
+        sinks.save_by_date(daily_mart(spark, 1.0, [20, 21, 22]), "mart_static")
+        sinks.save_by_date(daily_mart(spark, 2.0, [22]), "mart_static", F.to_date(F.lit("2024-01-22")))
+        assert spark.conf.get(mode) == "STATIC"
+    finally:
+        spark.conf.set(mode, before)
+    assert dates_of(spark.table("mart_static")) == {"2024-01-20": 1.0, "2024-01-21": 1.0, "2024-01-22": 2.0}
+
+
 def test_catalog_mart_prunes_partitions(spark):
     sinks.save_by_date(daily_mart(spark, 1.0), "mart_by_date")
     one = spark.table("mart_by_date").where(F.col("event_date") == F.to_date(F.lit("2024-01-25")))
@@ -125,3 +138,33 @@ def test_json_documents_are_nested(spark, folder):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_write_that_fails_its_checks_leaves_the_table(spark, folder):
+    path = f"{folder}/mart"
+    checks = quality.write_checks(P, ["campaign_id"], {"spend": (0.0, 10.0)})
+    sinks.write_checked(daily_mart(spark, 1.0, [20, 21]), path, checks)
+    with pytest.raises(sinks.Refused, match="spend_out_of_range is 1") as refused:
+        sinks.write_checked(daily_mart(spark, 99.0, [21, 22]), path, checks)
+    assert refused.value.failed == {"spend_out_of_range": (1.0, 0.0)}
+    assert dates_of(spark.read.parquet(path)) == {"2024-01-20": 1.0, "2024-01-21": 1.0}
+    sinks.write_checked(daily_mart(spark, 2.0, [21, 22]), path, checks)
+    assert dates_of(spark.read.parquet(path)) == {"2024-01-20": 1.0, "2024-01-21": 2.0, "2024-01-22": 2.0}
+    sinks.write_checked(daily_mart(spark, 2.0, []), path, checks)  # no rows, nothing to hold against them
+    assert os.listdir(folder) == ["mart"]
+
+
+def test_missing_values_refuse_a_write(spark, folder):
+    rows = daily_mart(spark, 1.0).withColumn("channel", F.when(F.dayofmonth("event_date") > 20, F.col("channel")))
+    with pytest.raises(sinks.Refused, match="missing_channel is 0.0909"):
+        sinks.write_checked(rows, f"{folder}/mart", quality.write_checks(P, ["channel"]))
+    sinks.write_checked(rows, f"{folder}/mart", quality.write_checks(P.with_(missing_tolerance=0.1), ["channel"]))
+
+
+def test_documents_are_paged_in_order_and_keep_everything(spark):
+    found = spark.createDataFrame([(f"c{n:02d}", float(n), "do it") for n in range(45)], "campaign_id string, spend double, recommendation string")
+    empty = spark.createDataFrame([], "campaign_id string, roas double")
+    pages = documents.opportunity_documents({"big": found, "none": empty}, page_size=20).orderBy("page").collect()
+    assert [(p.opportunity, p.page, len(p.findings)) for p in pages] == [("big", 0, 20), ("big", 1, 20), ("big", 2, 5)]
+    assert [f.subject for p in pages for f in p.findings] == [f"c{n:02d}" for n in range(45)]
+    assert pages[2].findings[4].figures == {"spend": 44.0} and pages[0].findings[0].recommendation == "do it"

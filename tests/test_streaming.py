@@ -1,14 +1,15 @@
 from datetime import timedelta
 
 import pytest
-from builders import P, at, conversions, impressions, window_brute_force
+from builders import P, at, clicks, conversions, impressions, window_brute_force
 from pyspark.sql import functions as F
 
 from touchline.operators import rollups, staging
 from touchline.operators.dedup import version_order
 from touchline.operators.staging import IMPRESSION_MEASURES
+from touchline.plans import campaign_mart, quality
 from touchline.sources import readers, schemas
-from touchline.streaming import jobs
+from touchline.streaming import counts, jobs
 
 
 class Feed:
@@ -230,3 +231,117 @@ def test_future_and_expired_conversions_get_no_credit(spark, folder):
         arriving.stream(), lambda: as_frames(spark, [], [])[1], f"{folder}/out", f"{folder}/state", P
     ).awaitTermination()
     assert [r.conversion_id for r in jobs.read_credits(spark, f"{folder}/out").collect()] == ["now"]
+
+
+CREDIT = ["conversion_id", "user_id", "conversion_ts", "value", "channel", "campaign_id", "n_touches", "last_touch", "linear"]
+
+
+def test_credit_follows_corrections_withdrawals_and_ignores_stale_versions(spark, folder):
+    end = at("2024-01-28 12:00:00")
+    served = as_frames(spark, [], [(f"i{n}", f"u{n % 2}", end - timedelta(days=n), "Search", "c0") for n in range(20)])[1]
+
+    def version(name, user="u1", hours=0, value=70.0, synced=0, **more):
+        return {"conversion_id": name, "user_id": user, "event_timestamp": end - timedelta(hours=hours),
+                "conversion_value": value, "conversion_value_usd": value, "_synced_at": end + timedelta(hours=synced), **more}
+
+    batches = [
+        [version(n) for n in ("no user", "no time", "stale", "moved", "kept", None)],
+        [version("no user", user=None, synced=2), version("no time", synced=2, event_timestamp=None),
+         # The newer version lies days before; the older comes once more, with a later time.
+         version("stale", hours=24 * 9, value=30.0, synced=5), version("moved", user="u0", hours=3, value=1.0, synced=2),
+         version(None, value=5.0, synced=1)],
+        [version("stale", hours=-3, synced=1), version("kept"), version("no value", synced=3)],
+        [version("no value", value=None, synced=4), version("later", hours=-5, synced=5)],
+        [version("no time", synced=9, value=8.0)],  # and back again
+    ]
+    feed, seen = Feed(spark, f"{folder}/in", schemas.CONVERSIONS), []
+    for rows in batches:
+        seen += rows
+        feed.add(conversions(spark, rows))
+        jobs.attribute_batches(
+            feed.stream(), lambda: served, f"{folder}/out", f"{folder}/state", P, buckets=4
+        ).awaitTermination()
+        staged = staging.stage_conversions(conversions(spark, seen), P, details=False)
+        want = jobs.credit_shares(staged, served, P).select(*CREDIT).collect()
+        got = jobs.read_credits(spark, f"{folder}/out", buckets=4).select(*CREDIT).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+@pytest.mark.parametrize("level", ["day", "week"])
+def test_counts_follow_corrections(spark, folder, level):
+    def shown(name, day, cost=1.0, synced=0, **more):
+        time = at(f"2024-01-{day} 08:00:00")
+        return {"impression_id": name, "event_timestamp": time, "impression_cost": cost,
+                "_synced_at": at("2024-01-20 08:00:00") + timedelta(hours=synced), **more}
+
+    def bought(name, day, value=10.0, synced=0, **more):
+        time = at(f"2024-01-{day} 09:00:00")
+        return {"conversion_id": name, "event_timestamp": time, "conversion_value": value, "conversion_value_usd": value,
+                "_synced_at": at("2024-01-20 09:00:00") + timedelta(hours=synced), **more}
+
+    imps = [
+        [shown("cost", 15), shown("day", 15, user_id="u2"), shown("bot", 15), shown("gone", 16, user_id="u3"), shown("x", 17)],
+        [shown("cost", 15, cost=5.0, synced=1), shown("day", 18, user_id="u2", synced=1), shown("bot", 15, is_bot=True, synced=1),
+         shown("gone", 16, user_id=None, synced=1), shown("x", 17, cost=3.0, synced=-1)],
+        [shown("gone", 16, user_id="u4", synced=2, campaign_id="other"), shown("cost", 15, synced=0), shown("y", 17, user_id="u2")],
+    ]
+    convs = [
+        [bought("a", 15), bought("b", 15, user_id="u2"), bought(None, 17), bought("future", 31)],
+        [bought("a", 17, value=4.0, synced=1), bought("b", 15, user_id=None, synced=1), bought("a", 18, synced=-2)],
+    ]
+    for kind, batches, build, schema in (
+        ("impressions", imps, impressions, schemas.IMPRESSIONS), ("conversions", convs, conversions, schemas.CONVERSIONS),
+    ):
+        feed = Feed(spark, f"{folder}/{kind}", schema)
+        for rows in batches:
+            feed.add(build(spark, rows))
+        counts.count_changes(
+            feed.stream(), kind, f"{folder}/out", f"{folder}/state-{kind}", P, buckets=4
+        ).awaitTermination()
+    clicked = clicks(spark, [{"event_timestamp": at("2024-01-17 08:30:00"), "user_id": u} for u in ("u1", "u1", None)])
+    feed = Feed(spark, f"{folder}/clicks", schemas.CLICKS)
+    feed.add(clicked)
+    counts.count_changes(feed.stream(), "clicks", f"{folder}/out", f"{folder}/state-clicks", P).awaitTermination()
+
+    want = campaign_mart.campaign_metrics(
+        staging.stage_impressions(impressions(spark, sum(imps, [])), P), clicked,
+        staging.stage_conversions(conversions(spark, sum(convs, [])), P), level,
+    )
+    got = counts.streamed_mart(spark, f"{folder}/out", P, level).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_unknown_kind_of_counts(spark):
+    with pytest.raises(ValueError, match="views"):
+        counts.count_changes(spark.range(1), "views", "p", "c", P)
+
+
+def test_a_batch_that_fails_its_checks_is_kept_apart(spark, folder, feed):
+    feed.add(impressions(spark, [{"impression_cost": 1.0}]))
+    feed.add(impressions(spark, [{"impression_cost": -1.0}, {"impression_cost": 1.0}]))
+    feed.add(impressions(spark, [{"impression_cost": 2.0}]))
+    run(feed.stream(), folder, checks=quality.write_checks(P, ["user_id"], {"impression_cost": (0.0, 100.0)}))
+    assert sorted(r.impression_cost for r in spark.read.parquet(f"{folder}/out").collect()) == [1.0, 2.0]
+    assert sorted(r.impression_cost for r in spark.read.parquet(f"{folder}/out-refused").collect()) == [-1.0, 1.0]
+
+
+def test_late_rows_are_set_aside_and_counted_a_batch_later(spark, folder, feed):
+    def shown(name, day, **more):
+        return {"impression_id": name, "event_timestamp": at(f"2024-01-{day} 08:00:00"), **more}
+
+    def counted():
+        rows = counts.counts_table(spark, f"{folder}/out", "impressions").totals().collect()
+        return {str(r.event_date)[-2:]: r.rows for r in rows}
+
+    steps = [
+        ([shown("a", 20), shown("b", 10)], {"20": 1, "10": 1}, 0),  # the first batch has nothing to be late for
+        ([shown("c", 18), shown("d", 16), shown("b", 10, user_id="u9")], {"20": 1, "18": 1, "10": 1}, 2),
+        ([shown("e", 21)], {"21": 1, "20": 1, "18": 1, "16": 1, "10": 1}, 2),
+    ]
+    for rows, want, late in steps:
+        feed.add(impressions(spark, rows))
+        counts.count_changes(
+            feed.stream(), "impressions", f"{folder}/out", f"{folder}/state", P, buckets=4, set_late_aside=True
+        ).awaitTermination()
+        assert counted() == want
+        assert counts.late_rows(spark, f"{folder}/out", "impressions").count() == late

@@ -413,6 +413,10 @@ UNION ALL SELECT 'conversions', campaign_id, {day('event_date')}, conversions, u
     "report_monthly": f"""{BASE}, {mart_ctes("month_start", "CAST(date_trunc('month', event_timestamp) AS DATE)")}
 SELECT campaign_id, channel, {day('month_start')} AS month_start, impressions, clicks, conversions, spend, revenue,
        cpm, ctr, cpc, cpa, roas, fill_rate, frequency FROM mart""",
+    "reach_rollup": f"""{BASE}
+SELECT campaign_id, campaign_name, channel, {day("CAST(date_trunc('week', event_timestamp) AS DATE)")} AS week_start,
+       count(DISTINCT user_id) AS unique_users, TRUE AS within_error
+FROM impressions GROUP BY campaign_id, campaign_name, channel, CAST(date_trunc('week', event_timestamp) AS DATE)""",
     "fill_rate_requests": f"""{BASE}, requests AS (
   SELECT campaign_id, CAST(event_timestamp AS DATE) AS d, 1 AS served FROM impressions
   UNION ALL SELECT campaign_id, CAST(event_timestamp AS DATE), 0 FROM unfilled
@@ -428,6 +432,24 @@ FROM conversions GROUP BY ALL""",
     "unique_converters": f"""{BASE}
 SELECT campaign_id, {day('CAST(event_timestamp AS DATE)')} AS event_date, count(DISTINCT user_id) AS unique_converters
 FROM conversions GROUP BY ALL""",
+    "metrics_by_group": f"""{TOUCHED}, {mart_ctes("month_start", "CAST(date_trunc('month', event_timestamp) AS DATE)")},
+credited AS (
+  SELECT channel, campaign_id, {credit('linear')} AS attributed_revenue FROM shares GROUP BY channel, campaign_id
+), figures AS (
+  SELECT mart.campaign_id, mart.channel, month_start, MAP {{
+    'efficiency_metrics/cpm': {ratio('spend', 'impressions')} * 1000, 'efficiency_metrics/cpc': cpc,
+    'efficiency_metrics/cpa': cpa, 'engagement_metrics/ctr': ctr * 100, 'engagement_metrics/cvr': cvr * 100,
+    'engagement_metrics/frequency': frequency, 'roi_metrics/roas': roas, 'roi_metrics/aov': aov,
+    'roi_metrics/revenue': revenue, 'reach_metrics/impressions': impressions::DOUBLE,
+    'reach_metrics/unique_users': unique_users::DOUBLE, 'reach_metrics/frequency': frequency,
+    'attribution_metrics/attributed_revenue': COALESCE(attributed_revenue, 0.0)}} AS m
+  FROM mart LEFT JOIN credited ON mart.channel IS NOT DISTINCT FROM credited.channel
+   AND mart.campaign_id IS NOT DISTINCT FROM credited.campaign_id
+), entries AS (
+  SELECT campaign_id, channel, month_start, unnest(map_entries(m)) AS e FROM figures
+)
+SELECT campaign_id, channel, {day('month_start')} AS month_start, split_part(e.key, '/', 1) AS metric_group,
+       split_part(e.key, '/', 2) AS metric, {half_up('e.value', 6)} AS value FROM entries""",
     "benchmark_flags": f"""{MART}
 SELECT campaign_id, channel, {day('event_date')} AS event_date, roas >= 4.0 AS meets_roas, cpa <= 50.0 AS meets_cpa,
        ctr >= 0.015 AS meets_ctr, cvr >= 0.03 AS meets_cvr, fill_rate >= 0.95 AS meets_fill_rate,
@@ -598,6 +620,14 @@ SELECT experiment_id, control_visitors, control_conversions, {half_up('control_r
        {half_up('z_score', 3)} AS z_score, {half_up('p_value', 4)} AS p_value, is_significant,
        {half_up('ci_lower * 100', 3)} AS ci_lower_pct, {half_up('ci_upper * 100', 3)} AS ci_upper_pct,
        {INTERPRETATION} AS interpretation FROM analyzed""",
+    "ab_test_significant": f"""{ANALYZED.replace(
+        "FROM log WHERE event_type IN ('view', 'purchase')",
+        "FROM (SELECT * REPLACE (CASE WHEN event_type = 'purchase' AND value <= 120"
+        " AND (CAST(user_id AS BIGINT) + (k % 4) // 2) % 2 = 0 THEN 'none' ELSE event_type END AS event_type) FROM log)"
+        " WHERE event_type IN ('view', 'purchase')")}
+SELECT experiment_id, control_visitors, control_conversions, variant_visitors, variant_conversions, control_rate,
+       variant_rate, absolute_lift, relative_lift, z_score, {half_up('p_value', 6)} AS p_value, is_significant,
+       ci_lower, ci_upper FROM analyzed""",
     "ab_sample_size": f"""{BASELINES}, effects AS (
   SELECT 'low' AS traffic_tier, 0.20::DOUBLE AS mde UNION ALL SELECT 'medium', 0.15 UNION ALL SELECT 'high', 0.10
 )
@@ -661,6 +691,9 @@ FROM averaged""",
 SELECT {day('d')} AS event_date, count(*) AS requests, CAST(sum(e) AS BIGINT) AS errors,
        sum(e)::DOUBLE / count(*) AS error_rate, sum(e)::DOUBLE / count(*) > 0.05 AS alert FROM requests GROUP BY d""",
     "dq_zero_conversion_spend": f"""{MART}
+SELECT campaign_id, {day('event_date')} AS event_date, spend, conversions FROM mart WHERE spend > 0 AND conversions = 0""",
+    "dq_zero_conversion_spend_large": f"""{MART.replace(
+        "FROM conversions GROUP BY ALL", "FROM conversions WHERE conversion_value_usd > 150 GROUP BY ALL")}
 SELECT campaign_id, {day('event_date')} AS event_date, spend, conversions FROM mart WHERE spend > 0 AND conversions = 0""",
     "dq_identities": f"{MART}\n" + union([
         identity_row("cpc_from_cpm_ctr", "clicks > 0 AND spend > 0", "cpc", "cpm / (ctr * 1000)"),
@@ -703,6 +736,18 @@ UNION ALL SELECT 'performance_tiers', (SELECT count(*) FROM campaigns)
 UNION ALL SELECT 'budget_allocation', (SELECT count(*) FROM campaigns)
 UNION ALL SELECT 'range_checks', (SELECT 3 * count(*) FROM mart)
 UNION ALL SELECT 'revenue_conservation', 4""",
+    "sink_incremental": f"""{ALL}, {mart_ctes("event_date", "CAST(event_timestamp AS DATE)")}
+SELECT 'mart' AS part, campaign_id, channel, {day('event_date')} AS event_date, impressions AS "rows", unique_users AS users,
+       clicks, conversions, spend AS amount, revenue, NULL AS last_touch, NULL AS first_touch, NULL AS linear,
+       NULL AS time_decay FROM mart
+UNION ALL
+SELECT 'credit', campaign_id, channel, {day('CAST(conversion_ts AS DATE)')}, count(*), count(DISTINCT user_id), NULL,
+       count(DISTINCT conversion_id), {money('value')}, NULL, {credit('last_touch')}, {credit('first_touch')},
+       {credit('linear')}, {half_up("SUM(CAST(time_decay AS DECIMAL(28,10)))", 4)}
+FROM shares GROUP BY campaign_id, channel, CAST(conversion_ts AS DATE)""",
+    "sink_checked_days": f"""{MART}
+SELECT campaign_id, channel, {day('event_date')} AS event_date, impressions, spend, roas, 'spend_out_of_range' AS refused_for
+FROM mart""",
     "sink_csv_source": f"""{BASE}
 SELECT impression_id, {instant('event_timestamp')} AS event_timestamp, user_id, campaign_id, campaign_name, channel,
        impression_cost, device_type FROM impressions""",
@@ -718,6 +763,42 @@ FROM allocated JOIN tiered USING (campaign_id)""",
     "sink_channel_documents": f"""{TOUCHED}, {CHANNEL_CREDIT}
 SELECT channel, {model_credit('last_touch')}, {model_credit('first_touch')}, {model_credit('linear')},
        {model_credit('time_decay')} FROM channel_credit GROUP BY channel""",
+    "sink_model_documents": f"""{TOUCHED}, by_channel AS (
+  SELECT attribution_model, channel AS name, {credit('credit')} AS exact FROM credits GROUP BY attribution_model, channel
+), by_campaign AS (
+  SELECT attribution_model, campaign_id AS name, {credit('credit')} AS exact FROM credits GROUP BY attribution_model, campaign_id
+), totals AS (
+  SELECT attribution_model, {half_up(credit('exact'), 4)} AS total_attributed_revenue,
+         first(name ORDER BY exact DESC, name) AS top_channel, (SELECT count(*) FROM conversions) AS conversion_count
+  FROM by_channel GROUP BY attribution_model
+), entries AS (
+  SELECT 'channel' AS breakdown, *, {half_up('exact', 4)} AS credit FROM by_channel
+  UNION ALL SELECT 'campaign', *, {half_up('exact', 4)} FROM by_campaign
+)
+SELECT attribution_model, total_attributed_revenue, top_channel, conversion_count, breakdown,
+       row_number() OVER (PARTITION BY attribution_model, breakdown ORDER BY credit DESC, name)::INTEGER AS place, name, credit
+FROM entries JOIN totals USING (attribution_model)""",
+    "sink_opportunity_documents": f"""{DAILY_CAMPAIGN}, findings AS (
+  SELECT 'high_cpa_campaigns' AS opportunity, campaign_id AS subject, recommendation, 'current_cpa' AS figure, current_cpa AS value
+  FROM ({high_cpa("WITH none AS (SELECT 1)").removeprefix("WITH none AS (SELECT 1), ").replace("m AS (", "WITH m AS (", 1)})
+  UNION ALL SELECT 'high_cpa_campaigns', campaign_id, recommendation, 'median_cpa', median_cpa
+  FROM ({high_cpa("WITH none AS (SELECT 1)").removeprefix("WITH none AS (SELECT 1), ").replace("m AS (", "WITH m AS (", 1)})
+  UNION ALL SELECT 'low_ctr_campaigns', campaign_id, recommendation, unnest(['current_ctr', 'median_ctr']), unnest([current_ctr, median_ctr])
+  FROM ({low_ctr("WITH none AS (SELECT 1)").removeprefix("WITH none AS (SELECT 1), ").replace("m AS (", "WITH m AS (", 1)})
+  UNION ALL SELECT 'scaling_candidates', campaign_id, NULL,
+    unnest(['current_roas', 'current_spend', 'potential_10pct_increase_revenue']),
+    unnest([current_roas, current_spend, potential_10pct_increase_revenue])
+  FROM ({scaling("WITH none AS (SELECT 1)").removeprefix("WITH none AS (SELECT 1), ").replace("m AS (", "WITH m AS (", 1)})
+  UNION ALL SELECT 'high_spend_low_roi', campaign_id, 'Consider pausing or significantly optimizing', unnest(['spend', 'roas']),
+    unnest([{half_up('spend', 2)}, {half_up('roas', 2)}])
+  FROM campaigns WHERE roas < {upper_median('roas')} * 0.8 AND spend > 200
+  UNION ALL SELECT 'channel_winners', channel, NULL, unnest(['avg_roas', 'num_campaigns']), unnest([avg_roas, num_campaigns])
+  FROM (SELECT channel, {half_up("CAST(sum(CAST(roas AS DECIMAL(28,10))) AS DOUBLE) / count(*)", 2)} AS avg_roas,
+               count(*)::DOUBLE AS num_campaigns FROM campaigns GROUP BY channel)
+)
+SELECT opportunity, dense_rank() OVER (PARTITION BY opportunity ORDER BY subject)::INTEGER AS place, subject,
+       recommendation, figure, value FROM findings""",
+    "sink_raw_sources": f"{MART}\nSELECT * REPLACE ({day('event_date')} AS event_date) FROM mart",
     "sink_experiment_documents": f"""{ANALYZED}
 SELECT experiment_id, {half_up('control_rate * 100', 3)} AS control_rate,
        {half_up('variant_rate * 100', 3)} AS variant_rate, {half_up('z_score', 3)} AS z_score,
@@ -730,6 +811,20 @@ SELECT campaign_id, campaign_name, channel, {day('event_date')} AS event_date, i
     "stream_attribution": f"""{ALL}
 SELECT conversion_id, channel, campaign_id, n_touches, last_touch, first_touch, linear,
        {half_up('time_decay', 6)} AS time_decay FROM shares""",
+    "stream_corrected_attribution": f"""{ALL}
+SELECT conversion_id, channel, campaign_id, n_touches, last_touch, first_touch, linear,
+       {half_up('time_decay', 6)} AS time_decay FROM shares""",
+    "stream_campaign_mart": f"{MART}\nSELECT * REPLACE ({day('event_date')} AS event_date) FROM mart",
+    "stream_late": f"""{BASE}, newest AS (
+  SELECT CAST(impression_id AS BIGINT) % 3 AS delivery, max(event_timestamp) AS newest FROM raw_impressions GROUP BY ALL
+), late AS (
+  SELECT CAST(event_timestamp AS DATE) AS d, count(*) AS late_rows FROM raw_impressions r
+  WHERE event_timestamp < (SELECT max(newest) FROM newest WHERE delivery < CAST(impression_id AS BIGINT) % 3) - INTERVAL 72 HOUR
+  GROUP BY ALL
+)
+SELECT {day('CAST(event_timestamp AS DATE)')} AS event_date, count(*) AS impressions, {money('impression_cost')} AS spend,
+       COALESCE(any_value(late_rows), 0) AS late_rows
+FROM impressions LEFT JOIN late ON d = CAST(event_timestamp AS DATE) GROUP BY CAST(event_timestamp AS DATE)""",
     "stream_touch_pairs": f"""{BASE}
 SELECT c.conversion_id, count(i.impression_id) AS n_touches, {instant('min(i.event_timestamp)')} AS first_ts,
        {instant('max(i.event_timestamp)')} AS last_ts

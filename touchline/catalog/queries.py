@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
+from touchline.functions.definitions import DEFAULT, Definitions
 from touchline.functions.metrics import add_benchmark_flags, add_channel_ctr_flag, add_seasonality
 from touchline.functions.scalars import bot_flag, day_text, exact_sum, half_up, instant_text, join_null_safe
 from touchline.operators import rollups, staging
@@ -26,13 +27,14 @@ from touchline.plans import (
     comparison,
     daily,
     experiments,
+    incremental,
     journeys,
     optimizer,
     quality,
 )
 from touchline.session import scratch_folder
-from touchline.sources import event_log, readers, schemas, sinks
-from touchline.streaming import jobs
+from touchline.sources import documents, event_log, readers, schemas, sinks
+from touchline.streaming import counts, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = Params(as_of=event_log.AS_OF)
@@ -204,6 +206,20 @@ def report_monthly(i: Inputs):
     return campaign_mart.report_metrics(i.mart("month"), "month")
 
 
+@query
+def reach_rollup(i: Inputs):
+    """Weekly users from stored daily sketches, compared with the exact counts."""
+    path = _new_folder(i)
+    sinks.write_by_date(rollups.reach_sketches(i.impressions), path)
+    estimated = rollups.reach_rollup(i.spark.read.parquet(path), "week")
+    keys = ["campaign_id", "campaign_name", "channel", "week_start"]
+    exact = rollups.impression_counts(i.impressions, "week").select(*keys, "unique_users")
+    error = F.abs(F.col("estimated_users") - F.col("unique_users"))
+    return exact.join(estimated, keys, "left").select(
+        *keys, "unique_users", (error <= 3 * rollups.REACH_ERROR * F.col("unique_users")).alias("within_error")
+    )
+
+
 @query
 def fill_rate_requests(i: Inputs):
     return rollups.request_fill(i.impressions, i.unfilled)
@@ -221,6 +237,20 @@ def unique_converters(i: Inputs):
     )
 
 
+@query
+def metrics_by_group(i: Inputs):
+    """All five groups of the metric definitions per campaign and month, with revenue credited linearly."""
+    credit = attribution.credit_by(i.shares(False), ["channel", "campaign_id"], ["linear"]).select(
+        "channel", "campaign_id", F.col("credit").alias("attributed_revenue")
+    )
+    mart = i.mart("month").select(
+        "campaign_id", "channel", "month_start", "impressions", "clicks", "conversions", "spend", "revenue", "unique_users"
+    )
+    rows = join_null_safe(mart, credit, ["channel", "campaign_id"], "left").fillna(0.0, ["attributed_revenue"])
+    long = Definitions.from_config(DEFAULT).long(rows, ["campaign_id", "channel", "month_start"])
+    return long.withColumn("value", half_up("value", 6))
+
+
 @query
 def benchmark_flags(i: Inputs):
     flagged = add_channel_ctr_flag(add_benchmark_flags(i.mart(), i.p.benchmarks), CHANNEL_CTR_BENCHMARKS)
@@ -312,7 +342,7 @@ def attr_min_touches_last_touch(i: Inputs):
 
 @query
 def mart_attribution_summary(i: Inputs):
-    summary = attribution.attribution_summary(attribution.credits(i.shares(True), i.p.models))
+    summary = attribution.summary_of_shares(i.shares(True), i.p.models)
     rounded = summary.withColumns({
         c: half_up(c, 4) for c in ("attributed_revenue", "avg_order_value", "median_order_value")
     })
@@ -512,6 +542,20 @@ def ab_test_interpretation(i: Inputs):
     return experiments.experiment_report(_analyzed(i))
 
 
+@query
+def ab_test_significant(i: Inputs):
+    """Purchases of one arm counted above 120 only, for two channels the control's, for two the variant's: the
+    test finds arms significantly better and worse."""
+    exposures = event_log.exposures(i.log.withColumn(
+        "event_type", F.when(
+            (F.col("event_type") == "purchase") & (F.col("value") <= 120)
+            & (F.pmod(F.col("user_id").cast("long") + F.floor(F.col("k") % 4 / 2), F.lit(2)) == 0), "none",
+        ).otherwise(F.col("event_type"))
+    ))
+    report = experiments.analyze_experiments(experiments.experiment_counts(exposures), 0.05)
+    return report.withColumn("p_value", half_up("p_value", 6))
+
+
 def _campaign_baselines(i: Inputs):
     exposures = event_log.exposures(i.log, "campaign")
     return exposures, experiments.control_baselines(experiments.experiment_counts(exposures))
@@ -582,6 +626,15 @@ def dq_zero_conversion_spend(i: Inputs):
     )
 
 
+@query
+def dq_zero_conversion_spend_large(i: Inputs):
+    """The same rule when only conversions of high value count: days without any are found."""
+    large = i.conversions.where(F.col("conversion_value_usd") > 150)
+    return quality.spend_without_conversions(
+        campaign_mart.campaign_metrics(i.impressions, i.clicks, large)
+    ).select("campaign_id", "event_date", "spend", "conversions")
+
+
 @query
 def dq_identities(i: Inputs):
     return quality.metric_identities(i.mart())
@@ -649,7 +702,11 @@ def sink_catalog_refresh(i: Inputs):
     table, mart = f"mart_{uuid.uuid4().hex}", i.mart().select(*_STORED)
     sinks.save_by_date(mart, table)
     sinks.save_by_date(_changed(mart, i.p), table, sinks.refresh_start(i.p))
-    return i.spark.table(table).select(*_STORED)
+    # The table goes again, so its rows are copied.
+    path = _new_folder(i)
+    i.spark.table(table).select(*_STORED).write.mode("overwrite").parquet(path)
+    i.spark.sql(f"DROP TABLE {table}")
+    return i.spark.read.parquet(path)
 
 
 @query
@@ -667,6 +724,45 @@ def sink_daily_run(i: Inputs):
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def sink_incremental(i: Inputs):
+    """Mart and credit after three incremental runs, in which most records are corrected, many move to another
+    day or campaign and some are withdrawn. By day, what a full run on the last versions has."""
+    tables = incremental.IncrementalTables(i.spark, _new_folder(i), buckets=8)
+    corrected = event_log.with_corrections(i.log)
+    for as_of in ("2024-01-20 00:00:00", "2024-01-26 12:00:00", "2024-02-04 00:00:00"):
+        p = i.p.with_(as_of=as_of)
+        synced = corrected.where(F.col("_synced_at") <= p.now())
+        seen = i.log.where(F.col("ts") <= p.now())
+        tables.run(event_log.impressions(synced), event_log.clicks(seen), event_log.conversions(synced), p)
+    mart = i.spark.read.parquet(tables.path("mart_campaign_metrics")).select(
+        F.lit("mart").alias("part"), "campaign_id", "channel", "event_date", F.col("impressions").alias("rows"),
+        F.col("unique_users").alias("users"), "clicks", "conversions", F.col("spend").alias("amount"), "revenue",
+    )
+    amounts = [exact_sum(m, "decimal(28,10)").alias(m) for m in ("last_touch", "first_touch", "linear")]
+    credit = i.spark.read.parquet(tables.path("credit_shares")).groupBy(
+        F.lit("credit").alias("part"), "campaign_id", "channel", "event_date"
+    ).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct("conversion_id").alias("conversions"), exact_sum("value").alias("amount"), *amounts,
+        half_up(F.sum(F.col("time_decay").cast("decimal(28,10)")), 4).alias("time_decay"),
+    )
+    return mart.unionByName(credit, allowMissingColumns=True)
+
+
+@query
+def sink_checked_days(i: Inputs):
+    """A mart stored behind checks: the second write, with figures out of range, is refused and leaves it."""
+    path, mart = f"{_new_folder(i)}/mart", i.mart().select(*_STORED, "roas")
+    checks = quality.write_checks(i.p, ["campaign_id", "spend"], {"spend": (0.0, 1e9)})
+    sinks.write_checked(mart, path, checks)
+    try:
+        sinks.write_checked(mart.withColumn("spend", -F.col("spend")), path, checks)
+    except sinks.Refused as refused:
+        reason = F.lit(", ".join(sorted(refused.failed)))
+    return i.spark.read.parquet(path).withColumn("refused_for", reason)
+
+
 @query
 def sink_csv_source(i: Inputs):
     """Raw impressions through CSV files with a header and back through the reader."""
@@ -702,6 +798,64 @@ def sink_channel_documents(i: Inputs):
     return i.spark.read.schema(documents.schema).json(path).select("channel", "credit.*")
 
 
+@query
+def sink_model_documents(i: Inputs):
+    """Documents per attribution model in pages of three entries, read back and laid out flat."""
+    path = _new_folder(i)
+    found = documents.model_documents(i.shares(False), i.conversions, i.p.models, page_size=3)
+    sinks.write_json(found, path)
+    lists = {"channel": "channel_breakdown", "campaign": "campaign_breakdown"}
+    back = i.spark.read.schema(found.schema).json(path)
+    parts = [
+        back.select(
+            "attribution_model", "total_attributed_revenue", "top_channel", "conversion_count",
+            F.lit(kind).alias("breakdown"), "page", F.posexplode(name).alias("place", "e"),
+        ) for kind, name in lists.items()
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "attribution_model", "total_attributed_revenue", "top_channel", "conversion_count", "breakdown",
+        (F.col("page") * 3 + F.col("place") + 1).alias("place"), F.col("e.name").alias("name"),
+        F.col("e.credit").alias("credit"),
+    )
+
+
+@query
+def sink_opportunity_documents(i: Inputs):
+    """Documents per kind of opportunity, found among campaign-days, read back and laid out flat."""
+    path = _new_folder(i)
+    days = i.mart().withColumn("campaign_id", F.concat_ws("@", "campaign_id", day_text("event_date")))
+    found = documents.opportunity_documents({
+        "high_cpa_campaigns": optimizer.high_cpa(days), "low_ctr_campaigns": optimizer.low_ctr(days),
+        "high_spend_low_roi": optimizer.high_spend_low_roi(days, spend_over=200.0),
+        "channel_winners": optimizer.channel_winners(days), "scaling_candidates": optimizer.scaling_candidates(days),
+    }, page_size=20)
+    sinks.write_json(found, path)
+    return i.spark.read.schema(found.schema).json(path).select(
+        "opportunity", "page", F.posexplode("findings").alias("place", "f")
+    ).select(
+        "opportunity", (F.col("page") * 20 + F.col("place") + 1).alias("place"), F.col("f.subject").alias("subject"),
+        F.col("f.recommendation").alias("recommendation"), F.explode("f.figures").alias("figure", "value"),
+    )
+
+
+@query
+def sink_raw_sources(i: Inputs):
+    """Raw tables through parquet, ORC and catalog readers into the daily mart."""
+    path, table = _new_folder(i), f"clicks_{uuid.uuid4().hex}"
+    i.raw_impressions.write.parquet(f"{path}/impressions")
+    i.raw_conversions.write.orc(f"{path}/conversions")
+    i.clicks.write.saveAsTable(table)
+    mart = campaign_mart.campaign_metrics(
+        staging.stage_impressions(readers.read_files(i.spark, f"{path}/impressions", schemas.IMPRESSIONS), i.p),
+        readers.read_table(i.spark, table, schemas.CLICKS),
+        staging.stage_conversions(readers.read_files(i.spark, f"{path}/conversions", schemas.CONVERSIONS, "orc"), i.p),
+    )
+    # The table goes again, so the mart is stored.
+    sinks.write_by_date(mart, f"{path}/mart")
+    i.spark.sql(f"DROP TABLE {table}")
+    return i.spark.read.parquet(f"{path}/mart")
+
+
 @query
 def sink_experiment_documents(i: Inputs):
     path = _new_folder(i)
@@ -777,6 +931,69 @@ def stream_attribution(i: Inputs):
     )
 
 
+def _deliver(i: Inputs, adapt: Callable[[DataFrame], DataFrame], path: str, schema) -> list[Callable[[], DataFrame]]:
+    """The three deliveries of corrected events: each call adds one to a folder and gives it as a stream."""
+    corrected = event_log.with_corrections(i.log)
+
+    def deliver(number: int) -> DataFrame:
+        adapt(corrected.where(F.col("delivery") == number)).write.parquet(f"{path}/{number}")
+        return readers.stream_files(i.spark, f"{path}/*", schema)
+
+    return [lambda number=number: deliver(number) for number in range(3)]
+
+
+@query
+def stream_corrected_attribution(i: Inputs):
+    """Conversions arrive in an early, the right and a stale version: credit is corrected, moved and withdrawn."""
+    path = _new_folder(i)
+    sinks.write_by_date(
+        i.impressions.withColumn("event_date", F.to_date("event_timestamp")), f"{path}/staged"
+    )
+    for arriving in _deliver(i, event_log.conversions, f"{path}/in", schemas.CONVERSIONS):
+        _finish(jobs.attribute_batches(
+            arriving(), lambda: i.spark.read.parquet(f"{path}/staged"), f"{path}/out", f"{path}/state", i.p, buckets=8
+        ))
+    return jobs.read_credits(i.spark, f"{path}/out", buckets=8).select(
+        "conversion_id", "channel", "campaign_id", "n_touches", "last_touch", "first_touch", "linear",
+        half_up("time_decay", 6).alias("time_decay"),
+    )
+
+
+@query
+def stream_campaign_mart(i: Inputs):
+    """The daily campaign mart kept by three streams whose impressions and conversions are corrected."""
+    path = _new_folder(i)
+    kinds = (("impressions", event_log.impressions, schemas.IMPRESSIONS),
+             ("conversions", event_log.conversions, schemas.CONVERSIONS))
+    for kind, adapt, schema in kinds:
+        for arriving in _deliver(i, adapt, f"{path}/in-{kind}", schema):
+            _finish(counts.count_changes(arriving(), kind, f"{path}/out", f"{path}/state-{kind}", i.p, buckets=8))
+    _finish(counts.count_changes(event_log.clicks(_log_stream(i)), "clicks", f"{path}/out", f"{path}/state-clicks", i.p))
+    return counts.streamed_mart(i.spark, f"{path}/out", i.p)
+
+
+@query
+def stream_late(i: Inputs):
+    """Impressions in three deliveries, the older rows of the last two late: set aside, counted one batch later."""
+    path, shown = _new_folder(i), event_log.impressions(i.log.withColumn("_synced_at", F.col("ts")))
+    k = F.col("impression_id").cast("long") % 3
+    # The last delivery brings a known row, with which the late ones before it are counted.
+    deliveries = [shown.where(k == 0), shown.where(k == 1), shown.where(k == 2), shown.orderBy(F.desc("event_timestamp")).limit(1)]
+    for number, rows in enumerate(deliveries):
+        rows.coalesce(1).write.parquet(f"{path}/in/{number}")
+        arriving = readers.stream_files(i.spark, f"{path}/in/*", schemas.IMPRESSIONS)
+        _finish(counts.count_changes(
+            arriving, "impressions", f"{path}/out", f"{path}/state", i.p, buckets=8, set_late_aside=True
+        ))
+    late = counts.late_rows(i.spark, f"{path}/out", "impressions").groupBy(
+        F.to_date("event_timestamp").alias("event_date")
+    ).agg(F.count(F.lit(1)).alias("late_rows"))
+    counted = counts.counts_table(i.spark, f"{path}/out", "impressions").totals().groupBy("event_date").agg(
+        F.sum("rows").alias("impressions"), F.sum("amount").cast("double").alias("spend")
+    )
+    return counted.join(late, "event_date", "left").fillna(0, ["late_rows"])
+
+
 @query
 def stream_touch_pairs(i: Inputs):
     """Pairs of the streaming interval join, counted per conversion; 0 where there is none (yet)."""

@@ -33,3 +33,15 @@ def version_order(measures: Sequence[str], details: Sequence[str] = ()) -> list[
     if details:
         order.append(F.xxhash64(*details).desc())
     return order
+
+
+def later_versions(known: DataFrame, arriving: DataFrame, key: str, newest_first: Sequence[Column]) -> DataFrame:
+    """The latest of `arriving` per key, where it is later than the key's row in `known`.
+
+    A version that is known already is no change, and neither is a stale one.
+    """
+    both = known.withColumn("_known", F.lit(True)).unionByName(
+        latest_version(arriving, key, newest_first).withColumn("_known", F.lit(False))
+    )
+    newest = latest_version(both, key, [*newest_first, F.col("_known").desc()])
+    return newest.where(~F.col("_known")).drop("_known")

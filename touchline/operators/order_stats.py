@@ -93,6 +93,36 @@ def medians(
     return found.withColumn("median", lower + (upper - lower) * 0.5)
 
 
+def refined_medians(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """`medians` in two passes over `rows`: a histogram first, then the values of the middle bins alone.
+
+    The histogram is as large as the spread of the values in octaves, whatever their number,
+    so nothing but it and the rows of at most two bins a group is shuffled.
+    """
+    group = list(group)
+    valued = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_value")).withColumn(
+        "_bin", value_bin(F.col("_value"))
+    )
+    upto = W.partitionBy(*group).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = valued.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_in_bin")).withColumns({
+        "_upto": F.sum("_in_bin").over(upto), "_total": F.sum("_in_bin").over(W.partitionBy(*group)),
+    }).withColumn("_start", F.col("_upto") - F.col("_in_bin"))
+    ranks = {"_lower": F.floor((F.col("_total") + 1) / 2), "_upper": F.floor(F.col("_total") / 2) + 1}
+    chosen = bins.withColumns(ranks).where(
+        reduce(or_, [(F.col(r) > F.col("_start")) & (F.col(r) <= F.col("_upto")) for r in ranks])
+    ).select(*group, "_bin", "_start", *ranks)
+    counted = join_null_safe(valued, chosen, [*group, "_bin"]).groupBy(*group, "_bin", "_start", *ranks, "_value").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    inside = W.partitionBy(*group, "_bin").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_last", F.col("_start") + F.sum("_n").over(inside))
+    at = {r: (F.col(r) > F.col("_last") - F.col("_n")) & (F.col(r) <= F.col("_last")) for r in ranks}
+    lower, upper = F.col("lower_median"), F.col("upper_median")
+    return placed.groupBy(*group).agg(
+        *[F.max(F.when(at[r], F.col("_value"))).alias(f"{r[1:]}_median") for r in ranks]
+    ).withColumn("median", lower + (upper - lower) * 0.5)
+
+
 def scalars_at_ranks(
     rows: DataFrame, value: str, ranks: Mapping[str, Callable[[Column], Column]]
 ) -> Column:

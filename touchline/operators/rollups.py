@@ -88,3 +88,31 @@ def request_fill(
     )
     requests = F.col("served_impressions") + F.col("unfilled_requests")
     return counts.withColumn("request_fill_rate", F.col("served_impressions") / requests)
+
+
+# --- mergeable reach ---------------------------------------------------------
+
+#: Sketches of 2^12 registers: a standard error of 1.04 / 2^6, 1.6 %, in 2.5 kB at most.
+SKETCH_BITS = 12
+REACH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+_REACH_KEYS = ["campaign_id", "campaign_name", "channel"]
+
+
+def reach_sketches(impressions: DataFrame, level: str = "day") -> DataFrame:
+    """A sketch of each campaign's users per period, to be stored and united later on."""
+    period = PERIODS[level]
+    return impressions.withColumn(period, period_start(level)).groupBy(*_REACH_KEYS, period).agg(
+        F.hll_sketch_agg("user_id", SKETCH_BITS).alias("users_sketch")
+    )
+
+
+def reach_rollup(sketches: DataFrame, level: str, by: tuple = tuple(_REACH_KEYS)) -> DataFrame:
+    """Estimated users per week, month or day (and per fewer keys) from daily sketches, without the events.
+
+    Three times `REACH_ERROR` hold for all but a few in a thousand.
+    """
+    period = PERIODS[level]
+    start = F.col("event_date") if level == "day" else F.to_date(F.date_trunc(level, "event_date"))
+    return sketches.withColumn(period, start).groupBy(*by, period).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("estimated_users")
+    )

@@ -24,7 +24,7 @@ CONVERSION_DETAILS = ["order_id", "advertiser_id", "country", "device_type", "_s
 
 def retention_start(p: Params, days: int | None = None):
     """Midnight `days` (by default `retention_days`) before the as-of day, inclusive."""
-    return F.date_sub(p.today(), days or p.retention_days).cast("timestamp")
+    return F.date_sub(p.today(), p.retention_days if days is None else days).cast("timestamp")
 
 
 def with_bot_flag(rows: DataFrame, p: Params) -> DataFrame:
@@ -34,6 +34,12 @@ def with_bot_flag(rows: DataFrame, p: Params) -> DataFrame:
     return rows.withColumn("is_bot_flag", flag)
 
 
+def served_impressions(latest: DataFrame, p: Params) -> DataFrame:
+    """Of latest versions those that are complete and not from a bot, of any date."""
+    complete = latest.dropna(subset=IMPRESSION_KEY_FIELDS)
+    return with_bot_flag(complete, p).where(~F.col("is_bot_flag"))
+
+
 def stage_impressions(raw: DataFrame, p: Params, details: bool = True) -> DataFrame:
     """Latest version of each impression, complete, recent and not from a bot.
 
@@ -47,10 +53,7 @@ def stage_impressions(raw: DataFrame, p: Params, details: bool = True) -> DataFr
         "impression_id", "event_timestamp", "_synced_at", *IMPRESSION_MEASURES, *extra
     )
     latest = latest_version(rows, "impression_id", version_order(IMPRESSION_MEASURES, extra))
-    complete = latest.dropna(subset=IMPRESSION_KEY_FIELDS).where(
-        F.col("event_timestamp") >= retention_start(p)
-    )
-    kept = with_bot_flag(complete, p).where(~F.col("is_bot_flag"))
+    kept = served_impressions(latest, p).where(F.col("event_timestamp") >= retention_start(p))
     if not details:
         return kept.drop("_synced_at", "is_bot", "is_bot_flag")
     return kept.drop("_synced_at", "is_bot", "_source_relation").withColumns({
@@ -84,6 +87,22 @@ def with_validity(conversions: DataFrame) -> DataFrame:
     )
 
 
+def valid_conversions(latest: DataFrame) -> DataFrame:
+    """Of latest versions those that are valid, of any date."""
+    return with_validity(latest).where(~F.col("is_invalid_record"))
+
+
+def with_conversion_columns(valid: DataFrame, p: Params) -> DataFrame:
+    """The value with its fallback, and how late the record came."""
+    late_from = p.now() - F.expr(f"INTERVAL {p.late_window_hours} HOURS")
+    lag = F.unix_micros("_synced_at") - F.unix_micros("event_timestamp")
+    return valid.withColumns({
+        "conversion_value": F.coalesce("conversion_value", "conversion_value_usd", F.lit(0.0)),
+        "is_late_arrival": F.coalesce(F.col("_synced_at") > late_from, F.lit(False)),
+        "arrival_lag_hours": lag / F.lit(float(MICROS_PER_HOUR)),
+    })
+
+
 def stage_conversions(raw: DataFrame, p: Params, details: bool = True) -> DataFrame:
     """Latest version of each conversion, valid, within retention and not in the future.
 
@@ -91,18 +110,13 @@ def stage_conversions(raw: DataFrame, p: Params, details: bool = True) -> DataFr
     stays as delivered. `is_late_arrival` marks records synced within the late
     window before as-of; `arrival_lag_hours` is how long after the event that was.
     """
-    valid = latest_conversions(raw, details).where(
-        ~F.col("is_invalid_record")
-        & (F.col("event_timestamp") >= retention_start(p, p.conversion_retention_days))
+    valid = valid_conversions(latest_conversions(raw, details)).where(
+        (F.col("event_timestamp") >= retention_start(p, p.conversion_retention_days))
         & (F.col("event_timestamp") <= p.now())
     )
-    late_from = p.now() - F.expr(f"INTERVAL {p.late_window_hours} HOURS")
-    lag = F.unix_micros("_synced_at") - F.unix_micros("event_timestamp")
-    staged = valid.withColumns({
-        "conversion_value": F.coalesce("conversion_value", "conversion_value_usd", F.lit(0.0)),
-        "is_late_arrival": F.coalesce(F.col("_synced_at") > late_from, F.lit(False)),
-        "arrival_lag_hours": lag / F.lit(float(MICROS_PER_HOUR)),
-    }).drop("_synced_at", "_source_relation", "lacks_value", "lacks_timestamp", "lacks_user")
+    staged = with_conversion_columns(valid, p).drop(
+        "_synced_at", "_source_relation", "lacks_value", "lacks_timestamp", "lacks_user"
+    )
     if not details:
         return staged.drop("is_invalid_record", "is_late_arrival", "arrival_lag_hours")
     return staged.withColumns({

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import CREDIT, exact_sum, join_null_safe, ratio
-from touchline.operators.order_stats import medians
+from touchline.operators.order_stats import medians, refined_medians
 from touchline.operators.timeline import window_totals
 from touchline.params import Params
 
@@ -158,6 +158,68 @@ def attribution_summary(long_credits: DataFrame) -> DataFrame:
     )
 
 
+def summary_of_shares(shares: DataFrame, models: Sequence[str]) -> DataFrame:
+    """`attribution_summary(credits(shares, models))` without making a row per model.
+
+    Shares are shuffled once, by (key, user), models side by side; sums and users come from
+    that shuffle directly. Medians are found by refinement: a histogram of the credits names
+    the bin of each median, and only the credits in those bins are laid out by value. All
+    three read the same shuffle, so its columns are arrays that every reader uses whole.
+    """
+    key = ["channel", "campaign_id"]
+    holds = {"last_touch": F.col("is_last"), "first_touch": F.col("is_first")}
+    nothing = F.array().cast("array<double>")
+
+    def slot(held: Column, value: Column) -> Column:
+        """Nothing, or one value that may be NULL."""
+        return F.when(held, F.array(value)).otherwise(nothing)
+
+    # Place 0 tells whether there is an id, the others are the models.
+    dealt = shares.select(
+        *key, "user_id",
+        F.array(
+            slot(F.col("conversion_id").isNotNull(), F.lit(1.0)),
+            *[slot(holds.get(m, F.lit(True)), F.col(m).cast("double")) for m in models],
+        ).alias("_slots"),
+    ).repartition(*key, "user_id")
+
+    def held(place: int) -> Column:
+        return F.size(F.col("_slots")[place]) > 0
+
+    def credit(place: int) -> Column:
+        # Asked only where something is held; an empty slot has no first value.
+        return F.get(F.col("_slots")[place], F.lit(0))
+
+    places = {m: n for n, m in enumerate(models, 1)}
+    by_user = dealt.groupBy(*key, "user_id").agg(*[
+        column for m, n in places.items() for column in (
+            F.count_if(held(n)).alias(f"{m}_n"), F.count_if(held(n) & held(0)).alias(f"{m}_ids"),
+            F.count_if(credit(n).isNotNull()).alias(f"{m}_valued"), F.sum(credit(n).cast(CREDIT)).alias(f"{m}_sum"),
+        )
+    ])
+    sums = by_user.groupBy(*key).agg(*[
+        F.struct(
+            F.lit(m).alias("attribution_model"), F.sum(f"{m}_ids").alias("attributed_conversions"),
+            F.count_if(F.col(f"{m}_n") > 0).alias("attributed_users"),
+            F.sum(f"{m}_sum").cast("double").alias("attributed_revenue"), F.sum(f"{m}_valued").alias("_valued"),
+        ).alias(m) for m in models
+    ])
+    summary = sums.select(*key, F.explode(F.array(*models)).alias("_m")).select(*key, "_m.*").where("attributed_users > 0")
+    values = dealt.select(*key, F.posexplode("_slots").alias("_place", "_slot")).where(
+        (F.col("_place") > 0) & (F.size("_slot") > 0)
+    ).select(
+        F.get(F.array(F.lit(None).cast("string"), *[F.lit(m) for m in models]), F.col("_place")).alias("attribution_model"),
+        *key, F.get("_slot", F.lit(0)).alias("credit"),
+    )
+    full_key = ["attribution_model", *key]
+    middle = refined_medians(values, full_key, "credit")
+    return join_null_safe(summary, middle, full_key, "left").select(
+        *full_key, "attributed_conversions", "attributed_users", "attributed_revenue",
+        F.when(F.col("_valued") > 0, F.col("attributed_revenue") / F.col("_valued")).alias("avg_order_value"),
+        F.col("median").alias("median_order_value"),
+    )
+
+
 def _melt_models(sums: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
     """One row per model from one column per model. Rows the model gave nothing to go."""
     entry = F.explode(F.array(*[

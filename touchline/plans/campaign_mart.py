@@ -36,12 +36,16 @@ def campaign_metrics(
     a campaign shown under two channels in a day repeats its clicks and revenue
     (`quality.unplaced_revenue` reports what is lost).
     """
-    keys = ["campaign_id", PERIODS[level]]
-    joined = (
-        impression_counts(impressions, level, approximate_reach)
-        .join(click_counts(clicks, level), keys, "left")
-        .join(conversion_counts(conversions, level), keys, "left")
+    return from_counts(
+        impression_counts(impressions, level, approximate_reach), click_counts(clicks, level),
+        conversion_counts(conversions, level), level,
     )
+
+
+def from_counts(impressions: DataFrame, clicks: DataFrame, conversions: DataFrame, level: str = "day") -> DataFrame:
+    """The mart from base counts, however they were made."""
+    keys = ["campaign_id", PERIODS[level]]
+    joined = impressions.join(clicks, keys, "left").join(conversions, keys, "left")
     counts = ["clicks", "users_who_clicked", "conversions", "users_who_converted"]
     filled = joined.fillna(0, subset=counts).fillna(0.0, subset=["revenue"])
     return add_metrics(filled, MART_RATIOS)

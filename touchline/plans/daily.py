@@ -56,7 +56,7 @@ def run_day(spark: SparkSession, folder: str, p: Params) -> list[str]:
 
     campaigns = campaign_mart.campaign_totals(spark.read.parquet(mart_path))
     tables = {
-        "mart_attribution_summary": attribution.attribution_summary(attribution.credits(shares, p.models)),
+        "mart_attribution_summary": attribution.summary_of_shares(shares, p.models),
         "credit_breakdowns": attribution.credit_breakdowns(touched, p.models),
         "model_comparison": comparison.model_comparison(touched, p.models),
         "channel_consensus": comparison.channel_consensus(touched, p.models),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -156,3 +156,15 @@ def invalid_reasons(latest: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("reason"), F.col(n).alias("failing")) for n in [*names, "lacks_id"]
     ]))
     return counts.select("records", entry.alias("_entry")).select("_entry.*", "records")
+
+
+def write_checks(p: Params, required: Sequence[str] = (), ranges: Mapping[str, tuple[float, float]] | None = None) -> dict:
+    """Aggregates to be watched while a table is written (`sinks.write_checked`), each with its limit: the share
+    of rows without a required column, and the share of rows whose metric is out of range."""
+    def outside(metric: str, low: float, high: float) -> Column:
+        return F.avg((~F.col(metric).between(low, high)).cast("double"))
+
+    return {
+        **{f"missing_{c}": (F.avg(F.col(c).isNull().cast("double")), p.missing_tolerance) for c in required},
+        **{f"{m}_out_of_range": (outside(m, *limits), 0.0) for m, limits in (ranges or {}).items()},
+    }

@@ -52,6 +52,24 @@ def with_stale_versions(log: DataFrame) -> DataFrame:
     return fresh.unionByName(stale)
 
 
+def with_corrections(log: DataFrame) -> DataFrame:
+    """Three versions of every event, numbered by `delivery`: an early one (0) with another value, campaign,
+    bot and user flags and for some the day before, the right one (1), synced up to four days later, and a
+    stale one (2) of a later time, synced before both and delivered last."""
+    def version(delivery, synced, **columns):
+        return log.withColumns({
+            "_synced_at": F.col("ts") + synced, "delivery": F.lit(delivery), **columns,
+        }).select(*log.columns, "_synced_at", "delivery")
+
+    k, ts, value = F.col("k"), F.col("ts"), F.col("value")
+    day_before = ts - F.expr("INTERVAL 1 DAY")
+    early = version(
+        0, F.expr("INTERVAL -1 HOUR"), value=value + 1, k=(k + 40) % 100, ts=F.when(k % 5 == 0, day_before).otherwise(ts)
+    )
+    stale = version(2, F.expr("INTERVAL -2 HOUR"), value=value + 2, k=(k + 7) % 100, ts=ts + F.expr("INTERVAL 3 HOURS"))
+    return early.unionByName(version(1, F.make_dt_interval(hours=k))).unionByName(stale)
+
+
 def _synced_at(log: DataFrame):
     if "_synced_at" in log.columns:
         return F.col("_synced_at")

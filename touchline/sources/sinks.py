@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import join_null_safe
@@ -34,6 +36,54 @@ def write_by_date(
     )
 
 
+class Refused(ValueError):
+    """A table that did not keep its checks and was not published: `failed` has each check's value and limit."""
+
+    def __init__(self, failed: Mapping[str, tuple[float, float]]):
+        self.failed = dict(failed)
+        super().__init__("not published: " + ", ".join(f"{n} is {v:g}, at most {m:g} allowed" for n, (v, m) in failed.items()))
+
+
+def watched(rows: DataFrame, checks: Mapping[str, tuple[Column, float]]) -> tuple[DataFrame, Callable[[], dict]]:
+    """`rows` with `checks` (aggregate, highest allowed value) worked out while they are written, and what to ask
+    afterwards for those that failed. There is no second pass; a check without rows holds."""
+    seen = Observation(f"checks-{uuid.uuid4().hex}")
+
+    def failed() -> dict[str, tuple[float, float]]:
+        return {
+            n: (seen.get[n], limit) for n, (_, limit) in checks.items() if seen.get[n] is not None and seen.get[n] > limit
+        }
+
+    return rows.observe(seen, *[what.alias(n) for n, (what, _) in checks.items()]), failed
+
+
+def write_checked(
+    rows: DataFrame, path: str, checks: Mapping[str, tuple[Column, float]],
+    cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
+) -> None:
+    """`write_by_date` behind a gate: the dates of `rows` replace those of the table only if all checks hold.
+
+    Rows are written beside the table and moved in by date; if a check fails they go and
+    `Refused` says why. The table is as it was.
+    """
+    spark = rows.sparkSession
+    beside = f"{path.rstrip('/')}-unchecked-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    into = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        seen, failed = watched(rows, checks)
+        write_by_date(seen, beside, cluster_by, date)
+        if problems := failed():
+            raise Refused(problems)
+        files.mkdirs(into(path))
+        days = stored_dates(spark, beside, date)
+        _delete(spark, path, days, date)
+        for day in days:
+            files.rename(into(f"{beside}/{date}={day}"), into(f"{path}/{date}={day}"))
+    finally:
+        files.delete(into(beside), True)
+
+
 def stored_dates(spark: SparkSession, path: str, date: str = "event_date") -> dict[str, frozenset[str]]:
     """The dates a table has and the files of each: a listing of folders, no data is read."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +102,12 @@ def _first_day(spark: SparkSession, start: Column | None) -> str:
     return "" if start is None else str(spark.range(1).select(start.cast("date")).first()[0])
 
 
+def _delete(spark: SparkSession, path: str, days, date: str) -> None:
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in days:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}"), True)
+
+
 def replace_dates(
     rows: DataFrame, path: str, start: Column | None = None,
     cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
@@ -66,27 +122,56 @@ def replace_dates(
     first, before = _first_day(spark, start), stored_dates(spark, path, date)
     write_by_date(rows if start is None else rows.where(F.col(date) >= start), path, cluster_by, date)
     after = stored_dates(spark, path, date)
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for day, names in before.items():
-        # A folder that was written anew has other files only.
-        if day >= first and after.get(day, frozenset()) & names:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}"), True)
+    # A folder that was written anew has other files only.
+    _delete(spark, path, [d for d, names in before.items() if d >= first and after.get(d, frozenset()) & names], date)
+
+
+def replace_some_dates(
+    rows: DataFrame, path: str, days: Sequence[str],
+    cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
+) -> None:
+    """Make `days` (texts like 2024-01-31) those of `rows`, which has no others; all else stays.
+
+    `rows` may read the very days it replaces: they are exchanged when all rows are written.
+    """
+    spark = rows.sparkSession
+    before = stored_dates(spark, path, date)
+    write_by_date(rows, path, cluster_by, date)
+    after = stored_dates(spark, path, date)
+    _delete(spark, path, [d for d in days if after.get(d, frozenset()) & before.get(d, frozenset())], date)
+
+
+def read_days(spark: SparkSession, path: str, days: Sequence[str], schema, date: str = "event_date") -> DataFrame:
+    """The rows of `days` in a table stored by date, which need not be there; other days are not read."""
+    if not stored_dates(spark, path, date):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col(date).isin([F.lit(d).cast("date") for d in days]))
 
 
 def drop_before(spark: SparkSession, path: str, first: Column, date: str = "event_date") -> None:
     """Drop the dates before `first`, for example those past retention."""
     limit = _first_day(spark, first)
-    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for day in stored_dates(spark, path, date):
-        if day < limit:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{date}={day}"), True)
+    _delete(spark, path, [day for day in stored_dates(spark, path, date) if day < limit], date)
+
+
+@contextmanager
+def _only_partitions_written(spark: SparkSession) -> Iterator[None]:
+    """Inserting into a catalog table takes the overwrite mode from the session alone."""
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(mode, before)
 
 
 def save_by_date(
     rows: DataFrame, table: str, start: Column | None = None,
     cluster_by: Sequence[str] = ("campaign_id", "channel"), date: str = "event_date",
 ) -> None:
-    """`replace_dates` for a catalog table, which is created when it is not there."""
+    """`replace_dates` for a catalog table, which is created when it is not there. Other dates stay
+    whatever overwrite mode the session has."""
     spark = rows.sparkSession
     chosen = rows if start is None else rows.where(F.col(date) >= start)
     dealt = chosen.hint("rebalance", F.col(date)).sortWithinPartitions(date, *cluster_by)
@@ -97,7 +182,8 @@ def save_by_date(
     path = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
     before = stored_dates(spark, path, date)
     ordered = dealt.select(*spark.table(table).columns)
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    with _only_partitions_written(spark):
+        ordered.write.mode("overwrite").insertInto(table)
     after = stored_dates(spark, path, date)
     for day, names in before.items():
         if day >= first and after.get(day, frozenset()) & names:

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from touchline.functions.scalars import MONEY, bot_flag, join_null_safe
-from touchline.operators.dedup import latest_version
-from touchline.operators.staging import stage_conversions
+from touchline.functions.scalars import MONEY, bot_flag
+from touchline.operators.dedup import later_versions, latest_version, version_order
+from touchline.operators.staging import CONVERSION_DETAILS, CONVERSION_MEASURES, stage_conversions
 from touchline.params import Params
 from touchline.plans.attribution import credit_shares
+from touchline.sources.runs import KeyedTable
+from touchline.sources.schemas import CONVERSIONS
+from touchline.sources.sinks import watched
 
 
 def with_lateness(events: DataFrame, p: Params, column: str = "event_timestamp") -> DataFrame:
@@ -52,9 +55,13 @@ def append_batches(
     output_mode: str = "append",
     transform: Callable[[DataFrame], DataFrame] | None = None,
     trigger: Mapping | None = None,
+    checks: Mapping | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch to its own `batch_id` folder.
 
+    With `checks` (`quality.write_checks`), worked out while a batch is written, a batch that
+    fails one is kept in `path`-refused instead and the stream goes on.
+
     By default the query works off what has arrived and ends; pass for example
     `trigger={"processingTime": "1 minute"}` to keep it running.
 
@@ -63,7 +70,14 @@ def append_batches(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if not checks:
+            out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            return
+        refused = f"{path}-refused/batch_id={batch_id}"
+        seen, failed = watched(out, checks)
+        seen.write.mode("overwrite").parquet(refused)
+        if not failed():
+            _move(batch.sparkSession, refused, path, f"batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(output_mode)
@@ -116,6 +130,16 @@ def daily_counts(impressions: DataFrame, p: Params, approximate_reach: bool = Fa
 # --- attribution -------------------------------------------------------------
 
 
+def _attribution_tables(spark: SparkSession, path: str, buckets: int) -> tuple[KeyedTable, KeyedTable]:
+    credit = "conversion_id string, user_id string, conversion_ts timestamp, value double, channel string, " \
+        "campaign_id string, n_touches long, journey_touches long, is_last boolean, is_first boolean, " \
+        "last_touch double, first_touch double, linear double, time_decay double"
+    return (
+        KeyedTable(spark, f"{path}/versions", CONVERSIONS, "conversion_id", buckets),
+        KeyedTable(spark, f"{path}/credits", spark.createDataFrame([], credit).schema, "conversion_id", buckets),
+    )
+
+
 def attribute_batches(
     conversions: DataFrame,
     read_impressions: Callable[[], DataFrame],
@@ -123,38 +147,61 @@ def attribute_batches(
     checkpoint: str,
     p: Params,
     trigger: Mapping | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
     """Credit the conversions of each micro-batch with the batch operator, as batch staging would.
 
-    Arrivals are kept in `path`/arrivals, credit in `path`/credits, both by micro-batch.
-    Every batch credits its own conversions and, again, all those still open: within
-    `late_window_hours` of the newest, touches may yet arrive. Redelivered conversions
-    count once, in their latest version, inside retention and not in the future.
-    `read_credits` has the newest credit of each conversion.
+    `path`/versions has the latest version of every conversion and `path`/credits its credit,
+    both merged batch by batch (`runs.KeyedTable`). Of a micro-batch only versions later than
+    the known ones go on, whenever and in whatever order they arrive: a redelivery or a stale
+    version changes nothing, a correction replaces the credit, and a conversion that is
+    withdrawn (its latest version lacks user, time or value, or has left retention) has none.
+    Every batch credits what it has changed and, again, all those still open: within
+    `late_window_hours` of the newest, or dated after as-of, touches may yet arrive.
+    `path`/open has these, so neither they nor the known versions are searched for in
+    earlier batches; a batch reads the buckets of the ids it names.
 
     Staged impressions are read as a table (the one their own stream writes), so
     no month of them is held as state, and a hot user is split as in batch. Only
-    the open windows are read: a table with an `event_date` partition column is
-    pruned to those days.
+    the windows of the credited conversions are read: a table with an `event_date`
+    partition column is pruned to those days.
     """
+    late = F.expr(f"INTERVAL {p.late_window_hours} HOURS")
+    window = F.expr(f"INTERVAL {p.attribution_window_days} DAYS")
+    order = version_order(CONVERSION_MEASURES, CONVERSION_DETAILS)
+
     def attribute(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/arrivals/batch_id={batch_id}")
-        arrivals = spark.read.parquet(f"{path}/arrivals").where(F.col("batch_id") <= batch_id)
-        late = F.expr(f"INTERVAL {p.late_window_hours} HOURS")
-        newest = arrivals.agg(F.max("event_timestamp")).scalar()
-        fresh = arrivals.where(F.col("batch_id") == batch_id).agg(F.min("event_timestamp")).scalar()
-        # Nothing older than both can change in this batch.
-        opened = F.least(newest - late, fresh)
-        known = arrivals.where(F.col("event_timestamp") >= opened).drop("batch_id")
-        staged = stage_conversions(known, p, details=False)
+        versions, credits = _attribution_tables(spark, path, buckets)
+        arriving = batch.select(*versions.columns)
+        versions.put_changes(
+            later_versions(versions.latest(batch_id, arriving), arriving, "conversion_id", order), batch_id
+        )
+        changed = versions.changed_in(batch_id)
+
+        ids = changed.select(F.col("conversion_id").alias("_id"))
+        is_changed = F.col("conversion_id").eqNullSafe(F.col("_id"))
+        candidates = changed
+        if batch_id:
+            before = spark.read.schema(CONVERSIONS).parquet(f"{path}/open/batch_id={batch_id - 1}")
+            candidates = before.join(ids, is_changed, "left_anti").unionByName(changed)
+        staged = stage_conversions(candidates, p, details=False)
+        edges = staged.agg(F.min("event_timestamp").alias("oldest"), F.max("event_timestamp").alias("newest"))
+        oldest, newest = (edges.select(c).scalar() for c in ("oldest", "newest"))
+        candidates.where((F.col("event_timestamp") >= newest - late) | (F.col("event_timestamp") > p.now())).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/open/batch_id={batch_id}")
+        _delete(spark, f"{path}/open/batch_id={batch_id - 2}")
+
         touches = read_impressions()
-        window = F.expr(f"INTERVAL {p.attribution_window_days} DAYS")
         if "event_date" in touches.columns:
-            touches = touches.where(F.col("event_date").between(F.to_date(opened - window), F.to_date(newest)))
-        touches = touches.where(F.col("event_timestamp").between(opened - window, newest))
+            touches = touches.where(F.col("event_date").between(F.to_date(oldest - window), F.to_date(newest)))
+        touches = touches.where(F.col("event_timestamp").between(oldest - window, newest))
         credit = credit_shares(staged, touches, p, unattributed=True)
-        credit.write.mode("overwrite").parquet(f"{path}/credits/batch_id={batch_id}")
+        gone = changed.join(
+            staged.select(F.col("conversion_id").alias("_id")), is_changed, "left_anti"
+        )
+        credits.put_changes(credit, batch_id, gone)
 
     return (
         conversions.writeStream.option("checkpointLocation", checkpoint)
@@ -162,11 +209,22 @@ def attribute_batches(
     )
 
 
-def read_credits(spark: SparkSession, path: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _move(spark: SparkSession, source: str, into: str, name: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(into).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder(into))
+    files.delete(folder(f"{into}/{name}"), True)
+    files.rename(folder(source), folder(f"{into}/{name}"))
+
+
+def read_credits(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
     """The credit of every conversion as its newest batch has it."""
-    rows = spark.read.parquet(f"{path}/credits")
-    newest = rows.groupBy("conversion_id").agg(F.max("batch_id").alias("newest"))
-    return join_null_safe(rows, newest, ["conversion_id"]).where("batch_id = newest").drop("batch_id", "newest")
+    return _attribution_tables(spark, path, buckets)[1].latest()
 
 
 def touch_pairs(
