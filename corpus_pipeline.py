@@ -3,17 +3,20 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
 `docs`; the last adds the ids of its texts. Labels come from the folder of the tables.
+
+Defined results: null and empty texts are judged, deduplicated and encoded as texts without words
+(the operators' docstrings say how); rows repeated whole are one document after the second
+stage; a null doc_id is an id like any other and comes after all others; columns beside
+those of `documents` pass through, whatever their names; an empty table stays empty in every
+stage. Written stages go when the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import exact_dedup, mixing, near_dedup, pieces, quality_classifier
-from touchline.llm.common import table
-from touchline.session import shared_dir
+from touchline.llm.common import stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the first stays."""
-    return near_dedup.keep_one(docs)
+    """Of each group of near-duplicates (0.8 of all runs of five words) the first stays."""
+    return near_dedup.keep_one(docs, width=5, link=80)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written and read back before the next stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
