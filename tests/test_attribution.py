@@ -334,3 +334,54 @@ def test_user_with_most_of_the_data(spark):
     assert rows.last == rows.touched == touched
     assert rows.linear == pytest.approx(touched)
     assert rows.decay == pytest.approx(touched)
+
+
+def by_key(rows, models):
+    return {
+        (r.attribution_model, r.channel, r.campaign_id): r.credit
+        for r in attribution.credit_by(rows, ["channel", "campaign_id"], models).collect()
+    }
+
+
+@pytest.mark.parametrize("seed, changes", [
+    (1, {}), (2, {"attribution_window_days": 3, "half_life_days": 0.5, "tile_minutes": 720}),
+    (3, {"min_touches": 3, "attribution_window_days": 9}),
+])
+@pytest.mark.parametrize("unattributed", [True, False])
+def test_totals_are_the_sums_of_shares(spark, seed, changes, unattributed):
+    c, t = random_history(seed)
+    convs = conversions(spark, [
+        {"conversion_id": i, "user_id": u, "event_timestamp": w, "conversion_value_usd": None if n == 5 else v}
+        for n, (i, u, w, v) in enumerate(c)
+    ])
+    imps = impressions(spark, [
+        {"impression_id": i, "user_id": u, "event_timestamp": w, "channel": ch, "campaign_id": ca} for i, u, w, ch, ca in t
+    ])
+    p = P.with_(**changes)
+    got = by_key(attribution.credit_totals(convs, imps, p, unattributed), p.models)
+    want = by_key(attribution.credit_shares(convs, imps, p, unattributed), p.models)
+    assert set(got) == set(want)
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_totals_without_anything(spark):
+    nothing = attribution.credit_totals(conversions(spark, []), impressions(spark, []), P)
+    assert attribution.credit_by(nothing, ["channel"], P.models).collect() == []
+
+
+def test_summary_of_shares_equals_the_summary_of_credits(spark):
+    c, t = random_history(7)
+    convs = conversions(spark, [
+        {"conversion_id": None if n == 3 else i, "user_id": u, "event_timestamp": w, "conversion_value_usd": None if n < 3 else v}
+        for n, (i, u, w, v) in enumerate(c)
+    ])
+    imps = impressions(spark, [
+        {"impression_id": i, "user_id": u, "event_timestamp": w, "channel": ch, "campaign_id": ca} for i, u, w, ch, ca in t
+    ])
+    shares = attribution.credit_shares(convs, imps, P, unattributed=True)
+    key = ["attribution_model", "channel", "campaign_id"]
+    wide = {tuple(r[k] for k in key): r for r in attribution.summary_of_shares(shares, P.models).collect()}
+    long = {tuple(r[k] for k in key): r for r in attribution.attribution_summary(attribution.credits(shares, P.models)).collect()}
+    assert set(wide) == set(long)
+    for k, row in long.items():
+        assert tuple(wide[k]) == pytest.approx(tuple(row), nan_ok=True) or wide[k].asDict() == pytest.approx(row.asDict())

@@ -164,6 +164,59 @@ def window_totals(
     )
 
 
+def sums_ahead(
+    touches: DataFrame, conversions: DataFrame, p: Params, sums: Mapping[str, Column], keep: Sequence[str] = (),
+) -> DataFrame:
+    """The time line walked the other way: per touch, sums over the conversions whose windows hold it.
+
+    A touch's own window runs forward from it, as long as a conversion's runs back; it covers the
+    tail of the touch's block and the head of the next. The result has a row per touch and side
+    that holds any: `keep`, `ts_us`, `edge` (the start of the block in which the side's
+    conversions end, in microseconds, to which the caller scales amounts), `n_seen`, and the `sums`.
+
+    `conversions` has user_id, end_us and what `sums` need; rows are not repeated per key of
+    the touches, so work does not grow with the keys a user met.
+    """
+    window = p.attribution_window_days * MICROS_PER_DAY
+    tile = p.tile_minutes * MICROS_PER_MINUTE
+    amounts = [f"_amount_{c}" for c in sums]
+    items = (
+        conversions.where(F.col("user_id").isNotNull())
+        .select("user_id", "end_us", *[what.alias(a) for a, what in zip(amounts, sums.values())])
+        .withColumn("block", floor_div("end_us", window))
+    )
+    # Most users never convert: their touches leave before they are sorted.
+    blocks = items.select("user_id", "block").distinct()
+    probes = (
+        touches.where(F.col("user_id").isNotNull())
+        .select("user_id", F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *keep)
+        .withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+        .withColumn("block", floor_div("ts_us", window) + F.when(F.col("side") == 1, 1).otherwise(0))
+        .join(blocks, ["user_id", "block"], "left_semi")
+        .withColumns({
+            "position": F.when(F.col("side") == 1, F.col("ts_us") + F.lit(window)).otherwise(-F.col("ts_us")),
+            "is_probe": F.lit(1),
+        })
+    )
+    placed = items.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).select(
+        "user_id", "block", "side", (F.col("side") * F.col("end_us")).alias("position"), F.lit(0).alias("is_probe"), *amounts
+    )
+    line = probes.unionByName(placed, allowMissingColumns=True).withColumn("tile", floor_div("position", tile))
+
+    def of_items(what: Column) -> Column:
+        return F.when(F.col("is_probe") == 0, what)
+
+    answered = running_totals(
+        line, group=["user_id", "block", "side"], order=["position", "is_probe", "impression_id", *amounts],
+        totals={
+            "n_seen": ("sum", of_items(F.lit(1).cast("long"))),
+            **{c: ("sum", of_items(F.col(a))) for c, a in zip(sums, amounts)},
+        },
+        keep=F.col("is_probe") == 1,
+    ).where(F.col("n_seen") > 0)
+    return answered.select(*keep, "ts_us", (F.col("block") * F.lit(window)).alias("edge"), "n_seen", *sums)
+
+
 def _gather(
     answers: DataFrame, conversions: DataFrame, by: list[str], keep_unmatched: bool
 ) -> DataFrame:

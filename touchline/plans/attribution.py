@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import CREDIT, exact_sum, join_null_safe, ratio
+from touchline.functions.scalars import CREDIT, MICROS_PER_DAY, exact_sum, join_null_safe, ratio
 from touchline.operators.order_stats import medians, refined_medians
-from touchline.operators.timeline import window_totals
-from touchline.params import Params
+from touchline.operators.timeline import sums_ahead, window_totals
+from touchline.params import MODELS, Params
 
 TOUCH_KEY = ["channel", "campaign_id"]
 _CONVERSION = ["conversion_id", "user_id", "conversion_ts", "value"]
@@ -83,6 +83,62 @@ def _short_journeys_untouched(rows: DataFrame, least: int, keep: bool) -> DataFr
     })
 
 
+def credit_totals(
+    conversions: DataFrame, impressions: DataFrame, p: Params, unattributed: bool = True
+) -> DataFrame:
+    """Credit summed by (channel, campaign), all models side by side: what `credit_shares` adds up to.
+
+    For reports that need no shares. Conversions first learn the number and weight of their touches
+    and their first and last one; then every touch receives value / number and value / weight of
+    all conversions that see it, in one more pass over the time line (`sums_ahead`), and the
+    touches' credit is added up by key. Conversions are never repeated per key of their user.
+
+    The rows stand in for shares: `credit_by`, `credit_breakdowns` and the model comparison
+    take either. Sums are decimals.
+    """
+    half_life = p.half_life_days * MICROS_PER_DAY
+    touches = touch_columns(impressions)
+    found = window_totals(
+        credited_conversions(conversions), touches, p, touch_fields=TOUCH_KEY, keep_unmatched=True
+    )
+    enough = F.col("n_touches") >= max(1, p.min_touches)
+    touched = found.where(enough).withColumn("end_us", F.unix_micros("conversion_ts"))
+    per_touch = sums_ahead(touches, touched, p, {
+        "linear": F.col("value") / F.col("n_touches"), "decayed": F.col("value") / F.col("weight"),
+    }, keep=TOUCH_KEY)
+    # Conversions' weights are relative to the start of the block they end in; so is a touch's here.
+    age = (F.col("ts_us") - F.col("edge")) / F.lit(float(half_life))
+
+    def summed(amount: Column) -> Column:
+        return F.sum(amount.cast(CREDIT))
+
+    def edge(model: str) -> DataFrame:
+        key = [F.col(f"{model}.{c}").alias(c) for c in TOUCH_KEY]
+        return touched.groupBy(*key).agg(summed(F.col("value")).alias(model), F.lit(True).alias(f"is_{model[:-6]}"))
+
+    parts = [
+        edge("last_touch"), edge("first_touch"),
+        per_touch.groupBy(*TOUCH_KEY).agg(
+            summed(F.col("linear")).alias("linear"),
+            summed(F.col("decayed") * F.pow(F.lit(2.0), age)).alias("time_decay"),
+        ),
+    ]
+    if unattributed:
+        alone = summed(F.col("value"))
+        untouched = found.where(~enough).agg(F.count(F.lit(1)).alias("_n"), *[alone.alias(m) for m in MODELS])
+        parts.append(untouched.where("_n > 0").select(
+            *[F.lit(None).cast("string").alias(c) for c in TOUCH_KEY], *MODELS,
+            F.lit(True).alias("is_last"), F.lit(True).alias("is_first"),
+        ))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.groupBy(*TOUCH_KEY).agg(
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("is_last", "is_first")],
+        *[F.sum(m).cast(CREDIT).alias(m) for m in MODELS],
+    )
+
+
 def credits(shares: DataFrame, models: Sequence[str]) -> DataFrame:
     """Long form: one row per conversion, model and credited (channel, campaign)."""
     holds = {"last_touch": F.col("is_last"), "first_touch": F.col("is_first")}
