@@ -1,4 +1,7 @@
+import duckdb
+
 from touchline.llm import url_filter
+from touchline.llm.oracle import ORACLE
 
 
 def pages(spark, rows):
@@ -47,6 +50,23 @@ def test_a_host_without_labels_has_the_wide_bound_of_the_host_prior(spark):
     assert abs(got[5000].host_rate - 0.6) < 0.05 and got[5000].host_upper > 0.9
 
 
+def test_sql_agrees_where_hosts_differ_and_some_have_no_labels(spark):
+    rows = [(i, f"http://h{i % 40}.blogs.io/{i}", "") for i in range(2000)]
+    rows += [(3000 + i, f"http://www.{name}/", "") for i, name in enumerate(["new.blogs.io", "other.io", "x.bad.de", "y.zz"])]
+    rows += [(4000 + i, f"http://a{i % 3}.bad.de/{i}", "") for i in range(60)]
+    marks = [(i, 1 if i % 40 < 24 else 0, 0) for i in range(2000)] + [(4000 + i, 0, 1) for i in range(60)]
+    want = duckdb.connect()
+    want.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    want.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER)")
+    want.executemany("INSERT INTO labels VALUES (?, ?, ?)", marks)
+    expected = {r[0]: r[1:] for r in want.execute(ORACLE["op10_url_filter"]).fetchall()}
+    got = run(spark, [(i, url) for i, url, _ in rows], marks)
+    assert {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()} == expected
+    # Labelled hosts of both kinds, and hosts without labels that their domain's own bound would have blocked.
+    assert got[39].verdict == "block" and got[3000].verdict == "allow"
+
+
 def test_edges(spark):
     assert run(spark, [], []) == {}
     got = url_filter.judge(

@@ -66,10 +66,14 @@ WITH parsed AS (
         / greatest(sum(n - 1), 1), 0.005), 0.5) FROM h1) - 1 AS strength FROM h1
 ), h3 AS (
     SELECT host, strength * prior + good AS a, strength * (1 - prior) + n - good AS b FROM h2
+), unseen AS (
+    -- A host without labels has the posterior of no pages around its domain's rate, or else its suffix's.
+    SELECT max(strength) AS strength FROM h2
 ), bounds AS (
     SELECT page_id, host, path,
-        coalesce(h3.a, d3.a, s3.a) AS a, coalesce(h3.b, d3.b, s3.b) AS b
-    FROM units LEFT JOIN h3 USING (host) LEFT JOIN d3 USING (domain) LEFT JOIN s3 USING (suffix)
+        coalesce(h3.a, strength * d3.a / (d3.a + d3.b), strength * s3.a / (s3.a + s3.b)) AS a,
+        coalesce(h3.b, strength * (1 - d3.a / (d3.a + d3.b)), strength * (1 - s3.a / (s3.a + s3.b))) AS b
+    FROM units CROSS JOIN unseen LEFT JOIN h3 USING (host) LEFT JOIN d3 USING (domain) LEFT JOIN s3 USING (suffix)
 ), ruled AS (
     SELECT *, CASE
         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
