@@ -5,6 +5,7 @@ import pytest
 from builders import P, at, conversions, impressions, window_brute_force
 from pyspark.sql import functions as F
 
+from touchline.operators import timeline
 from touchline.params import MODELS, Params
 from touchline.plans import attribution, comparison, journeys
 
@@ -385,3 +386,61 @@ def test_summary_of_shares_equals_the_summary_of_credits(spark):
     assert set(wide) == set(long)
     for k, row in long.items():
         assert tuple(wide[k]) == pytest.approx(tuple(row), nan_ok=True) or wide[k].asDict() == pytest.approx(row.asDict())
+
+
+def hot_hour(spark, n=3000):
+    """One user with half of all touches inside one hour, the rest spread over other users and days."""
+    rng, start = random.Random(3), at("2024-01-20 10:00:00")
+    t = [(f"i{k}", "hot", start + timedelta(microseconds=rng.randrange(3_600_000_000)), "Search", "c0") for k in range(n)]
+    t += [(f"j{k}", f"u{k % 50}", start - timedelta(hours=rng.randrange(600)), "Video", "c1") for k in range(n)]
+    c = [(f"v{k}", "hot", start + timedelta(minutes=rng.randrange(120)), 5.0) for k in range(40)]
+    c += [(f"w{k}", f"u{k}", start, 7.0) for k in range(10)]
+    return (
+        conversions(spark, [{"conversion_id": i, "user_id": u, "event_timestamp": w, "conversion_value_usd": v} for i, u, w, v in c]),
+        impressions(spark, [
+            {"impression_id": i, "user_id": u, "event_timestamp": w, "channel": ch, "campaign_id": ca} for i, u, w, ch, ca in t
+        ]),
+    )
+
+
+def test_a_hot_hour_is_cut_into_even_parts(spark):
+    convs, imps = hot_hour(spark)
+    rows = imps.select("user_id", F.lit(1).alias("side"), F.unix_micros("event_timestamp").alias("position")).withColumn(
+        "tile", F.floor(F.col("position") / 3_600_000_000)
+    )
+    cut = timeline.cut_hot_tiles(rows, rows, P.with_(hot_tile_rows=100))
+    assert cut.count() == rows.count()
+    largest = cut.groupBy("user_id", "tile").count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * rows.count() / (2 * timeline.CUTS)
+    order = cut.where("user_id = 'hot'").orderBy("position").select("tile").collect()
+    assert order == sorted(order)
+    assert timeline.cut_hot_tiles(rows, rows, P) is rows
+
+
+def test_cut_tiles_change_no_result(spark):
+    convs, imps = hot_hour(spark, 400)
+    cut = P.with_(hot_tile_rows=20)
+    assert credit_table(convs, imps, cut) == credit_table(convs, imps, P)
+    assert by_key(attribution.credit_totals(convs, imps, cut), MODELS) == pytest.approx(
+        by_key(attribution.credit_totals(convs, imps, P), MODELS)
+    )
+    ranges = [sorted(map(tuple, journeys.journey_ranges(convs, imps, p).collect())) for p in (P, cut)]
+    assert ranges[0] == ranges[1]
+
+
+def test_hot_tiles_are_spread_without_broadcasts_by_size(spark):
+    """The shuffle that the totals run in: no task has more than a few times the mean."""
+    convs, imps = hot_hour(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = {}
+        for name, p in (("whole", P), ("cut", P.with_(hot_tile_rows=100))):
+            line = timeline.cut_hot_tiles(*[imps.select(
+                "user_id", F.lit(1).alias("side"), F.unix_micros("event_timestamp").alias("position")
+            ).withColumn("tile", F.floor(F.col("position") / 3_600_000_000))] * 2, p)
+            dealt = line.repartition(16, "user_id", "side", "tile").groupBy(F.spark_partition_id()).count()
+            sizes[name] = max(r["count"] for r in dealt.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sizes["whole"] >= 3000 and sizes["cut"] <= 3 * 6000 / 16

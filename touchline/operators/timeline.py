@@ -13,7 +13,9 @@ backward pass makes both the same running total, in one shuffle.
 Blocks are cut further in short tiles. Totals run inside each tile, and tile
 sums, at most window/tile of them per block, carry over from tile to tile. Work
 is spread by (user, block, key, tile), so the largest thing a task can meet is
-one user's touches within one tile.
+one user's touches within one tile. With `hot_tile_rows`, tiles that hold more
+are found by counting and cut at the quantiles of their times, so that a user
+with much of the data inside one hour is spread as well (`cut_hot_tiles`).
 """
 
 from __future__ import annotations
@@ -41,6 +43,34 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before + here, before, here)
 
 
+#: Parts of a hot tile, and how many hot tiles there can be: none has less than this share of all rows,
+#: so the table of their cuts is small whatever the data.
+CUTS = 64
+MOST_HOT = 1000
+
+
+def cut_hot_tiles(rows: DataFrame, touches: DataFrame, p: Params, key: Sequence[str] = ("user_id", "side")) -> DataFrame:
+    """`rows` with the tiles cut in which `touches` are many; both have `key`, `tile` and `position`.
+
+    A hot tile has more than `hot_tile_rows` touches and more than 1 / MOST_HOT of all. It is cut at
+    `CUTS` - 1 quantiles of its touches' positions; rows at one position stay together. Tiles are
+    renumbered so that they still never decrease along the time line.
+    """
+    if p.hot_tile_rows is None:
+        return rows
+    cell = [*key, "tile"]
+    least = F.greatest(
+        F.lit(p.hot_tile_rows).cast("double"), touches.agg(F.count(F.lit(1)) / F.lit(float(MOST_HOT))).scalar()
+    )
+    hot = touches.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*cell)
+    fractions = F.array(*[F.lit(n / CUTS) for n in range(1, CUTS)])
+    cuts = touches.join(F.broadcast(hot), cell, "left_semi").groupBy(*cell).agg(
+        F.percentile_approx("position", fractions, F.lit(10_000)).alias("_cuts")
+    )
+    before = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("position")))
+    return rows.join(F.broadcast(cuts), cell, "left").withColumn("tile", F.col("tile") * CUTS + before).drop("_cuts")
+
+
 def running_totals(
     rows: DataFrame,
     group: Sequence[str],
@@ -136,6 +166,10 @@ def window_totals(
     timeline = touch_rows.unionByName(probes, allowMissingColumns=True).withColumn(
         "tile", floor_div("position", tile)
     )
+    both_ways = placed.select("user_id", F.col("ts_us"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")).select(
+        "user_id", "side", (F.col("side") * F.col("ts_us")).alias("position")
+    ).withColumn("tile", floor_div("position", tile))
+    timeline = cut_hot_tiles(timeline, both_ways, p)
     ts = F.col("side") * F.col("position")
     edge = (F.col("block") + F.when(F.col("side") == -1, 1).otherwise(0)) * F.lit(window)
     touch = F.struct(ts.alias("ts_us"), "impression_id", *touch_fields)
@@ -202,6 +236,7 @@ def sums_ahead(
         "user_id", "block", "side", (F.col("side") * F.col("end_us")).alias("position"), F.lit(0).alias("is_probe"), *amounts
     )
     line = probes.unionByName(placed, allowMissingColumns=True).withColumn("tile", floor_div("position", tile))
+    line = cut_hot_tiles(line, line.where("is_probe = 1"), p)
 
     def of_items(what: Column) -> Column:
         return F.when(F.col("is_probe") == 0, what)

@@ -68,6 +68,8 @@ class Params:
     error_rate_threshold: float = 0.05
     # Width of the time tiles that split one user's history over many tasks.
     tile_minutes: int = 60
+    # Tiles with more touches of one user are measured and cut again by rank; None measures nothing.
+    hot_tile_rows: int | None = None
 
     def __post_init__(self):
         if self.half_life_days <= 0:

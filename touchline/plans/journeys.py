@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import MICROS_PER_DAY, MICROS_PER_MINUTE, floor_div
-from touchline.operators.timeline import running_totals
+from touchline.operators.timeline import cut_hot_tiles, running_totals
 from touchline.params import Params
 
 _BEFORE, _TOUCH, _UPTO = 0, 1, 2
@@ -29,6 +29,8 @@ def numbered_touches(impressions: DataFrame, p: Params) -> DataFrame:
         "user_id", F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", "channel",
         "campaign_id", F.col("impression_cost").alias("cost"),
     ).withColumn("tile", _tile("ts_us", p))
+    places = touches.select("user_id", "tile", F.col("ts_us").alias("position"))
+    touches = cut_hot_tiles(touches.withColumn("position", F.col("ts_us")), places, p, ["user_id"]).drop("position")
     return running_totals(
         touches, ["user_id"], ["ts_us", "impression_id"],
         {"number": ("sum", F.lit(1).cast("long"))}, keep=F.lit(True),
@@ -56,6 +58,8 @@ def _bounds(conversions: DataFrame, impressions: DataFrame, p: Params) -> DataFr
         )).alias("_bound"),
     ).select("user_id", "conversion_id", "_bound.*")
     both = touches.unionByName(bounds, allowMissingColumns=True).withColumn("tile", _tile("at", p))
+    places = touches.select("user_id", F.col("at").alias("position")).withColumn("tile", _tile("position", p))
+    both = cut_hot_tiles(both.withColumn("position", F.col("at")), places, p, ["user_id"]).drop("position")
     return running_totals(
         both, ["user_id"], ["at", "kind", "impression_id", "conversion_id"],
         {"number": ("sum", F.when(F.col("kind") == _TOUCH, 1).otherwise(0).cast("long"))},
