@@ -11,6 +11,7 @@ _KEYS = {
     ("sources", "impressions", "retention_days"): "retention_days",
     ("sources", "conversions", "retention_days"): "conversion_retention_days",
     ("sources", "conversions", "late_arrival_window_hours"): "late_window_hours",
+    ("sources", "clicks", "retention_days"): "click_retention_days",
     ("attribution", "attribution_window_days"): "attribution_window_days",
     ("attribution", "time_decay_half_life_days"): "half_life_days",
     ("attribution", "models"): "models",
@@ -19,6 +20,7 @@ _KEYS = {
     ("campaigns", "benchmarks", "target_roas"): "benchmarks.roas",
     ("campaigns", "benchmarks", "target_cpa_usd"): "benchmarks.cpa",
     ("campaigns", "benchmarks", "target_ctr_pct"): "benchmarks.ctr",
+    ("optimization", "allocation_method"): "allocation_method",
     ("optimization", "scoring_weights"): "scoring_weights",
     ("optimization", "min_budget_change_pct"): "min_budget_change",
     ("optimization", "max_budget_change_pct"): "max_budget_change",
@@ -27,6 +29,9 @@ _KEYS = {
     ("ab_testing", "minimum_detectable_effects", "low_traffic_campaigns"): "mde_by_traffic.low",
     ("ab_testing", "minimum_detectable_effects", "medium_traffic_campaigns"): "mde_by_traffic.medium",
     ("ab_testing", "minimum_detectable_effects", "high_traffic_campaigns"): "mde_by_traffic.high",
+    ("reporting", "default_metrics"): "report_metrics",
+    ("reporting", "aggregation_levels"): "report_levels",
+    ("data_quality", "bot_detection", "flag_zero_cost_impressions"): "flag_zero_cost",
     ("data_quality", "bot_detection", "suspicious_device_patterns"): "suspicious_devices",
     ("data_quality", "outlier_threshold_std_dev"): "outlier_std_devs",
     ("data_quality", "missing_value_tolerance_pct"): "missing_tolerance",
@@ -39,11 +44,6 @@ _PERCENT = {
     "min_budget_change", "max_budget_change", "missing_tolerance", "spend_drop_threshold",
     "error_rate_threshold", "benchmarks.ctr",
 }
-# Keys with only one value that the library can follow.
-_ONLY = {
-    ("optimization", "allocation_method"): "weighted_scoring",
-    ("data_quality", "bot_detection", "flag_zero_cost_impressions"): True,
-}
 # Sections whose keys are all read here; the others are for schedulers, reports and alerts.
 _READ = {"attribution", "campaigns", "optimization", "ab_testing", "data_quality"}
 # Read from the tables handed to the operators, or by whoever schedules them.
@@ -64,21 +64,14 @@ def params_from(config: Mapping, as_of: str) -> Params:
     """Keys override the defaults; percentages become fractions.
 
     A key of a section that concerns the operators is used or refused by name, so a
-    misspelt or unsupported setting cannot pass unnoticed. Clicks are kept raw, without
-    a retention of their own: theirs must be the impressions'.
+    misspelt or unsupported setting cannot pass unnoticed.
     """
     found: dict = {}
     nested = {"benchmarks": dict(BENCHMARKS), "mde_by_traffic": dict(MDE_BY_TRAFFIC)}
     for path, value in _leaves(config):
         name = _KEYS.get(path)
         if name is None:
-            if path in _ONLY and value != _ONLY[path]:
-                raise ValueError(f"{'.'.join(path)}: only {_ONLY[path]!r} is supported")
-            retention = config.get("sources", {}).get("impressions", {}).get("retention_days", Params.retention_days)
-            if path == ("sources", "clicks", "retention_days"):
-                if value != retention:
-                    raise ValueError("sources.clicks.retention_days must be that of impressions")
-            elif path not in _ONLY and (path[0] in _READ or path[0] == "sources" and path[-1] not in _ELSEWHERE):
+            if path[0] in _READ or path[0] == "sources" and path[-1] not in _ELSEWHERE:
                 raise ValueError(f"unknown configuration key: {'.'.join(path)}")
             continue
         if value is None:

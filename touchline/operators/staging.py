@@ -27,8 +27,15 @@ def retention_start(p: Params, days: int | None = None):
     return F.date_sub(p.today(), p.retention_days if days is None else days).cast("timestamp")
 
 
+def retained_clicks(clicks: DataFrame, p: Params) -> DataFrame:
+    """Clicks are kept raw, but for those past a retention of their own."""
+    if p.click_retention_days is None:
+        return clicks
+    return clicks.where(F.col("event_timestamp") >= retention_start(p, p.click_retention_days))
+
+
 def with_bot_flag(rows: DataFrame, p: Params) -> DataFrame:
-    flag = bot_flag("is_bot", "impression_cost", "event_timestamp")
+    flag = bot_flag("is_bot", "impression_cost", "event_timestamp") if p.flag_zero_cost else F.col("is_bot")
     if p.flag_suspicious_devices:
         flag = flag | suspicious_device("device_type", p.suspicious_devices)
     return rows.withColumn("is_bot_flag", flag)

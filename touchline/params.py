@@ -34,6 +34,12 @@ CATALOG_RANGE_RULES = {
     "cpa": (1.0, 500.0),
 }
 SUSPICIOUS_DEVICES = ("bot", "crawler", "spider")
+ALLOCATION_METHODS = ("weighted_scoring", "performance_tier")
+REPORT_METRICS = (
+    "impressions", "clicks", "conversions", "spend", "revenue", "cpm", "ctr", "cpc", "cpa", "roas",
+    "fill_rate", "frequency",
+)
+REPORT_LEVELS = {"daily": "day", "weekly": "week", "monthly": "month"}
 # End of fixed values.
 
 
@@ -43,6 +49,8 @@ class Params:
     retention_days: int = 90
     # Conversions' own retention; impressions' by default.
     conversion_retention_days: int | None = None
+    # Clicks' own retention; without it clicks are kept as they come.
+    click_retention_days: int | None = None
     late_window_hours: int = 72
     attribution_window_days: int = 28
     half_life_days: float = 7.0
@@ -50,15 +58,20 @@ class Params:
     min_touches: int = 1
     min_spend_usd: float = 100.0
     scoring_weights: dict = field(default_factory=lambda: dict(SCORING_WEIGHTS))
+    allocation_method: str = "weighted_scoring"
     min_budget_change: float = -0.50
     max_budget_change: float = 1.00
     alpha: float = 0.05
     power: float = 0.80
     traffic_split: float = 0.5
     mde_by_traffic: dict = field(default_factory=lambda: dict(MDE_BY_TRAFFIC))
+    # Whether free impressions are taken for bots.
+    flag_zero_cost: bool = True
     flag_suspicious_devices: bool = False
     suspicious_devices: tuple[str, ...] = SUSPICIOUS_DEVICES
     benchmarks: dict = field(default_factory=lambda: dict(BENCHMARKS))
+    report_metrics: tuple[str, ...] = REPORT_METRICS
+    report_levels: tuple[str, ...] = tuple(REPORT_LEVELS)
     outlier_std_devs: float = 3.0
     missing_tolerance: float = 0.05
     max_staleness_hours: int = 24
@@ -80,6 +93,10 @@ class Params:
         unknown = set(self.models) - set(MODELS)
         if unknown:
             raise ValueError(f"unknown attribution models: {sorted(unknown)}")
+        if self.allocation_method not in ALLOCATION_METHODS:
+            raise ValueError(f"unknown allocation_method {self.allocation_method!r}, choose from {ALLOCATION_METHODS}")
+        if odd := set(self.report_levels) - set(REPORT_LEVELS):
+            raise ValueError(f"unknown aggregation_levels: {sorted(odd)}")
 
     def now(self) -> Column:
         return F.lit(self.as_of).cast("timestamp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,7 @@ from touchline.operators.rollups import (
     conversion_counts,
     impression_counts,
 )
-from touchline.params import Params
-
-# Metrics of the default report.
-REPORT_METRICS = (
-    "impressions", "clicks", "conversions", "spend", "revenue", "cpm", "ctr", "cpc", "cpa", "roas",
-    "fill_rate", "frequency",
-)
-
+from touchline.params import REPORT_LEVELS, REPORT_METRICS, Params
 
 def campaign_metrics(
     impressions: DataFrame,
@@ -51,9 +46,18 @@ def from_counts(impressions: DataFrame, clicks: DataFrame, conversions: DataFram
     return add_metrics(filled, MART_RATIOS)
 
 
-def report_metrics(mart: DataFrame, level: str = "day") -> DataFrame:
-    """The mart's default report: keys and the metrics reports show."""
-    return mart.select("campaign_id", "channel", PERIODS[level], *REPORT_METRICS)
+def report_metrics(mart: DataFrame, level: str = "day", metrics: Sequence[str] = REPORT_METRICS) -> DataFrame:
+    """The mart's report: keys and the metrics reports show."""
+    return mart.select("campaign_id", "channel", PERIODS[level], *metrics)
+
+
+def reports(impressions: DataFrame, clicks: DataFrame, conversions: DataFrame, p: Params) -> dict[str, DataFrame]:
+    """The configured report at each configured level: by "daily", "weekly", "monthly"."""
+    return {
+        name: report_metrics(
+            campaign_metrics(impressions, clicks, conversions, REPORT_LEVELS[name]), REPORT_LEVELS[name], p.report_metrics
+        ) for name in p.report_levels
+    }
 
 
 def sorted_mart(mart: DataFrame, level: str = "day") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.rollups import period_start
-from touchline.operators.staging import stage_conversions, stage_impressions
+from touchline.operators.staging import retained_clicks, stage_conversions, stage_impressions
 from touchline.params import Params
 from touchline.plans import attribution, campaign_mart, comparison, optimizer, quality
 from touchline.sources import sinks
@@ -24,7 +24,7 @@ def store_staging(
     staged = {
         "stg_impressions": (stage_impressions(impressions, p), ("campaign_id", "channel")),
         "stg_conversions": (stage_conversions(conversions, p), ("campaign_id",)),
-        "clicks": (clicks, ("campaign_id",)),
+        "clicks": (retained_clicks(clicks, p), ("campaign_id",)),
     }
     for name, (rows, cluster) in staged.items():
         # All retained rows: a date without any, or past retention, goes.
@@ -62,7 +62,7 @@ def run_day(spark: SparkSession, folder: str, p: Params) -> list[str]:
         "channel_consensus": comparison.channel_consensus(touched, p.models),
         "channel_divergence": comparison.channel_divergence(touched, p.models),
         "performance_tiers": optimizer.performance_tiers(campaigns),
-        "budget_allocation": optimizer.allocation_report(optimizer.budget_allocation(campaigns, p)),
+        "budget_allocation": optimizer.allocation_report(optimizer.allocate(campaigns, p)),
         "range_checks": quality.range_violations(
             spark.read.parquet(mart_path), ["campaign_id", "event_date"]
         ),

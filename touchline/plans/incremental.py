@@ -34,6 +34,7 @@ from touchline.operators.staging import (
     CONVERSION_MEASURES,
     IMPRESSION_DETAILS,
     IMPRESSION_MEASURES,
+    retained_clicks,
     retention_start,
     served_impressions,
     valid_conversions,
@@ -111,8 +112,8 @@ class IncrementalTables:
             & (F.col("event_timestamp") <= p.now())
         )
 
-    def read_clicks(self, days: list[str] | None = None) -> DataFrame:
-        return self._all("clicks") if days is None else self._days("clicks", days)
+    def read_clicks(self, p: Params, days: list[str] | None = None) -> DataFrame:
+        return retained_clicks(self._all("clicks") if days is None else self._days("clicks", days), p)
 
     def last_run(self):
         """Log entry of the newest finished run, or None."""
@@ -132,7 +133,7 @@ class IncrementalTables:
             kind: self._merge(kind, raw[kind], None if last is None else last[f"{kind}_upto"], n, p) for kind in raw
         }
         click_days = self._replace_clicks(clicks, p, last)
-        expired = [day for kind in raw for day in self._expire(kind, p)]
+        expired = [day for kind in (*raw, "clicks") for day in self._expire(kind, p)]
         # Conversions dated after the last as-of have been waiting for this one.
         waiting = [] if last is None else [
             d for d in sinks.stored_dates(self.spark, self.path("stg_conversions"))
@@ -184,7 +185,10 @@ class IncrementalTables:
 
     def _expire(self, kind: str, p: Params) -> list[str]:
         """Days of a staged table that are past retention go; the mart may still have them."""
-        first = retention_start(p, p.conversion_retention_days if kind == "conversions" else None)
+        days = {"conversions": p.conversion_retention_days, "clicks": p.click_retention_days}.get(kind)
+        if kind == "clicks" and days is None:
+            return []
+        first = retention_start(p, days)
         path = self.path(f"stg_{kind}")
         before = sinks.stored_dates(self.spark, path)
         sinks.drop_before(self.spark, path, first)
@@ -192,7 +196,7 @@ class IncrementalTables:
 
     def _replace_clicks(self, clicks: DataFrame, p: Params, last) -> list[str]:
         """Clicks are kept raw and have no versions: the days that can still get some are replaced."""
-        rows = clicks.select(*CLICKS.names).withColumn("event_date", period_start("day"))
+        rows = retained_clicks(clicks, p).select(*CLICKS.names).withColumn("event_date", period_start("day"))
         path = self.path("stg_clicks")
         first = None if last is None else sinks.refresh_start(p.with_(as_of=last["as_of"]))
         start = "" if last is None else str(self.spark.range(1).select(first).first()[0])
@@ -204,7 +208,7 @@ class IncrementalTables:
         path = self.path("mart_campaign_metrics")
         if days:
             mart = campaign_mart.campaign_metrics(
-                self.read_impressions(p, days), self.read_clicks(days), self.read_conversions(p, days)
+                self.read_impressions(p, days), self.read_clicks(p, days), self.read_conversions(p, days)
             )
             sinks.replace_some_dates(campaign_mart.with_audit(mart, p), path, days)
         sinks.drop_before(self.spark, path, retention_start(p))

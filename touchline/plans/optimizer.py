@@ -216,6 +216,13 @@ def budget_by_tier(
     return _with_change(allocated).drop("_share")
 
 
+def allocate(campaigns: DataFrame, p: Params, total_budget: float | None = None) -> DataFrame:
+    """Budget by the configured method: scores, or tiers with their fixed shares."""
+    if p.allocation_method == "performance_tier":
+        return budget_by_tier(campaigns, total_budget)
+    return budget_allocation(campaigns, p, total_budget)
+
+
 def projected_volume(campaigns: DataFrame) -> DataFrame:
     """Conversions to expect from impressions at the campaign's click and conversion rates."""
     volume = F.col("impressions") * F.col("ctr") * F.col("cvr")
