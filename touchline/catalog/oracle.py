@@ -504,6 +504,9 @@ SELECT attribution_model, channel, campaign_id, count(DISTINCT conversion_id) AS
        {half_up(f"{credit('credit')} / count(credit)", 4)} AS avg_order_value,
        {half_up('quantile_cont(credit, 0.5)', 4)} AS median_order_value
 FROM credits GROUP BY attribution_model, channel, campaign_id ORDER BY attribution_model, attributed_revenue DESC""",
+    "attr_totals": f"""{ALL}
+SELECT attribution_model, channel, campaign_id, {half_up(f"COALESCE({credit('credit')}, 0.0)", 4)} AS credit
+FROM credits GROUP BY attribution_model, channel, campaign_id""",
     "attr_channel_breakdown": f"""{TOUCHED}
 SELECT attribution_model, channel, {half_up(f"COALESCE({credit('credit')}, 0.0)", 4)} AS credit
 FROM credits GROUP BY attribution_model, channel ORDER BY attribution_model, credit DESC""",

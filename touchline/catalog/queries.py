@@ -243,7 +243,7 @@ def unique_converters(i: Inputs):
 @query
 def metrics_by_group(i: Inputs):
     """All five groups of the metric definitions per campaign and month, with revenue credited linearly."""
-    credit = attribution.credit_by(i.totals(False), ["channel", "campaign_id"], ["linear"]).select(
+    credit = attribution.credit_by(i.shares(False), ["channel", "campaign_id"], ["linear"]).select(
         "channel", "campaign_id", F.col("credit").alias("attributed_revenue")
     )
     mart = i.mart("month").select(
@@ -352,8 +352,15 @@ def mart_attribution_summary(i: Inputs):
     return rounded.orderBy("attribution_model", F.desc("attributed_revenue"))
 
 
+@query
+def attr_totals(i: Inputs):
+    """Credit by channel and campaign from the reverse sweep, without shares."""
+    rows = attribution.credit_by(i.totals(True), ["channel", "campaign_id"], i.p.models)
+    return rows.withColumn("credit", half_up("credit", 4))
+
+
 def _breakdown(i: Inputs, kind: str, name: str):
-    rows = attribution.credit_breakdowns(i.totals(False), i.p.models)
+    rows = attribution.credit_breakdowns(i.shares(False), i.p.models)
     return rows.where(F.col("breakdown") == kind).select(
         "attribution_model", F.col("name").alias(name), half_up("credit", 4).alias("credit")
     ).orderBy("attribution_model", F.desc("credit"))
@@ -372,7 +379,7 @@ def attr_campaign_breakdown(i: Inputs):
 @query
 def attr_model_comparison(i: Inputs):
     total = attribution.conversion_count(i.conversions).scalar()
-    rows = comparison.model_comparison(i.totals(False), i.p.models)
+    rows = comparison.model_comparison(i.shares(False), i.p.models)
     return rows.select(
         "attribution_model", half_up("total_revenue", 4).alias("total_revenue"), "top_channel",
         total.alias("conversion_count"),
@@ -381,12 +388,12 @@ def attr_model_comparison(i: Inputs):
 
 @query
 def attr_consensus(i: Inputs):
-    return comparison.channel_consensus(i.totals(False), i.p.models)
+    return comparison.channel_consensus(i.shares(False), i.p.models)
 
 
 @query
 def attr_divergence(i: Inputs):
-    rows = comparison.channel_divergence(i.totals(False), i.p.models)
+    rows = comparison.channel_divergence(i.shares(False), i.p.models)
     return rows.withColumns({c: half_up(c, 4) for c in ("min_credit", "max_credit")})
 
 
@@ -405,7 +412,7 @@ def attr_by_date(i: Inputs):
 
 @query
 def attr_roas(i: Inputs):
-    rows = attribution.attribution_roas(i.totals(False), i.impressions, i.p)
+    rows = attribution.attribution_roas(i.shares(False), i.impressions, i.p)
     return rows.withColumns({c: half_up(c, 4) for c in ("attributed_revenue", "attributed_roas")})
 
 

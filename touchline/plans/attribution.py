@@ -91,7 +91,8 @@ def credit_totals(
     For reports that need no shares. Conversions first learn the number and weight of their touches
     and their first and last one; then every touch receives value / number and value / weight of
     all conversions that see it, in one more pass over the time line (`sums_ahead`), and the
-    touches' credit is added up by key. Conversions are never repeated per key of their user.
+    touches' credit is added up by key. Conversions are never repeated per key of their user, which
+    pays where users meet many campaigns; with a handful of them `credit_shares` has fewer steps.
 
     The rows stand in for shares: `credit_by`, `credit_breakdowns` and the model comparison
     take either. Sums are decimals.
