@@ -58,7 +58,7 @@ def run(spark, rows, **options):
 def corpus(n=500, sources=6):
     words = ["the", "cat", "Ähre", "été", "of", "x" * 70, "Zeit", "don", "and", "zebra", "ñu", "ab"]
     return [
-        (" ".join(words[(i * j + i // 7 + j * j) % (3 + i % len(words) or 1)] for j in range(i % 40)) + f" rare{i}",
+        (" ".join(words[(i * j + i // 7 + j * j) % (3 + i % 9)] for j in range(i % 40)) + f" rare{i}",
          ("en", "de", "fr")[i % 3 if i % 11 else 0], f"src{i * i % sources}")
         for i in range(n)
     ]
