@@ -748,6 +748,9 @@ SELECT 'credit', campaign_id, channel, {day('CAST(conversion_ts AS DATE)')}, cou
        count(DISTINCT conversion_id), {money('value')}, NULL, {credit('last_touch')}, {credit('first_touch')},
        {credit('linear')}, {half_up("SUM(CAST(time_decay AS DECIMAL(28,10)))", 4)}
 FROM shares GROUP BY campaign_id, channel, CAST(conversion_ts AS DATE)""",
+    "sink_user_tables": f"""{ALL}
+SELECT conversion_id, user_id, channel, campaign_id, n_touches, journey_touches, last_touch, first_touch,
+       {half_up('linear', 6)} AS linear, {half_up('time_decay', 6)} AS time_decay FROM shares""",
     "sink_checked_days": f"""{MART}
 SELECT campaign_id, channel, {day('event_date')} AS event_date, impressions, spend, roas, 'spend_out_of_range' AS refused_for
 FROM mart""",
@@ -840,3 +843,27 @@ GROUP BY c.conversion_id""",
 SELECT source, {instant('newest')} AS newest, staleness_hours, staleness_hours > 24 AS is_stale,
        staleness_hours > 6 AS alert FROM newest""",
 }
+
+
+def contents(name: str, keys: dict, amounts: dict, query: str | None = None) -> str:
+    """Rows of another query in the form of `sink_daily_contents`."""
+    named = [f"CAST({keys.get(k, 'NULL')} AS VARCHAR) AS {k}" for k in ("model", "channel", "campaign", "day")]
+    sums = [f"{half_up(amounts[a], 4) if a in amounts else 'NULL::DOUBLE'} AS {a}" for a in ("first", "second", "third")]
+    return f"SELECT '{name}' AS name, {', '.join(named + sums)} FROM ({ORACLE[query or name]})"
+
+
+_MODEL, _KEY = {"model": "attribution_model"}, {"channel": "channel", "campaign": "campaign_id"}
+ORACLE["sink_daily_contents"] = "\nUNION ALL\n".join([
+    contents("mart_campaign_metrics", {**_KEY, "day": "event_date"}, {"first": "spend", "second": "revenue", "third": "roas"}),
+    contents("mart_attribution_summary", {**_MODEL, **_KEY}, {
+        "first": "attributed_revenue", "second": "avg_order_value", "third": "median_order_value"}),
+    contents("credit_breakdowns", {**_MODEL, "channel": "channel"}, {"first": "credit"}, "attr_channel_breakdown"),
+    contents("credit_breakdowns", {**_MODEL, "campaign": "campaign_id"}, {"first": "credit"}, "attr_campaign_breakdown"),
+    contents("channel_divergence", {"channel": "channel"}, {"first": "min_credit", "second": "max_credit"}, "attr_divergence"),
+    contents("model_comparison", {**_MODEL, "channel": "top_channel"}, {"first": "total_revenue"}, "attr_model_comparison"),
+    contents("channel_consensus", {"channel": "channel"}, {"first": "appears_in_top_2"}, "attr_consensus"),
+    contents("performance_tiers", {"model": "tier", **_KEY}, {"first": "roas"}),
+    contents("budget_allocation", _KEY, {"first": "recommended_budget", "second": "current_budget"}),
+    contents("revenue_conservation", _MODEL, {"first": "value", "second": "credited", "third": "violations"},
+             "attr_revenue_conservation"),
+])

@@ -31,6 +31,7 @@ from touchline.plans import (
     journeys,
     optimizer,
     quality,
+    user_tables,
 )
 from touchline.session import scratch_folder
 from touchline.sources import documents, event_log, readers, schemas, sinks
@@ -760,6 +761,61 @@ def sink_incremental(i: Inputs):
     return mart.unionByName(credit, allowMissingColumns=True)
 
 
+@query
+def sink_user_tables(i: Inputs):
+    """Credit of all models from staged events stored in buckets by user and block of time."""
+    staged = _new_folder(i)
+    i.impressions.write.mode("overwrite").parquet(f"{staged}/impressions")
+    i.conversions.write.mode("overwrite").parquet(f"{staged}/conversions")
+    tables = user_tables.UserTables(i.spark, f"users_{uuid.uuid4().hex}")
+    read = i.spark.read.parquet
+    tables.store(read(f"{staged}/impressions"), read(f"{staged}/conversions"), i.p, buckets=8, hot_rows=10)
+    # The tables go again, so the result is written.
+    tables.credit_shares(i.p).write.mode("overwrite").parquet(f"{staged}/shares")
+    tables.drop()
+    return read(f"{staged}/shares").select(
+        *_CREDIT_COLUMNS, "last_touch", "first_touch", half_up("linear", 6).alias("linear"),
+        half_up("time_decay", 6).alias("time_decay"),
+    )
+
+
+@query
+def sink_daily_contents(i: Inputs):
+    """What a whole day's run leaves in its stored marts and reports, table by table in one form."""
+    path = _new_folder(i)
+    daily.store_staging(i.raw_impressions, i.clicks, i.raw_conversions, i.p, path)
+    daily.run_day(i.spark, path, i.p)
+
+    def part(name: str, keys: dict, amounts: dict, rows: DataFrame | None = None):
+        rows = i.spark.read.parquet(f"{path}/{name}") if rows is None else rows
+        return rows.select(
+            F.lit(name).alias("name"),
+            *[F.col(c).cast("string").alias(k) if (c := keys.get(k)) else F.lit(None).cast("string").alias(k)
+              for k in ("model", "channel", "campaign", "day")],
+            *[half_up(c, 4).alias(a) if (c := amounts.get(a)) else F.lit(None).cast("double").alias(a)
+              for a in ("first", "second", "third")],
+        )
+
+    by_key = {"channel": "channel", "campaign": "campaign_id"}
+    split = i.spark.read.parquet(f"{path}/credit_breakdowns")
+    parts = [
+        part("mart_campaign_metrics", {**by_key, "day": "event_date"},
+             {"first": "spend", "second": "revenue", "third": "roas"}),
+        part("mart_attribution_summary", {"model": "attribution_model", **by_key},
+             {"first": "attributed_revenue", "second": "avg_order_value", "third": "median_order_value"}),
+        *[part("credit_breakdowns", {"model": "attribution_model", key: "name"}, {"first": "credit"},
+               split.where(F.col("breakdown") == key)) for key in ("channel", "campaign")],
+        part("channel_divergence", {"channel": "channel"}, {"first": "min_credit", "second": "max_credit"}),
+        part("model_comparison", {"model": "attribution_model", "channel": "top_channel"}, {"first": "total_revenue"}),
+        part("channel_consensus", {"channel": "channel"}, {"first": "appears_in_top_2"}),
+        part("performance_tiers", {"model": "tier", **by_key}, {"first": "roas"}),
+        part("budget_allocation", by_key, {"first": "recommended_budget", "second": "current_budget"}),
+        part("revenue_conservation", {"model": "attribution_model"},
+             {"first": "value", "second": "credited", "third": "violations"}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def sink_checked_days(i: Inputs):
     """A mart stored behind checks: the second write, with figures out of range, is refused and leaves it."""

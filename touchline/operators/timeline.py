@@ -21,6 +21,7 @@ with much of the data inside one hour is spread as well (`cut_hot_tiles`).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -111,6 +112,30 @@ def running_totals(
     )
 
 
+def place_touches(touches: DataFrame, p: Params) -> DataFrame:
+    """Touches of known users with `block`, the stretch of a window's length they are in."""
+    window = p.attribution_window_days * MICROS_PER_DAY
+    return touches.where(F.col("user_id").isNotNull()).withColumn(
+        "block", floor_div(F.unix_micros("event_timestamp"), window)
+    )
+
+
+def place_windows(conversions: DataFrame, p: Params) -> DataFrame:
+    """Both ends of each conversion's window: user_id, block, side, conversion_id, position."""
+    window = p.attribution_window_days * MICROS_PER_DAY
+    return (
+        conversions.where(F.col("user_id").isNotNull())
+        .select("user_id", "conversion_id", F.unix_micros("conversion_ts").alias("_end"))
+        # side 1: the block a window ends in; side -1: the block it starts in.
+        .withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+        .withColumn("at", F.col("_end") - F.when(F.col("side") == -1, window).otherwise(0))
+        .select(
+            "user_id", floor_div("at", window).alias("block"), "side", "conversion_id",
+            (F.col("side") * F.col("at")).alias("position"),
+        )
+    )
+
+
 def window_totals(
     conversions: DataFrame, touches: DataFrame, p: Params, by: Sequence[str] = (),
     touch_fields: Sequence[str] = (), keep_unmatched: bool = False,
@@ -128,47 +153,30 @@ def window_totals(
     other columns, which are kept. `touches` has impression_id, user_id,
     event_timestamp, the `by` columns (text) and `touch_fields`.
     """
+    pair = place_windows(conversions, p), place_touches(touches, p)
+    return placed_window_totals(conversions, [pair], p, by, touch_fields, keep_unmatched)
+
+
+def placed_window_totals(
+    conversions: DataFrame, pairs: Sequence[tuple[DataFrame, DataFrame]], p: Params, by: Sequence[str] = (),
+    touch_fields: Sequence[str] = (), keep_unmatched: bool = False,
+) -> DataFrame:
+    """`window_totals` of windows and touches that are placed already, as pairs of `place_windows` and
+    `place_touches`, of which no two share a user's block. Tables laid out by user and block are
+    joined as they lie."""
     by = list(by)
     window = p.attribution_window_days * MICROS_PER_DAY
     tile = p.tile_minutes * MICROS_PER_MINUTE
     half_life = p.half_life_days * MICROS_PER_DAY
 
-    placed = touches.where(F.col("user_id").isNotNull()).select(
-        "user_id", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by],
-        F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *touch_fields,
-    ).withColumn("block", floor_div("ts_us", window))
-    end = F.unix_micros("conversion_ts")
-    probes = (
-        conversions.where(F.col("user_id").isNotNull())
-        .select("user_id", "conversion_id", end.alias("_end"))
-        # side 1: the block a window ends in; side -1: the block it starts in.
-        .withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-        .withColumn("at", F.col("_end") - F.when(F.col("side") == -1, window).otherwise(0))
-        .select(
-            "user_id", floor_div("at", window).alias("block"), "side", "conversion_id",
-            (F.col("side") * F.col("at")).alias("position"), F.lit(1).alias("is_probe"),
-        )
-    )
-    # Most users never convert: only blocks some window touches go on, and only
-    # on the sides asked for.
-    asked = probes.groupBy("user_id", "block").agg(F.collect_set("side").alias("sides"))
-    touch_rows = placed.join(asked, ["user_id", "block"]).withColumn(
-        "side", F.explode("sides")
-    ).select(
-        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
-        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
-    )
-    if by:
-        # A conversion asks only about keys its user met in that block.
-        met = placed.select("user_id", "block", *by).distinct()
-        probes = probes.join(met, ["user_id", "block"])
-
-    timeline = touch_rows.unionByName(probes, allowMissingColumns=True).withColumn(
+    lines = [_line(windows, placed, by, touch_fields) for windows, placed in pairs]
+    timeline = reduce(DataFrame.unionByName, lines).withColumn("tile", floor_div("position", tile))
+    everyone = reduce(DataFrame.unionByName, [placed.select("user_id", "event_timestamp") for _, placed in pairs])
+    both_ways = everyone.select(
+        "user_id", F.unix_micros("event_timestamp").alias("ts_us"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")
+    ).select("user_id", "side", (F.col("side") * F.col("ts_us")).alias("position")).withColumn(
         "tile", floor_div("position", tile)
     )
-    both_ways = placed.select("user_id", F.col("ts_us"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side")).select(
-        "user_id", "side", (F.col("side") * F.col("ts_us")).alias("position")
-    ).withColumn("tile", floor_div("position", tile))
     timeline = cut_hot_tiles(timeline, both_ways, p)
     ts = F.col("side") * F.col("position")
     edge = (F.col("block") + F.when(F.col("side") == -1, 1).otherwise(0)) * F.lit(window)
@@ -198,6 +206,29 @@ def window_totals(
     )
 
 
+def _line(windows: DataFrame, placed: DataFrame, by: list[str], touch_fields: Sequence[str]) -> DataFrame:
+    """Touches and window ends on one time line, joined by user and block."""
+    placed = placed.select(
+        "user_id", "block", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by],
+        F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *touch_fields,
+    )
+    probes = windows.withColumn("is_probe", F.lit(1))
+    # Most users never convert: only blocks some window touches go on, and only
+    # on the sides asked for.
+    asked = probes.groupBy("user_id", "block").agg(F.collect_set("side").alias("sides"))
+    touch_rows = placed.join(asked, ["user_id", "block"]).withColumn(
+        "side", F.explode("sides")
+    ).select(
+        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
+        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
+    )
+    if by:
+        # A conversion asks only about keys its user met in that block.
+        met = placed.select("user_id", "block", *by).distinct()
+        probes = probes.join(met, ["user_id", "block"])
+    return touch_rows.unionByName(probes, allowMissingColumns=True)
+
+
 def sums_ahead(
     touches: DataFrame, conversions: DataFrame, p: Params, sums: Mapping[str, Column], keep: Sequence[str] = (),
 ) -> DataFrame:

@@ -43,10 +43,14 @@ def credit_shares(
     whole value; otherwise it has none. A journey of fewer than `min_touches`
     counts as none. All credits are NULL where the value is.
     """
-    events = credited_conversions(conversions)
     touched = window_totals(
-        events, touch_columns(impressions), p, by=TOUCH_KEY, keep_unmatched=unattributed
+        credited_conversions(conversions), touch_columns(impressions), p, by=TOUCH_KEY, keep_unmatched=unattributed
     )
+    return shares_of_totals(touched, p, unattributed)
+
+
+def shares_of_totals(touched: DataFrame, p: Params, unattributed: bool) -> DataFrame:
+    """`credit_shares` from the window totals by channel and campaign."""
     journey = W.partitionBy("conversion_id")
     rows = touched.select(
         *_CONVERSION, *TOUCH_KEY, "n_touches", "journey_touches",
