@@ -2,15 +2,25 @@
 
 The automaton over the model's pieces reads a word once; at each position its output links
 name all pieces that end there, and each relaxes the best segmentation of the text up to
-that position: Viterbi in one pass. The model here is of the byte-pair kind, whose scores
-only order merges: the segmentation with the best sum of scores is not the one the model
-means. So a piece may follow another only if merging would leave the two apart (score 0,
-otherwise minus infinity); then exactly one segmentation of each prefix survives, and it is
-the model's own. Pieces that merging never makes are left out.
+that position: Viterbi in one pass.
+
+- Models of the unigram kind: the best sum of scores. Of equal sums the one with the longer
+  last piece stays, as in the model's library (which adds 32-bit floats along the whole text,
+  so that sums closer than seven digits may fall differently there). A character that no piece
+  of its own covers may stand alone, for the lowest score less 10.
+- Models of the byte-pair kind, as the given one: scores only order merges, and the
+  segmentation with the best sum is not the one the model means. So a piece may follow another
+  only if merging would leave the two apart (score 0, otherwise minus infinity); then exactly
+  one segmentation of each prefix survives, and it is the model's own. Pieces that merging
+  never makes are left out.
+
+Models of other kinds, without pieces for all bytes, with user-defined pieces, that change or
+shorten the text first, or with marks elsewhere than in front, are refused by `Unsuitable`.
 
 A space becomes the mark U+2581, one is put in front, and pieces have marks only at their
 start, so words with their leading marks are independent; recent ones are remembered.
-Characters without a piece are encoded as bytes. Decoding gives the text back, except that
+Characters without a piece are encoded as bytes. A worker's memory is bounded by `MAX_WORDS` and
+`MAX_PAIRS`. Decoding gives the text back, except that
 a mark in the text itself returns as a space, as in the model's own library.
 
 Defined results: null text counts as empty and has no pieces; rows are encoded one by one,
@@ -21,6 +31,7 @@ named like the result, which is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -33,7 +44,6 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from touchline.llm.common import whole_text
@@ -41,9 +51,66 @@ from touchline.llm.common import whole_text
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces a worker remembers, and the longest remembered word.
-MAX_WORDS, MAX_PAIRS, LONGEST = 250_000, 500_000, 40
+MAX_WORDS, MAX_PAIRS, LONGEST = 125_000, 250_000, 40
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _UNSPLIT = -1
+# Fixed by the model format: kinds of models, numbers of its fields, what an unknown character costs.
+UNIGRAM, BPE = 1, 2
+TRAINER, NORMALIZER, PIECE = 2, 3, 1
+MODEL_TYPE, SUFFIX_MARKS = 3, 24
+CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
+PIECE_TYPE, USER_DEFINED = 3, 4
+UNKNOWN_COST = 10.0
+# End of fixed values.
+
+
+class Unsuitable(ValueError):
+    """A model that would not be followed exactly."""
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a serialised message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            octet = message[at]
+            at += 1
+            value |= (octet & 127) << shift
+            shift += 7
+            if octet < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or varint()
+        yield tag >> 3, message[at:at + size]
+        at += size
+
+
+def _kind(model: sentencepiece.SentencePieceProcessor) -> int:
+    """UNIGRAM or BPE; `Unsuitable` for what is not followed here."""
+    trainer, normalizer = {}, {}
+    for number, value in _fields(model.serialized_model_proto()):
+        if number == TRAINER:
+            trainer = dict(_fields(value))
+        elif number == NORMALIZER:
+            normalizer = dict(_fields(value))
+        elif number == PIECE and dict(_fields(value)).get(PIECE_TYPE) == USER_DEFINED:
+            raise Unsuitable("user-defined pieces")
+    kind = trainer.get(MODEL_TYPE, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise Unsuitable(f"model type {kind}")
+    if normalizer.get(CHARSMAP) or normalizer.get(REMOVE_SPACES, 1):
+        raise Unsuitable("the text is changed before it is cut")
+    if trainer.get(SUFFIX_MARKS, 0) or not normalizer.get(DUMMY_PREFIX, 1) or not normalizer.get(ESCAPE_SPACES, 1):
+        raise Unsuitable("spaces are not marked in front of words")
+    return kind
 
 
 class Pieces:
@@ -52,11 +119,16 @@ class Pieces:
     def __init__(self, name: str):
         path = public_tokenizers.path(name) if "/" not in name else name
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kind = _kind(model)
         n = model.get_piece_size()
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
         special = {i for i in range(n) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.text = [model.id_to_piece(i) for i in range(n)]
         self.id = {p: i for i, p in enumerate(self.text) if i not in special}
+        if len(self.bytes) < 256:
+            raise Unsuitable("bytes without a piece")
+        if any(MARK in p.lstrip(MARK) for p in self.id):
+            raise Unsuitable("a piece with a mark inside")
         # Single characters come before all merges; merges come in the order of their scores.
         merged = sorted((i for p, i in self.id.items() if len(p) > 1), key=lambda i: -model.get_score(i))
         self.rank = [0] * n
@@ -71,10 +143,12 @@ class Pieces:
                     self.join[a, b] = i
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            if len(p) == 1 or self._made_by_merging(p, i):
+            if self.kind == UNIGRAM or len(p) == 1 or self._made_by_merging(p, i):
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.alphabet = {p for p in self.id if len(p) == 1}
+        self.score = [model.get_score(i) for i in range(n)]
+        self.unknown = min((self.score[i] for i in self.id.values()), default=0.0) - UNKNOWN_COST
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -146,10 +220,44 @@ class Pieces:
         ids.reverse()
         return ids
 
+    def _best(self, text: str) -> list[int]:
+        """The ids with the best sum of scores; lone unknown characters as bytes."""
+        best, last = array("d", [-np.inf]) * len(text), array("i", [_UNSPLIT]) * len(text)
+        score, alphabet, settled = self.score, self.alphabet, 0
+
+        def settle(upto: int) -> int:
+            # An unknown character is the shortest piece and comes after all others that end there.
+            for end in range(settled, upto):
+                alone = (best[end - 1] if end else 0.0) + self.unknown
+                if text[end] not in alphabet and alone > best[end]:
+                    best[end], last[end] = alone, _UNSPLIT
+            return upto
+
+        # The pieces that end at a position come longest first, so ties stay with the longest.
+        for end, (piece, size) in self.automaton.iter(text):
+            if settled < end:
+                settled = settle(end)
+            total = (best[end - size] if size <= end else 0.0) + score[piece]
+            if total > best[end]:
+                best[end], last[end] = total, piece
+        settle(len(text))
+        ids, at = [], len(text) - 1
+        while at >= 0:
+            if last[at] == _UNSPLIT:
+                ids += [self.bytes[b] for b in reversed(text[at].encode())]
+                at -= 1
+            else:
+                ids.append(last[at])
+                at -= len(self.text[last[at]])
+        ids.reverse()
+        return ids
+
     def _word(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            if self.alphabet.issuperset(word):
+            if self.kind == UNIGRAM:
+                ids = self._best(word)
+            elif self.alphabet.issuperset(word):
                 ids = self._run(word)
             else:
                 ids, known = [], ""
@@ -231,24 +339,31 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def summarize(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), and
-    whether decoding gave the text back, with the SHA-256 of what it gave."""
-    def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whether decoding gave the text back, with the SHA-256 of what it gave.
+
+    A batch is encoded and its ids are decoded by the same worker, so one model is in memory
+    per task; texts go out again only as their digest.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(model)
         for batch in batches:
-            crc = [zlib.crc32(ids.values.to_numpy().astype("<i4").tobytes()) for ids in batch.column("piece_ids")]
-            sizes = [len(ids.values) for ids in batch.column("piece_ids")]
+            sizes, sums, same, digests = [], [], [], []
+            for value in batch.column("text"):
+                text = value.as_py()
+                ids = own.encode(text).astype("<i4", copy=False)
+                read = own.decode(ids)
+                sizes.append(len(ids))
+                sums.append(zlib.crc32(ids))
+                same.append(read == text.replace(MARK, " "))
+                digests.append(hashlib.sha256(read.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), batch.column("decoded_text"), pa.array(sizes, pa.int64()),
-                 pa.array(crc, pa.int64())],
-                ["doc_id", "text", "decoded_text", "n_pieces", "ids_crc32"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_()),
+                 pa.array(digests, pa.string())],
+                ["doc_id", "n_pieces", "ids_crc32", "round_trip", "decoded_sha256"],
             )
 
     rows = docs.select("doc_id", whole_text().alias("text"))
-    read = decode(encode(rows, model), model).select("doc_id", "text", "piece_ids", "decoded_text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    summed = read.mapInArrow(
-        checksums, f"doc_id {kind}, text string, decoded_text string, n_pieces long, ids_crc32 long"
-    )
-    return summed.select(
-        "doc_id", "n_pieces", "ids_crc32", (F.translate("text", MARK, " ") == F.col("decoded_text")).alias("round_trip"),
-        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"),
+    return rows.mapInArrow(
+        run, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean, decoded_sha256 string"
     )
