@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 from touchline.llm import exact_dedup
+from touchline.llm.common import stored
 
 
 def brute(rows):
@@ -47,3 +48,23 @@ def test_a_hot_text_never_meets_in_one_task(spark, documents):
     # Every round combines on the map side, and none gathers rows.
     assert plan.count("partial_min") == exact_dedup.ROUNDS + 1
     assert "collect_" not in plan and "Python" not in plan
+
+
+def test_runs_are_sorted_and_merged_in_binomial_rounds(spark, documents):
+    docs = documents([(i, f"text {i % 700}") for i in range(2000)]).repartition(8)
+    prints = exact_dedup.numbered(exact_dedup.fingerprints(docs))
+    for part in prints.select("run", *exact_dedup.KEY).rdd.glom().collect():
+        assert part == sorted(part)
+    merged = exact_dedup.merge_runs(stored(prints, "runs"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate(") == 2 * (exact_dedup.ROUNDS + 1) and "HashAggregate(" not in plan
+    assert plan.count("Exchange hashpartitioning(run") == exact_dedup.ROUNDS + 1
+    assert merged.count() == 700 and merged.agg({"group_size": "sum"}).first()[0] == 2000
+
+
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    rows = [(1, "a b", "z", {"k": 1}), (1, "a  b", "y", None), (1, "a b", "x", {"k": 2}), (2, "a b", "w", None), (None, None, "v", None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, more map<string,int>").repartition(3)
+        got = sorted(((r.doc_id, r.text, r.source) for r in exact_dedup.keep_first(docs).collect()), key=repr)
+        assert got == [(1, "a  b", "y"), (None, None, "v")]

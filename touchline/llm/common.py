@@ -40,6 +40,13 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def first_row(docs: DataFrame, row: str = "row") -> Column:
+    """Of rows of `docs`, held as structs in `row`, the one whose text and then other columns (as JSON) sort
+    first: the same one whatever the order of arrival."""
+    others = [F.col(f"{row}.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return F.min_by(row, F.struct(F.col(f"{row}.text"), F.to_json(F.struct(F.lit(0).alias("_"), *others))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with `value` worked out once, however often the body uses it."""
     return F.transform(F.array(value), lambda bound: body(bound))[0]

@@ -1,16 +1,19 @@
 """Exact deduplication by a tree of merged digest runs. DataFrame functions only.
 
 Every row becomes a fingerprint (SHA-256 of the normalised text, verified by its length
-and a second, independent hash). The fingerprints of a group of input partitions are one
-run. In each round `FAN_IN` neighbouring runs exchange their entries by digest and are
-merged to one, keeping for each verified digest the smallest identifier and the number of
-rows; after `ROUNDS` rounds one run is left, spread over the cluster by digest. A digest
-that a third of all rows share is reduced to one entry per task before the first exchange
-and one entry per run after it, so no task ever meets the group as a whole.
+and a second, independent hash). The fingerprints of a group of input partitions, sorted by
+digest and written so, are one run. The 2 ** `ROUNDS` runs are merged in binomial rounds: in
+each, a run meets its neighbour, their entries are exchanged by digest, sorted (a merge, as
+what arrives are sorted stretches: Spark's sort finds and merges them) and combined by a
+streaming pass over the sorted entries, which keeps for each verified digest the smallest
+identifier and the number of rows. What is left is one run, spread over the cluster by
+digest. A digest that a third of all rows share is reduced to one entry per task before the
+first exchange and one entry per run after it, so no task ever meets the group as a whole.
 
 Defined results: null text counts as empty; a null identifier sorts after all others; of
-rows with the same identifier and text exactly one stays; an empty table gives an empty
-result; other columns are not looked at and pass through `keep_first` unchanged.
+rows with the same identifier and normalised text exactly one stays, the one whose text and
+other columns (as JSON) sort first; an empty table gives an empty result; other columns pass
+through `keep_first` unchanged.
 """
 
 from __future__ import annotations
@@ -18,10 +21,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import SPACES, stored, whole_text
+from touchline.llm.common import SPACES, first_row, stored, whole_text
 
-FAN_IN = 4
-ROUNDS = 3
+ROUNDS = 6
 KEY = ["digest", "octets", "check"]
 
 
@@ -37,13 +39,13 @@ def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def numbered(prints: DataFrame) -> DataFrame:
-    """Rows get a number, which settles ties, and their first run. Store the result: numbers
-    are only stable once written."""
+    """Rows get a number, which settles ties, and their first run, and are sorted by digest. Store
+    the result: numbers are only stable once written."""
     return prints.select(
         "*",
         F.monotonically_increasing_id().alias("row_no"),
-        (F.spark_partition_id() % (FAN_IN ** ROUNDS)).alias("run"),
-    )
+        (F.spark_partition_id() % (2 ** ROUNDS)).alias("run"),
+    ).sortWithinPartitions("run", *KEY)
 
 
 def merge_runs(prints: DataFrame) -> DataFrame:
@@ -54,11 +56,12 @@ def merge_runs(prints: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("group_size"),
     )
     for level in range(ROUNDS + 1):
+        # The smallest of structs has no place in a hash table: Spark sorts and merges.
         merged = merged.groupBy("run", *KEY).agg(
             F.min("head").alias("head"), F.sum("group_size").alias("group_size")
         )
         if level < ROUNDS:
-            merged = merged.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
+            merged = merged.withColumn("run", F.shiftright("run", 1))
     return merged.drop("run")
 
 
@@ -88,4 +91,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
         "left_semi",
     )
     # Rows equal in identifier and text are still there more than once, side by side.
-    return kept.groupBy("doc_id", *KEY).agg(F.first("row").alias("row")).select("row.*")
+    return kept.groupBy("doc_id", *KEY).agg(first_row(docs).alias("row")).select("row.*")

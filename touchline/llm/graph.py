@@ -14,7 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread to neighbours and then jump to their label's label, so the number of rounds
     grows with the logarithm of a component's diameter. Every round is a stored table; the
     driver sees only whether anything changed.
+
+    Defined results: repeated edges and both directions of one count once; a node linked to
+    itself is its own root; edges with a null end link nothing; other columns are not looked
+    at; no edges give no rows.
     """
+    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = stored(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "edges",

@@ -31,7 +31,7 @@ and band, and per stray and band, never a pair of members.
 Defined results: words are maximal runs of non-white-space, A-Z lower-cased; texts of fewer
 than `width` words are one shingle; null and empty texts have none and are linked to nothing;
 a component is named by its smallest doc_id (null after all others); of rows with the same
-doc_id and text exactly one stays; other columns pass through `keep_one` unchanged; an
+doc_id and text exactly one stays (`common.first_row`); other columns pass through `keep_one` unchanged; an
 empty table gives an empty result.
 """
 
@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import stored, whole_text
+from touchline.llm.common import first_row, stored, whole_text
 from touchline.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -471,4 +471,4 @@ def keep_one(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame
         F.struct("*").alias("row"),
     )
     # Rows equal in identifier and text are there more than once, side by side.
-    return rows.join(kept, "identity", "left_semi").groupBy("identity").agg(F.first("row").alias("row")).select("row.*")
+    return rows.join(kept, "identity", "left_semi").groupBy("identity").agg(first_row(docs).alias("row")).select("row.*")
