@@ -61,6 +61,26 @@ def test_rows_are_repeated_whole(documents, labels):
     assert len(times) == len(rows)
 
 
+def test_many_copies_are_made_in_parts(documents, labels):
+    """One document of a domain wanted at a tenth of all tokens: its copies are dealt out, none is lost."""
+    rows = corpus({"en": 300, "de": 100, "fr": 100, "es": 1})
+    docs, marks = documents(rows), labels([(r[0], 1, 0) for r in rows])
+    want = {r.doc_id: r.copies for r in mixing.plan(docs, marks).collect()}
+    assert max(want.values()) > 20
+    mixed = mixing.mix(docs, marks, at_once=7)
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+    assert "REPARTITION" not in mixing.mix(docs, marks)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missed_targets_are_said(documents, labels):
+    """There is no Spanish to repeat."""
+    rows = corpus({"en": 20, "de": 20, "fr": 20})
+    with pytest.warns(UserWarning, match="'es'"):
+        mixing.plan(documents(rows), labels([(r[0], 1, 0) for r in rows]))
+
+
 def test_edges(documents, labels, edge_rows):
     docs = documents(edge_rows)
     for marks in ([], [(5, 1, 0)], [(5, 1, 0), (8, 0, 1), (None, 1, 1)]):

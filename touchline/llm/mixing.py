@@ -24,6 +24,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ FLOOR = 1.0
 GRID = 32
 MAX_ITERATIONS = 60
 TOLERANCE = 1e-5
+#: Copies of one document that one row of a task makes; more are made in parts by several tasks.
+COPIES_AT_ONCE = 1000
 
 #: Letters, lower and upper case, whose shares of a text are the classifier's features.
 LETTERS = {
@@ -147,6 +150,11 @@ def fit(
         if all(abs(e - g) <= TOLERANCE * wanted for e, g in zip(now, goal)):
             break
         steps.append([(e - g) / s if s else 0.0 for e, g, s in zip(now, goal, present)])
+    else:
+        now = expected(rate(q, steps, domains, floor))
+        off = {d: round((e - g) / wanted, 6) for d, e, g in zip(domains, now, goal) if abs(e - g) > TOLERANCE * wanted}
+        if off:
+            warnings.warn(f"targets missed after {MAX_ITERATIONS} steps, as shares of all tokens by {off}", stacklevel=2)
     return steps
 
 
@@ -189,14 +197,29 @@ def plan(
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = DOMAIN, floor: float = FLOOR
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = DOMAIN, floor: float = FLOOR,
+    at_once: int = COPIES_AT_ONCE,
 ) -> DataFrame:
     """The rows of `docs`, each as often as its copies say, all columns as they were.
 
-    Texts are read twice, to fit and to mix; they are never shuffled.
+    Texts are read twice, to fit and to mix. Only a document wanted more than `at_once` times is
+    shuffled: its copies are made in parts of that many, which are dealt out.
     """
-    _, model, steps = _fitted(docs, labels, targets, domain, floor)
-    decided = decision(F.col("doc_id"), features(whole_text()), model, steps, list(targets), floor)
-    # A sequence from 1 to 0 would count down.
-    times = let(decided, lambda d: F.when(d["copies"] > 0, F.sequence(F.lit(1).cast("long"), d["copies"])))
-    return docs.select(F.struct("*").alias("row"), F.explode(times).alias("copy")).select("row.*")
+    measured, model, steps = _fitted(docs, labels, targets, domain, floor)
+
+    def copies(x: Column) -> Column:
+        return decision(F.col("doc_id"), x, model, steps, list(targets), floor)["copies"]
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        # A sequence from 1 to 0 would count down.
+        several = let(times, lambda n: F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))
+        return rows.select("*", F.explode(several).alias("part"))
+
+    row, own = F.struct("*").alias("row"), copies(features(whole_text()))
+    few = repeated(docs.select(row, let(own, lambda n: F.when(n <= at_once, n)).alias("copies")), F.col("copies"))
+    if measured.where(copies(F.col("x")) > at_once).isEmpty():
+        return few.select("row.*")
+    many = docs.select(row, own.alias("copies")).where(F.col("copies") > at_once)
+    parts = repeated(many, F.ceil(F.col("copies") / at_once)).repartition("row.doc_id", "part")
+    left = F.least(F.lit(at_once).cast("long"), F.col("copies") - (F.col("part") - 1) * at_once)
+    return few.select("row.*").unionByName(repeated(parts.select("row", left.alias("copies")), F.col("copies")).select("row.*"))
