@@ -428,6 +428,41 @@ def test_cut_tiles_change_no_result(spark):
     assert ranges[0] == ranges[1]
 
 
+def test_touches_of_one_instant_are_added_up_first(spark):
+    """Half of all touches are one user's at one microsecond; where tiles are cut they are one row per key."""
+    rng, moment = random.Random(3), at("2024-01-20 00:00:00")
+    touches = [
+        {"user_id": "hot" if n % 2 else f"u{n % 7}", "channel": rng.choice(["Search", "Video", None]), "campaign_id": "c",
+         "impression_id": None if n % 50 == 0 else f"i{rng.randrange(10 ** 9):09d}",
+         "event_timestamp": moment if n % 2 else moment + timedelta(hours=rng.randrange(200))}
+        for n in range(1200)
+    ]
+    buys = [
+        {"user_id": u, "event_timestamp": moment + timedelta(hours=h), "conversion_value_usd": 10.0 + h}
+        for u in ("hot", "u0", "u2") for h in (-1, 0, 5, 24 * 28, 24 * 28 + 1)
+    ]
+    imps, convs = impressions(spark, touches), conversions(spark, buys)
+    cut = P.with_(hot_tile_rows=5)
+    got, want = credit_table(convs, imps, cut, True), credit_table(convs, imps, P, True)
+    assert got.keys() == want.keys()
+    for key in want:
+        assert got[key] == pytest.approx(want[key])
+    edges = [
+        sorted(map(tuple, attribution.edge_touch_credit(convs, imps, p, model).collect()))
+        for model in ("last_touch", "first_touch") for p in (P, cut)
+    ]
+    assert edges[0] == edges[1] and edges[2] == edges[3]
+
+    events = attribution.credited_conversions(convs)
+    line = timeline._line(
+        timeline.place_windows(events, cut), timeline.place_touches(attribution.touch_columns(imps), cut),
+        ["channel", "campaign_id"], [], merged=True,
+    )
+    per_instant = line.where("is_probe = 0 and user_id = 'hot'").groupBy("side", "channel", "position").count()
+    assert per_instant.agg(F.max("count")).first()[0] == 1
+    assert line.where("is_probe = 0 and user_id = 'hot' and side = 1").agg(F.sum("_n")).first()[0] == 600
+
+
 def test_hot_tiles_are_spread_without_broadcasts_by_size(spark):
     """The shuffle that the totals run in: no task has more than a few times the mean."""
     convs, imps = hot_hour(spark)

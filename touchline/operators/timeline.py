@@ -15,7 +15,8 @@ sums, at most window/tile of them per block, carry over from tile to tile. Work
 is spread by (user, block, key, tile), so the largest thing a task can meet is
 one user's touches within one tile. With `hot_tile_rows`, tiles that hold more
 are found by counting and cut at the quantiles of their times, so that a user
-with much of the data inside one hour is spread as well (`cut_hot_tiles`).
+with much of the data inside one hour is spread as well (`cut_hot_tiles`);
+touches of one instant, which no cut can part, are added up before.
 """
 
 from __future__ import annotations
@@ -169,7 +170,9 @@ def placed_window_totals(
     tile = p.tile_minutes * MICROS_PER_MINUTE
     half_life = p.half_life_days * MICROS_PER_DAY
 
-    lines = [_line(windows, placed, by, touch_fields) for windows, placed in pairs]
+    # Where hot tiles are to be cut, touches of one instant are added up first: nothing else can part them.
+    merged = p.hot_tile_rows is not None
+    lines = [_line(windows, placed, by, touch_fields, merged) for windows, placed in pairs]
     timeline = reduce(DataFrame.unionByName, lines).withColumn("tile", floor_div("position", tile))
     everyone = reduce(DataFrame.unionByName, [placed.select("user_id", "event_timestamp") for _, placed in pairs])
     both_ways = everyone.select(
@@ -180,7 +183,11 @@ def placed_window_totals(
     timeline = cut_hot_tiles(timeline, both_ways, p)
     ts = F.col("side") * F.col("position")
     edge = (F.col("block") + F.when(F.col("side") == -1, 1).otherwise(0)) * F.lit(window)
-    touch = F.struct(ts.alias("ts_us"), "impression_id", *touch_fields)
+    n = F.col("_n") if merged else F.lit(1).cast("long")
+
+    def touch(which: str) -> Column:
+        fields = ["impression_id", *touch_fields]
+        return F.struct(ts.alias("ts_us"), *[F.col(f"{which}.{c}") if merged else F.col(c) for c in fields])
 
     def of_touches(what: Column) -> Column:
         return F.when(F.col("is_probe") == 0, what)
@@ -188,12 +195,12 @@ def placed_window_totals(
     answered = running_totals(
         timeline,
         group=["user_id", "block", "side", *by],
-        order=["position", "is_probe", "conversion_id", "impression_id"],
+        order=["position", "is_probe", "conversion_id", *([] if merged else ["impression_id"])],
         totals={
-            "n_touches": ("sum", of_touches(F.lit(1).cast("long"))),
-            "weight": ("sum", of_touches(F.pow(F.lit(2.0), (ts - edge) / F.lit(float(half_life))))),
-            "first_touch": ("min", of_touches(touch)),
-            "last_touch": ("max", of_touches(touch)),
+            "n_touches": ("sum", of_touches(n)),
+            "weight": ("sum", of_touches(n * F.pow(F.lit(2.0), (ts - edge) / F.lit(float(half_life))))),
+            "first_touch": ("min", of_touches(touch("_low"))),
+            "last_touch": ("max", of_touches(touch("_high"))),
         },
         keep=F.col("is_probe") == 1,
     ).where(F.col("n_touches") > 0)
@@ -206,8 +213,14 @@ def placed_window_totals(
     )
 
 
-def _line(windows: DataFrame, placed: DataFrame, by: list[str], touch_fields: Sequence[str]) -> DataFrame:
-    """Touches and window ends on one time line, joined by user and block."""
+def _line(
+    windows: DataFrame, placed: DataFrame, by: list[str], touch_fields: Sequence[str], merged: bool = False
+) -> DataFrame:
+    """Touches and window ends on one time line, joined by user and block.
+
+    With `merged`, the touches of one user, key and instant are one row: their number `_n`, and
+    the lowest and highest by impression id, `_low` and `_high`. Each task adds up its own first.
+    """
     placed = placed.select(
         "user_id", "block", *[F.coalesce(c, F.lit(_NO_VALUE)).alias(c) for c in by],
         F.unix_micros("event_timestamp").alias("ts_us"), "impression_id", *touch_fields,
@@ -216,11 +229,15 @@ def _line(windows: DataFrame, placed: DataFrame, by: list[str], touch_fields: Se
     # Most users never convert: only blocks some window touches go on, and only
     # on the sides asked for.
     asked = probes.groupBy("user_id", "block").agg(F.collect_set("side").alias("sides"))
-    touch_rows = placed.join(asked, ["user_id", "block"]).withColumn(
-        "side", F.explode("sides")
-    ).select(
-        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"),
-        F.lit(0).alias("is_probe"), "impression_id", *touch_fields,
+    asking, what = placed.join(asked, ["user_id", "block"]), ["impression_id", *touch_fields]
+    if merged:
+        one = F.struct(*what)
+        asking = asking.groupBy("user_id", "block", *by, "ts_us").agg(
+            F.first("sides").alias("sides"), F.count(F.lit(1)).alias("_n"), F.min(one).alias("_low"), F.max(one).alias("_high")
+        )
+        what = ["_n", "_low", "_high"]
+    touch_rows = asking.withColumn("side", F.explode("sides")).select(
+        "user_id", "block", "side", *by, (F.col("side") * F.col("ts_us")).alias("position"), F.lit(0).alias("is_probe"), *what,
     )
     if by:
         # A conversion asks only about keys its user met in that block.
