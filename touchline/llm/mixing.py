@@ -217,7 +217,9 @@ def mix(
 
     row, own = F.struct("*").alias("row"), copies(features(whole_text()))
     few = repeated(docs.select(row, let(own, lambda n: F.when(n <= at_once, n)).alias("copies")), F.col("copies"))
-    if measured.where(copies(F.col("x")) > at_once).isEmpty():
+    # An aggregate, as a search for a first row would look at one partition after the other.
+    most = measured.agg(F.max(copies(F.col("x")))).first()[0]
+    if (most or 0) <= at_once:
         return few.select("row.*")
     many = docs.select(row, own.alias("copies")).where(F.col("copies") > at_once)
     parts = repeated(many, F.ceil(F.col("copies") / at_once)).repartition("row.doc_id", "part")
