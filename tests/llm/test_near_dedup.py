@@ -149,3 +149,50 @@ def test_registers_borrow_alike_on_both_ways():
             if i not in own:
                 lender = next(j for j in order[i] if j in own)
                 assert got[i] == got[lender]
+
+
+def beside_a_larger_family(n, swapped=25):
+    """Near copies of one text, and twice as many of another that is too far from it to be linked."""
+    source = random.Random(n)
+    first = [f"w{i}" for i in range(150)]
+    second = [*first[:150 - swapped], *(f"q{i}" for i in range(swapped))]
+    rows = []
+    for i in range(3 * n):
+        words = list(second if i < n else first)
+        words[source.randrange(110)] = f"z{source.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def inside_groups(docs):
+    """What `components_of` hands to the search inside the groups."""
+    sketched = near_dedup.stored(near_dedup.sketches(docs), "test-sketches")
+    classes = near_dedup.stored(sketched.withColumn("node", sketched["row_no"]), "test-classes")
+    members = near_dedup._buckets(classes)
+    groups = near_dedup.stored(near_dedup._groups(members, classes, 85), "test-groups")
+    return near_dedup.stored(near_dedup._differences(docs, classes, groups, 3, 85), "test-differences")
+
+
+def test_pairs_of_a_family_that_follows_another_ones_pivot_are_not_listed(documents):
+    made = {}
+    for n in (100, 200):
+        differences = inside_groups(documents(beside_a_larger_family(n)))
+        assert differences.where("NOT linked").count() >= n
+        probes, index = near_dedup._prefixes(differences, 85)
+        camps = near_dedup._camps(near_dedup._crowd_links(probes, index, differences, 85), differences)
+        made[n] = near_dedup._candidates(probes, index, camps, 85).count()
+    assert made[100] <= 400 and made[200] <= 800, made
+    check(documents(beside_a_larger_family(100)))
+
+
+def test_strays_are_dealt_once_for_each_pivot(documents, monkeypatch):
+    seen, deal = [], near_dedup._dealt_anew
+
+    def watched(strays, classes, level):
+        seen.append((strays.count(), strays.select("node").distinct().count()))
+        return deal(strays, classes, level)
+
+    monkeypatch.setattr(near_dedup, "_dealt_anew", watched)
+    inside_groups(documents(beside_a_larger_family(40, swapped=40)))
+    # A stray shares several buckets with the one pivot it is not near.
+    assert seen[0][1] >= 20 and seen[0][0] <= 1.3 * seen[0][1], seen

@@ -12,21 +12,25 @@
    rounds. Estimates are corrected for register collisions.
 4. The pivot of a bucket is the most central home of its members, mostly that of all of them,
    so a family of thousands has one pivot however many buckets it fills. Members within
-   `far` of the pivot follow it. Those not near it are dealt to buckets anew, inside the old
-   one, by bands of the registers in another order: linked sets meet again, while of
-   unrelated ones, which share a band because they share a passage, few do. That repeats until
-   no bucket is left; in each, those at home with the pivot are settled.
+   `far` of the pivot follow it. Those not near it are dealt to buckets anew, once for each
+   pivot however many buckets they share with it, by bands of the registers in another order:
+   linked sets meet again, while of unrelated ones, which share a band because they share a
+   passage, few do. That repeats until no bucket is left; in each, those at home with the
+   pivot are settled.
 5. Each follower's full set is compared with its pivot's: that confirms or refutes their link
    and leaves the difference of the two sets. Two followers that are not both linked to the
    pivot can only be linked if their differences overlap by an amount that their sizes
    tell; a prefix join on the differences, in a fixed order, finds those pairs without
-   listing the pairs of a group, and each is confirmed on the full differences.
+   listing the pairs of a group, and each is confirmed on the full differences. A family that
+   follows the pivot of another one differs from it in the same elements throughout: holders
+   of an element that more than `CROWD` have are first compared with the most central of them,
+   and two that are linked to the same one are no pair.
 6. Components of the confirmed links, and one row per input row again.
 
 Large groups are salted: a group is dealt to tasks in shares of `SHARE` members, each with a
 copy of the pivot. Copies of one text are one class throughout, so a group of thousands
 costs no more than one aggregation. What is emitted before the prefix join is a row per class
-and band, and per stray and band, never a pair of members.
+and band, and per stray, pivot and band, never a pair of members.
 
 Defined results: words are maximal runs of non-white-space, A-Z lower-cased; texts of fewer
 than `width` words are one shingle; null and empty texts have none and are linked to nothing;
@@ -73,6 +77,8 @@ def far(link: int) -> float:
 #: Rounds in which classes look for a more central home; fewer only mean more pivots.
 HOME_ROUNDS = 4
 SHARE = 64
+#: Elements with more holders in a group are crowded; each holder is compared with so many heads.
+CROWD, HEADS = 32, 2
 
 _SKETCH = "row_no long, doc_id long, text_hash long, n_shingles long, digest binary, registers binary"
 
@@ -192,29 +198,35 @@ def _shared(keys: DataFrame, label: str) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, size, node of the classes that share a band with another class."""
+    """key, size, node of the classes that share a band with another class. `path` is for strays."""
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("registers", b * width + 1, width)) for b in range(BANDS)]
-    return _shared(classes.select("node", F.explode(F.array(*keys)).alias("key")), "band-members")
+    exploded = classes.select("node", F.explode(F.array(*keys)).alias("key"))
+    return _shared(exploded, "band-members").withColumn("path", F.lit(0).cast("long"))
 
 
 def _dealt_anew(strays: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Strays of a bucket in buckets inside it, by bands of the registers in the level's own order."""
+    """Strays of a `path`, the pivots they are not near, in buckets inside it, by bands of the registers in the
+    level's own order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.random.default_rng(level).permutation(REGISTERS)
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
             bands = rows[:, order].reshape(-1, BANDS, ROWS).astype(np.uint64)
-            mixed = batch.column("key").to_numpy().view(np.uint64)[:, None] + np.arange(BANDS, dtype=np.uint64)
+            path = batch.column("path").to_numpy()
+            mixed = path.view(np.uint64)[:, None] + np.arange(BANDS, dtype=np.uint64)
             for i in range(ROWS):
                 mixed = _mix(mixed) + bands[:, :, i]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_mix(mixed).ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))],
-                ["key", "node"],
+                [pa.array(_mix(mixed).ravel().view(np.int64)), pa.array(np.repeat(path, BANDS)),
+                 pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))],
+                ["key", "path", "node"],
             )
 
     registers_of = classes.select("node", "registers")
-    return _shared(strays.join(registers_of, "node").mapInArrow(run, "key long, node long"), "strays")
+    dealt = strays.join(registers_of, "node").mapInArrow(run, "key long, path long, node long")
+    # Stored: it is read for the sizes and for the members.
+    return _shared(stored(dealt, "stray-keys"), "strays")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -243,8 +255,8 @@ def _pivots(members: DataFrame, homes: DataFrame) -> DataFrame:
     best = members.join(homes, "node").groupBy("key").agg(
         F.max(F.struct("weight", (-F.col("home")).alias("minus"))).alias("best")
     )
-    return members.select("key", "node").join(best, "key").select(
-        "key", "node", (-F.col("best.minus")).alias("pivot"), F.col("best.weight").alias("weight")
+    return members.select("key", "path", "node").join(best, "key").select(
+        "key", "path", "node", (-F.col("best.minus")).alias("pivot"), F.col("best.weight").alias("weight")
     )
 
 
@@ -277,13 +289,13 @@ def _groups(members: DataFrame, classes: DataFrame, link: int) -> DataFrame:
     homes = _homes(members, classes)
     found, level = [], 0
     while True:
-        dealt = stored(_pivots(members, homes).select("key", "node", "pivot"), "followers")
+        dealt = stored(_pivots(members, homes).select("path", "node", "pivot").distinct(), "followers")
         pairs = dealt.where("node != pivot").select("node", "pivot").distinct()
         estimates = stored(_estimated(pairs, classes), "estimates")
         found.append(estimates.where(F.col("similarity") >= far(link)).select("pivot", "node"))
         strays = dealt.where("node != pivot").join(
             estimates.where(F.col("similarity") < NEAR), ["node", "pivot"], "left_semi"
-        ).select("key", "node")
+        ).select(F.xxhash64("path", "pivot").alias("path"), "node")
         level += 1
         members = _dealt_anew(strays, classes, level)
         if members.isEmpty():
@@ -367,13 +379,24 @@ def _verify_stream(batches: Iterator[pa.RecordBatch], link: int) -> Iterator[pa.
             for a, b in zip(batch.column("d_a").to_pylist(), batch.column("d_b").to_pylist())
         ], dtype=np.int64)
         keep = pa.array(linked(n, both, link), pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"]
+        names = ["pivot", "a", "b"]
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names)
+
+
+def _verified(pairs: DataFrame, differences: DataFrame, link: int) -> DataFrame:
+    """Of the pairs (pivot, a, b) those that are linked, by their differences from the pivot."""
+    def side(name: str) -> DataFrame:
+        return differences.select(
+            "pivot", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("difference").alias(f"d_{name}")
         )
 
+    return pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"]).select(
+        "pivot", "a", "b", "n_a", "n_b", "d_a", "d_b"
+    ).mapInArrow(partial(_verify_stream, link=link), "pivot long, a long, b long")
+
 
-def _links_inside(differences: DataFrame, link: int) -> DataFrame:
-    """Links between members of a group of which not both are linked to the pivot.
+def _prefixes(differences: DataFrame, link: int) -> tuple[DataFrame, DataFrame]:
+    """The elements by which members not linked to the pivot look for others, and those by which all are found.
 
     Sets with sizes a and b and differences x and y from the pivot (size p) are linked if
     x + y - 2 * overlap <= r * (a + b). One of the two is not linked to the pivot, so the
@@ -387,30 +410,79 @@ def _links_inside(differences: DataFrame, link: int) -> DataFrame:
     index_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") - F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
     probe_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") + F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
 
-    def prefix(frame: DataFrame, overlap, suffix: str) -> DataFrame:
+    def prefix(frame: DataFrame, overlap) -> DataFrame:
         length = (F.col("size") - overlap + 1).cast("int")
         return frame.where(length > 0).select(
-            "pivot", F.col("node").alias(f"node_{suffix}"), F.col("n").alias(f"n_{suffix}"),
-            F.col("size").alias(f"size_{suffix}"), F.posexplode(F.slice("difference", 1, length)),
-        ).withColumnsRenamed({"pos": f"pos_{suffix}", "col": "element"})
+            "pivot", "node", "linked", "n", "size", F.posexplode(F.slice("difference", 1, length)).alias("pos", "element")
+        )
+
+    return prefix(rows.where(~F.col("linked")), probe_overlap), prefix(rows, index_overlap)
+
+
+def _crowd_links(probes: DataFrame, index: DataFrame, differences: DataFrame, link: int) -> DataFrame:
+    """pivot, a, b, weight: the heads of crowded elements that a member is linked to, and how central they are."""
+    element = ["pivot", "element"]
+    held = probes.select(*element, "node").unionByName(index.select(*element, "node")).distinct()
+    sizes = held.groupBy(*element).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD)
+    crowded = stored(held.join(sizes, element), "crowded-elements")
+    weights = crowded.groupBy("pivot", "node").agg(F.sum("size").alias("weight"))
+    heads = crowded.join(weights, ["pivot", "node"]).groupBy(*element).agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")
+    )
+    votes = crowded.join(heads, element).select(
+        "pivot", F.col("node").alias("a"), (-F.col("best.minus")).alias("b"), F.col("best.weight").alias("weight")
+    ).where("a != b").groupBy("pivot", "a", "b").agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("votes"))
+    most = F.sort_array(F.collect_list(F.struct("votes", "weight", (-F.col("b")).alias("minus"))), asc=False)
+    tested = stored(
+        votes.groupBy("pivot", "a").agg(F.slice(most, 1, HEADS).alias("heads"))
+        .select("pivot", "a", F.explode("heads").alias("head"))
+        .select("pivot", "a", (-F.col("head.minus")).alias("b"), F.col("head.weight").alias("weight")),
+        "crowds-tested",
+    )
+    return _verified(tested.select("pivot", "a", "b"), differences, link).join(tested, ["pivot", "a", "b"])
+
+
+def _camps(crowd_links: DataFrame, differences: DataFrame) -> DataFrame:
+    """pivot, node, camp of members linked to the pivot or to a head: the pivot, or the head or what that is linked to."""
+    best = F.max(F.struct("weight", (-F.col("b")).alias("minus"))).alias("best")
+    camps = differences.where("linked").select("pivot", "node", F.col("pivot").alias("camp")).unionByName(
+        crowd_links.join(
+            differences.where("linked").select("pivot", F.col("node").alias("a")), ["pivot", "a"], "left_anti"
+        ).groupBy("pivot", F.col("a").alias("node")).agg(best).select("pivot", "node", (-F.col("best.minus")).alias("camp"))
+    )
+    beyond = camps.select("pivot", F.col("node").alias("camp"), F.col("camp").alias("beyond"))
+    # Two heads may be each other's; they have no camp beyond.
+    return camps.join(beyond, ["pivot", "camp"], "left").select(
+        "pivot", "node", F.when(F.col("beyond") == F.col("node"), F.least("node", "camp"))
+        .otherwise(F.coalesce("beyond", "camp")).alias("camp"),
+    )
+
+
+def _candidates(probes: DataFrame, index: DataFrame, camps: DataFrame, link: int) -> DataFrame:
+    """pivot, a, b: pairs that may be linked and are not known to be in one camp."""
+    def camped(rows: DataFrame) -> DataFrame:
+        return rows.join(camps, ["pivot", "node"], "left").withColumn("camp", F.coalesce("camp", "node"))
+
+    def side(rows: DataFrame, suffix: str) -> DataFrame:
+        return camped(rows).drop("linked").withColumnsRenamed({
+            c: f"{c}_{suffix}" for c in ("node", "n", "size", "pos", "camp")
+        })
 
-    probes = prefix(rows.where(~F.col("linked")), probe_overlap, "a")
-    index = prefix(rows, index_overlap, "b")
     allowed = F.floor((100 - link) * (F.col("n_a") + F.col("n_b")) / (100 + link))
     overlap = F.ceil((F.col("size_a") + F.col("size_b") - allowed) / 2)
-    pairs = probes.join(index, ["pivot", "element"]).where(
-        (F.col("node_a") != F.col("node_b"))
+    return side(probes, "a").join(side(index, "b"), ["pivot", "element"]).where(
+        (F.col("node_a") != F.col("node_b")) & (F.col("camp_a") != F.col("camp_b"))
         & (F.col("pos_a") <= F.col("size_a") - overlap) & (F.col("pos_b") <= F.col("size_b") - overlap)
     ).select("pivot", F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
-    def side(name: str) -> DataFrame:
-        return differences.select(
-            "pivot", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("difference").alias(f"d_{name}")
-        )
 
-    return pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"]).select(
-        "a", "b", "n_a", "n_b", "d_a", "d_b"
-    ).mapInArrow(partial(_verify_stream, link=link), "a long, b long")
+def _links_inside(differences: DataFrame, link: int) -> DataFrame:
+    """Links between members of a group of which not both are linked to the pivot: enough of them to
+    connect what the links connect."""
+    probes, index = _prefixes(differences, link)
+    crowd_links = stored(_crowd_links(probes, index, differences, link), "crowd-links")
+    pairs = _candidates(probes, index, stored(_camps(crowd_links, differences), "camps"), link)
+    return crowd_links.unionByName(_verified(pairs, differences, link), allowMissingColumns=True).select("a", "b")
 
 
 # --- the whole ---------------------------------------------------------------
