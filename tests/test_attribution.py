@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -479,3 +480,52 @@ def test_hot_tiles_are_spread_without_broadcasts_by_size(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sizes["whole"] >= 3000 and sizes["cut"] <= 3 * 6000 / 16
+
+
+@pytest.fixture(scope="module")
+def busy(spark):
+    """Conversions and touches of a few users, some busy, over three months."""
+    source = random.Random(11)
+
+    def moment():
+        return at("2024-01-01 00:00:00") + timedelta(minutes=source.randrange(90 * 24 * 60))
+
+    touches = [
+        {"user_id": f"u{min(source.randrange(6), source.randrange(6))}", "event_timestamp": moment(),
+         "channel": source.choice(["Search", "Video"]), "campaign_id": source.choice(["a", "b", "c"])}
+        for _ in range(400)
+    ]
+    convs = [{"user_id": f"u{source.randrange(6)}", "event_timestamp": moment()} for _ in range(150)]
+    return conversions(spark, convs), impressions(spark, touches)
+
+
+def final_plan(rows):
+    rows.collect()
+    return rows._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+def test_totals_through_whole_blocks_equal_those_through_tiles(busy, monkeypatch):
+    found = []
+    for few in (0, 40, 50_000):
+        monkeypatch.setattr(timeline, "FEW", few)
+        shares = attribution.credit_shares(*busy, P).collect()
+        found.append(sorted(
+            str([round(v, 6) if isinstance(v, float) else v for v in row]) for row in shares
+        ))
+    assert len(found[0]) > 150 and found[0] == found[1] == found[2]
+
+
+def test_blocks_of_few_rows_are_not_cut_in_tiles(busy, monkeypatch):
+    tiles = r"hashpartitioning\([^)]*tile"
+    assert not re.search(tiles, final_plan(attribution.credit_shares(*busy, P)))
+    monkeypatch.setattr(timeline, "FEW", 0)
+    assert re.search(tiles, final_plan(attribution.credit_shares(*busy, P)))
+
+
+def test_totals_of_shares_stand_in_for_shares(busy):
+    shares = attribution.credit_shares(*busy, P).where("journey_touches > 0").cache()
+    totals = attribution.totals_of_shares(shares)
+    for report in (attribution.credit_breakdowns, comparison.model_comparison, comparison.channel_consensus,
+                   comparison.channel_divergence):
+        assert sorted(map(str, report(totals, MODELS).collect())) == sorted(map(str, report(shares, MODELS).collect()))
+    shares.unpersist()

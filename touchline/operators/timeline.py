@@ -17,6 +17,9 @@ one user's touches within one tile. With `hot_tile_rows`, tiles that hold more
 are found by counting and cut at the quantiles of their times, so that a user
 with much of the data inside one hour is spread as well (`cut_hot_tiles`);
 touches of one instant, which no cut can part, are added up before.
+
+Tiles cost a second shuffle and a join, and most users have a row or two in each. So only a user's
+blocks of more than `FEW` rows are cut in tiles; in all others totals run through the whole block.
 """
 
 from __future__ import annotations
@@ -45,6 +48,19 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return F.coalesce(before + here, before, here)
 
 
+#: Up to so many touches and windows, a user's block is one task's work.
+FEW = 50_000
+
+
+def crowded_blocks(pairs: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """user_id, block with more than `FEW` touches and window ends: a small table whatever the data."""
+    cell = ["user_id", "block"]
+    counts = [rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")) for pair in pairs for rows in pair]
+    return reduce(DataFrame.unionByName, counts).groupBy(*cell).agg(F.sum("_n").alias("_n")).where(
+        F.col("_n") > FEW
+    ).select(*cell)
+
+
 #: Parts of a hot tile, and how many hot tiles there can be: none has less than this share of all rows,
 #: so the table of their cuts is small whatever the data.
 CUTS = 64
@@ -79,6 +95,7 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, tuple[str, Column]],
     keep: Column,
+    crowded: DataFrame | None = None,
 ) -> DataFrame:
     """Add running totals to the rows of `keep`.
 
@@ -87,8 +104,16 @@ def running_totals(
     column that never decreases along `order` within a group. Group columns are
     not NULL; `order` is a total order. Tile sums are the running totals of each
     tile's last row, so they come out of the same shuffle, and the rows are not
-    moved again to meet what carries over from earlier tiles.
+    moved again to meet what carries over from earlier tiles. With `crowded`, some of the group
+    columns, only the groups in it are cut in tiles.
     """
+    if crowded is not None:
+        on, crowded = crowded.columns, F.broadcast(crowded)
+        whole = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        few = rows.where(F.col("tile").isNotNull()).join(crowded, on, "left_anti").repartition(*group).select(
+            *rows.columns, *[_AGGREGATE[kind](what).over(whole).alias(c) for c, (kind, what) in totals.items()]
+        ).where(keep)
+        return few.unionByName(running_totals(rows.join(crowded, on, "left_semi"), group, order, totals, keep))
     cell = [*group, "tile"]
     # The filter is said here once, or the optimizer infers it for one use of the
     # rows only and the two uses no longer share their shuffle. The shuffle is
@@ -202,7 +227,7 @@ def placed_window_totals(
             "first_touch": ("min", of_touches(touch("_low"))),
             "last_touch": ("max", of_touches(touch("_high"))),
         },
-        keep=F.col("is_probe") == 1,
+        keep=F.col("is_probe") == 1, crowded=crowded_blocks(pairs),
     ).where(F.col("n_touches") > 0)
     return _gather(
         answered.select(

@@ -144,6 +144,14 @@ def credit_totals(
     )
 
 
+def totals_of_shares(shares: DataFrame) -> DataFrame:
+    """`credit_totals` from shares that are there already."""
+    return shares.groupBy(*TOUCH_KEY).agg(
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("is_last", "is_first")],
+        *[F.sum(F.col(m).cast(CREDIT)).cast(CREDIT).alias(m) for m in MODELS],
+    )
+
+
 def credits(shares: DataFrame, models: Sequence[str]) -> DataFrame:
     """Long form: one row per conversion, model and credited (channel, campaign)."""
     holds = {"last_touch": F.col("is_last"), "first_touch": F.col("is_first")}
@@ -266,7 +274,8 @@ def summary_of_shares(shares: DataFrame, models: Sequence[str]) -> DataFrame:
         ).alias(m) for m in models
     ])
     summary = sums.select(*key, F.explode(F.array(*models)).alias("_m")).select(*key, "_m.*").where("attributed_users > 0")
-    values = dealt.select(*key, F.posexplode("_slots").alias("_place", "_slot")).where(
+    # The outer form: of the other one the optimizer infers a filter, and this reader has a shuffle of its own.
+    values = dealt.select(*key, F.posexplode_outer("_slots").alias("_place", "_slot")).where(
         (F.col("_place") > 0) & (F.size("_slot") > 0)
     ).select(
         F.get(F.array(F.lit(None).cast("string"), *[F.lit(m) for m in models]), F.col("_place")).alias("attribution_model"),
