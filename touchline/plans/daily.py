@@ -52,7 +52,11 @@ def run_day(spark: SparkSession, folder: str, p: Params) -> list[str]:
     first_run = not sinks.stored_dates(spark, shares_path)
     sinks.replace_dates(dated, shares_path, None if first_run else whole, ("conversion_id",))
     shares = spark.read.parquet(shares_path)
-    touched = shares.where(F.col("journey_touches") > 0)
+    # Four reports need no more of the touched conversions' shares than their totals: these are read once.
+    totals_path = f"{folder}/credit_totals"
+    totals = attribution.totals_of_shares(shares.where(F.col("journey_touches") > 0))
+    totals.write.mode("overwrite").parquet(totals_path)
+    touched = spark.read.parquet(totals_path)
 
     campaigns = campaign_mart.campaign_totals(spark.read.parquet(mart_path))
     tables = {
