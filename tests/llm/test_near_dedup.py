@@ -1,8 +1,10 @@
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_data import FOLDER
 
@@ -196,3 +198,55 @@ def test_strays_are_dealt_once_for_each_pivot(documents, monkeypatch):
     inside_groups(documents(beside_a_larger_family(40, swapped=40)))
     # A stray shares several buckets with the one pivot it is not near.
     assert seen[0][1] >= 20 and seen[0][0] <= 1.3 * seen[0][1], seen
+
+
+def test_a_batch_of_pairs_is_verified_in_little_memory():
+    source = np.random.default_rng(3)
+    n = 10_000
+
+    def lists():
+        ends = np.arange(0, 100 * (n + 1), 100, dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.sort(source.integers(0, 1 << 60, (n, 100)), axis=1).ravel())
+
+    a, b = lists(), lists()
+    # Every third pair has equal differences; the offset of a part must not shift the lists.
+    b = pa.array([x if i % 3 == 0 else y for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist()))], a.type)
+    ids, size = pa.array(np.arange(n)), pa.array(np.full(n, 200))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, size, size, a, b], ["pivot", "a", "b", "n_a", "n_b", "d_a", "d_b"])
+    tracemalloc.start()
+    found = [x for part in near_dedup._verify_stream(iter([batch]), 85) for x in part.column("a").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == list(range(0, n, 3))
+    assert peak < 8e6  # the elements as Python's integers would be 80 MB
+
+
+def test_a_batch_of_strays_is_dealt_in_little_memory():
+    n = 10_000
+    values = np.random.default_rng(5).integers(0, 1 << 12, (n, near_dedup.REGISTERS)).astype("<u2")
+    ids = pa.array(np.arange(n))
+
+    class Rows:
+        def join(self, *_):
+            return self
+
+        select = join
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    rows = Rows()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "stored", lambda frame, _: frame)
+        patch.setattr(near_dedup, "_shared", lambda frame, _: frame)
+        near_dedup._dealt_anew(rows, rows, 1)
+    batch = pa.RecordBatch.from_arrays(
+        [ids, ids, pa.array([r.tobytes() for r in values], pa.binary())], ["node", "path", "registers"]
+    )
+    tracemalloc.start()
+    n_keys = sum(part.num_rows for part in rows.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_keys == n * near_dedup.BANDS
+    assert peak < 8e6

@@ -1,6 +1,8 @@
 import binascii
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_data import FOLDER
 
@@ -62,3 +64,27 @@ def test_edges(documents, labels, edge_rows):
     assert quality_classifier.classify(docs, labels([])).select("score").distinct().collect()[0][0] == 0.5
     assert quality_classifier.classify(documents([]), labels([])).count() == 0
     assert quality_classifier.keep_good(documents([]), labels([])).count() == 0
+
+
+def test_a_batch_is_judged_in_little_memory(monkeypatch):
+    rows = np.random.default_rng(7).random((500, len(quality_classifier.FEATURES))).astype(np.float32)
+    model = boosting.train(rows, (rows[:, 0] > 0.5).astype(np.float64))
+    texts = [f"{i} some words " * 40 for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], ["doc_id", "text"])
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, _):
+            return run
+
+    for name, value in (("train", lambda *_: model), ("measure", lambda _: None), ("stored", lambda *_: None)):
+        monkeypatch.setattr(quality_classifier, name, value)
+    run = quality_classifier.keep_good(Docs(), None)
+    tracemalloc.start()
+    kept = [x for part in run(iter([batch])) for x in part.column("doc_id").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    values = quality_classifier._matrix(batch.column("text")).astype(np.float32)
+    assert kept == np.flatnonzero(model.probability(values) >= quality_classifier.ACCEPT).tolist()
+    assert peak < 6e6

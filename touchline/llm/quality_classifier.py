@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import boosting
-from touchline.llm.common import stored
+from touchline.llm.common import in_parts, stored
 
 MAX_TRAINING = 40_000
 ACCEPT = 0.5
@@ -76,7 +76,7 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and `features` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             flat = pa.array(_matrix(batch.column("text")).astype(np.float32).ravel())
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "features"])
@@ -107,7 +107,7 @@ def train(measured: DataFrame, labels: DataFrame, trees: int = 100, depth: int =
 def score(measured: DataFrame, model: boosting.Trees) -> DataFrame:
     """Per row of `measured`: doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(model.probability(rows))], ["doc_id", "score"]
@@ -134,7 +134,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             accepted = model.probability(_matrix(batch.column(at)).astype(np.float32)) >= ACCEPT
             yield batch.filter(pa.array(accepted))
 
