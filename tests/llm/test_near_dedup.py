@@ -250,3 +250,71 @@ def test_a_batch_of_strays_is_dealt_in_little_memory():
     tracemalloc.stop()
     assert n_keys == n * near_dedup.BANDS
     assert peak < 8e6
+
+
+def around(docs, pivot):
+    """Differences of all of `docs` from one of them, whatever the buckets say."""
+    sketched = near_dedup.stored(near_dedup.sketches(docs), "test-sketches")
+    classes = near_dedup.stored(sketched.withColumn("node", sketched["row_no"]), "test-classes")
+    head = classes.where(classes["doc_id"] == pivot).select(classes["node"].alias("pivot"))
+    groups = near_dedup.stored(head.crossJoin(classes.select("node")).where("node != pivot"), "test-groups")
+    return classes, near_dedup.stored(near_dedup._differences(docs, classes, groups, 3, 85), "test-differences")
+
+
+def scattered(n, words, seed, most=7, within=150):
+    """n copies of one text, each with up to `most` words changed; the last has `most` of them changed."""
+    source = random.Random(seed)
+    for i in range(n):
+        copy = list(words)
+        for place in source.sample(range(within), source.randrange(1, most + 1) if i < n - 1 else most):
+            copy[place] = f"z{source.randrange(10**9)}"
+        yield " ".join(copy)
+
+
+def candidates_of(differences, monkeypatch):
+    """The links found inside the groups, and how many pairs were compared for them."""
+    made, find = [], near_dedup._candidates
+
+    def watched(*args):
+        found = near_dedup.stored(find(*args), "test-candidates")
+        made.append(found.count())
+        return found
+
+    with monkeypatch.context() as patch:
+        patch.setattr(near_dedup, "_candidates", watched)
+        links = near_dedup.stored(near_dedup._links_inside(differences, 85), "test-links")
+    return links, made[0]
+
+
+def test_a_pivot_with_oddities_does_not_make_pairs_of_its_family(documents, monkeypatch):
+    made = {}
+    for n in (100, 200):
+        rows = list(enumerate(scattered(n, [f"w{i}" for i in range(150)], n)))
+        classes, differences = around(documents(rows), n - 1)
+        links, made[n] = candidates_of(differences, monkeypatch)
+        ids = {r.node: r.doc_id for r in classes.select("node", "doc_id").collect()}
+        root = list(range(n))
+
+        def find(i):
+            return i if root[i] == i else find(root[i])
+
+        # The links to the pivot itself are not among those inside the group.
+        every = links.unionByName(differences.where("linked").selectExpr("pivot AS a", "node AS b")).collect()
+        for r in every:
+            first, last = sorted((find(ids[r.a]), find(ids[r.b])))
+            root[last] = first
+        assert sorted((str(i), str(find(i))) for i in range(n)) == [(i, c) for i, _, c in brute(rows)]
+        sets = [shingle_set(text) for _, text in rows]
+        assert all(100 * len(sets[ids[r.a]] & sets[ids[r.b]]) >= 85 * len(sets[ids[r.a]] | sets[ids[r.b]]) for r in every)
+    assert made[100] <= 100 and made[200] <= 200, made
+
+
+def test_scattered_copies_that_follow_a_foreign_pivot_are_not_all_paired(documents, monkeypatch):
+    made = {}
+    first = [f"w{i}" for i in range(150)]
+    second = [*first[:125], *(f"q{i}" for i in range(25))]
+    for n in (100, 200):
+        texts = [*scattered(n, second, n, within=110), *scattered(2 * n, first, n + 1, within=110), " ".join(first)]
+        _, differences = around(documents(list(enumerate(texts))), 3 * n)
+        _, made[n] = candidates_of(differences, monkeypatch)
+    assert made[100] <= 1000 and made[200] <= 2.5 * made[100] + 200, made

@@ -18,10 +18,12 @@
    passage, few do. That repeats until no bucket is left; in each, those at home with the
    pivot are settled.
 5. Each follower's full set is compared with its pivot's: that confirms or refutes their link
-   and leaves the difference of the two sets. Two followers that are not both linked to the
-   pivot can only be linked if their differences overlap by an amount that their sizes
-   tell; a prefix join on the differences, in a fixed order, finds those pairs without
-   listing the pairs of a group, and each is confirmed on the full differences. A family that
+   and leaves the difference of the two sets. Where some are not linked, the differences are
+   turned to those from the group's centre, the member that differs least from the others on
+   average. Two members that are not both linked to the centre can only be linked if their
+   differences overlap by an amount that their sizes tell; a prefix join on the differences,
+   the group's rarest elements first, finds those pairs without listing the pairs of a group,
+   and each is confirmed on the full differences. A family that
    follows the pivot of another one differs from it in the same elements throughout: holders
    of an element that more than `CROWD` have are first compared with the most central of them,
    and two that are linked to the same one are no pair.
@@ -346,7 +348,7 @@ def _difference_stream(batches: Iterator[pa.RecordBatch], width: int, link: int)
 
 
 def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, link: int) -> DataFrame:
-    """Each member's set against its pivot's; what the member adds comes first, what it lacks after."""
+    """Each member's set against its pivot's, which is the group's centre until `_centred` finds a better one."""
     shares = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     members = groups.join(shares, "pivot").select(
         "pivot", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), "node",
@@ -368,6 +370,7 @@ def _differences(docs: DataFrame, classes: DataFrame, groups: DataFrame, width:
         .repartition("pivot", "share")
         .sortWithinPartitions("pivot", "share", F.col("is_pivot").desc())
         .mapInArrow(partial(_difference_stream, width=width, link=link), _DIFFERENCE)
+        .withColumn("centre", F.col("pivot"))
     )
 
 
@@ -400,26 +403,94 @@ def _verified(pairs: DataFrame, differences: DataFrame, link: int) -> DataFrame:
     ).mapInArrow(partial(_verify_stream, link=link), "pivot long, a long, b long")
 
 
+def _with_outsiders(differences: DataFrame) -> DataFrame:
+    """The rows of groups that have members not linked to their centre."""
+    outside = differences.where(~F.col("linked")).select("pivot").distinct()
+    # Met share by share, so that a large group is not gathered.
+    shares = differences.select("pivot", "share").distinct().join(outside, "pivot")
+    return differences.join(shares, ["pivot", "share"], "left_semi")
+
+
+def _company(rows: DataFrame) -> DataFrame:
+    """pivot, node, shared: (holders in the group, element) of the elements of a member's difference that others of
+    the group hold too, the rarest first. Counted share by share, so that an element of all members is no hot key."""
+    held = stored(rows.select("pivot", "share", "node", F.explode("difference").alias("element")), "elements")
+    in_share = stored(held.groupBy("pivot", "share", "element").agg(F.count(F.lit(1)).alias("holders")), "elements-of-shares")
+    sizes = in_share.groupBy("pivot", "element").agg(F.sum("holders").alias("size")).where("size > 1")
+    shared = in_share.join(sizes, ["pivot", "element"]).select("pivot", "share", "element", "size")
+    return held.join(shared, ["pivot", "share", "element"]).groupBy("pivot", "node").agg(
+        F.sort_array(F.collect_list(F.struct("size", "element"))).alias("shared")
+    )
+
+
+def _centred(differences: DataFrame, link: int) -> DataFrame:
+    """The differences, in groups with members not linked to the pivot, from the group's most central member.
+
+    That is the one whose difference from the others is smallest on average: an element of its own
+    costs it one for each member that lacks it and saves one for each that holds it. A pivot
+    with oddities of its own would leave most of its family not linked to it, though linked to
+    each other. The pivot becomes a member like the others, and the centre is none any more.
+    """
+    differences = differences.drop("centre")
+    rows = _with_outsiders(differences)
+    members = rows.groupBy("pivot").agg((F.count(F.lit(1)) + 1).alias("members"))
+    # Of elements that it holds alone a member has as many as are not shared.
+    held = F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["size"])
+    saved = 2 * (held + F.size("difference") - F.size("shared")) - F.col("members") * F.size("difference")
+    scored = _company(rows).join(rows.select("pivot", "node", "difference"), ["pivot", "node"]).join(
+        members, "pivot"
+    ).select("pivot", "node", saved.alias("saved"))
+    centres = scored.groupBy("pivot").agg(F.max(F.struct("saved", (-F.col("node")).alias("minus"))).alias("best")).where(
+        "best.saved > 0"
+    ).select("pivot", (-F.col("best.minus")).alias("node"))
+    centres = stored(differences.join(centres, ["pivot", "node"]).select(
+        "pivot", F.col("node").alias("centre"), F.col("n").alias("n_centre"), "n_pivot", "linked",
+        F.col("difference").alias("d_centre"),
+    ), "centres")
+    shares = differences.select("pivot", "share").distinct().join(
+        centres.select("pivot", "centre", "n_centre", "d_centre"), "pivot"
+    )
+    moved = F.col("centre").isNotNull()
+    difference = F.concat(F.array_except("difference", "d_centre"), F.array_except("d_centre", "difference"))
+    others = differences.join(shares, ["pivot", "share"], "left").select(
+        "pivot", "share", F.coalesce("centre", "pivot").alias("centre"), "node", "n",
+        F.coalesce("n_centre", "n_pivot").alias("n_pivot"), "linked", moved.alias("moved"),
+        F.when(moved, difference).otherwise(F.col("difference")).alias("difference"),
+    ).where("node != centre").withColumn("linked", F.when(
+        F.col("moved"), linked(F.col("n") + F.col("n_pivot"), F.size("difference"), link)
+    ).otherwise(F.col("linked"))).drop("moved")
+    pivots = centres.select(
+        "pivot", F.lit(0).cast("long").alias("share"), "centre", F.col("pivot").alias("node"), F.col("n_pivot").alias("n"),
+        F.col("n_centre").alias("n_pivot"), "linked", F.col("d_centre").alias("difference"),
+    )
+    return others.unionByName(pivots)
+
+
 def _prefixes(differences: DataFrame, link: int) -> tuple[DataFrame, DataFrame]:
-    """The elements by which members not linked to the pivot look for others, and those by which all are found.
+    """The elements by which members not linked to the centre look for others, and those by which all are found.
 
-    Sets with sizes a and b and differences x and y from the pivot (size p) are linked if
-    x + y - 2 * overlap <= r * (a + b). One of the two is not linked to the pivot, so the
+    Sets with sizes a and b and differences x and y from the centre (size p) are linked if
+    x + y - 2 * overlap <= r * (a + b). One of the two is not linked to the centre, so the
     overlap is at least 1, and at least half of y - r * (b - p) for the other one.
+
+    Rarest elements come first, so what a whole family shares is in few prefixes; elements that one
+    member holds alone are counted, but nobody is found by them.
     """
     r = (100 - link) / (100 + link)
-    outside = differences.where(~F.col("linked")).select("pivot").distinct()
-    # Met share by share, so that a large group is not gathered.
-    shares = differences.select("pivot", "share").distinct().join(outside, "pivot")
-    rows = differences.join(shares, ["pivot", "share"], "left_semi").withColumn("size", F.size("difference"))
+    rows = _with_outsiders(differences).withColumn("size", F.size("difference"))
+    rows = stored(
+        rows.select("pivot", "node", "linked", "n", "n_pivot", "size").join(_company(rows), ["pivot", "node"]), "rarest-first"
+    )
+    alone = F.col("size") - F.size("shared")
     index_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") - F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
     probe_overlap = F.greatest(F.ceil((F.col("size") - r * (F.col("n") + F.col("n_pivot"))) / 2 - 1e-6), F.lit(1))
 
     def prefix(frame: DataFrame, overlap) -> DataFrame:
-        length = (F.col("size") - overlap + 1).cast("int")
+        length = (F.col("size") - overlap + 1 - alone).cast("int")
         return frame.where(length > 0).select(
-            "pivot", "node", "linked", "n", "size", F.posexplode(F.slice("difference", 1, length)).alias("pos", "element")
-        )
+            "pivot", "node", "linked", "n", "size", alone.alias("alone"),
+            F.posexplode(F.slice("shared.element", 1, length)).alias("pos", "element"),
+        ).withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
 
     return prefix(rows.where(~F.col("linked")), probe_overlap), prefix(rows, index_overlap)
 
@@ -448,9 +519,9 @@ def _crowd_links(probes: DataFrame, index: DataFrame, differences: DataFrame, li
 
 
 def _camps(crowd_links: DataFrame, differences: DataFrame) -> DataFrame:
-    """pivot, node, camp of members linked to the pivot or to a head: the pivot, or the head or what that is linked to."""
+    """pivot, node, camp of members linked to the centre or to a head: the centre, or the head or what that is linked to."""
     best = F.max(F.struct("weight", (-F.col("b")).alias("minus"))).alias("best")
-    camps = differences.where("linked").select("pivot", "node", F.col("pivot").alias("camp")).unionByName(
+    camps = differences.where("linked").select("pivot", "node", F.col("centre").alias("camp")).unionByName(
         crowd_links.join(
             differences.where("linked").select("pivot", F.col("node").alias("a")), ["pivot", "a"], "left_anti"
         ).groupBy("pivot", F.col("a").alias("node")).agg(best).select("pivot", "node", (-F.col("best.minus")).alias("camp"))
@@ -484,10 +555,12 @@ def _candidates(probes: DataFrame, index: DataFrame, camps: DataFrame, link: int
 def _links_inside(differences: DataFrame, link: int) -> DataFrame:
     """Links between members of a group of which not both are linked to the pivot: enough of them to
     connect what the links connect."""
-    probes, index = _prefixes(differences, link)
+    differences = stored(_centred(differences, link), "differences-from-centres")
+    probes, index = (stored(x, "prefixes") for x in _prefixes(differences, link))
     crowd_links = stored(_crowd_links(probes, index, differences, link), "crowd-links")
     pairs = _candidates(probes, index, stored(_camps(crowd_links, differences), "camps"), link)
-    return crowd_links.unionByName(_verified(pairs, differences, link), allowMissingColumns=True).select("a", "b")
+    central = differences.where("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    return crowd_links.unionByName(_verified(pairs, differences, link), allowMissingColumns=True).select("a", "b").unionByName(central)
 
 
 # --- the whole ---------------------------------------------------------------
